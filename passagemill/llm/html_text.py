@@ -63,8 +63,9 @@ def _hidden(tag: str, attrs: dict[str, str]) -> bool:
         return True
     if attrs.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alertdialog", "alert"):
         return True
-    said = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return bool(said.strip()) and bool(UNLIKELY.search(said)) and not LIKELY.search(said)
+    names = [x for x in f"{attrs.get('class', '')} {attrs.get('id', '')}".split() if not x.lower().startswith(("has-", "with-", "no-"))]
+    bad = [x for x in names if UNLIKELY.search(x)]
+    return bool(bad) and not any(LIKELY.search(x) for x in names if x not in bad)
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
