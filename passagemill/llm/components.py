@@ -7,6 +7,7 @@ round's tables are cut off by a checkpoint. Nulls and loops in the edges connect
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import os
 import tempfile
@@ -39,6 +40,18 @@ def saved(df: DataFrame, what: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """What runs inside sends so many rows to Python at once: for rows that hold lists."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of all nodes in the edges; the component is the smallest node."""
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a != b")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import columnar as co
-from .components import components, saved
+from .components import batch_rows, components, saved
 
 SHINGLE, SIMILARITY = 5, (75, 100)
 REGISTERS, BAND = 128, 4
@@ -261,9 +261,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     pairs = members.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     left, right = (named.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
     close = saved(_screened(pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "sa", "sb"), least), "close")
-    needed = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    # Full sets of all members, from one pass over the texts: for these links and for the blocks below.
     ids = F.col(f"`{doc_id}`").cast("long")
-    sets = saved(_sets(docs.select(ids.alias("id"), F.col(f"`{text}`").alias("text")).join(needed, "id", "left_semi"), "id", "text").dropDuplicates(["id"]), "sets")
+    needed = members.select(F.col("rep").alias("id")).distinct()
+    wanted = docs.select(ids.alias("id"), F.col(f"`{text}`").alias("text")).join(needed, "id", "left_semi")
+    sets = saved(_sets(wanted, "id", "text").dropDuplicates(["id"]), "sets")
     left, right = (sets.select(F.col("id").alias(c), F.col("grams").alias(f"g{c}")) for c in "ab")
     links = saved(_verified(close.join(right, "b").join(left, "a").select("a", "b", "ga", "gb")), "links")
     found = components(links)
@@ -275,9 +277,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     if open_.isEmpty():
         return _result(sig, classes, found)
     needed = open_.select("id").distinct()
-    known = named.join(needed, "id", "left_semi")
-    full = _sets(docs.select(ids.alias("id"), F.col(f"`{text}`").alias("text")).join(needed, "id", "left_semi"), "id", "text").dropDuplicates(["id"])
-    known = saved(known.join(full, "id"), "known")
+    known = saved(named.join(needed, "id", "left_semi").join(sets, "id"), "known")
     # Blocks of about so many members and bytes; a bucket has as many blocks as it needs.
     cells = open_.join(known.select("id", "n"), "id").groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(8 * F.sum("n") / BLOCK_BYTES)).cast("int").alias("cells"))
     rows = open_.join(cells, "key").join(known, "id")
@@ -286,7 +286,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     blocks = saved(blocks, "blocks")
     one, two = blocks.select("key", F.col("cell").alias("i"), F.col("list").alias("x")), blocks.select("key", F.col("cell").alias("j"), F.col("list").alias("y"))
     cross = one.join(two, "key").where("i <= j").select("x", "y")
-    more = saved(_across(cross, least), "more_links")
+    with batch_rows(docs.sparkSession, 8):
+        more = saved(_across(cross, least), "more_links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
     return _result(sig, classes, found)
