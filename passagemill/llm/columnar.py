@@ -6,6 +6,7 @@ Every helper works on one slice of a record batch, so memory is bounded by the s
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -125,11 +126,12 @@ def string_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 class PieceCache:
     """Ids of the pieces of texts cut at spaces, so that each distinct piece is encoded once.
 
-    ``encode`` maps a list of distinct pieces to lists of ids. At most ``limit`` pieces are kept; then the
+    ``encode`` takes a list of distinct pieces and gives them in the order that suits it, the ids of all in that order
+    as one array, and the number of ids of each. At most ``limit`` pieces are kept; then the
     cache starts anew, which costs time and changes no result.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 400_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], limit: int = 400_000) -> None:
         self.encode, self.limit = encode, limit
         self._clear()
 
@@ -156,24 +158,28 @@ class PieceCache:
         found = [self.at.get(x, -1) for x in distinct]
         missing = [x for x, k in zip(distinct, found) if k < 0]
         if missing:
-            new = self.encode(missing)
-            lengths = np.fromiter(map(len, new), np.int64, len(new))
-            flat = np.fromiter((i for ids in new for i in ids), np.int32, int(lengths.sum()))
-            n, first = len(self.at), self.used
+            order, flat, lengths = self.encode(missing)
+            n, first, more = len(self.at), self.used, len(order)
             self._grow("ids", first + len(flat))
-            self._grow("starts", n + len(new))
-            self._grow("lengths", n + len(new))
+            self._grow("starts", n + more)
+            self._grow("lengths", n + more)
             self.ids[first : first + len(flat)] = flat
-            self.starts[n : n + len(new)] = first + np.cumsum(lengths) - lengths
-            self.lengths[n : n + len(new)] = lengths
+            self.starts[n : n + more] = first + np.cumsum(lengths) - lengths
+            self.lengths[n : n + more] = lengths
             self.used = first + len(flat)
-            self.at.update(zip(missing, range(n, n + len(new))))
+            self.at.update(zip(order, range(n, n + more)))
             found = [self.at[x] for x in distinct]
         which = np.asarray(found, np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(pieces) else np.zeros(0, np.int64)
         lengths = self.lengths[which]
         return self.ids[ragged(self.starts[which], lengths)], lengths
 
 
+def listed(pieces: list[str], ids: list[list[int]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """What ``PieceCache`` wants of pieces with their lists of ids."""
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    return pieces, np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths
+
+
 def space_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The texts cut at every space, flat, and n + 1 offsets of each text's pieces."""
     lists = pc.split_pattern(texts, " ")

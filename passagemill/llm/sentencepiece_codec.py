@@ -57,7 +57,7 @@ class Codec:
         self.raw = np.frombuffer(b"".join(texts), np.uint8)
         self.lengths = np.array([len(x) for x in texts], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.cache = co.PieceCache(lambda distinct: [self._piece(x) for x in distinct])
+        self.cache = co.PieceCache(lambda distinct: co.listed(distinct, [self._piece(x) for x in distinct]))
 
     @classmethod
     def load(cls, path: str) -> Codec:

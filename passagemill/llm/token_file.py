@@ -16,6 +16,7 @@ ordered by the text; empty tables write an empty table; extra columns are not re
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,94 +31,80 @@ from . import columnar as co
 
 BLOCK = 4096
 SEGMENT_IDS = 6_000_000
+#: Up to so many segments their starts (20 bytes each) are broadcast; those of more are joined as Spark sees fit.
+MAX_BROADCAST_SEGMENTS = 1_000_000
 MAGIC, VERSION = b"PMTS", 1
 _HEAD = struct.Struct("<4sBIIQ")
 
-_BITS = 15
-_TOTAL = 1 << _BITS
 _TABLE = 1 << 12
-_U32 = np.uint64(32)
-_SMALL = np.uint64(1 << 32)
-#: Stretch (logit) of probabilities in 1/4096, and squash on a grid of 1/256.
+_U32, _SMALL = np.uint64(32), np.uint64(1 << 32)
+_FULL = np.iinfo(np.uint64).max
+#: Stretch (logit) of probabilities in 1/4096, and squash on a grid of 1/170 to probabilities in 2**-15.
 _STRETCH = np.log((np.arange(4096) + 0.5) / (4096 - np.arange(4096) - 0.5)).astype(np.float32)
-_SQUASH = np.clip((_TOTAL / (1 + np.exp(-(np.arange(4096) - 2048) / 170.0))).astype(np.int64), 32, _TOTAL - 32)
-_FLOOR = np.arange(17, dtype=np.int32)
-_CEIL = (_TOTAL - 16 + np.arange(17)).astype(np.int32)
-_CONFIDENCE, _RATE, _LEARN = 8, 5, np.float32(0.02)
+_SQUASH = np.clip(((1 << 15) / (1 + np.exp(-(np.arange(4096) - 2048) / 170.0))).astype(np.int64), 32, (1 << 15) - 32)
+_GRID, _LEARN = np.float32(170), np.float32(0.02)
+#: Distributions over 16 symbols in 2**-14: each update moves a 32nd of the way to the symbol's target; all keep a share.
+_CDF_BITS = 14
+_TARGET = np.where(np.arange(17) > np.arange(16)[:, None], (1 << _CDF_BITS) - 16 + np.arange(17), np.arange(17)).astype(np.int16)
+_EVEN = (np.arange(17) * ((1 << _CDF_BITS) // 16)).astype(np.int16)
+#: The flag and the magnitude share one interval of 2**30.
+_JOINT = np.uint64(30)
+_FRESH, _WEAK = 0x5000, 0x3000
 
 
 class _Model:
-    """Per lane: context tables, hit statistics, mixer weights and order-0 distributions."""
+    """Per lane: the order-2 and order-1 slots (an id and the chance, in 2**-16, that it follows), the order-0 chance of
+    a hit, mixer weights, and order-0 distributions of magnitudes and of leading bits by magnitude."""
 
     def __init__(self, lanes: int) -> None:
-        self.lane = np.arange(lanes)
-        self.guess = [np.zeros(lanes * _TABLE, np.uint16) for _ in range(2)]
-        self.trust = [np.zeros(lanes * _TABLE, np.uint8) for _ in range(2)]
-        self.rates = [np.full(lanes * _CONFIDENCE * 4, 1 << 14, np.int32) for _ in range(2)]  # by confidence and agreement
-        self.common = np.full(lanes * 2, 1 << 14, np.int32)
-        self.weights = np.full((2, 3, lanes), 0.4, np.float32)
-        start = (np.arange(17) * (_TOTAL // 16)).astype(np.int32)
-        self.size = np.tile(start, (lanes, 1))
-        self.lead = np.tile(start, (lanes * 16, 1))
-        self.prev = np.zeros((2, lanes), np.int64)
-
-    def contexts(self, n: int) -> None:
-        """Look up what the contexts of the next id predict, for the first n lanes."""
-        one, two = self.prev[0, :n], self.prev[1, :n]
-        base = self.lane[:n] * _TABLE
-        h1 = (one * 40503 >> 4) & (_TABLE - 1)
-        h2 = ((one * 48271 + two * 69621) >> 5) & (_TABLE - 1)
-        self.slots = base + h2, base + h1
-        self.says = [self.guess[k][self.slots[k]] for k in (0, 1)]
-        self.sure = [self.trust[k][self.slots[k]].astype(np.int64) for k in (0, 1)]
-        self.agree = (self.says[0] == self.says[1]).astype(np.int64)
-
-    def chance(self, k: int, lanes: np.ndarray) -> np.ndarray:
-        """Of 2**15, that prediction k (0: order 2, 1: order 1) holds in these lanes."""
-        agree = self.agree[lanes]
-        self.cells = [lanes * (4 * _CONFIDENCE) + self.sure[j][lanes] * 4 + agree * 2 + k for j in (0, 1)]
-        self.cell0 = lanes * 2 + k
-        inputs = [self.rates[0][self.cells[0]], self.rates[1][self.cells[1]], self.common[self.cell0]]
-        self.inputs = inputs
-        self.stretched = [_STRETCH[x >> 3] for x in inputs]
-        self.mix_at = lanes
-        w = self.weights[k]
-        dot = self.stretched[0] * w[0][lanes] + self.stretched[1] * w[1][lanes] + self.stretched[2] * w[2][lanes]
-        self.p = _SQUASH[np.clip((dot * np.float32(170)).astype(np.int64) + 2048, 0, 4095)]
-        return self.p
-
-    def learn(self, k: int, hit: np.ndarray) -> None:
-        to = np.where(hit, _TOTAL - 1, 0).astype(np.int32)
-        lanes, w = self.mix_at, self.weights[k]
-        error = (to - self.p).astype(np.float32) * (_LEARN / np.float32(_TOTAL))
-        for j in range(3):
-            w[j][lanes] += error * self.stretched[j]
-        self.rates[0][self.cells[0]] += (to - self.inputs[0]) >> 4
-        self.rates[1][self.cells[1]] += (to - self.inputs[1]) >> 4
-        self.common[self.cell0] += (to - self.inputs[2]) >> 5
-
-    @staticmethod
-    def shift(table: np.ndarray, rows: np.ndarray, cdf: np.ndarray, symbol: np.ndarray) -> None:
-        """Move the distributions towards the symbols; every symbol keeps a share."""
-        above = np.arange(17) > symbol[:, None]
-        table[rows] = cdf + ((np.where(above, _CEIL, _FLOOR) - cdf) >> _RATE)
-
-    def seen(self, ids: np.ndarray) -> None:
-        """Take in the ids of the first lanes."""
+        self.base = np.arange(lanes) * _TABLE
+        self.slots = [np.zeros(lanes * _TABLE, np.uint32) for _ in range(2)]
+        self.common = np.full(lanes, 1 << 14, np.int32)
+        self.weights = [np.full(lanes, w, np.float32) for w in (0.6, 0.3, 0.2)]
+        self.size, self.lead = np.tile(_EVEN, (lanes, 1)), np.tile(_EVEN, (lanes * 16, 1))
+        self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+
+    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """For the first n lanes the predicted id, and the chance of it in 2**-15."""
+        one, two, base = self.one[:n], self.two[:n], self.base[:n]
+        self.at = base + ((one * 48271 + two * 69621 >> 5) & (_TABLE - 1)), base + ((one * 40503 >> 4) & (_TABLE - 1))
+        a, b = self.slots[0][self.at[0]], self.slots[1][self.at[1]]
+        self.said = (a >> 16).astype(np.int64), (b >> 16).astype(np.int64)
+        self.trust = (a & 0xFFFF).astype(np.int32), (b & 0xFFFF).astype(np.int32)
+        first = self.trust[0] > 0
+        guess = np.where(first, self.said[0], self.said[1])
+        self.inputs = [_STRETCH[self.trust[0] >> 4], _STRETCH[self.trust[1] >> 4] * (self.said[1] == guess), _STRETCH[self.common[:n] >> 4]]
+        w = self.weights
+        dot = self.inputs[0] * w[0][:n] + self.inputs[1] * w[1][:n] + self.inputs[2] * w[2][:n]
+        self.p = _SQUASH[np.clip((dot * _GRID).astype(np.int64) + 2048, 0, 4095)]
+        return guess, self.p
+
+    def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
         n = len(ids)
+        error = (hit.astype(np.float32) - self.p.astype(np.float32) * np.float32(2**-15)) * _LEARN
+        for w, x in zip(self.weights, self.inputs):
+            w[:n] += error * x
+        common = self.common[:n]
+        common += (np.where(hit, 65535, 0).astype(np.int32) - common) >> 5
         for k in (0, 1):
-            slots, right = self.slots[k], self.says[k] == ids
-            sure = self.sure[k]
-            self.trust[k][slots] = np.where(right, np.minimum(sure + 1, _CONFIDENCE - 1), np.where(sure > 1, sure >> 1, 1))
-            self.guess[k][slots] = np.where(right | (sure > 2), self.says[k], ids)
-        self.prev[1, :n] = self.prev[0, :n]
-        self.prev[0, :n] = ids
+            said, trust = self.said[k], self.trust[k]
+            right = said == ids
+            down = trust - (trust >> 2)
+            keep = right | (down >= _WEAK)
+            new = np.where(right, trust + ((65535 - trust) >> 3), down)
+            self.slots[k][self.at[k]] = (np.where(keep, said, ids) << 16 | np.where(keep, new, _FRESH)).astype(np.uint32)
+        self.two[:n] = self.one[:n]
+        self.one[:n] = ids
+
+
+def _shift(table: np.ndarray, rows: np.ndarray, cdf: np.ndarray, symbol: np.ndarray) -> None:
+    table[rows] = cdf + ((_TARGET[symbol] - cdf) >> 5)
 
 
 def _parts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Magnitude symbol, leading bits below the highest one, number of further bits, those bits."""
+    """Magnitude, up to four bits below the highest one, number of further bits, those bits."""
     size = np.maximum(np.frexp(ids.astype(np.float64))[1], 1).astype(np.int64) - 1
-    below = np.maximum(size, 1)  # id 0 and 1 share a symbol and need one bit
+    below = np.maximum(size, 1)  # id 0 and 1 share a magnitude and need one bit
     rest = ids & ((np.int64(1) << below) - 1)
     few = np.maximum(below - 4, 0)
     lead = np.where(below >= 4, rest >> few, rest << np.maximum(4 - below, 0))
@@ -131,26 +118,27 @@ def _joined(size: np.ndarray, lead: np.ndarray, few: np.ndarray, tail: np.ndarra
 
 
 class _Writer:
+    """Range coders side by side: 64-bit low and range, words of 32 bits, carries go into words already out."""
+
     def __init__(self, lanes: int, room: int) -> None:
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, np.iinfo(np.uint64).max, np.uint64)
+        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, _FULL, np.uint64)
         self.out, self.at = np.zeros((lanes, room), np.uint32), np.zeros(lanes, np.int64)
 
-    def put(self, lanes: np.ndarray, start: np.ndarray, width: np.ndarray, bits) -> None:
+    def put(self, lanes, start: np.ndarray, width: np.ndarray, bits) -> None:
+        """lanes: a slice or indices."""
         r = self.range[lanes] >> bits
         old = self.low[lanes]
         low = old + r * start.astype(np.uint64)
-        carry = lanes[low < old]
-        back = 1
-        while len(carry):  # into the words already out
+        number = (lambda k: k) if isinstance(lanes, slice) else (lambda k: lanes[k])
+        carry, back = number(np.flatnonzero(low < old)), 1
+        while len(carry):
             cell = self.out[carry, self.at[carry] - back] + np.uint32(1)
             self.out[carry, self.at[carry] - back] = cell
             carry, back = carry[cell == 0], back + 1
         r *= width.astype(np.uint64)
-        small = r < _SMALL
-        if small.any():
-            some = lanes[small]
-            if self.at.max() + 4 > self.out.shape[1]:
-                self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
+        small = np.flatnonzero(r < _SMALL)
+        if len(small):
+            some = number(small)
             self.out[some, self.at[some]] = (low[small] >> _U32).astype(np.uint32)
             self.at[some] += 1
             low[small] <<= _U32
@@ -159,8 +147,6 @@ class _Writer:
 
     def end(self) -> list[bytes]:
         lanes = np.arange(len(self.low))
-        if self.at.max(initial=0) + 4 > self.out.shape[1]:
-            self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
         self.out[lanes, self.at] = (self.low >> _U32).astype(np.uint32)
         self.out[lanes, self.at + 1] = self.low.astype(np.uint32)
         return [self.out[k, : n + 2].astype("<u4").tobytes() for k, n in enumerate(self.at)]
@@ -168,51 +154,27 @@ class _Writer:
 
 class _Reader:
     def __init__(self, words: np.ndarray, starts: np.ndarray) -> None:
-        self.words, self.at = np.concatenate([words, np.zeros(4, np.uint32)]).astype(np.uint64), starts + 2
-        self.code = (self.words[starts] << _U32) | self.words[starts + 1]
-        self.range = np.full(len(starts), np.iinfo(np.uint64).max, np.uint64)
-
-    def _take(self, lanes, code, r) -> None:
-        small = r < _SMALL
-        if small.any():
-            some = lanes[small]
+        self.words, self.at = np.concatenate([words, np.zeros(4, np.uint32)]), starts + 2
+        self.code = (self.words[starts].astype(np.uint64) << _U32) | self.words[starts + 1]
+        self.range = np.full(len(starts), _FULL, np.uint64)
+
+    def took(self, lanes, code: np.ndarray, r: np.ndarray) -> None:
+        """What is left after an interval; lanes: a slice or indices."""
+        small = np.flatnonzero(r < _SMALL)
+        if len(small):
+            some = small if isinstance(lanes, slice) else lanes[small]
             code[small] = (code[small] << _U32) | self.words[np.minimum(self.at[some], len(self.words) - 1)]
             r[small] <<= _U32
             self.at[some] += 1
         self.code[lanes], self.range[lanes] = code, r
 
-    def flag(self, lanes: np.ndarray, p: np.ndarray) -> np.ndarray:
-        r = self.range[lanes] >> np.uint64(_BITS)
-        code = self.code[lanes]
-        bound = r * p.astype(np.uint64)
-        hit = code < bound
-        self._take(lanes, np.where(hit, code, code - bound), np.where(hit, bound, r * (_TOTAL - p).astype(np.uint64)))
-        return hit
-
-    def symbol(self, lanes: np.ndarray, cdf: np.ndarray) -> np.ndarray:
-        r = self.range[lanes] >> np.uint64(_BITS)
-        code = self.code[lanes]
-        value = np.minimum(code // r, np.uint64(_TOTAL - 1)).astype(np.int32)
-        said = (cdf[:, 1:16] <= value[:, None]).sum(axis=1)
-        rows = np.arange(len(lanes))
-        start = cdf[rows, said]
-        self._take(lanes, code - r * start.astype(np.uint64), r * (cdf[rows, said + 1] - start).astype(np.uint64))
-        return said
-
-    def raw(self, lanes: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        r = self.range[lanes] >> bits.astype(np.uint64)
-        code = self.code[lanes]
-        value = np.minimum(code // r, (np.uint64(1) << bits.astype(np.uint64)) - np.uint64(1))
-        self._take(lanes, code - r * value, r.copy())
-        return value.astype(np.int64)
-
-
-def _lanes(ids: np.ndarray) -> tuple[np.ndarray, int, int]:
-    """Block k as row k; the last is padded. The number of blocks, and of ids in the last."""
+
+def _grid(ids: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Row t holds the t-th id of every block; the last block is padded. The number of blocks, and of ids in the last."""
     blocks = -(-len(ids) // BLOCK)
-    grid = np.zeros(blocks * BLOCK, np.int64)
-    grid[: len(ids)] = ids
-    return grid.reshape(blocks, BLOCK), blocks, len(ids) - (blocks - 1) * BLOCK
+    whole = np.zeros(blocks * BLOCK, np.uint16)
+    whole[: len(ids)] = ids
+    return np.ascontiguousarray(whole.reshape(blocks, BLOCK).T)[: min(BLOCK, len(ids))], blocks, len(ids) - (blocks - 1) * BLOCK
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
@@ -221,35 +183,34 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
         return []
     if ids.min() < 0 or ids.max() >= 1 << 16:
         raise ValueError("ids must be below 65,536")
-    grid, blocks, last = _lanes(ids)
-    columns = np.ascontiguousarray(grid.T[: min(BLOCK, len(ids))])
-    model, out = _Model(blocks), _Writer(blocks, BLOCK // 2 + 64)
-    bits, total = np.uint64(_BITS), _TOTAL
-    for t, now in enumerate(columns):
+    grid, blocks, last = _grid(ids)
+    model, out = _Model(blocks), _Writer(blocks, 2 * len(grid) + 4)
+    for t, row in enumerate(grid):
         n = blocks if t < last else blocks - 1
-        now = now[:n]
-        model.contexts(n)
-        lanes = model.lane[:n]
-        for k in (0, 1):
-            p = model.chance(k, lanes)
-            hit = model.says[k][lanes] == now[lanes]
-            out.put(lanes, np.where(hit, 0, p), np.where(hit, p, total - p), bits)
-            model.learn(k, hit)
-            lanes = lanes[~hit]
-            if not len(lanes):
-                break
-        if len(lanes):
-            size, lead, few, tail = _parts(now[lanes])
-            rows = np.arange(len(lanes))
-            for table, at, symbol in ((model.size, lanes, size), (model.lead, lanes * 16 + size, lead)):
-                cdf = table[at]
-                start = cdf[rows, symbol]
-                out.put(lanes, start, cdf[rows, symbol + 1] - start, bits)
-                model.shift(table, at, cdf, symbol)
-            some = few > 0
-            if some.any():
-                out.put(lanes[some], tail[some], np.ones(int(some.sum()), np.int64), few[some].astype(np.uint64))
-        model.seen(now)
+        now = row[:n].astype(np.int64)
+        guess, p = model.predict(n)
+        hit = guess == now
+        edge = p << 15
+        start, width = np.where(hit, 0, edge), edge.copy()
+        miss = np.flatnonzero(~hit)
+        if len(miss):
+            size, lead, few, tail = _parts(now[miss])
+            rows = np.arange(len(miss))
+            cdf = model.size[miss]
+            low = cdf[rows, size].astype(np.int64)
+            unit = ((1 << 30) - edge[miss]) >> _CDF_BITS
+            start[miss] += unit * low
+            width[miss] = unit * (cdf[rows, size + 1] - low)
+            _shift(model.size, miss, cdf, size)
+        out.put(slice(0, n), start, width, _JOINT)
+        if len(miss):
+            at = miss * 16 + size
+            cdf = model.lead[at]
+            low = cdf[rows, lead].astype(np.int64)
+            wide = cdf[rows, lead + 1] - low
+            out.put(miss, (low << few) + tail * wide, wide, (few + _CDF_BITS).astype(np.uint64))
+            _shift(model.lead, at, cdf, lead)
+        model.learn(now, hit)
     return out.end()
 
 
@@ -260,35 +221,46 @@ def decode_blocks(words: np.ndarray, starts: np.ndarray, n_ids: int) -> np.ndarr
     blocks = len(starts)
     last = n_ids - (blocks - 1) * BLOCK
     model, source = _Model(blocks), _Reader(words, starts.astype(np.int64))
-    grid = np.zeros((min(BLOCK, n_ids), blocks), np.int64)
-    for t, now in enumerate(grid):
+    grid = np.zeros((min(BLOCK, n_ids), blocks), np.uint16)
+    for t, row in enumerate(grid):
         n = blocks if t < last else blocks - 1
-        now = now[:n]
-        model.contexts(n)
-        lanes = model.lane[:n]
-        for k in (0, 1):
-            hit = source.flag(lanes, model.chance(k, lanes))
-            model.learn(k, hit)
-            now[lanes[hit]] = model.says[k][lanes[hit]]
-            lanes = lanes[~hit]
-            if not len(lanes):
-                break
-        if len(lanes):
-            cdf = model.size[lanes]
-            size = source.symbol(lanes, cdf)
-            model.shift(model.size, lanes, cdf, size)
-            at = lanes * 16 + size
+        all_ = slice(0, n)
+        guess, p = model.predict(n)
+        edge = (p << 15).astype(np.uint64)
+        r = source.range[all_] >> _JOINT
+        code, bound = source.code[all_], r * edge
+        hit = code < bound
+        left, wide = np.where(hit, code, code - bound), bound
+        miss = np.flatnonzero(~hit)
+        now = guess
+        if len(miss):
+            cdf = model.size[miss]
+            unit = r[miss] * ((np.uint64(1 << 30) - edge[miss]) >> np.uint64(_CDF_BITS))
+            value = np.minimum(left[miss] // unit, np.uint64((1 << _CDF_BITS) - 1)).astype(np.int16)
+            size = (cdf[:, 1:16] <= value[:, None]).sum(axis=1)
+            rows = np.arange(len(miss))
+            low = cdf[rows, size].astype(np.uint64)
+            left[miss] -= unit * low
+            wide[miss] = unit * (cdf[rows, size + 1].astype(np.uint64) - low)
+            _shift(model.size, miss, cdf, size)
+        source.took(all_, left, wide)
+        if len(miss):
+            at = miss * 16 + size
             cdf = model.lead[at]
-            lead = source.symbol(lanes, cdf)
-            model.shift(model.lead, at, cdf, lead)
             few = np.maximum(np.maximum(size, 1) - 4, 0)
-            tail = np.zeros(len(lanes), np.int64)
-            some = few > 0
-            if some.any():
-                tail[some] = source.raw(lanes[some], few[some])
-            now[lanes] = _joined(size, lead, few, tail)
-        model.seen(now)
-    return np.ascontiguousarray(grid.T).reshape(-1)[:n_ids]
+            bits = (few + _CDF_BITS).astype(np.uint64)
+            r, code = source.range[miss] >> bits, source.code[miss]
+            value = np.minimum(code // r, (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
+            lead = (cdf[:, 1:16] <= (value >> few).astype(np.int16)[:, None]).sum(axis=1)
+            low = cdf[rows, lead].astype(np.int64)
+            wide = cdf[rows, lead + 1] - low
+            tail = (value - (low << few)) // wide
+            _shift(model.lead, at, cdf, lead)
+            source.took(miss, code - r * ((low << few) + tail * wide).astype(np.uint64), r * wide.astype(np.uint64))
+            now[miss] = _joined(size, lead, few, tail)
+        model.learn(now, hit)
+        row[:n] = now
+    return grid.T.reshape(-1)[:n_ids]
 
 
 def pack(keys: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -326,19 +298,30 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [int(k) if v else None for v, k in zip(table["valid"], table["key"])], table["n"].astype(np.int64), ids
 
 
+#: White space, or what may be a special token, in a piece.
+_SPECIAL = re.compile(r"\s|<\|")
+
+
 class Encoder:
     """The tokenizers library over distinct pieces.
 
     The byte-level pattern starts a new token at every space, except at one that stands between white space and white
-    space or the end; texts with such a space are encoded whole.
+    space or the end; texts with such a space are encoded whole. Distinct pieces are encoded together, joined by
+    spaces, and taken apart at the tokens that begin with a space; pieces with white space in them one by one.
     """
 
+    JOIN = 2000
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.later = co.PieceCache(lambda xs: self._ids([" " + x for x in xs]))
-        self.first = co.PieceCache(self._ids, 50_000)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        for token, i in vocabulary.items():
+            self.spaced[i] = token.startswith("\u0120")
+        self.later = co.PieceCache(self._pieces)
+        self.first = co.PieceCache(lambda xs: co.listed(xs, self._ids(xs)), 50_000)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         out: list[list[int]] = []
@@ -346,6 +329,25 @@ class Encoder:
             out += [x.ids for x in self.tokenizer.encode_batch_fast(texts[k : k + 20_000], add_special_tokens=False)]
         return out
 
+    def _pieces(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Ids of the pieces with a space before each."""
+        plain, alone = [], []
+        for x in pieces:
+            (alone if not x or _SPECIAL.search(x) else plain).append(x)
+        order, flat, lengths = [], [], []
+        for lo in range(0, len(plain), self.JOIN):
+            some = plain[lo : lo + self.JOIN]
+            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, np.int32)
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(some):
+                alone += some  # another vocabulary than its pattern promises
+                continue
+            order += some
+            flat.append(ids)
+            lengths.append(np.diff(starts, append=len(ids)))
+        _, ids, sizes = co.listed(alone, self._ids([" " + x for x in alone]))
+        return order + alone, np.concatenate([*flat, ids]), np.concatenate([*lengths, sizes])
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and lengths."""
         odd = pc.match_substring_regex(texts, r"[\s\pZ\x{1c}-\x{1f}\x{0b}\x{85}] (?:[\s\pZ\x{1c}-\x{1f}\x{0b}\x{85}]|\z)").to_numpy(zero_copy_only=False)
@@ -368,6 +370,16 @@ class Encoder:
         return pool[co.ragged(starts, lengths)], lengths.reshape(-1, 2).sum(axis=1)
 
 
+_LOADED: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a vocabulary file, loaded once per worker."""
+    if path not in _LOADED:
+        _LOADED[path] = Encoder(path)
+    return _LOADED[path]
+
+
 def segments(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int = 2, segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """(shard, seq, n_ids, data): documents in ascending order of their key, tokenized and packed.
 
@@ -380,7 +392,7 @@ def segments(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str
         from pyspark import TaskContext
 
         shard, seq = TaskContext.get().partitionId(), 0
-        coder = Encoder(tokenizer)
+        coder = encoder(tokenizer)
         keys: list = []
         lengths: list[np.ndarray] = []
         parts: list[np.ndarray] = []
@@ -427,6 +439,8 @@ def read(spark: SparkSession, path: str, *, key: str = "doc_id", with_ids: bool
     within = F.sum("n_ids").over(Window.partitionBy("shard").orderBy("seq")) - F.col("n_ids")
     places = table.select("shard", "seq", within.alias("seq_start"), "n_ids").join(before, "shard")
     places = places.select(F.col("shard"), F.col("seq"), (F.col("seq_start") + F.col("shard_start")).alias("start"))
+    if table.count() <= MAX_BROADCAST_SEGMENTS:
+        places = F.broadcast(places)
     rows = table.join(places, ["shard", "seq"]).select("start", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
