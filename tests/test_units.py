@@ -1,5 +1,6 @@
 """Cases that the driver's tables never exercise."""
 
+import dataclasses
 import io
 import random
 import zipfile
@@ -281,7 +282,7 @@ def test_retries_and_replies(spark):
 
 
 def test_engine_from_documents_to_answers(spark, config, tmp_path):
-    engine = RetrievalEngine(spark, config)
+    engine = RetrievalEngine(spark, dataclasses.replace(config, retrieval=RetrievalConfig(interleave=False)))
     (tmp_path / "in").mkdir()
     (tmp_path / "in/manual.docx").write_bytes(docx("The warehouse ships orders on working days before noon."))
     assert engine.ingest_path(str(tmp_path / "in"), reader=lambda b: []) == 1
