@@ -1,4 +1,4 @@
-"""python -m passagemill --docs_dir DIR --question TEXT --role ROLE: ingest files, then show a question's prompt, or its
+"""python -m passagemill --docs_dir DIR --url URL --question TEXT --role ROLE: ingest files, then show a question's prompt, or its
 answer if a generator is configured."""
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ def main(argv: list[str] | None = None) -> None:
     ask = argparse.ArgumentParser(prog="passagemill")
     ask.add_argument("--docs_dir")
     ask.add_argument("--pages", help="a Parquet table of fetched pages (url, html)")
+    ask.add_argument("--url", action="append", default=[], help="a live page; may be given several times")
     ask.add_argument("--question")
     ask.add_argument("--role", default="developer")
     ask.add_argument("--ocr", action=argparse.BooleanOptionalAction, default=None)
@@ -29,6 +30,8 @@ def main(argv: list[str] | None = None) -> None:
     engine = RetrievalEngine(spark, config, client=http_client(config.generator, key) if key and config.generator.base_url else None)
     if said.docs_dir:
         print(engine.ingest_path(said.docs_dir), "chunks ingested")
+    if said.url:
+        print(engine.ingest_urls(said.url), "chunks ingested")
     if said.pages:
         print(engine.ingest_pages(spark.read.parquet(said.pages)), "chunks ingested")
     if said.question:

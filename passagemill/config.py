@@ -31,8 +31,8 @@ class RetrievalConfig:
 
 @dataclass(frozen=True)
 class StoreConfig:
-    path: str = "qdrant_data"
-    alias: str = "enterprise_corpus"
+    path: str = "passage_store"
+    alias: str = "corpus"
     dim: int = 384
     distance: str = "cosine"
 

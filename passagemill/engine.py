@@ -52,6 +52,11 @@ class RetrievalEngine:
         """Fetched pages (url, html)."""
         return self.ingest(files.web_documents(pages, self.config.source), corpus_id)
 
+    def ingest_urls(self, addresses: list[str], *, client=None, corpus_id: str = "web") -> int:
+        """Live pages, as far as robots files allow."""
+        at = self.spark.createDataFrame([(a,) for a in addresses], "url string")
+        return self.ingest(files.fetched_documents(at, client or files.page_client(self.config.source), self.config.source), corpus_id)
+
     def crawl(self, seed: str, pages: DataFrame, *, corpus_id: str = "web", **policy) -> int:
         """The pages that a crawl from ``seed`` over a table of fetched pages accepts."""
         found = crawl(self.spark, seed, pages, max_pages=policy.pop("max_pages", self.config.source.max_crawl_pages), min_text_len=self.config.source.web_min_text_len, **policy)

@@ -203,3 +203,36 @@ def fetch(urls: DataFrame, get: Callable[[], Callable[[str], tuple[str, str, str
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * 4, ["url", "final_url", "content_type", "html"])
 
     return urls.select(F.col(url).alias("url")).mapInArrow(run, "url string, final_url string, content_type string, html string")
+
+
+def page_client(config: SourceConfig | None = None) -> Callable[[], Callable[[str], tuple[str, str, str]]]:
+    """Makes clients for ``fetch`` on the standard library: redirects are followed, requests are spaced out."""
+    config = config or SourceConfig()
+
+    def make():
+        import time
+        import urllib.request
+
+        def get(address: str) -> tuple[str, str, str]:
+            time.sleep(config.sleep_seconds)
+            asked = urllib.request.Request(address, headers={"User-Agent": config.user_agent})
+            with urllib.request.urlopen(asked, timeout=config.timeout) as r:
+                charset = r.headers.get_content_charset() or "utf-8"
+                return r.geturl(), r.headers.get("Content-Type", ""), r.read().decode(charset, errors="replace")
+
+        return get
+
+    return make
+
+
+def fetched_documents(urls: DataFrame, client, config: SourceConfig | None = None, url: str = "url") -> DataFrame:
+    """Document rows of live pages: each place's robots file is fetched once, then the pages that it allows."""
+    config = config or SourceConfig()
+    at = urls.select(normalize_url(F.col(url)).alias("url"))
+    if config.obey_robots:
+        p = parts(F.col("url"))
+        places = at.select(F.concat(p["scheme"], F.lit("://"), p["place"], F.lit("/robots.txt")).alias("url")).distinct()
+        rules = fetch(places, client).where("html != ''").select(parts(F.col("url"))["place"].alias("place"), F.col("html").alias("robots"))
+        at = robots_allowed(at, rules).where("robots_ok").select("url")
+    pages = fetch(at, client).select(F.coalesce(F.when(F.col("final_url") != "", F.col("final_url")), F.col("url")).alias("url"), "content_type", "html")
+    return web_documents(pages, config, content_type="content_type")

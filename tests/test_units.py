@@ -263,6 +263,16 @@ def test_robots_fetching_and_web_pages(spark):
     assert sorted(r["source"] for r in got) == ["https://a.org/private/y", "https://a.org/x"] and {r["doc_type"] for r in got} == {"web"}
 
 
+def test_live_pages_obey_robots_files(spark, config):
+    def client():
+        pages = {"https://a.org/robots.txt": "User-agent: *\nDisallow: /no", "https://a.org/yes": "<p>" + "word " * 40, "https://a.org/no": "<p>" + "word " * 40}
+        return lambda address: (address, "text/html", pages[address])
+
+    engine = RetrievalEngine(spark, config)
+    assert engine.ingest_urls(["a.org/yes", "https://a.org/no", "https://b.org/gone"], client=client) == 1
+    assert engine.store.rows().first()["source"] == "https://a.org/yes"
+
+
 def test_retries_and_replies(spark):
     config, slept = GeneratorConfig(), []
     replies = iter([generate.Reply(503, ""), OSError("gone"), generate.Reply(429, ""), generate.Reply(200, "ok")])
