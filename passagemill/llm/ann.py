@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import batch_rows, saved
+from .components import Workspace, batch_rows, saved
 
 TABLES, PROBES, SEED = 12, 10, 20240229
 MAX_BUCKET_ROWS = 50_000
@@ -133,9 +133,18 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, *, k: int = 5,
         size = rows.agg(F.count(F.lit(1)).alias("n"), F.max("dim").alias("d")).first()
         hashes = plan_hashes(size["n"], size["d"] or 1)
     kinds = ["<f4" if f.schema["v"].dataType.elementType.typeName() == "float" else "<f8" for f in (asked, rows)]
-    left = saved(_blocks(saved(_hashed(asked.dropDuplicates(["id"]), tables, hashes, probes), "probes"), "i", "asked"), "asked")
-    right = _blocks(saved(_hashed(rows, tables, hashes, 1), "index"), "j", "found")
-    met = left.join(right, ["dim", "t", "bucket"]).select("asked", "found")
+    with Workspace(vectors.sparkSession) as work:
+        left = work.saved(_blocks(work.saved(_hashed(asked.dropDuplicates(["id"]), tables, hashes, probes), "probes"), "i", "asked"), "asked")
+        right = _blocks(work.saved(_hashed(rows, tables, hashes, 1), "index"), "j", "found")
+        met = left.join(right, ["dim", "t", "bucket"]).select("asked", "found")
+        with batch_rows(vectors.sparkSession, 16):
+            best = saved(_nearest(met, k, kinds), "best")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _nearest(met: DataFrame, k: int, kinds: list[str]) -> DataFrame:
+    """(query_id, vec_id, score): of each pair of blocks the k best rows for each query, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,10 +167,7 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, *, k: int = 5,
                 columns = [np.concatenate(c) for c in zip(*out)]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    with batch_rows(vectors.sparkSession, 16):
-        best = saved(met.mapInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "best")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return met.mapInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
 
 def _unpacked(list_: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:

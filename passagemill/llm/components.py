@@ -40,6 +40,27 @@ def saved(df: DataFrame, what: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Tables in the shared folder that go when the work inside is done; what is left of it must be saved outside."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def saved(self, df: DataFrame, what: str = "table") -> DataFrame:
+        path = scratch(self.spark, what)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @contextlib.contextmanager
 def batch_rows(spark: SparkSession, rows: int):
     """What runs inside sends so many rows to Python at once: for rows that hold lists."""
@@ -54,8 +75,13 @@ def batch_rows(spark: SparkSession, rows: int):
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of all nodes in the edges; the component is the smallest node."""
+    with Workspace(edges.sparkSession) as work:
+        return saved(_labels(edges, a, b, work), "components")
+
+
+def _labels(edges: DataFrame, a: str, b: str, work: Workspace) -> DataFrame:
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a != b")
-    pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    pairs = work.saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     roots: DataFrame | None = None
     for turn in itertools.count():
         if pairs.isEmpty():
@@ -63,15 +89,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         ranked = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("v"))
         hooks = both.groupBy("a").agg(F.min(ranked("b")).alias("least")).select(F.col("a").alias("v"), F.least(F.col("least"), ranked("a"))["v"].alias("to"))
-        hooks = saved(hooks, "hooks")
+        hooks = work.saved(hooks, "hooks")
         if roots is None:
             roots = hooks.select(F.col("v").alias("node"), F.col("to").alias("root"))
         else:
-            roots = saved(roots.join(hooks, roots.root == hooks.v, "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+            roots = work.saved(roots.join(hooks, roots.root == hooks.v, "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
         left = pairs.join(hooks, pairs.a == hooks.v).select(F.col("to").alias("x"), "b")
         moved = left.join(hooks, left.b == hooks.v).select("x", F.col("to").alias("y")).where("x != y")
-        pairs = saved(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        pairs = work.saved(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
     if roots is None:
         return pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
     least = roots.groupBy("root").agg(F.min("node").alias("component"))
-    return saved(roots.join(least, "root").select("node", "component"), "components")
+    return roots.join(least, "root").select("node", "component")

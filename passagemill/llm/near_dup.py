@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from . import columnar as co
-from .components import batch_rows, components, saved
+from .components import Workspace, batch_rows, components, saved
 
 SHINGLE, SIMILARITY = 5, (75, 100)
 REGISTERS, BAND = 128, 4
@@ -133,17 +134,24 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return source.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sketch binary")
 
 
-def _sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, grams): full sets, packed."""
-    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+def _sets(docs: DataFrame, doc_id: str, text: str, needed: DataFrame) -> DataFrame:
+    """(id, grams): packed full sets of the documents whose ids are in ``needed``.
+
+    Texts stay where they are read: a Bloom filter of the ids picks those worth a set, and only sets are shuffled.
+    """
+    words = docs.sparkSession.sparkContext.broadcast(bloom.build(needed))
+    key = F.col(f"`{doc_id}`").cast("long")
+    source = docs.select(key.alias("id"), *bloom.hashes(key), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in co.slices(batches, "text"):
-            grams, offsets = shingle_sets(*co.buffers(co.filled(batch["text"])))
-            raw = grams.tobytes()
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([raw[8 * a : 8 * b] for a, b in zip(offsets, offsets[1:])], pa.binary())], ["id", "grams"])
+        for whole in batches:
+            picked = whole.filter(pa.array(bloom.maybe(words.value, whole)))
+            for batch in co.slices(iter([picked]), "text"):
+                grams, offsets = shingle_sets(*co.buffers(co.filled(batch["text"])))
+                raw = grams.tobytes()
+                yield pa.RecordBatch.from_arrays([batch["id"], pa.array([raw[8 * a : 8 * b] for a, b in zip(offsets, offsets[1:])], pa.binary())], ["id", "grams"])
 
-    return source.mapInArrow(run, "id long, grams binary")
+    return source.mapInArrow(run, "id long, grams binary").join(needed, "id", "left_semi").dropDuplicates(["id"])
 
 
 def _banded(classes: DataFrame) -> DataFrame:
@@ -250,44 +258,46 @@ def _across(blocks: DataFrame, least: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``."""
+    with Workspace(docs.sparkSession) as work:
+        return saved(_decided(docs, doc_id, text, work), "near-duplicates")
+
+
+def _decided(docs: DataFrame, doc_id: str, text: str, work: Workspace) -> DataFrame:
     least = SIMILARITY[0] / SIMILARITY[1] - MARGIN
-    sig = saved(signatures(docs, doc_id, text), "signatures")
-    classes = saved(sig.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
+    sig = work.saved(signatures(docs, doc_id, text), "signatures")
+    classes = work.saved(sig.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
     named = classes.select(F.col("rep").alias("id"), "n", "sketch")
     banded = _banded(classes)
     buckets = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub != last").select("key", "hub")
-    members = saved(banded.join(buckets, "key"), "members")  # key, rep, hub: only of buckets with several classes
+    members = work.saved(banded.join(buckets, "key"), "members")  # key, rep, hub: only of buckets with several classes
 
     pairs = members.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     left, right = (named.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
-    close = saved(_screened(pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "sa", "sb"), least), "close")
+    close = work.saved(_screened(pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "sa", "sb"), least), "close")
     # Full sets of all members, from one pass over the texts: for these links and for the blocks below.
-    ids = F.col(f"`{doc_id}`").cast("long")
-    needed = members.select(F.col("rep").alias("id")).distinct()
-    wanted = docs.select(ids.alias("id"), F.col(f"`{text}`").alias("text")).join(needed, "id", "left_semi")
-    sets = saved(_sets(wanted, "id", "text").dropDuplicates(["id"]), "sets")
+    sets = work.saved(_sets(docs, doc_id, text, members.select(F.col("rep").alias("id")).distinct()), "sets")
     left, right = (sets.select(F.col("id").alias(c), F.col("grams").alias(f"g{c}")) for c in "ab")
-    links = saved(_verified(close.join(right, "b").join(left, "a").select("a", "b", "ga", "gb")), "links")
+    links = work.saved(_verified(close.join(right, "b").join(left, "a").select("a", "b", "ga", "gb")), "links")
     found = components(links)
 
     # Buckets whose members, without the hub that all were compared with, are in several components.
     rest = members.where("rep != hub").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", F.col("rep").alias("id"), F.coalesce("component", "rep").alias("component"))
     split = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    open_ = saved(rest.join(split, "key").select("key", "id", "component"), "open")
+    open_ = work.saved(rest.join(split, "key").select("key", "id", "component"), "open")
     if open_.isEmpty():
         return _result(sig, classes, found)
     needed = open_.select("id").distinct()
-    known = saved(named.join(needed, "id", "left_semi").join(sets, "id"), "known")
+    known = work.saved(named.join(needed, "id", "left_semi").join(sets, "id"), "known")
     # Blocks of about so many members and bytes; a bucket has as many blocks as it needs.
     cells = open_.join(known.select("id", "n"), "id").groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(8 * F.sum("n") / BLOCK_BYTES)).cast("int").alias("cells"))
     rows = open_.join(cells, "key").join(known, "id")
     cell = F.pmod(F.xxhash64("id", "key"), F.col("cells")).cast("int")
     blocks = rows.withColumn("cell", cell).groupBy("key", "cell").agg(F.collect_list(F.struct("id", "component", "n", "sketch", "grams")).alias("list"))
-    blocks = saved(blocks, "blocks")
+    blocks = work.saved(blocks, "blocks")
     one, two = blocks.select("key", F.col("cell").alias("i"), F.col("list").alias("x")), blocks.select("key", F.col("cell").alias("j"), F.col("list").alias("y"))
     cross = one.join(two, "key").where("i <= j").select("x", "y")
     with batch_rows(docs.sparkSession, 8):
-        more = saved(_across(cross, least), "more_links")
+        more = work.saved(_across(cross, least), "more_links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
     return _result(sig, classes, found)
@@ -301,13 +311,27 @@ def _result(sig: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that are kept, with the columns they came with; of repeated ids the kept rows stay once each."""
-    decided = near_duplicates(docs, doc_id=doc_id, text=text).groupBy("doc_id").agg(F.max("kept").alias("kept_"), F.count(F.lit(1)).alias("rows_"))
-    decided = saved(decided, "decided")
-    out = docs.join(decided.withColumnRenamed("doc_id", "id_"), F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("id_"))).where("kept_")
-    once, several = out.where("rows_ = 1"), out.where("rows_ > 1")
-    repeated = decided.where("rows_ > 1 and kept_").isEmpty()
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    if repeated:
-        return once.select(*columns)
-    return once.select(*columns).unionByName(several.dropDuplicates(["id_"]).select(*columns))
+    """The documents that are kept, with the columns they came with; of repeated ids the kept rows stay once each.
+
+    A Bloom filter of the ids that are dropped or repeated lets all others pass without a shuffle.
+    """
+    with Workspace(docs.sparkSession) as work:
+        found = work.saved(near_duplicates(docs, doc_id=doc_id, text=text).groupBy("doc_id").agg(F.max("kept").alias("kept_"), F.count(F.lit(1)).alias("rows_")), "decided")
+        odd = saved(found.where("not kept_ or rows_ > 1 or doc_id is null").withColumnRenamed("doc_id", "id_"), "odd")
+    words = docs.sparkSession.sparkContext.broadcast(bloom.build(odd, "id_"))
+    key = F.col(f"`{doc_id}`").cast("long")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], key.alias("id"), *bloom.hashes(key))
+
+    def side(want: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                may = bloom.maybe(words.value, batch) | batch["id"].is_null().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(may == want)).select([*names, "id"])
+
+        return source.mapInArrow(run, source.select(*names, "id").schema)
+
+    met = side(True).join(odd, F.col("id").eqNullSafe(F.col("id_")), "left").where("coalesce(kept_, true)")
+    several = met.where("rows_ > 1").dropDuplicates(["id"])
+    kept = side(False).select(*names).unionByName(met.where("coalesce(rows_, 1) = 1").select(*names)).unionByName(several.select(*names))
+    return kept.toDF(*docs.columns)

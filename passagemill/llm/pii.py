@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import saved
+from .components import Workspace, saved
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. Possessive repeats match the same strings and need no stack; a match that doesn't
@@ -115,15 +115,15 @@ def _occurrences(rows: DataFrame) -> DataFrame:
     return each.select("doc_id", "h", kind.alias("kind"), "start", "end", F.lower("value").alias("value"), context.alias("context"), "seed").where("kind is not null")
 
 
-def patterns(occurrences: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
+def patterns(occurrences: DataFrame, work: Workspace, *, rounds: int = ROUNDS) -> DataFrame:
     """(kind, context, confidence) of the patterns that are believed after so many rounds."""
     graph = occurrences.where("context is not null").groupBy("kind", "context", "value").agg(F.max(F.col("seed").cast("int")).alias("seed"), F.count_distinct("h").alias("documents"))
-    graph = saved(graph, "graph")
+    graph = work.saved(graph, "graph")
     belief = graph.withColumn("belief", F.col("seed").cast("double"))
     for turn in range(rounds):
         scored = belief.groupBy("kind", "context").agg(F.count(F.lit(1)).alias("instances"), F.sum("belief").alias("believed"), F.sum("documents").alias("documents"))
         scored = scored.withColumn("confidence", F.col("believed") / F.col("instances")).where((F.col("believed") >= MIN_INSTANCES) & (F.col("documents") >= MIN_DOCUMENTS) & (F.col("confidence") >= MIN_CONFIDENCE))
-        scored = saved(scored.select("kind", "context", "confidence"), "patterns")
+        scored = work.saved(scored.select("kind", "context", "confidence"), "patterns")
         if turn + 1 < rounds:
             doubt = graph.join(scored, ["kind", "context"]).groupBy("kind", "value").agg(F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))))).alias("doubt"))
             belief = graph.join(doubt, ["kind", "value"], "left").withColumn("belief", F.when(F.col("seed") == 1, 1.0).otherwise(1 - F.coalesce("doubt", F.lit(1.0))))
@@ -137,10 +137,14 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def discovered(rows: DataFrame) -> DataFrame:
     """(id, h, more): of each text with further identifiers, their spans."""
-    found = saved(_occurrences(rows), "occurrences")
-    good = patterns(found)
+    with Workspace(rows.sparkSession) as work:
+        found = work.saved(_occurrences(rows), "occurrences")
+        return saved(_spans_of(found, patterns(found, work)), "extra")
+
+
+def _spans_of(found: DataFrame, good: DataFrame) -> DataFrame:
     extra = found.where("not seed").join(good, ["kind", "context"]).select("doc_id", "h", F.struct("kind", "start", "end").alias("s")).distinct()
-    return saved(extra.groupBy(F.col("doc_id").alias("id"), F.col("h").alias("key")).agg(F.collect_set("s").alias("more")), "extra")
+    return extra.groupBy(F.col("doc_id").alias("id"), F.col("h").alias("key")).agg(F.collect_set("s").alias("more"))
 
 
 def _with_spans(rows: DataFrame, carried: list[str]) -> DataFrame:
