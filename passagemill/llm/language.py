@@ -144,5 +144,5 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: list[st
 
 
 def held_out(key) -> F.Column:
-    """Whether a row is of the quarter that no model learns from."""
-    return F.crc32(key.cast("string").cast("binary")) % 4 == 2
+    """Whether a row is of the quarter that no model learns from; a null key is not."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
