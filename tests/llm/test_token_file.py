@@ -40,10 +40,11 @@ def test_damage_is_found():
 
 CODER = tf.Encoder(PATH)
 PLAIN = Tokenizer.from_file(PATH)
+PLAIN.encode_special_tokens = True
 
 
 @settings(max_examples=500, deadline=None)
-@given(st.lists(st.text(alphabet="ab1.'sé😀" + SPACES, max_size=14), min_size=1, max_size=5))
+@given(st.lists(st.text(alphabet="ab1.'sé😀" + SPACES, max_size=14) | st.sampled_from(["<|endoftext|>", "a <|endoftext|>b", "Ġa Ġ", "\u2581 x"]), min_size=1, max_size=5))
 def test_pieces_are_encoded_as_whole_texts_are(texts):
     ids, lengths = CODER.encode(pa.array(texts))
     ends = np.cumsum(lengths)
