@@ -19,7 +19,7 @@ def quoted(x) -> str:
         return str(x).lower()
     if isinstance(x, str):
         return "'" + x.replace("'", "''") + "'"
-    return str(x)
+    return f"{x}::BIGINT" if isinstance(x, int) else str(x)
 
 
 def values(rows, columns: str) -> str:
@@ -122,7 +122,7 @@ words AS (SELECT doc_id, string_split({norm('text')}, ' ') AS w, CASE WHEN {tech
 sums AS (SELECT doc_id, any_value(w) AS w, any_value(size) AS size, any_value(share) AS share, list(c ORDER BY i) AS c FROM (
   SELECT doc_id, w, size, share, i, sum(length(w[i]) + CASE WHEN i > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM words)) GROUP BY doc_id),
 win AS (
-  SELECT doc_id, 1 AS k, CAST(1 AS BIGINT) AS lo, CAST(len(list_filter(c, lambda x: x <= size)) AS BIGINT) AS hi FROM sums
+  SELECT doc_id, CAST(1 AS BIGINT) AS k, CAST(1 AS BIGINT) AS lo, CAST(len(list_filter(c, lambda x: x <= size)) AS BIGINT) AS hi FROM sums
   UNION ALL
   SELECT doc_id, k + 1, lo2, CAST(len(list_filter(c, lambda x: x - CASE WHEN lo2 = 1 THEN 0 ELSE c[lo2 - 1] END <= size)) AS BIGINT)
   FROM (SELECT win.doc_id, k, c, size, CAST(least(hi + 1, 1 + len(list_filter(list_prepend(0, c[1:hi]), lambda x: x < greatest(c[hi] - share, c[hi + 1] - size)))) AS BIGINT) AS lo2
