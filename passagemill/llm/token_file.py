@@ -43,13 +43,64 @@ _FULL = np.iinfo(np.uint64).max
 _STRETCH = np.log((np.arange(4096) + 0.5) / (4096 - np.arange(4096) - 0.5)).astype(np.float32)
 _SQUASH = np.clip(((1 << 15) / (1 + np.exp(-(np.arange(4096) - 2048) / 170.0))).astype(np.int64), 32, (1 << 15) - 32)
 _GRID, _LEARN = np.float32(170), np.float32(0.02)
-#: Distributions over 16 symbols in 2**-14: each update moves a 32nd of the way to the symbol's target; all keep a share.
+#: Distributions over 16 symbols as upper ends in 2**-14, of which each symbol keeps a share: an update moves a 32nd of
+#: the way to the symbol's target.
 _CDF_BITS = 14
-_TARGET = np.where(np.arange(17) > np.arange(16)[:, None], (1 << _CDF_BITS) - 16 + np.arange(17), np.arange(17)).astype(np.int16)
-_EVEN = (np.arange(17) * ((1 << _CDF_BITS) // 16)).astype(np.int16)
+_EVEN = ((np.arange(16) + 1) << _CDF_BITS - 4).astype(np.int16)
+_TARGET = np.where(np.arange(16) >= np.arange(16)[:, None], (1 << _CDF_BITS) - 15 + np.arange(16), np.arange(16) + 1).astype(np.int16)
+_ONES = np.ones(16, np.float32)
 #: The flag and the magnitude share one interval of 2**30.
 _JOINT = np.uint64(30)
-_FRESH, _WEAK = 0x5000, 0x3000
+_FRESH, _WEAK = np.uint32(0x5000), np.uint32(0x3000)
+_U16, _LOW16 = np.uint32(16), np.uint32(0xFFFF)
+
+
+def _literals() -> tuple[np.ndarray, np.ndarray]:
+    """How an id is spelt out: its magnitude, up to four bits below the highest one, the number of further bits and
+    those bits; packed by id. And the least id of each magnitude and leading bits."""
+    ids = np.arange(1 << 16)
+    size = np.maximum(np.frexp(ids.astype(np.float64))[1], 1) - 1
+    below = np.maximum(size, 1)  # id 0 and 1 share a magnitude and need one bit
+    rest = ids & ((1 << below) - 1)
+    few = np.maximum(below - 4, 0)
+    lead = np.where(below >= 4, rest >> few, rest << np.maximum(4 - below, 0))
+    least = np.zeros(256, np.int64)
+    np.maximum.at(least, size * 16 + lead, ids >> few << few)
+    return (size << 24 | lead << 20 | few << 16 | rest & ((1 << few) - 1)).astype(np.uint32), least
+
+
+_SPELT, _LEAST = _literals()
+_FEW = np.maximum(np.maximum(np.arange(16), 1) - 4, 0)
+
+
+class _Cdf:
+    """Rows of distributions; a row is one item of 32 bytes, so that rows move at once."""
+
+    def __init__(self, rows: int) -> None:
+        self.table = np.tile(_EVEN, (rows, 1))
+        self.items = self.table.view("V32").reshape(-1)
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        return self.table.take(at, axis=0)
+
+    @staticmethod
+    def interval(rows: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width."""
+        flat, at = rows.reshape(-1), np.arange(0, 16 * len(symbol), 16) + symbol
+        start = np.where(symbol > 0, flat.take(at - 1, mode="clip"), 0).astype(np.int64)
+        return start, flat.take(at) - start
+
+    @staticmethod
+    def symbol(rows: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The symbol in whose interval the value lies."""
+        return ((rows <= value.astype(np.int16)[:, None]).astype(np.float32) @ _ONES).astype(np.int64)
+
+    def learn(self, at: np.ndarray, rows: np.ndarray, symbol: np.ndarray) -> None:
+        new = _TARGET.take(symbol, axis=0)
+        new -= rows
+        new >>= 5
+        new += rows
+        self.items[at] = new.view("V32").reshape(-1)
 
 
 class _Model:
@@ -61,62 +112,45 @@ class _Model:
         self.slots = [np.zeros(lanes * _TABLE, np.uint32) for _ in range(2)]
         self.common = np.full(lanes, 1 << 14, np.int32)
         self.weights = [np.full(lanes, w, np.float32) for w in (0.6, 0.3, 0.2)]
-        self.size, self.lead = np.tile(_EVEN, (lanes, 1)), np.tile(_EVEN, (lanes * 16, 1))
-        self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.size, self.lead = _Cdf(lanes), _Cdf(lanes * 16)
+        self.one, self.two = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """For the first n lanes the predicted id, and the chance of it in 2**-15."""
-        one, two, base = self.one[:n], self.two[:n], self.base[:n]
-        self.at = base + ((one * 48271 + two * 69621 >> 5) & (_TABLE - 1)), base + ((one * 40503 >> 4) & (_TABLE - 1))
-        a, b = self.slots[0][self.at[0]], self.slots[1][self.at[1]]
-        self.said = (a >> 16).astype(np.int64), (b >> 16).astype(np.int64)
-        self.trust = (a & 0xFFFF).astype(np.int32), (b & 0xFFFF).astype(np.int32)
-        first = self.trust[0] > 0
-        guess = np.where(first, self.said[0], self.said[1])
-        self.inputs = [_STRETCH[self.trust[0] >> 4], _STRETCH[self.trust[1] >> 4] * (self.said[1] == guess), _STRETCH[self.common[:n] >> 4]]
+        base, near = self.base[:n], self.one[:n] * np.uint32(2654435761)
+        far = near + self.two[:n] * np.uint32(2246822519)
+        self.at = base + (far >> np.uint32(20)), base + (near >> np.uint32(20))
+        a, b = self.slots[0].take(self.at[0]), self.slots[1].take(self.at[1])
+        self.said = a >> _U16, b >> _U16
+        self.trust = a & _LOW16, b & _LOW16
+        guess = np.where(self.trust[0] > 0, self.said[0], self.said[1])
+        self.inputs = [_STRETCH.take(self.trust[0] >> 4), _STRETCH.take(self.trust[1] >> 4) * (self.said[1] == guess), _STRETCH.take(self.common[:n] >> 4)]
         w = self.weights
-        dot = self.inputs[0] * w[0][:n] + self.inputs[1] * w[1][:n] + self.inputs[2] * w[2][:n]
-        self.p = _SQUASH[np.clip((dot * _GRID).astype(np.int64) + 2048, 0, 4095)]
+        dot = self.inputs[0] * w[0][:n]
+        dot += self.inputs[1] * w[1][:n]
+        dot += self.inputs[2] * w[2][:n]
+        dot *= _GRID
+        self.p = _SQUASH.take(np.minimum(np.maximum(dot.astype(np.int32) + 2048, 0), 4095))
         return guess, self.p
 
     def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
         n = len(ids)
-        error = (hit.astype(np.float32) - self.p.astype(np.float32) * np.float32(2**-15)) * _LEARN
+        error = hit - self.p.astype(np.float32) * np.float32(2**-15)
+        error *= _LEARN
         for w, x in zip(self.weights, self.inputs):
             w[:n] += error * x
         common = self.common[:n]
-        common += (np.where(hit, 65535, 0).astype(np.int32) - common) >> 5
-        for k in (0, 1):
-            said, trust = self.said[k], self.trust[k]
+        common += (hit * np.int32(65535) - common) >> 5
+        for said, trust, at, slots in zip(self.said, self.trust, self.at, self.slots):
             right = said == ids
-            down = trust - (trust >> 2)
-            keep = right | (down >= _WEAK)
-            new = np.where(right, trust + ((65535 - trust) >> 3), down)
-            self.slots[k][self.at[k]] = (np.where(keep, said, ids) << 16 | np.where(keep, new, _FRESH)).astype(np.uint32)
+            down = trust - (trust >> np.uint32(2))
+            weak = (down < _WEAK) & ~right
+            new = np.where(right, trust + ((_LOW16 - trust) >> np.uint32(3)), down)
+            slots[at] = np.where(weak, ids << _U16 | _FRESH, said << _U16 | new)
         self.two[:n] = self.one[:n]
         self.one[:n] = ids
 
 
-def _shift(table: np.ndarray, rows: np.ndarray, cdf: np.ndarray, symbol: np.ndarray) -> None:
-    table[rows] = cdf + ((_TARGET[symbol] - cdf) >> 5)
-
-
-def _parts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Magnitude, up to four bits below the highest one, number of further bits, those bits."""
-    size = np.maximum(np.frexp(ids.astype(np.float64))[1], 1).astype(np.int64) - 1
-    below = np.maximum(size, 1)  # id 0 and 1 share a magnitude and need one bit
-    rest = ids & ((np.int64(1) << below) - 1)
-    few = np.maximum(below - 4, 0)
-    lead = np.where(below >= 4, rest >> few, rest << np.maximum(4 - below, 0))
-    return size, lead, few, rest & ((np.int64(1) << few) - 1)
-
-
-def _joined(size: np.ndarray, lead: np.ndarray, few: np.ndarray, tail: np.ndarray) -> np.ndarray:
-    below = np.maximum(size, 1)
-    rest = np.where(below >= 4, (lead << few) | tail, lead >> np.maximum(4 - below, 0))
-    return np.where(size == 0, rest, (np.int64(1) << size) | rest)
-
-
 class _Writer:
     """Range coders side by side: 64-bit low and range, words of 32 bits, carries go into words already out."""
 
@@ -187,29 +221,30 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     model, out = _Model(blocks), _Writer(blocks, 2 * len(grid) + 4)
     for t, row in enumerate(grid):
         n = blocks if t < last else blocks - 1
-        now = row[:n].astype(np.int64)
+        now = row[:n].astype(np.uint32)
         guess, p = model.predict(n)
         hit = guess == now
-        edge = p << 15
-        start, width = np.where(hit, 0, edge), edge.copy()
+        width = p << 15
+        start = np.where(hit, 0, width)
         miss = np.flatnonzero(~hit)
         if len(miss):
-            size, lead, few, tail = _parts(now[miss])
-            rows = np.arange(len(miss))
-            cdf = model.size[miss]
-            low = cdf[rows, size].astype(np.int64)
-            unit = ((1 << 30) - edge[miss]) >> _CDF_BITS
-            start[miss] += unit * low
-            width[miss] = unit * (cdf[rows, size + 1] - low)
-            _shift(model.size, miss, cdf, size)
+            spelt = _SPELT.take(now.take(miss))
+            size, lead = (spelt >> 24).astype(np.int64), (spelt >> 20 & 15).astype(np.int64)
+            rows = model.size.rows(miss)
+            low, wide = _Cdf.interval(rows, size)
+            edge = width.take(miss)
+            unit = ((1 << 30) - edge) >> _CDF_BITS
+            start[miss] = edge + unit * low
+            width[miss] = unit * wide
+            model.size.learn(miss, rows, size)
         out.put(slice(0, n), start, width, _JOINT)
         if len(miss):
             at = miss * 16 + size
-            cdf = model.lead[at]
-            low = cdf[rows, lead].astype(np.int64)
-            wide = cdf[rows, lead + 1] - low
-            out.put(miss, (low << few) + tail * wide, wide, (few + _CDF_BITS).astype(np.uint64))
-            _shift(model.lead, at, cdf, lead)
+            rows = model.lead.rows(at)
+            low, wide = _Cdf.interval(rows, lead)
+            few = (spelt >> 16 & 15).astype(np.int64)
+            out.put(miss, (low << few) + (spelt & _LOW16) * wide, wide, (few + _CDF_BITS).astype(np.uint64))
+            model.lead.learn(at, rows, lead)
         model.learn(now, hit)
     return out.end()
 
@@ -225,39 +260,37 @@ def decode_blocks(words: np.ndarray, starts: np.ndarray, n_ids: int) -> np.ndarr
     for t, row in enumerate(grid):
         n = blocks if t < last else blocks - 1
         all_ = slice(0, n)
-        guess, p = model.predict(n)
+        now, p = model.predict(n)
         edge = (p << 15).astype(np.uint64)
         r = source.range[all_] >> _JOINT
         code, bound = source.code[all_], r * edge
         hit = code < bound
         left, wide = np.where(hit, code, code - bound), bound
         miss = np.flatnonzero(~hit)
-        now = guess
         if len(miss):
-            cdf = model.size[miss]
-            unit = r[miss] * ((np.uint64(1 << 30) - edge[miss]) >> np.uint64(_CDF_BITS))
-            value = np.minimum(left[miss] // unit, np.uint64((1 << _CDF_BITS) - 1)).astype(np.int16)
-            size = (cdf[:, 1:16] <= value[:, None]).sum(axis=1)
-            rows = np.arange(len(miss))
-            low = cdf[rows, size].astype(np.uint64)
-            left[miss] -= unit * low
-            wide[miss] = unit * (cdf[rows, size + 1].astype(np.uint64) - low)
-            _shift(model.size, miss, cdf, size)
+            rows = model.size.rows(miss)
+            unit = r.take(miss) * ((np.uint64(1 << 30) - edge.take(miss)) >> np.uint64(_CDF_BITS))
+            rest = left.take(miss)
+            size = _Cdf.symbol(rows, np.minimum(rest // unit, np.uint64((1 << _CDF_BITS) - 1)))
+            low, width = _Cdf.interval(rows, size)
+            left[miss] = rest - unit * low.astype(np.uint64)
+            wide[miss] = unit * width.astype(np.uint64)
+            model.size.learn(miss, rows, size)
         source.took(all_, left, wide)
         if len(miss):
             at = miss * 16 + size
-            cdf = model.lead[at]
-            few = np.maximum(np.maximum(size, 1) - 4, 0)
+            rows = model.lead.rows(at)
+            few = _FEW.take(size)
             bits = (few + _CDF_BITS).astype(np.uint64)
-            r, code = source.range[miss] >> bits, source.code[miss]
+            r, code = source.range.take(miss) >> bits, source.code.take(miss)
             value = np.minimum(code // r, (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
-            lead = (cdf[:, 1:16] <= (value >> few).astype(np.int16)[:, None]).sum(axis=1)
-            low = cdf[rows, lead].astype(np.int64)
-            wide = cdf[rows, lead + 1] - low
-            tail = (value - (low << few)) // wide
-            _shift(model.lead, at, cdf, lead)
-            source.took(miss, code - r * ((low << few) + tail * wide).astype(np.uint64), r * wide.astype(np.uint64))
-            now[miss] = _joined(size, lead, few, tail)
+            lead = _Cdf.symbol(rows, value >> few)
+            low, width = _Cdf.interval(rows, lead)
+            low <<= few
+            tail = (value - low) // width
+            model.lead.learn(at, rows, lead)
+            source.took(miss, code - r * (low + tail * width).astype(np.uint64), r * width.astype(np.uint64))
+            now[miss] = (_LEAST.take(size * 16 + lead) + tail).astype(np.uint32)
         model.learn(now, hit)
         row[:n] = now
     return grid.T.reshape(-1)[:n_ids]
