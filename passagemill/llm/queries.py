@@ -136,7 +136,7 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 OP6 = r"""
 WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
 t AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(body, '</?(?:p|h1)>', chr(1), 'g'), '<br>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM a),
-u AS (SELECT page_id, url, replace(replace(replace(replace(t, '&quot;', '"'), '&middot;', chr(183)), '&copy;', chr(169)), '&amp;', '&') AS t FROM t),
+u AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&middot;?', chr(183), 'g'), '&copy;?', chr(169), 'g'), '&amp;?', '&', 'g') AS t FROM t),
 b AS (SELECT page_id, url, array_to_string(list_filter(list_transform(string_split(t, chr(1)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM u)
 SELECT page_id, url, text, length(text) AS n_chars FROM b
 """
