@@ -273,6 +273,16 @@ def test_live_pages_obey_robots_files(spark, config):
     assert engine.store.rows().first()["source"] == "https://a.org/yes"
 
 
+def test_diagrams_as_json(spark):
+    from passagemill.operators import diagram
+    from passagemill.plans.queries import _geometry
+
+    got = {r["page_key"]: r["diagram"] for r in diagram.diagram_json(*_geometry(spark)).collect()}
+    assert set(got) == {1, 2, 4} and got[4]["edges"] == [] and got[4]["title"] == ""
+    assert got[1]["title"] == "Order model" and [n["id"] for n in got[1]["nodes"]] == ["so_mstr", "sod_det", "pt_mstr"]
+    assert [tuple(e) for e in got[1]["edges"]] == [("so_mstr", "sod_det", "1:n"), ("sod_det", "pt_mstr", None)]
+
+
 def test_retries_and_replies(spark):
     config, slept = GeneratorConfig(), []
     replies = iter([generate.Reply(503, ""), OSError("gone"), generate.Reply(429, ""), generate.Reply(200, "ok")])
