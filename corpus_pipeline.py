@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.llm import decontam, language, near_dup, pii, sentencepiece_codec
-from passagemill.llm.components import saved
+from passagemill.llm.components import saved, text_batches
 from passagemill.llm.queries import vocabulary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in no language that the labels teach go."""
+    text_batches(spark)
     model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
     said = language.identify(docs, model, labels=("lang_said", "lang_score"))
     return said.where(F.col("lang_said") != language.UNDETERMINED).select(*docs.columns)
@@ -23,21 +24,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    text_batches(spark)
     return near_dup.deduplicated(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated by the benchmark go."""
+    text_batches(spark)
     return decontam.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), how="documents")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind."""
+    text_batches(spark)
     return pii.redact(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The piece ids of each document."""
+    text_batches(spark)
     return sentencepiece_codec.encode(docs, vocabulary("piece_bpe_32k.model"), keep=["doc_id", "lang", "source"])
 
 

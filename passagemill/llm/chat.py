@@ -125,7 +125,7 @@ def format_chat(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn
                 part, held = 0, rows.slice(int(ends[-1]))
             else:
                 held = rows
-            if held.nbytes > 2 * co.SLICE_BYTES and held.num_rows > 1:  # all but the last row, so that a last part has rows
+            if held.nbytes > 4 * co.SLICE_BYTES and held.num_rows > 1:  # all but the last row, so that a last part has rows
                 yield made(held.slice(0, held.num_rows - 1), np.array([held.num_rows - 1]), part, False)
                 part, held = part + 1, held.slice(held.num_rows - 1)
         if held is not None:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def filled(column: pa.Array) -> pa.Array:
@@ -131,7 +131,7 @@ class PieceCache:
     cache starts anew, which costs time and changes no result.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], limit: int = 400_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], limit: int = 300_000) -> None:
         self.encode, self.limit = encode, limit
         self._clear()
 

@@ -61,6 +61,18 @@ class Workspace:
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows that go to Python at once, where rows are whole texts.
+TEXT_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """From now on this session sends no more than TEXT_ROWS rows to Python at once: a batch is held several times over
+    on both sides, and rows here are whole texts. Queries do this, as plans take the setting when they run."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "0")) <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 @contextlib.contextmanager
 def batch_rows(spark: SparkSession, rows: int):
     """What runs inside sends so many rows to Python at once: for rows that hold lists."""

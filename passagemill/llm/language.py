@@ -10,7 +10,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,30 +28,45 @@ UNDETERMINED = "und"
 _RUN = re.compile(r"[^\W\d_]+")
 
 
+@dataclass
+class Table:
+    """Log probabilities by language (columns) of strings (rows)."""
+
+    place: dict[str, int]
+    scores: np.ndarray
+
+    @classmethod
+    def of(cls, counts: dict[str, np.ndarray], width: int) -> Table:
+        """With add-a-half smoothing."""
+        matrix = np.array(list(counts.values())).reshape(len(counts), width) + 0.5
+        return cls({k: i for i, k in enumerate(counts)}, (np.log(matrix) - np.log(matrix.sum(axis=0))).astype(np.float32))
+
+    def rows(self, strings: list[str]) -> list[int]:
+        return [k for x in strings if (k := self.place.get(x)) is not None]
+
+
 @dataclass
 class Model:
-    """Log probabilities by language of known words, and of n-grams for each n."""
+    """Known words, and n-grams for each n."""
 
     languages: list[str]
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: dict[int, dict[str, np.ndarray]] = field(default_factory=dict)
+    words: Table
+    grams: dict[int, Table]
 
     def word(self, word: str) -> np.ndarray | None:
         """Scores of a word; None if no n-gram of it, down to one letter, was ever seen."""
-        if (known := self.words.get(word)) is not None:
-            return known
+        if found := self.words.rows([word]):
+            return self.words.scores[found[0]]
         padded = f" {word} "
         for n in range(LONGEST_GRAM, 0, -1):
-            table = self.grams.get(n, {})
             cells = padded if n > 1 else word
-            found = [s for i in range(len(cells) - n + 1) if (s := table.get(cells[i : i + n])) is not None]
-            if found:
-                return np.sum(found, axis=0) / n  # neighbouring n-grams share letters
+            if found := self.grams[n].rows([cells[i : i + n] for i in range(len(cells) - n + 1)]):
+                return self.grams[n].scores[found].sum(axis=0) / n  # neighbouring n-grams share letters
         return None
 
 
 def fit(counts: list[tuple[str, str, int]], languages: list[str]) -> Model:
-    """A model of (language, word, count) rows, with add-a-half smoothing."""
+    """A model of (language, word, count) rows."""
     place = {x: i for i, x in enumerate(languages)}
     by_word: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
     by_gram: dict[int, dict[str, np.ndarray]] = {n: defaultdict(lambda: np.zeros(len(languages))) for n in range(1, LONGEST_GRAM + 1)}
@@ -62,13 +77,7 @@ def fit(counts: list[tuple[str, str, int]], languages: list[str]) -> Model:
             cells = f" {word} " if n > 1 else word
             for gram, times in Counter(cells[i : i + n] for i in range(len(cells) - n + 1)).items():
                 table[gram][place[language]] += weight * times
-
-    def logs(table: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        totals = np.sum(list(table.values()), axis=0) if table else 0
-        smooth = 0.5
-        return {k: np.log(v + smooth) - np.log(totals + smooth * len(table)) for k, v in table.items()}
-
-    return Model(languages, logs(by_word), {n: logs(t) for n, t in by_gram.items()})
+    return Model(languages, Table.of(by_word, len(languages)), {n: Table.of(t, len(languages)) for n, t in by_gram.items()})
 
 
 def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, words: int = WORDS_PER_LANGUAGE) -> Model:
@@ -89,11 +98,11 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: s
     return fit(sorted(counts), sorted({c[0] for c in counts}))
 
 
-def _scores(batches: Iterator[pa.RecordBatch], model: Model, text: str, limit: int = 300_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _scores(batches: Iterator[pa.RecordBatch], model: Model, text: str, limit: int = 150_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """For each slice the summed scores by text and language, and whether a text has a letter."""
     width = len(model.languages)
     kept: dict[str, int] = {}
-    table = np.zeros((1 << 12, width + 1))
+    table = np.zeros((1 << 12, width + 1), np.float32)
     for batch in co.slices(batches, text):
         pieces, offsets = co.space_pieces(co.filled(batch[text]))
         coded = pieces.dictionary_encode()
@@ -115,7 +124,7 @@ def _scores(batches: Iterator[pa.RecordBatch], model: Model, text: str, limit: i
                         table[k, :width] += s
             places.append(k)
         rows = table[np.asarray(places, np.int64)[coded.indices.to_numpy(zero_copy_only=False)]]
-        total = np.add.reduceat(rows, offsets[:-1], axis=0)  # every text has a piece, the empty one too
+        total = np.add.reduceat(rows, offsets[:-1], axis=0, dtype=np.float64)  # every text has a piece, the empty one too
         yield batch, total[:, :width], total[:, width] > 0.5
 
 
@@ -124,8 +133,9 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: list[st
     shared = docs.sparkSession.sparkContext.broadcast(model)
     carried = docs.columns if keep is None else list(dict.fromkeys(keep))
     names = [f"c{i}" for i in range(len(carried))]
-    body = "body"
-    source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carried, names)], F.col(f"`{text}`").alias(body))
+    pairs = list(zip(carried, names))
+    body = dict(pairs).get(text, "body")  # a carried text goes to Python once
+    source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in pairs + [(text, "body")] * (body == "body")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -136,7 +146,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: list[st
                 share = 1 / np.exp(np.maximum(scores - scores.max(axis=1, keepdims=True), -700)).sum(axis=1)
             said = [known.languages[b] if ok and width else UNDETERMINED for b, ok in zip(best if width else lettered, lettered)]
             score = np.where(lettered, share, 0.0) if width else np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(said, pa.string()), pa.array(score, pa.float64())], [*names, "p", "s"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(said, pa.string()), pa.array(score, pa.float64())], [*names, "p", "s"])
 
     schema = ", ".join([*(f"{n} {source.schema[n].dataType.simpleString()}" for n in names), "p string, s double"])
     out = source.mapInArrow(run, schema)

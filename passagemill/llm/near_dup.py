@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from . import columnar as co
-from .components import Workspace, batch_rows, components, saved
+from .components import TEXT_ROWS, Workspace, batch_rows, components, saved
 
 SHINGLE, SIMILARITY = 5, (75, 100)
 REGISTERS, BAND = 128, 4
 BASE, RATE = 1.001, 20.0
 #: Estimates below the threshold by this much (4.5 standard deviations) are not looked at.
 MARGIN = 4.5 * (0.75 * 0.25 / REGISTERS) ** 0.5
-BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
+BLOCK_ROWS, BLOCK_BYTES = 512, 2 << 20
 
 _WORD = np.ones(256, bool)
 _WORD[[32, *range(9, 14)]] = False
@@ -258,7 +258,7 @@ def _across(blocks: DataFrame, least: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``."""
-    with Workspace(docs.sparkSession) as work:
+    with Workspace(docs.sparkSession) as work, batch_rows(docs.sparkSession, TEXT_ROWS):
         return saved(_decided(docs, doc_id, text, work), "near-duplicates")
 
 
@@ -296,7 +296,7 @@ def _decided(docs: DataFrame, doc_id: str, text: str, work: Workspace) -> DataFr
     blocks = work.saved(blocks, "blocks")
     one, two = blocks.select("key", F.col("cell").alias("i"), F.col("list").alias("x")), blocks.select("key", F.col("cell").alias("j"), F.col("list").alias("y"))
     cross = one.join(two, "key").where("i <= j").select("x", "y")
-    with batch_rows(docs.sparkSession, 8):
+    with batch_rows(docs.sparkSession, 4):
         more = work.saved(_across(cross, least), "more_links")
     if not more.isEmpty():
         found = components(links.unionByName(more))

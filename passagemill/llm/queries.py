@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, decontam, html_text, language, near_dup, pii, sentencepiece_codec, token_file, url_filter
-from .components import scratch
+from .components import scratch, text_batches
 
 
 def vocabulary(name: str) -> str:
@@ -17,6 +17,7 @@ def vocabulary(name: str) -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
