@@ -32,24 +32,41 @@ def corpus(sizes: DataFrame) -> DataFrame:
     return sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avglen"))
 
 
+def _raw(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """(term, df, raw): idf before the floor."""
+    return df.crossJoin(F.broadcast(totals.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+
+
+def _floored(raw: DataFrame, mean: DataFrame) -> DataFrame:
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+
 def idf(posted: DataFrame, totals: DataFrame) -> DataFrame:
     """(term, df, idf); a negative idf is EPSILON times the mean over all terms, as it was before."""
-    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.crossJoin(F.broadcast(totals.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    raw = _raw(posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")), totals)
+    return _floored(raw, raw.agg(F.avg("raw").alias("mean")))
 
 
 def scores(queries: DataFrame, docs: DataFrame, *, query_key: str = "query_id", query_text: str = "text", key: str = "id", text: str = "text", index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query, key, score) of every document that shares a term with the query. ``index``: (postings, lengths) as saved."""
-    posted, sizes = index or (postings(docs, key, text), lengths(docs, key, text))
-    totals = corpus(sizes)
     asked = _terms(queries.select(F.col(query_key), F.col(query_text)), query_key, query_text).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("times"))
-    weights = idf(posted, totals)
-    wanted = asked.join(weights, "term")
-    if queries.count() * 64 <= BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
-    hits = posted.join(wanted, "term").join(sizes, key).crossJoin(F.broadcast(totals))
+    few = queries.count() * 64 <= BROADCAST_TERMS
+    small = F.broadcast if few else lambda rows: rows
+    if index is not None:
+        posted, sizes = index
+        totals = corpus(sizes)
+        weights = idf(posted, totals)
+        matched = posted.join(sizes, key)
+    else:
+        # Only tokens that some query has are grouped; every document's length goes with its tokens.
+        tokens = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), _SPLIT), lambda t: t != "")
+        rows = docs.select(F.col(key), tokens.alias("w")).select(key, "w", F.size("w").cast("long").alias("len"))
+        totals = corpus(rows)
+        each = rows.select(key, "len", F.explode("w").alias("term"))
+        matched = each.join(small(asked.select("term").distinct()), "term", "left_semi").groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+        every = _raw(each.select(key, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df")), totals)
+        weights = _floored(_raw(matched.groupBy("term").agg(F.count(F.lit(1)).alias("df")), totals), every.agg(F.avg("raw").alias("mean")))
+    hits = matched.join(small(asked.join(weights, "term")), "term").crossJoin(F.broadcast(totals))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avglen")))
     return hits.groupBy(query_key, key).agg(F.sum(part).alias("score"))
 

@@ -177,6 +177,14 @@ def test_hybrid_filters_before_dense_and_after_sparse(spark):
     assert contexts[2] == prompt.NOTHING and contexts[1].startswith("--- DOCUMENT CHUNK 1 ---\nSOURCE: ? (Page ?)\nCATEGORY: api / text\n")
 
 
+def test_a_saved_index_scores_alike(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 7}" for j in range(i % 5 + 1))) for i in range(40)] + [(99, None), (100, "  ")], "id long, text string")
+    asked = spark.createDataFrame([(1, "w0 w0 w3"), (2, "w9"), (3, None)], "query_id long, text string")
+    index = sparse.postings(docs), sparse.lengths(docs)
+    a, b = (sorted((r[0], r[1], round(r[2], 9)) for r in sparse.scores(asked, docs, index=i).collect()) for i in (None, index))
+    assert a == b and {q for q, _, _ in a} == {1}
+
+
 def test_prompts_keep_what_looks_like_a_placeholder(spark):
     row = spark.createDataFrame([("{context} $1 \\", "ba", "{query}")], "q string, r string, c string")
     said = row.select(prompt.user_prompt(F.col("q"), F.col("r"), F.col("c"))).first()[0]
