@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -258,8 +262,18 @@ def interleave_complete(spark, sf):
     return _positions(rank.interleaved(_ranked(spark, sf), complete=True))
 
 
+def _stored(rows: DataFrame) -> DataFrame:
+    """The rows as a table in the session's checkpoint folder, as a store would hold them: what follows reads them several
+    times, and only the columns it needs."""
+    spark = rows.sparkSession
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    path = f"{(named or os.path.join(tempfile.gettempdir(), 'passagemill-checkpoints')).rstrip('/')}/passages-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def _hybrid(spark, sf) -> DataFrame:
-    found = retrieve.hybrid(fixtures.questions(spark, sf), _passages(spark, sf))
+    found = retrieve.hybrid(fixtures.questions(spark, sf), _stored(_passages(spark, sf)))
     return found.withColumn("pos", F.col("pos").cast("long"))
 
 
