@@ -5,8 +5,10 @@ vectors; a vector's bucket is its nearest signed axis. Queries probe the nearest
 Candidates are scored exactly in double precision inside their bucket, block against block; every block gives at most
 k rows per query, and the k best distinct ones of all tables are the result.
 
-With ``hashes`` > 1 a bucket is a tuple of signed axes of independent rotations, and probes go by the sum of what they
-give away. ``plan_hashes`` takes one up to MAX_BUCKET_ROWS expected rows in a bucket.
+A bucket is one signed axis, however many rows there are: full buckets are met block by block. With ``hashes`` > 1 a
+bucket is a tuple of signed axes of independent rotations, and probes go by the sum of what they give away. That loses
+neighbours that are not near (on random vectors of 64 dimensions, 0.985 of them are found with 10 probes of one axis,
+and 0.175 with 10 of two), so it is never taken unasked, and who asks for it says how many probes are right.
 
 Defined cases: vectors that are null, zero, empty, or hold null or non-finite components take no part; vectors of
 different lengths never meet; a query's own id is never its neighbour; ties go to the smaller id; repeated rows of an
@@ -31,7 +33,10 @@ BLOCK_ROWS = 1024
 
 
 def plan_hashes(rows: int, dim: int) -> int:
-    """Rotations to a bucket: the least number that leaves at most MAX_BUCKET_ROWS expected rows in one."""
+    """Rotations to a bucket: the least number that leaves at most MAX_BUCKET_ROWS expected rows in one.
+
+    For callers whose neighbours are near, and who choose probes with it.
+    """
     size = 2 * _padded(dim)
     return next(k for k in itertools.count(1) if rows <= MAX_BUCKET_ROWS * size**k)
 
@@ -125,13 +130,14 @@ def _blocks(hashed: DataFrame, as_id: str, as_list: str) -> DataFrame:
     return hashed.join(cells, keys).select(*keys, cell, F.struct("id", "v").alias("row")).groupBy(*keys, as_id).agg(F.collect_list("row").alias(as_list))
 
 
-def search(vectors: DataFrame, queries: DataFrame | None = None, *, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", tables: int = TABLES, probes: int = PROBES, hashes: int | None = None) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame | None = None, *, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", tables: int = TABLES, probes: int | None = None, hashes: int = 1) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row of ``queries`` (default: every vector)."""
     rows = valid_vectors(vectors, vec_id, embedding)
     asked = rows if queries is None else valid_vectors(queries, vec_id, embedding)
-    if hashes is None:
-        size = rows.agg(F.count(F.lit(1)).alias("n"), F.max("dim").alias("d")).first()
-        hashes = plan_hashes(size["n"], size["d"] or 1)
+    if probes is None:
+        if hashes > 1:
+            raise ValueError("PROBES is right for one hash; say how many probes go with more")
+        probes = PROBES
     kinds = ["<f4" if f.schema["v"].dataType.elementType.typeName() == "float" else "<f8" for f in (asked, rows)]
     with Workspace(vectors.sparkSession) as work:
         left = work.saved(_blocks(work.saved(_hashed(asked.dropDuplicates(["id"]), tables, hashes, probes), "probes"), "i", "asked"), "asked")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from passagemill.llm import ann
 
@@ -55,3 +56,27 @@ def test_tuples_of_axes_find_near_vectors():
         met |= (home == probes).any(axis=1)
     assert met.mean() > 0.97
     assert ann.plan_hashes(10_000, 64) == 1 and ann.plan_hashes(10**9, 64) == 3
+
+
+def recall(spark, path, **options):
+    table = spark.read.parquet(path)
+    rows = table.orderBy("vec_id").collect()
+    got = {}
+    for r in ann.search(table, table.where("vec_id % 50 = 0"), **options).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute([r["vec_id"] for r in rows], [r["embedding"] for r in rows], [r["vec_id"] for r in rows if r["vec_id"] % 50 == 0], 5)
+    return sum(len(got.get(q, set()) & {v for v, _ in near}) for q, near in want.items()) / (5 * len(want))
+
+
+@pytest.mark.parametrize("planned", [2, 3])
+def test_recall_does_not_fall_with_size(spark, planned, monkeypatch):
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    monkeypatch.setattr(ann, "MAX_BUCKET_ROWS", 2000 / 128**planned)
+    assert ann.plan_hashes(2000, 64) == planned
+    assert recall(spark, path) >= 0.9
+    with pytest.raises(ValueError):
+        recall(spark, path, hashes=planned)
+
+
+def test_two_hashes_with_probes_to_match(spark):
+    assert recall(spark, "/root/testdata/sf0.1/embeddings.parquet", hashes=2, probes=800) >= 0.9
