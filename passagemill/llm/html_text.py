@@ -1,5 +1,7 @@
 """HTML extraction by tree scoring: paragraphs pass points for length and commas to their ancestors, discounted by
-link density; the best container and its good siblings are kept.
+link density; the best container and its good siblings are kept. Where the best one is only a part, what it is a part of
+is kept instead: the article or main element around it, else the container that is named as content, else whatever holds
+the table, list, quotation or section.
 
 Defined cases: null or empty html, and pages of nothing but boilerplate, give an empty text; pages without paragraphs
 are scored by the text that stands directly in their containers; equal scores go to the container that opens first;
@@ -25,6 +27,8 @@ DROPPED = frozenset("script style noscript template textarea title iframe noembe
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article body center details div dl html main ol section table tbody td th tr ul blockquote figure dd li".split())
 PARAGRAPH = frozenset("p pre blockquote td dd li h1 h2 h3 h4 h5 h6 figcaption dt".split())
+#: Never a page's whole content where something around them is no boilerplate; a section's document may be the body.
+PART = frozenset("td th tr tbody table center li ul ol dl dd blockquote figure details section".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - frozenset("html body caption tbody td tfoot th thead tr".split())
 SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -33,6 +37,7 @@ UNLIKELY = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|combx|comments?|commentlist|respond|replies|cookies?|consent|gdpr|notice|disclaimer|disqus|footer|footnav|header|masthead|menu|modal|nav|navbar|navigation|newsletter|outbrain|overlay|pager|pagination|popup|promo\w*|related|remark|rss|share|sharing|shoutbox|sidebar|skyscraper|social|sponsor\w*|subscribe|taboola|toolbar|widget)(?:$|[\s_-])", re.I
 )
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|main|page|post|text|blog|story)(?:$|[\s_-])", re.I)
+CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|entry|hentry|post|story)(?:$|[\s_-])", re.I)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<bad_end>/)?(?P<bad>[a-zA-Z][^\s/>]*)(?P<bad_rest>[^>]*)>", re.S
@@ -43,6 +48,8 @@ _RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 CHARS_PER_POINT, LENGTH_POINTS = 100, 3
 #: A sibling needs this share of the best score.
 SIBLING_SHARE = 0.2
+#: What is linked to this share is no content.
+MOSTLY_LINKS = 0.5
 
 
 class Node:
@@ -163,6 +170,34 @@ def density(node: Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
 
+def _named(node: Node) -> str:
+    return f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}"
+
+
+def _whole(best: Node) -> Node:
+    """The node that the best one is a part of, or itself. Around a part, link lists beside its branch are dropped."""
+    path = [best]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    fit = [x for x in path if density(x) < MOSTLY_LINKS]
+    for tag in ("article", "main"):
+        if around := [x for x in fit if x.tag == tag]:
+            return around[-1]
+    if CONTENT.search(_named(best)) and best.tag not in PART:
+        return best
+    if around := [x for x in fit if CONTENT.search(_named(x)) and x.tag not in PART and x.tag not in ("html", "body")]:
+        return around[0]
+    at = best
+    for up in path[1:]:
+        if at.tag not in PART or density(up) >= MOSTLY_LINKS or at.tag == "section" and up.tag in ("html", "body"):
+            break
+        for child in up.children:
+            if isinstance(child, Node) and child is not at and child.tag in CONTAINER and density(child) >= MOSTLY_LINKS:
+                child.dropped = True
+        at = up
+    return at
+
+
 def main_nodes(nodes: list[Node]) -> list[Node]:
     """The best container and the siblings that go with it, in page order."""
     _measure(nodes)
@@ -186,10 +221,9 @@ def main_nodes(nodes: list[Node]) -> list[Node]:
         return []
     for k in scored:
         node = nodes[k]
-        said = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}"
-        node.score += 25 * bool(LIKELY.search(said)) + 5 * (node.tag in ("article", "main"))
+        node.score += 25 * bool(LIKELY.search(_named(node))) + 5 * (node.tag in ("article", "main"))
         node.score *= 1 - density(node)
-    best = max((nodes[k] for k in scored), key=lambda x: (x.score, -x.order))
+    best = _whole(max((nodes[k] for k in scored), key=lambda x: (x.score, -x.order)))
     if best.parent is None:
         return [best]
     out = []

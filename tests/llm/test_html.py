@@ -1,6 +1,8 @@
 import html
 import re
 
+import pytest
+
 from passagemill.llm import html_text as ht
 
 LONG = "This is a paragraph, with commas, and enough text to count as the content of an article, or so one hopes."
@@ -43,3 +45,32 @@ def test_odd_pages(spark):
     got = {r["page_id"]: r["text"] for r in ht.extract(pages).collect()}
     assert got == {1: "", 2: "", 3: "plain <text> only", 4: "unclosed bold\n\nnext", 5: "", 6: LONG, 7: "a\n\nb", 8: "x\n\ny", 9: "q", 10: got[10], 11: "yes"}
     assert ht.extract(pages.limit(0)).collect() == []
+
+
+CELL = "A cell of a table, with commas, that goes on, and on, and on, until it is as long as a paragraph of the article itself. " * 2
+PARTS = {
+    "long cells": "<table><tbody>" + f"<tr><td>{CELL}<td>{CELL}" * 30 + "</table>",
+    "numbers": "<table>" + "<tr>" + "<td>3,14" * 600 + "</table>",
+    "list": "<ul>" + f"<li>{CELL}" * 60 + "</ul>",
+    "nested lists": "<ol>" + f"<li>{CELL}<ul><li>{CELL}<li>{CELL}</ul>" * 20 + "</ol>",
+    "terms": "<dl>" + f"<dt>word<dd>{CELL}" * 60 + "</dl>",
+    "quotation": "<blockquote>" + f"<p>{CELL}</p>" * 40 + "</blockquote>",
+    "sections": "<section>" + f"<p>{CELL}</p>" * 40 + "</section><section><p>Short one</section>",
+    "divisions": "<div>" + f"<p>{CELL}</p>" * 40 + "</div><div><p>Short one</div>",
+}
+
+
+@pytest.mark.parametrize("around", ["article", "main", 'div class="entry-content"'])
+@pytest.mark.parametrize("part", PARTS)
+def test_parts_do_not_replace_the_article(around, part):
+    """Every word of the content stays, once and in order; nothing beside it comes in."""
+    inner = f"<h1>Head</h1><p>{LONG}</p>{PARTS[part]}<h2>More</h2><p>Last</p>"
+    page = f"<body><nav><a href=/>{LONG}</a></nav><div><a href=/x>{LONG}</a></div><{around}>{inner}</{around.split()[0]}><div><p>Imprint</div>"
+    assert ht.main_text(page).split() == re.sub("<[^>]*>", " ", inner).split()
+
+
+def test_a_part_without_an_article_keeps_its_whole():
+    page = f"<body><table><tr><td><a href=/x>{LONG}</a></td><td><p>{LONG}</p><p>{LONG}</p></td></tr><tr><td>short</td></tr></table>"
+    assert ht.main_text(page) == f"{LONG}\n\n{LONG}\n\nshort"
+    page = f"<body><div><p>First</p><ul>" + f"<li>{CELL}" * 20 + "</ul><p>last</p></div>"
+    assert ht.main_text(page).split() == re.sub("<[^>]*>", " ", page).split()
