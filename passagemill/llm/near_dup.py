@@ -5,19 +5,21 @@ registers; a register keeps the least point and stores it on an exponential scal
 unions are register-wise maxima. Four registers make a band; documents that share a band value are candidates, a joint
 maximum-likelihood estimate of the Jaccard similarity screens them, and the full sets decide.
 
-Groups of copies: documents with equal sets form one class, whose least id stands for it, so copies never meet in
-pairs. In each bucket every class is first compared with the bucket's least one only. What is then connected needs no
+Groups of copies: documents with equal sets form one class, which a 64-bit hash of the set stands for, so copies never
+meet in pairs, and rows need no ids of their own. In each bucket every class is first compared with the bucket's least one only. What is then connected needs no
 more comparisons; buckets that still hold several components are compared in blocks, across components, until each
 pair is either joined through others or decided. No partner is ever capped or sampled away.
 
 Defined cases: null and empty texts, and texts of white space, have no shingles and link with nothing; fewer than five
-words make one shingle; repeated rows of a document are one class; rows with a null id are in their copies' component
-or in none; empty tables give empty results; extra columns are not read.
+words make one shingle; repeated rows of a document are one class; different texts of one id are decided each by itself;
+a component has its least id, and that id's class is kept; a component without any id has none, and one class of it is
+kept; empty tables give empty results; extra columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ BASE, RATE = 1.001, 20.0
 #: Estimates below the threshold by this much (4.5 standard deviations) are not looked at.
 MARGIN = 4.5 * (0.75 * 0.25 / REGISTERS) ** 0.5
 BLOCK_ROWS, BLOCK_BYTES = 512, 2 << 20
+#: Of the two halves of a set's fingerprint.
+SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 _WORD = np.ones(256, bool)
 _WORD[[32, *range(9, 14)]] = False
@@ -126,36 +130,46 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         for batch in co.slices(batches, "text"):
             grams, offsets = shingle_sets(*co.buffers(co.filled(batch["text"])))
             sizes = np.diff(offsets)
-            sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(co.mix(grams ^ np.uint64(seed)), dtype=np.uint64)]) for seed in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-            h1, h2 = (co.mix(s[offsets[1:]] - s[offsets[:-1]]).view(np.int64) for s in sums)
+            h1, h2 = (_fingerprints(grams, offsets, seed) for seed in SEEDS)
             rows = sketches(grams, offsets)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(h1), pa.array(h2), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "n", "h1", "h2", "sketch"])
 
     return source.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sketch binary")
 
 
+def _fingerprints(grams: np.ndarray, offsets: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each set."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(co.mix(grams ^ np.uint64(seed)), dtype=np.uint64)])
+    return co.mix(sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64)
+
+
 def _sets(docs: DataFrame, doc_id: str, text: str, needed: DataFrame) -> DataFrame:
-    """(id, grams): packed full sets of the documents whose ids are in ``needed``.
+    """(id, grams): packed full sets of the classes ``needed`` (id, rep: its least document).
 
-    Texts stay where they are read: a Bloom filter of the ids picks those worth a set, and only sets are shuffled.
+    Texts stay where they are read: a Bloom filter of the documents picks those worth a set, and only sets are shuffled.
     """
-    words = docs.sparkSession.sparkContext.broadcast(bloom.build(needed))
+    words = docs.sparkSession.sparkContext.broadcast(bloom.build(needed, "rep"))
     key = F.col(f"`{doc_id}`").cast("long")
     source = docs.select(key.alias("id"), *bloom.hashes(key), F.col(f"`{text}`").alias("text"))
 
+    # Rows without an id are looked at only where a class has no other.
+    lone = not needed.where("rep is null").isEmpty()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            picked = whole.filter(pa.array(bloom.maybe(words.value, whole)))
+            blank = whole["id"].is_null().to_numpy(zero_copy_only=False)
+            picked = whole.filter(pa.array(np.where(blank, lone, bloom.maybe(words.value, whole))))
             for batch in co.slices(iter([picked]), "text"):
                 grams, offsets = shingle_sets(*co.buffers(co.filled(batch["text"])))
                 raw = grams.tobytes()
-                yield pa.RecordBatch.from_arrays([batch["id"], pa.array([raw[8 * a : 8 * b] for a, b in zip(offsets, offsets[1:])], pa.binary())], ["id", "grams"])
+                ids, first = np.unique(_fingerprints(grams, offsets, SEEDS[0]), return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([raw[8 * offsets[k] : 8 * offsets[k + 1]] for k in first], pa.binary())], ["id", "grams"])
 
-    return source.mapInArrow(run, "id long, grams binary").join(needed, "id", "left_semi").dropDuplicates(["id"])
+    return source.mapInArrow(run, "id long, grams binary").join(needed.select("id"), "id", "left_semi").dropDuplicates(["id"])
 
 
 def _banded(classes: DataFrame) -> DataFrame:
-    """(key, rep): each class in its buckets."""
+    """(key, id): each class in its buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,9 +177,9 @@ def _banded(classes: DataFrame) -> DataFrame:
                 continue
             rows = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint16).reshape(batch.num_rows, -1)
             keys = band_keys(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), batch["rep"].take(pa.array(np.repeat(np.arange(batch.num_rows), keys.shape[1])))], ["key", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), batch["id"].take(pa.array(np.repeat(np.arange(batch.num_rows), keys.shape[1])))], ["key", "id"])
 
-    return classes.where("n > 0 and rep is not null").select("rep", "sketch").mapInArrow(run, "key long, rep long")
+    return classes.select("id", "sketch").mapInArrow(run, "key long, id long")
 
 
 def _screened(pairs: DataFrame, least: float) -> DataFrame:
@@ -259,29 +273,29 @@ def _across(blocks: DataFrame, least: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``."""
     with Workspace(docs.sparkSession) as work, batch_rows(docs.sparkSession, TEXT_ROWS):
-        return saved(_decided(docs, doc_id, text, work), "near-duplicates")
+        return saved(_decided(docs, doc_id, text, work).drop("class"), "near-duplicates")
 
 
 def _decided(docs: DataFrame, doc_id: str, text: str, work: Workspace) -> DataFrame:
     least = SIMILARITY[0] / SIMILARITY[1] - MARGIN
     sig = work.saved(signatures(docs, doc_id, text), "signatures")
-    classes = work.saved(sig.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
-    named = classes.select(F.col("rep").alias("id"), "n", "sketch")
+    classes = work.saved(sig.where("n > 0").groupBy(F.col("h1").alias("id")).agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    named = classes.select("id", "n", "sketch")
     banded = _banded(classes)
-    buckets = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub != last").select("key", "hub")
-    members = work.saved(banded.join(buckets, "key"), "members")  # key, rep, hub: only of buckets with several classes
+    buckets = banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub != last").select("key", "hub")
+    members = work.saved(banded.join(buckets, "key"), "members")  # key, id, hub: only of buckets with several classes
 
-    pairs = members.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     left, right = (named.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
     close = work.saved(_screened(pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "sa", "sb"), least), "close")
     # Full sets of all members, from one pass over the texts: for these links and for the blocks below.
-    sets = work.saved(_sets(docs, doc_id, text, members.select(F.col("rep").alias("id")).distinct()), "sets")
+    sets = work.saved(_sets(docs, doc_id, text, work.saved(classes.select("id", "rep").join(members.select("id").distinct(), "id"), "needed")), "sets")
     left, right = (sets.select(F.col("id").alias(c), F.col("grams").alias(f"g{c}")) for c in "ab")
     links = work.saved(_verified(close.join(right, "b").join(left, "a").select("a", "b", "ga", "gb")), "links")
     found = components(links)
 
     # Buckets whose members, without the hub that all were compared with, are in several components.
-    rest = members.where("rep != hub").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", F.col("rep").alias("id"), F.coalesce("component", "rep").alias("component"))
+    rest = members.where("id != hub").join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     split = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
     open_ = work.saved(rest.join(split, "key").select("key", "id", "component"), "open")
     if open_.isEmpty():
@@ -304,34 +318,56 @@ def _decided(docs: DataFrame, doc_id: str, text: str, work: Workspace) -> DataFr
 
 
 def _result(sig: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    named = classes.select("n", "h1", "h2", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    out = sig.select("doc_id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    """(doc_id, n_shingles, component_id, kept, class), a row for each signature."""
+    parts = classes.select("id", "rep").join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "rep", F.coalesce("component", "id").alias("component"))
+    # Of each component its least document, and the class that is kept: of that document, or without any a class of none.
+    heads = parts.groupBy("component").agg(F.min("rep").alias("component_id"), F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "id"))["id"].alias("head"))
+    named = parts.join(heads, "component").select(F.col("id").alias("h1"), "component_id", "head")
+    rows = sig.select("doc_id", "n", "h1").join(named, "h1", "left")
+    empty = F.col("n") == 0
+    kept = empty | ((F.col("h1") == F.col("head")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), kept.alias("kept"), F.col("h1").alias("class"))
 
 
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that are kept, with the columns they came with; of repeated ids the kept rows stay once each.
+    """The documents that are kept, with the columns they came with: of each kept class one row of each id, or without
+    ids one row; rows with neither id nor shingles all stay.
 
-    A Bloom filter of the ids that are dropped or repeated lets all others pass without a shuffle.
+    A Bloom filter of the ids that are dropped or repeated lets all others pass without a shuffle. Repeated ids, and
+    rows without an id, are told apart by their classes.
     """
-    with Workspace(docs.sparkSession) as work:
-        found = work.saved(near_duplicates(docs, doc_id=doc_id, text=text).groupBy("doc_id").agg(F.max("kept").alias("kept_"), F.count(F.lit(1)).alias("rows_")), "decided")
-        odd = saved(found.where("not kept_ or rows_ > 1 or doc_id is null").withColumnRenamed("doc_id", "id_"), "odd")
-    words = docs.sparkSession.sparkContext.broadcast(bloom.build(odd, "id_"))
+    spark = docs.sparkSession
+    with Workspace(spark) as work, batch_rows(spark, TEXT_ROWS):
+        said = work.saved(_decided(docs, doc_id, text, work), "decided")
+        ids = said.where("doc_id is not null").groupBy(F.col("doc_id").alias("id_")).agg(F.max("kept").alias("kept_"), F.count(F.lit(1)).alias("rows_"))
+        odd = saved(ids.where("not kept_ or rows_ > 1").select("id_", "kept_"), "odd")
+        several = said.where("kept").join(odd.where("kept_"), F.col("doc_id") == F.col("id_"), "left_semi")
+        several = saved(several.select(F.col("doc_id").alias("head_id"), F.col("class").alias("head_class")).distinct(), "several")
+        nameless = saved(said.where("kept and doc_id is null and n_shingles > 0").select(F.col("class").alias("head_class")).distinct(), "nameless")
+    words = spark.sparkContext.broadcast(bloom.build(odd, "id_"))
     key = F.col(f"`{doc_id}`").cast("long")
     names = [f"c{i}" for i in range(len(docs.columns))]
-    source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], key.alias("id"), *bloom.hashes(key))
+    source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], key.alias("id"), F.col(f"`{text}`").alias("text"), *bloom.hashes(key))
 
-    def side(want: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                may = bloom.maybe(words.value, batch) | batch["id"].is_null().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(may == want)).select([*names, "id"])
-
-        return source.mapInArrow(run, source.select(*names, "id").schema)
+    def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~bloom.maybe(words.value, batch))).select(names)
 
-    met = side(True).join(odd, F.col("id").eqNullSafe(F.col("id_")), "left").where("coalesce(kept_, true)")
-    several = met.where("rows_ > 1").dropDuplicates(["id"])
-    kept = side(False).select(*names).unionByName(met.where("coalesce(rows_, 1) = 1").select(*names)).unionByName(several.select(*names))
-    return kept.toDF(*docs.columns)
+    def classed(picked):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in co.slices(iter([whole.filter(pa.array(picked(whole)))]), "text"):
+                    grams, offsets = shingle_sets(*co.buffers(co.filled(batch["text"])))
+                    more = [pa.array(np.diff(offsets), pa.int64()), pa.array(_fingerprints(grams, offsets, SEEDS[0]))]
+                    yield pa.RecordBatch.from_arrays([*(batch[c] for c in [*names, "id"]), *more], [*names, "id", "n", "class"])
+
+        return run
+
+    with_class = ", ".join([*(f"{n} {source.schema[n].dataType.simpleString()}" for n in [*names, "id"]), "n long, class long"])
+    have, lack = source.where("id is not null"), source.where("id is null")
+    met = have.mapInArrow(classed(lambda batch: bloom.maybe(words.value, batch)), with_class).join(odd, F.col("id") == F.col("id_"), "left").where("coalesce(kept_, true)")
+    met = met.join(several, (F.col("id") == F.col("head_id")) & (F.col("class") == F.col("head_class")), "left").where("kept_ is null or head_id is not null").dropDuplicates(["id", "class"])
+    alone = lack.mapInArrow(classed(lambda batch: np.ones(batch.num_rows, bool)), with_class)
+    one = alone.where("n > 0").join(nameless, F.col("class") == F.col("head_class"), "left_semi").dropDuplicates(["class"])
+    parts = [have.select(*names, "b1", "b2").mapInArrow(clear, source.select(*names).schema), *(x.select(*names) for x in (met, one, alone.where("n = 0")))]
+    return reduce(DataFrame.unionByName, parts).toDF(*docs.columns)

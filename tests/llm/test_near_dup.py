@@ -87,3 +87,26 @@ def test_estimates_merging_and_locality():
     guess = nd.likely_jaccard(big[:1], big[1:], np.array([2000.0]), np.array([2000.0]))[0]
     assert abs(guess - 1500 / 2500) < 0.03
     assert nd.sketches(np.zeros(0, np.uint64), np.array([0, 0])).sum() == 0
+
+
+def test_rows_without_ids_and_shared_ids_are_decided_by_their_texts(spark):
+    rng = random.Random(5)
+    base = [" ".join(f"v{rng.randrange(5000)}" for _ in range(120)) for _ in range(8)]
+    near = [mutated(rng, t, 2) for t in base]
+    rows = [(None, base[0]), (None, base[0]), (None, near[0]), (None, base[1]), (None, base[2]), (None, near[2])]  # one each of 0 and 1, none of 2
+    rows += [(2, base[2]), (7, base[3]), (7, base[4]), (7, base[4]), (5, near[4]), (8, base[5]), (8, near[5]), (9, base[6]), (None, ""), (None, None), (10, ""), (10, "")]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    said = nd.near_duplicates(docs)
+    assert said.columns == ["doc_id", "n_shingles", "component_id", "kept"] and said.count() == len(rows)
+    kept = nd.deduplicated(docs)
+    assert kept.columns == docs.columns
+    place = {t: k for k, t in [*enumerate(base), *enumerate(near)]}
+    got = sorted(((r["doc_id"] or 0, place.get(r["text"], -1)) for r in kept.collect()))
+    assert got == sorted([(0, 0), (0, 1), (2, 2), (7, 3), (5, 4), (8, 5), (9, 6), (0, -1), (0, -1), (10, -1)])
+
+
+def test_a_third_without_ids(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    part = docs.selectExpr("if(doc_id % 3 = 0, null, doc_id) as doc_id", "text", "source")
+    want = sum(k for _, _, k in brute([(r["doc_id"], r["text"]) for r in docs.where("text is not null").collect()]).values())
+    assert nd.deduplicated(part.where("text is not null")).count() == want
