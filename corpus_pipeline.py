@@ -41,9 +41,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The piece ids of each document."""
+    """The piece ids of each document, and whether the text comes back from them."""
     text_batches(spark)
-    return sentencepiece_codec.encode(docs, vocabulary("piece_bpe_32k.model"), keep=["doc_id", "lang", "source"])
+    return sentencepiece_codec.encode(docs, vocabulary("piece_bpe_32k.model"), keep=["doc_id", "lang", "source"], round_trip="round_trip")
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontaminate), ("personal_data", personal_data), ("sentencepiece", sentencepiece)]

@@ -148,20 +148,30 @@ def _carried(frame: DataFrame, names: list[str]) -> tuple[DataFrame, str]:
     return source, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
 
 
-def encode(docs: DataFrame, path: str, *, text: str = "text", keep: list[str] | None = None, ids: str = "piece_ids") -> DataFrame:
-    """``keep`` (all columns but the text, if None) and an array of piece ids."""
+def encode(docs: DataFrame, path: str, *, text: str = "text", keep: list[str] | None = None, ids: str = "piece_ids", round_trip: str | None = None) -> DataFrame:
+    """``keep`` (all columns but the text, if None), an array of piece ids and, in the column that ``round_trip`` names,
+    whether they decode to the text."""
     kept = [c for c in docs.columns if c != text] if keep is None else keep
     source, schema = _carried(docs, [*kept, text])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = codec(path)
         for batch in co.slices(batches, text):
-            flat, offsets = known.encode(co.filled(batch[text]))
+            texts = co.filled(batch[text])
+            flat, offsets = known.encode(texts)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             lists = pc.if_else(pc.is_null(batch[text]), pa.scalar(None, lists.type), lists)
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, ids])
-
-    return source.mapInArrow(run, f"{schema}, `{ids}` array<int>").drop(text)
+            more = {ids: lists}
+            if round_trip:
+                raw, ends = known.decode(flat, offsets)
+                (given, begun), back = co.buffers(texts), raw.tobytes()
+                asked = given.tobytes()
+                same = [back[a:b] == asked[c:d] for a, b, c, d in zip(ends, ends[1:], begun, begun[1:])]
+                more[round_trip] = pc.if_else(pc.is_null(batch[text]), pa.scalar(None, pa.bool_()), pa.array(same, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more.values()], [*batch.schema.names, *more])
+
+    flag = f", `{round_trip}` boolean" if round_trip else ""
+    return source.mapInArrow(run, f"{schema}, `{ids}` array<int>{flag}").drop(text)
 
 
 def decode(frame: DataFrame, path: str, *, ids: str = "piece_ids", text: str = "text") -> DataFrame:

@@ -23,3 +23,10 @@ def test_run_and_registration(spark, sf):
     found = entry.queries()
     assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in found if k.startswith("op")}
     assert found["pipeline"](spark, sf).count() > 100
+
+
+def test_last_stage_decodes(spark, sf):
+    docs = spark.createDataFrame([(1, " a  b\n", "en", "s"), (2, "", "en", "s"), (3, None, "en", "s"), (4, "naïve \u2581 x", "en", "s")], "doc_id long, text string, lang string, source string")
+    name, stage = corpus_pipeline.STAGES[-1]
+    got = {r["doc_id"]: (r["piece_ids"], r["round_trip"]) for r in stage(spark, docs, sf).collect()}
+    assert [got[k][1] for k in (1, 2, 3, 4)] == [True, True, None, True] and got[3][0] is None and len(got[1][0]) > 0
