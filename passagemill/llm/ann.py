@@ -2,8 +2,8 @@
 
 Each table applies its own pseudo-rotation (three rounds of random signs and a fast Hadamard transform) to the unit
 vectors; a vector's bucket is its nearest signed axis. Queries probe the nearest several signed axes of each table.
-Candidates are scored exactly in double precision inside their bucket, block against block; every block gives at most
-k rows per query, and the k best distinct ones of all tables are the result.
+Repeated rows are indexed once. Candidates are scored exactly in double precision inside their bucket, block against
+block; every block gives its k best ids per query, and the k best distinct ones of all tables are the result.
 
 A bucket is one signed axis, however many rows there are: full buckets are met block by block. With ``hashes`` > 1 a
 bucket is a tuple of signed axes of independent rotations, and probes go by the sum of what they give away. That loses
@@ -126,13 +126,13 @@ def _blocks(hashed: DataFrame, as_id: str, as_list: str) -> DataFrame:
     """Lists of about BLOCK_ROWS rows at most of one bucket; a full bucket has several."""
     keys = ["dim", "t", "bucket"]
     cells = hashed.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("cells"))
-    cell = F.pmod(F.xxhash64("id"), F.col("cells")).cast("int").alias(as_id)
+    cell = F.pmod(F.xxhash64("id", "v"), F.col("cells")).cast("int").alias(as_id)
     return hashed.join(cells, keys).select(*keys, cell, F.struct("id", "v").alias("row")).groupBy(*keys, as_id).agg(F.collect_list("row").alias(as_list))
 
 
 def search(vectors: DataFrame, queries: DataFrame | None = None, *, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", tables: int = TABLES, probes: int | None = None, hashes: int = 1) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row of ``queries`` (default: every vector)."""
-    rows = valid_vectors(vectors, vec_id, embedding)
+    rows = valid_vectors(vectors, vec_id, embedding).dropDuplicates(["id", "v"])
     asked = rows if queries is None else valid_vectors(queries, vec_id, embedding)
     if probes is None:
         if hashes > 1:
@@ -150,7 +150,7 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, *, k: int = 5,
 
 
 def _nearest(met: DataFrame, k: int, kinds: list[str]) -> DataFrame:
-    """(query_id, vec_id, score): of each pair of blocks the k best rows for each query, once each."""
+    """(query_id, vec_id, score): of each pair of blocks the k best ids for each query, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,10 +161,13 @@ def _nearest(met: DataFrame, k: int, kinds: list[str]) -> DataFrame:
                 b = wide_x / np.linalg.norm(wide_x, axis=1, keepdims=True)
                 guess = a @ b.T
                 guess[q_ids[:, None] == ids[None, :]] = -np.inf
+                order = np.argsort(ids, kind="stable")
+                starts = np.flatnonzero(np.diff(ids[order], prepend=ids[order[0]] - 1))
+                each = guess if len(starts) == len(ids) else np.maximum.reduceat(guess[:, order], starts, axis=1)  # the best of each id
                 out = []
                 for i in range(len(q_ids)):
-                    g = guess[i]
-                    floor = np.partition(g, len(g) - k)[len(g) - k] if len(g) > k else -np.inf
+                    g, of_id = guess[i], each[i]
+                    floor = np.partition(of_id, len(of_id) - k)[len(of_id) - k] if len(of_id) > k else -np.inf
                     near = np.flatnonzero((g >= floor - 1e-9) & (g > -np.inf))
                     score = cosine(np.broadcast_to(wide_q[i], (len(near), q.shape[1])), wide_x[near])
                     _, first = np.unique(ids[near], return_index=True)  # a repeated row counts once

@@ -80,3 +80,12 @@ def test_recall_does_not_fall_with_size(spark, planned, monkeypatch):
 
 def test_two_hashes_with_probes_to_match(spark):
     assert recall(spark, "/root/testdata/sf0.1/embeddings.parquet", hashes=2, probes=800) >= 0.9
+
+
+def test_ids_that_stand_more_than_k_times(spark):
+    v = [[1.0, 0.0, 0.01 * i] for i in range(12)]
+    rows = [(i, x) for i, x in enumerate(v) for _ in range(2)] + [(1, v[1])] * 9 + [(2, [1.0, 0.001 * j, 0.02]) for j in range(9)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = ann.search(table, table.where("vec_id = 0"), k=5).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"]) for r in got] == [(i, i) for i in range(1, 6)]
+    assert [r["score"] for r in got] == list(ann.cosine(np.array([v[0]] * 5), np.array(v[1:6])))
