@@ -63,7 +63,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
 
@@ -107,8 +106,40 @@ def lowered(raw: np.ndarray) -> np.ndarray:
     return table[raw]
 
 
+#: Bytes that are read at once, and by length which of them count.
+WIDE = 24
+_WITHIN = np.array([[(1 << 8 * min(max(n - 8 * k, 0), 8)) - 1 for k in range(3)] for n in range(WIDE + 1)], np.uint64)
+_SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+
+
+def heads(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The first WIDE bytes of each run as three words; zero where it ends before."""
+    padded = np.zeros(len(raw) + WIDE, np.uint8)
+    padded[: len(raw)] = raw
+    rows = np.ndarray((len(raw) + 1,), f"V{WIDE}", padded, strides=(1,))[starts].view("<u8").reshape(-1, 3)
+    rows &= _WITHIN.take(np.minimum(lengths, WIDE), axis=0)
+    return rows
+
+
+def head_hashes(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    total = rows[:, 0] * _SPREAD[0]
+    total += rows[:, 1] * _SPREAD[1]
+    total += rows[:, 2] * _SPREAD[2]
+    total += lengths.astype(np.uint64) * _SPREAD[3]
+    return mix(total)
+
+
 def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return run_hashes(_BYTE[low], starts, ends)
+    """A 64-bit hash of each run of bytes; memory is by runs, not by bytes."""
+    lengths = ends - starts
+    out = head_hashes(heads(low, starts, lengths), lengths)
+    rest, at = np.flatnonzero(lengths > WIDE), WIDE
+    while len(rest):
+        left = lengths[rest] - at
+        out[rest] = mix(out[rest] ^ head_hashes(heads(low, starts[rest] + at, left), left))
+        at += WIDE
+        rest = rest[left > WIDE]
+    return out
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -174,6 +205,112 @@ class PieceCache:
         return self.ids[ragged(self.starts[which], lengths)], lengths
 
 
+class UnitCache:
+    """Ids of byte strings, so that each distinct one is encoded once; found by comparing whole strings, in numpy.
+
+    ``encode`` takes a list of distinct texts and gives their ids as one array, and the number of ids of each. At most
+    ``limit`` strings are kept (some 60 bytes each), or those of one call; then the cache starts anew, which costs time
+    and changes no result.
+    """
+
+    #: Strings of more bytes are kept in a dictionary; a key's last byte is the length.
+    SHORT = WIDE - 1
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1_000_000) -> None:
+        self.encode, self.limit = encode, limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.n = self.used = 0
+        self.long: dict[bytes, int] = {}
+        self.keys = np.zeros((1 << 12, 3), np.uint64)
+        self.ids, self.starts, self.lengths = np.zeros(1 << 14, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.table = np.full(1 << 14, -1, np.int32)
+
+    def _room(self, name: str, need: int) -> None:
+        old = getattr(self, name)
+        if need > len(old):
+            new = np.zeros((max(need, 2 * len(old)), *old.shape[1:]), old.dtype)
+            new[: len(old)] = old
+            setattr(self, name, new)
+
+    def _find(self, rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of each string, or -1."""
+        out, todo = np.full(len(rows), -1, np.int64), np.arange(len(rows))
+        mask = len(self.table) - 1
+        slot = (hashes & np.uint64(mask)).view(np.int64)
+        while len(todo):
+            said = self.table.take(slot)
+            there = np.flatnonzero(said >= 0)
+            todo, slot, said = todo[there], slot[there], said[there]
+            same = (self.keys.take(said, axis=0) == rows.take(todo, axis=0)).all(axis=1)
+            out[todo[same]] = said[same]
+            other = np.flatnonzero(~same)
+            todo, slot = todo[other], (slot[other] + 1) & mask
+        return out
+
+    def _place(self, first: int) -> None:
+        """Enter the strings from number ``first`` on."""
+        if 2 * self.n > len(self.table):
+            self.table = np.full(1 << int(4 * self.n - 1).bit_length(), -1, np.int32)
+            first = 0
+        mask = len(self.table) - 1
+        todo = np.flatnonzero(self.keys[first : self.n, 2]) + first  # long ones have no key
+        rows = self.keys[todo]
+        slot = (head_hashes(rows, np.zeros(len(rows), np.int64)) & np.uint64(mask)).view(np.int64)
+        while len(todo):
+            free = np.flatnonzero(self.table.take(slot) < 0)
+            self.table[slot[free]] = todo[free]
+            left = np.flatnonzero(self.table.take(slot) != todo)
+            todo, slot = todo[left], (slot[left] + 1) & mask
+
+    def _add(self, rows: np.ndarray, texts: list[str]) -> np.ndarray:
+        """Encode texts; their numbers. Rows of zeros are not entered."""
+        flat, lengths = self.encode(texts)
+        first, self.n = self.n, self.n + len(texts)
+        for name, need in (("keys", self.n), ("starts", self.n), ("lengths", self.n), ("ids", self.used + len(flat))):
+            self._room(name, need)
+        self.keys[first : self.n] = rows
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.starts[first : self.n] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[first : self.n] = lengths
+        self.used += len(flat)
+        self._place(first)
+        return np.arange(first, self.n)
+
+    def lookup(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all runs of bytes in order, and the number of ids of each."""
+        rows = heads(raw, starts, np.minimum(lengths, self.SHORT))
+        rows[:, 2] |= np.minimum(lengths, 255).astype(np.uint64) << np.uint64(56)
+        hashes = head_hashes(rows, np.zeros(len(rows), np.int64))
+        short = lengths <= self.SHORT
+        which = np.where(short, self._find(rows, hashes), -1)
+        missing = np.flatnonzero((which < 0) & short)
+        if self.n and self.n + len(missing) > self.limit:
+            _, first = np.unique(hashes[missing], return_index=True)
+            if self.n + len(first) > self.limit:
+                self._clear()
+                which[:] = -1
+                missing = np.flatnonzero(short)
+        data = raw.tobytes() if len(missing) or not short.all() else b""
+        while len(missing):  # again for strings whose hashes are equal
+            _, first, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            at = missing[first]
+            new = self._add(rows[at], [data[a : a + n].decode() for a, n in zip(starts[at].tolist(), lengths[at].tolist())])
+            same = (rows[missing] == rows[at][back]).all(axis=1)
+            which[missing[same]] = new[back[same]]
+            missing = missing[~same]
+        if not short.all():
+            some = np.flatnonzero(~short)
+            said = [data[a : a + n] for a, n in zip(starts[some].tolist(), lengths[some].tolist())]
+            fresh = [x for x in dict.fromkeys(said) if x not in self.long]
+            if fresh:
+                self.long.update(zip(fresh, self._add(np.zeros((len(fresh), 3), np.uint64), [x.decode() for x in fresh]).tolist()))
+            which[some] = [self.long[x] for x in said]
+        counts = self.lengths.take(which)
+        return self.ids.take(ragged(self.starts.take(which), counts)), counts
+
+
 def listed(pieces: list[str], ids: list[list[int]]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """What ``PieceCache`` wants of pieces with their lists of ids."""
     lengths = np.fromiter(map(len, ids), np.int64, len(ids))

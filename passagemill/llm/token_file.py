@@ -1,14 +1,20 @@
 """Token-ID files: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
-A segment holds whole documents; its ids are cut into blocks of ``BLOCK`` ids. Each block starts from a fresh model:
-the order-2 and order-1 contexts each predict one id, the chance that the prediction holds is mixed from order-0 to
-order-2 statistics by a small logistic mixer, and ids that neither predicts are coded by an adaptive order-0
-distribution over magnitude and leading bits. All blocks of a segment are coded in step, one numpy lane per block.
+A segment holds whole documents; its ids are cut into blocks of about ``BLOCK`` ids. Each block starts from a fresh
+model. Order 2 and order 1 each predict an id from what followed the same two ids, or the same one, before, with a
+chance that adapts; the more trusted of both is the guess. The chance that it holds is mixed, by a logistic mixer that
+learns as it goes, from what orders 2, 1 and 0 say of it. Ids that are not guessed are coded by order 0, the adaptive
+distribution of all ids of the block so far. Each of these decisions narrows the interval of a range coder.
+
+A block is coded as many lanes side by side, each a run of neighbouring ids with its own coder; all lanes share one
+model, which learns from all of them after each step. Everything that decides an interval is computed in integers, so
+that any machine decodes what another one wrote.
 
 Segment layout, little endian: magic ``PMTS``, version u8, then u32 counts of documents and blocks, u64 of ids; the
-document keys (u8 valid, i64) and lengths (u32); per block u32 ids, u32 words, u32 crc32 of its ids as u32; the coded
-words of all blocks; crc32 of everything before. Segments are rows (shard, seq, data) of a Parquet table, so that
-Spark's committer, not the tasks, decides what counts as written, and a lost executor leaves no half file.
+document keys (u8 valid, i64) and lengths (u32); per block u32 ids, u32 digits, u32 crc32 of its ids as u32; per block
+the number of digits of each lane (u32) and the digits (20 bits each, two to five bytes, big endian); crc32 of
+everything before. Segments are rows (shard, seq, data) of a Parquet table, so that Spark's committer, not the tasks,
+decides what counts as written, and a lost executor leaves no half file.
 
 Defined cases: null text is the empty text and gives only the end id; a null key sorts first; repeated keys are kept,
 ordered by the text; empty tables write an empty table; extra columns are not read.
@@ -16,6 +22,8 @@ ordered by the text; empty tables write an empty table; extra columns are not re
 
 from __future__ import annotations
 
+import decimal
+import math
 import re
 import struct
 import zlib
@@ -29,286 +37,274 @@ from pyspark.sql import functions as F
 
 from . import columnar as co
 
-BLOCK = 4096
-SEGMENT_IDS = 6_000_000
+#: Ids of a block and of a segment, about: blocks of a segment are of one size, and a segment ends with a document.
+BLOCK = SEGMENT_IDS = 1 << 20
+MAX_LANES = 4096
 #: Up to so many segments their starts (20 bytes each) are broadcast; those of more are joined as Spark sees fit.
 MAX_BROADCAST_SEGMENTS = 1_000_000
-MAGIC, VERSION = b"PMTS", 1
+MAGIC, VERSION = b"PMTS", 2
 _HEAD = struct.Struct("<4sBIIQ")
 
-_TABLE = 1 << 12
-_U32, _SMALL = np.uint64(32), np.uint64(1 << 32)
-_FULL = np.iinfo(np.uint64).max
-#: Stretch (logit) of probabilities in 1/4096, and squash on a grid of 1/170 to probabilities in 2**-15.
-_STRETCH = np.log((np.arange(4096) + 0.5) / (4096 - np.arange(4096) - 0.5)).astype(np.float32)
-_SQUASH = np.clip(((1 << 15) / (1 + np.exp(-(np.arange(4096) - 2048) / 170.0))).astype(np.int64), 32, (1 << 15) - 32)
-_GRID, _LEARN = np.float32(170), np.float32(0.02)
-#: Distributions over 16 symbols as upper ends in 2**-14, of which each symbol keeps a share: an update moves a 32nd of
-#: the way to the symbol's target.
-_CDF_BITS = 14
-_EVEN = ((np.arange(16) + 1) << _CDF_BITS - 4).astype(np.int16)
-_TARGET = np.where(np.arange(16) >= np.arange(16)[:, None], (1 << _CDF_BITS) - 15 + np.arange(16), np.arange(16) + 1).astype(np.int16)
-_ONES = np.ones(16, np.float32)
-#: The flag and the magnitude share one interval of 2**30.
-_JOINT = np.uint64(30)
-_FRESH, _WEAK = np.uint32(0x5000), np.uint32(0x3000)
-_U16, _LOW16 = np.uint32(16), np.uint32(0xFFFF)
-
-
-def _literals() -> tuple[np.ndarray, np.ndarray]:
-    """How an id is spelt out: its magnitude, up to four bits below the highest one, the number of further bits and
-    those bits; packed by id. And the least id of each magnitude and leading bits."""
-    ids = np.arange(1 << 16)
-    size = np.maximum(np.frexp(ids.astype(np.float64))[1], 1) - 1
-    below = np.maximum(size, 1)  # id 0 and 1 share a magnitude and need one bit
-    rest = ids & ((1 << below) - 1)
-    few = np.maximum(below - 4, 0)
-    lead = np.where(below >= 4, rest >> few, rest << np.maximum(4 - below, 0))
-    least = np.zeros(256, np.int64)
-    np.maximum.at(least, size * 16 + lead, ids >> few << few)
-    return (size << 24 | lead << 20 | few << 16 | rest & ((1 << few) - 1)).astype(np.uint32), least
-
-
-_SPELT, _LEAST = _literals()
-_FEW = np.maximum(np.maximum(np.arange(16), 1) - 4, 0)
-
-
-class _Cdf:
-    """Rows of distributions; a row is one item of 32 bytes, so that rows move at once."""
-
-    def __init__(self, rows: int) -> None:
-        self.table = np.tile(_EVEN, (rows, 1))
-        self.items = self.table.view("V32").reshape(-1)
-
-    def rows(self, at: np.ndarray) -> np.ndarray:
-        return self.table.take(at, axis=0)
-
-    @staticmethod
-    def interval(rows: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width."""
-        flat, at = rows.reshape(-1), np.arange(0, 16 * len(symbol), 16) + symbol
-        start = np.where(symbol > 0, flat.take(at - 1, mode="clip"), 0).astype(np.int64)
-        return start, flat.take(at) - start
-
-    @staticmethod
-    def symbol(rows: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """The symbol in whose interval the value lies."""
-        return ((rows <= value.astype(np.int16)[:, None]).astype(np.float32) @ _ONES).astype(np.int64)
-
-    def learn(self, at: np.ndarray, rows: np.ndarray, symbol: np.ndarray) -> None:
-        new = _TARGET.take(symbol, axis=0)
-        new -= rows
-        new >>= 5
-        new += rows
-        self.items[at] = new.view("V32").reshape(-1)
+#: Ids are below this.
+IDS = 1 << 16
+#: Slots of order 2. A slot holds an id and the chance, in 2**-12, that it follows.
+_SLOTS = 1 << 18
+_CHANCE, _FRESH, _WEAK = np.uint32(0xFFF), np.uint32(0x300), np.uint32(0x100)
+#: What a seen id weighs in order 0, against 1 of one that wasn't.
+_SEEN = 32
+#: The coder's state has _LOW + _DIGIT bits; a lane's range stays above 2**_LOW, by digits that leave at the top.
+_LOW, _DIGIT = 40, 20
+_FULL, _LEAST, _KEEP = (1 << _LOW + _DIGIT) - 1, np.uint64(1 << _LOW), np.uint64((1 << _LOW) - 1)
+_OUT, _UP, _HALF = np.uint64(_LOW), np.uint64(_DIGIT), np.uint64(16)
+#: The weights' range, and the share of the mean error, a power of two, by which they move each step.
+_WEIGHT, _RATE = 1 << 17, 10
+
+
+def _logistic() -> tuple[np.ndarray, np.ndarray]:
+    """By chance in 2**-12 its logit in 1/256, and by logit the chance in 2**-16; exact, thus the same everywhere."""
+    with decimal.localcontext() as c:
+        c.prec = 12
+        one = decimal.Decimal(1)
+        chance = [int(65536 / (one + (-decimal.Decimal(x) / 256).exp())) for x in range(-2048, 2048)]
+    squash = np.clip(np.array(chance), 32, 65536 - 32)
+    return np.clip(np.searchsorted(squash, np.arange(8, 65536, 16)) - 2048, -2047, 2047).astype(np.int32), squash
+
+
+_STRETCH, _SQUASH = _logistic()
+
+
+class _Common:
+    """Order 0: how often each id was seen. It takes in what was seen when that is a quarter of what it knows."""
+
+    def __init__(self, lanes: int, decoding: bool) -> None:
+        self.count = np.zeros(IDS, np.int64)
+        self.known, self.lanes, self.decoding, self.waiting = 0, lanes, decoding, []
+        self._build()
+
+    def _build(self) -> None:
+        if self.waiting:
+            new = np.concatenate(self.waiting)
+            self.count += np.bincount(new, minlength=IDS)
+            self.known += len(new)
+        self.waiting, self.held, self.due = [], 0, max(self.known >> 2, 2 * self.lanes)
+        self.widths = 1 + _SEEN * self.count
+        self.ends = np.cumsum(self.widths)
+        self.starts = self.ends - self.widths
+        self.total = int(self.ends[-1])
+        # logits of small chances from binary logarithms in sixteenths
+        (part, power), (all_part, all_power) = np.frexp(self.widths.astype(np.float64)), np.frexp(float(self.total))
+        log = (power << 4) + (part * 32).astype(np.int32) - ((int(all_power) << 4) + int(all_part * 32))
+        self.stretch = np.maximum(log * 11, -2047).astype(np.int32)
+        if self.decoding:
+            self.shift = max(self.total.bit_length() - 17, 0)
+            cells = (self.ends + (1 << self.shift) - 1) >> self.shift
+            self.first = np.cumsum(np.bincount(cells, minlength=(self.total >> self.shift) + 2))
+
+    def saw(self, ids: np.ndarray) -> None:
+        self.waiting.append(ids)
+        self.held += len(ids)
+        if self.held >= self.due:
+            self._build()
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The id in whose interval each value lies: by a table of first candidates, then onwards."""
+        at = self.first.take(value >> self.shift)
+        for _ in range(2):
+            at += self.ends.take(at) <= value
+        if len(late := np.flatnonzero(self.ends.take(at) <= value)):
+            at[late] = np.searchsorted(self.ends, value[late], "right")
+        return at
 
 
 class _Model:
-    """Per lane: the order-2 and order-1 slots (an id and the chance, in 2**-16, that it follows), the order-0 chance of
-    a hit, mixer weights, and order-0 distributions of magnitudes and of leading bits by magnitude."""
+    """What the lanes of a block share, and the last two ids of each."""
 
-    def __init__(self, lanes: int) -> None:
-        self.base = np.arange(lanes) * _TABLE
-        self.slots = [np.zeros(lanes * _TABLE, np.uint32) for _ in range(2)]
-        self.common = np.full(lanes, 1 << 14, np.int32)
-        self.weights = [np.full(lanes, w, np.float32) for w in (0.6, 0.3, 0.2)]
-        self.size, self.lead = _Cdf(lanes), _Cdf(lanes * 16)
-        self.one, self.two = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+    def __init__(self, lanes: int, decoding: bool = False) -> None:
+        self.common = _Common(lanes, decoding)
+        self.slots = np.zeros(_SLOTS, np.uint32), np.zeros(IDS, np.uint32)
+        self.weights = [20000, 15000, 10000, 0]
+        self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """For the first n lanes the predicted id, and the chance of it in 2**-15."""
-        base, near = self.base[:n], self.one[:n] * np.uint32(2654435761)
-        far = near + self.two[:n] * np.uint32(2246822519)
-        self.at = base + (far >> np.uint32(20)), base + (near >> np.uint32(20))
-        a, b = self.slots[0].take(self.at[0]), self.slots[1].take(self.at[1])
-        self.said = a >> _U16, b >> _U16
-        self.trust = a & _LOW16, b & _LOW16
-        guess = np.where(self.trust[0] > 0, self.said[0], self.said[1])
-        self.inputs = [_STRETCH.take(self.trust[0] >> 4), _STRETCH.take(self.trust[1] >> 4) * (self.said[1] == guess), _STRETCH.take(self.common[:n] >> 4)]
+        """For the first n lanes the guessed id, and the chance of it in 2**-16."""
+        one = self.one[:n]
+        far = one * 0x2545
+        far += self.two[:n] * 0x1D7A3
+        far &= _SLOTS - 1
+        self.at = far, one
+        self.said = a, b = self.slots[0].take(far), self.slots[1].take(one)
+        self.chance = p, q = a & _CHANCE, b & _CHANCE
+        self.ids = i, j = a >> np.uint32(12), b >> np.uint32(12)
+        guess = np.where(p >= q, i, j).astype(np.int64)
+        x, y = _STRETCH.take(p), _STRETCH.take(q)
+        x *= i == guess
+        y *= j == guess
+        z = self.common.stretch.take(guess)
+        self.inputs = x, y, z
         w = self.weights
-        dot = self.inputs[0] * w[0][:n]
-        dot += self.inputs[1] * w[1][:n]
-        dot += self.inputs[2] * w[2][:n]
-        dot *= _GRID
-        self.p = _SQUASH.take(np.minimum(np.maximum(dot.astype(np.int32) + 2048, 0), 4095))
+        dot = x * np.int32(w[0])
+        dot += y * np.int32(w[1])
+        dot += z * np.int32(w[2])
+        dot += np.int32((w[3] << 8) + (2048 << 16))
+        dot >>= np.int32(16)
+        np.maximum(dot, np.int32(1), out=dot)
+        np.minimum(dot, np.int32(4095), out=dot)
+        self.p = _SQUASH.take(dot)
         return guess, self.p
 
     def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
-        n = len(ids)
-        error = hit - self.p.astype(np.float32) * np.float32(2**-15)
-        error *= _LEARN
-        for w, x in zip(self.weights, self.inputs):
-            w[:n] += error * x
-        common = self.common[:n]
-        common += (hit * np.int32(65535) - common) >> 5
-        for said, trust, at, slots in zip(self.said, self.trust, self.at, self.slots):
-            right = said == ids
-            down = trust - (trust >> np.uint32(2))
-            weak = (down < _WEAK) & ~right
-            new = np.where(right, trust + ((_LOW16 - trust) >> np.uint32(3)), down)
-            slots[at] = np.where(weak, ids << _U16 | _FRESH, said << _U16 | new)
+        n, w = len(ids), self.weights
+        error = hit.astype(np.int64)
+        error <<= 16
+        error -= self.p
+        moves = [int(np.dot(error, x)) for x in self.inputs] + [256 * int(error.sum())]
+        self.weights = [max(-_WEIGHT, min(_WEIGHT, v + (m // n >> _RATE))) for v, m in zip(w, moves)]
+        small = ids.astype(np.uint32)
+        fresh = small << np.uint32(12)
+        fresh |= _FRESH
+        for table, at, slot, chance, said in zip(self.slots, self.at, self.said, self.chance, self.ids):
+            new = np.where(said == small, slot + ((_CHANCE - chance) >> np.uint32(3)), slot - (chance >> np.uint32(2)))
+            table[at] = np.where((new & _CHANCE) < _WEAK, fresh, new)
+        self.common.saw(ids)
         self.two[:n] = self.one[:n]
         self.one[:n] = ids
 
 
-class _Writer:
-    """Range coders side by side: 64-bit low and range, words of 32 bits, carries go into words already out."""
-
-    def __init__(self, lanes: int, room: int) -> None:
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, _FULL, np.uint64)
-        self.out, self.at = np.zeros((lanes, room), np.uint32), np.zeros(lanes, np.int64)
-
-    def put(self, lanes, start: np.ndarray, width: np.ndarray, bits) -> None:
-        """lanes: a slice or indices."""
-        r = self.range[lanes] >> bits
-        old = self.low[lanes]
-        low = old + r * start.astype(np.uint64)
-        number = (lambda k: k) if isinstance(lanes, slice) else (lambda k: lanes[k])
-        carry, back = number(np.flatnonzero(low < old)), 1
-        while len(carry):
-            cell = self.out[carry, self.at[carry] - back] + np.uint32(1)
-            self.out[carry, self.at[carry] - back] = cell
-            carry, back = carry[cell == 0], back + 1
-        r *= width.astype(np.uint64)
-        small = np.flatnonzero(r < _SMALL)
-        if len(small):
-            some = number(small)
-            self.out[some, self.at[some]] = (low[small] >> _U32).astype(np.uint32)
-            self.at[some] += 1
-            low[small] <<= _U32
-            r[small] <<= _U32
-        self.low[lanes], self.range[lanes] = low, r
-
-    def end(self) -> list[bytes]:
-        lanes = np.arange(len(self.low))
-        self.out[lanes, self.at] = (self.low >> _U32).astype(np.uint32)
-        self.out[lanes, self.at + 1] = self.low.astype(np.uint32)
-        return [self.out[k, : n + 2].astype("<u4").tobytes() for k, n in enumerate(self.at)]
-
-
-class _Reader:
-    def __init__(self, words: np.ndarray, starts: np.ndarray) -> None:
-        self.words, self.at = np.concatenate([words, np.zeros(4, np.uint32)]), starts + 2
-        self.code = (self.words[starts].astype(np.uint64) << _U32) | self.words[starts + 1]
-        self.range = np.full(len(starts), _FULL, np.uint64)
-
-    def took(self, lanes, code: np.ndarray, r: np.ndarray) -> None:
-        """What is left after an interval; lanes: a slice or indices."""
-        small = np.flatnonzero(r < _SMALL)
-        if len(small):
-            some = small if isinstance(lanes, slice) else lanes[small]
-            code[small] = (code[small] << _U32) | self.words[np.minimum(self.at[some], len(self.words) - 1)]
-            r[small] <<= _U32
-            self.at[some] += 1
-        self.code[lanes], self.range[lanes] = code, r
-
-
-def _grid(ids: np.ndarray) -> tuple[np.ndarray, int, int]:
-    """Row t holds the t-th id of every block; the last block is padded. The number of blocks, and of ids in the last."""
-    blocks = -(-len(ids) // BLOCK)
-    whole = np.zeros(blocks * BLOCK, np.uint16)
-    whole[: len(ids)] = ids
-    return np.ascontiguousarray(whole.reshape(blocks, BLOCK).T)[: min(BLOCK, len(ids))], blocks, len(ids) - (blocks - 1) * BLOCK
-
-
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """The coded words of each block."""
-    if len(ids) == 0:
-        return []
-    if ids.min() < 0 or ids.max() >= 1 << 16:
+def _shape(n: int) -> tuple[int, int, int]:
+    """Lanes and steps of a block of n ids, and the ids of its last lane."""
+    steps = -(-n // min(MAX_LANES, n, 4 * math.isqrt(n)))
+    lanes = -(-n // steps)
+    return lanes, steps, n - (lanes - 1) * steps
+
+
+def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of digits of each lane, and the digits."""
+    if not len(ids):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    if ids.min() < 0 or ids.max() >= IDS:
         raise ValueError("ids must be below 65,536")
-    grid, blocks, last = _grid(ids)
-    model, out = _Model(blocks), _Writer(blocks, 2 * len(grid) + 4)
+    lanes, steps, last = _shape(len(ids))
+    grid = np.zeros(lanes * steps, np.int64)
+    grid[: len(ids)] = ids
+    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
+    model = _Model(lanes)
+    room = 2 * steps + 4
+    out, at = np.zeros(lanes * room, np.uint32), np.arange(lanes) * room
+    all_low, all_range = np.zeros(lanes, np.uint64), np.full(lanes, _FULL, np.uint64)
     for t, row in enumerate(grid):
-        n = blocks if t < last else blocks - 1
-        now = row[:n].astype(np.uint32)
+        n = lanes if t < last else lanes - 1
+        now, low, range_ = row[:n], all_low[:n], all_range[:n]
         guess, p = model.predict(n)
         hit = guess == now
-        width = p << 15
-        start = np.where(hit, 0, width)
+        width = range_ >> _HALF
+        width *= p.view(np.uint64)
         miss = np.flatnonzero(~hit)
-        if len(miss):
-            spelt = _SPELT.take(now.take(miss))
-            size, lead = (spelt >> 24).astype(np.int64), (spelt >> 20 & 15).astype(np.int64)
-            rows = model.size.rows(miss)
-            low, wide = _Cdf.interval(rows, size)
-            edge = width.take(miss)
-            unit = ((1 << 30) - edge) >> _CDF_BITS
-            start[miss] = edge + unit * low
-            width[miss] = unit * wide
-            model.size.learn(miss, rows, size)
-        out.put(slice(0, n), start, width, _JOINT)
-        if len(miss):
-            at = miss * 16 + size
-            rows = model.lead.rows(at)
-            low, wide = _Cdf.interval(rows, lead)
-            few = (spelt >> 16 & 15).astype(np.int64)
-            out.put(miss, (low << few) + (spelt & _LOW16) * wide, wide, (few + _CDF_BITS).astype(np.uint64))
-            model.lead.learn(at, rows, lead)
+        edge, said = width.take(miss), now.take(miss)
+        unit = (range_.take(miss) - edge) // np.uint64(model.common.total)
+        low[miss] += edge + unit * model.common.starts.take(said).view(np.uint64)
+        width[miss] = unit * model.common.widths.take(said).view(np.uint64)
+        range_[:] = width
+        small = np.flatnonzero(width < _LEAST)
+        while len(small):
+            cell, x, y = at.take(small), low.take(small), range_.take(small) << _UP
+            out[cell] = x >> _OUT  # with the carry, if there is one
+            at[small] = cell + 1
+            low[small] = (x & _KEEP) << _UP
+            range_[small] = y
+            small = small[y < _LEAST]
         model.learn(now, hit)
-    return out.end()
-
-
-def decode_blocks(words: np.ndarray, starts: np.ndarray, n_ids: int) -> np.ndarray:
-    """The ids of all blocks, one block after another; starts: each block's first word."""
+    for _ in range(3):
+        out[at] = all_low >> _OUT
+        at += 1
+        all_low = (all_low & _KEEP) << _UP
+    sizes = at - np.arange(lanes) * room
+    digits = out[co.ragged(np.arange(lanes) * room, sizes)]
+    while (carry := digits >> np.uint32(_DIGIT)).any():  # never out of a lane's first digit
+        digits &= np.uint32((1 << _DIGIT) - 1)
+        digits[:-1] += carry[1:]
+    return sizes, digits
+
+
+def decode_block(n_ids: int, sizes: np.ndarray, digits: np.ndarray) -> np.ndarray:
     if n_ids == 0:
-        return np.zeros(0, np.int64)
-    blocks = len(starts)
-    last = n_ids - (blocks - 1) * BLOCK
-    model, source = _Model(blocks), _Reader(words, starts.astype(np.int64))
-    grid = np.zeros((min(BLOCK, n_ids), blocks), np.uint16)
+        return np.zeros(0, np.uint16)
+    lanes, steps, last = _shape(n_ids)
+    if lanes != len(sizes):
+        raise ValueError("not a block of this layout")
+    model = _Model(lanes, decoding=True)
+    digits = np.concatenate([digits, np.zeros(4, np.uint32)]).astype(np.uint64)
+    at = np.cumsum(sizes) - sizes
+    all_code, all_range = np.zeros(lanes, np.uint64), np.full(lanes, _FULL, np.uint64)
+    for _ in range(3):
+        all_code = all_code << _UP | digits.take(at, mode="clip")
+        at += 1
+    grid = np.zeros((steps, lanes), np.uint16)
     for t, row in enumerate(grid):
-        n = blocks if t < last else blocks - 1
-        all_ = slice(0, n)
+        n = lanes if t < last else lanes - 1
+        code, range_ = all_code[:n], all_range[:n]
         now, p = model.predict(n)
-        edge = (p << 15).astype(np.uint64)
-        r = source.range[all_] >> _JOINT
-        code, bound = source.code[all_], r * edge
-        hit = code < bound
-        left, wide = np.where(hit, code, code - bound), bound
+        width = range_ >> _HALF
+        width *= p.view(np.uint64)
+        hit = code < width
         miss = np.flatnonzero(~hit)
-        if len(miss):
-            rows = model.size.rows(miss)
-            unit = r.take(miss) * ((np.uint64(1 << 30) - edge.take(miss)) >> np.uint64(_CDF_BITS))
-            rest = left.take(miss)
-            size = _Cdf.symbol(rows, np.minimum(rest // unit, np.uint64((1 << _CDF_BITS) - 1)))
-            low, width = _Cdf.interval(rows, size)
-            left[miss] = rest - unit * low.astype(np.uint64)
-            wide[miss] = unit * width.astype(np.uint64)
-            model.size.learn(miss, rows, size)
-        source.took(all_, left, wide)
-        if len(miss):
-            at = miss * 16 + size
-            rows = model.lead.rows(at)
-            few = _FEW.take(size)
-            bits = (few + _CDF_BITS).astype(np.uint64)
-            r, code = source.range.take(miss) >> bits, source.code.take(miss)
-            value = np.minimum(code // r, (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
-            lead = _Cdf.symbol(rows, value >> few)
-            low, width = _Cdf.interval(rows, lead)
-            low <<= few
-            tail = (value - low) // width
-            model.lead.learn(at, rows, lead)
-            source.took(miss, code - r * (low + tail * width).astype(np.uint64), r * width.astype(np.uint64))
-            now[miss] = (_LEAST.take(size * 16 + lead) + tail).astype(np.uint32)
+        edge = width.take(miss)
+        unit = (range_.take(miss) - edge) // np.uint64(model.common.total)
+        rest = code.take(miss) - edge
+        said = model.common.find(np.minimum((rest // unit).view(np.int64), model.common.total - 1))
+        code[miss] = rest - unit * model.common.starts.take(said).view(np.uint64)
+        width[miss] = unit * model.common.widths.take(said).view(np.uint64)
+        now[miss] = said
+        range_[:] = width
+        small = np.flatnonzero(width < _LEAST)
+        while len(small):
+            cell, y = at.take(small), range_.take(small) << _UP
+            at[small] = cell + 1
+            code[small] = code.take(small) << _UP | digits.take(cell, mode="clip")
+            range_[small] = y
+            small = small[y < _LEAST]
         model.learn(now, hit)
         row[:n] = now
     return grid.T.reshape(-1)[:n_ids]
 
 
+def packed(digits: np.ndarray) -> bytes:
+    """Two digits to five bytes."""
+    pairs = np.zeros((len(digits) + 1) // 2 * 2, np.uint64)
+    pairs[: len(digits)] = digits
+    return (pairs[::2] << _UP | pairs[1::2]).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    wide = np.zeros((len(data) // 5, 8), np.uint8)
+    wide[:, 3:] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    pairs = wide.reshape(-1).view(">u8").astype(np.uint64)
+    return np.stack([pairs >> _UP, pairs & np.uint64((1 << _DIGIT) - 1)], axis=1).reshape(-1)[:n].astype(np.uint32)
+
+
+def _cuts(n_ids: int) -> list[int]:
+    """Where the blocks of a segment begin, and its end."""
+    blocks = max(1, round(n_ids / BLOCK)) if n_ids else 0
+    return [n_ids * k // max(blocks, 1) for k in range(blocks + 1)]
+
+
 def pack(keys: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """One segment."""
-    coded = encode_blocks(ids)
-    little = ids.astype("<u4")
-    head = [_HEAD.pack(MAGIC, VERSION, len(keys), len(coded), len(ids))]
-    table = np.zeros(len(keys), np.dtype([("valid", "u1"), ("key", "<i8"), ("n", "<u4")]))
+    cuts = _cuts(len(ids))
+    parts = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+    table = np.zeros(len(keys), _KEYS)
     table["valid"] = [k is not None for k in keys]
     table["key"] = [k or 0 for k in keys]
     table["n"] = lengths
-    head.append(table.tobytes())
-    head += [struct.pack("<III", min(BLOCK, len(ids) - k * BLOCK), len(x) // 4, zlib.crc32(little[k * BLOCK : (k + 1) * BLOCK].tobytes())) for k, x in enumerate(coded)]
-    body = b"".join(head + coded)
-    return body + struct.pack("<I", zlib.crc32(body))
+    head, body = [_HEAD.pack(MAGIC, VERSION, len(keys), len(parts), len(ids)), table.tobytes()], []
+    for part in parts:
+        sizes, digits = encode_block(part)
+        head.append(struct.pack("<III", len(part), len(digits), zlib.crc32(part.astype("<u4").tobytes())))
+        body += [sizes.astype("<u4").tobytes(), packed(digits)]
+    data = b"".join(head + body)
+    return data + struct.pack("<I", zlib.crc32(data))
+
+
+_KEYS = np.dtype([("valid", "u1"), ("key", "<i8"), ("n", "<u4")])
 
 
 def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -318,29 +314,73 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     magic, version, n_docs, n_blocks, n_ids = _HEAD.unpack_from(data)
     if (magic, version) != (MAGIC, VERSION):
         raise ValueError("not a segment of this version")
-    kind = np.dtype([("valid", "u1"), ("key", "<i8"), ("n", "<u4")])
-    table = np.frombuffer(data, kind, n_docs, _HEAD.size)
-    at = _HEAD.size + n_docs * kind.itemsize
+    table = np.frombuffer(data, _KEYS, n_docs, _HEAD.size)
+    at = _HEAD.size + n_docs * _KEYS.itemsize
     info = np.frombuffer(data, "<u4", 3 * n_blocks, at).reshape(n_blocks, 3)
-    words = np.frombuffer(data, "<u4", int(info[:, 1].sum()), at + 12 * n_blocks)
-    ids = decode_blocks(words, np.cumsum(info[:, 1].astype(np.int64)) - info[:, 1], n_ids)
-    little = ids.astype("<u4")
-    for k, (_, _, crc) in enumerate(info):
-        if zlib.crc32(little[k * BLOCK : (k + 1) * BLOCK].tobytes()) != crc:
+    at += 12 * n_blocks
+    ids = np.zeros(n_ids, np.uint16)
+    filled = 0
+    for k, (n, n_digits, crc) in enumerate(info.tolist()):
+        lanes = _shape(n)[0] if n else 0
+        sizes = np.frombuffer(data, "<u4", lanes, at).astype(np.int64)
+        at += 4 * lanes
+        end = at + (n_digits + 1) // 2 * 5
+        part = decode_block(n, sizes, unpacked(data[at:end], n_digits))
+        at = end
+        if zlib.crc32(part.astype("<u4").tobytes()) != crc:
             raise ValueError(f"block {k} is damaged")
+        ids[filled : filled + n] = part
+        filled += n
     return [int(k) if v else None for v, k in zip(table["valid"], table["key"])], table["n"].astype(np.int64), ids
 
 
-#: White space, or what may be a special token, in a piece.
+#: White space, or what may be a special token, in a unit.
 _SPECIAL = re.compile(r"\s|<\|")
+#: White space that stands before and after a space, or a space at the end behind white space; or a special token.
+_ODD = r"[\s\pZ\x{1c}-\x{1f}\x{0b}\x{85}] (?:[\s\pZ\x{1c}-\x{1f}\x{0b}\x{85}]|\z)|<\|"
+
+# Classes of bytes: letters in ASCII; leading bytes of U+00C0 to U+027F, which but for two are letters; bytes that follow
+# one; white space and other characters in ASCII; and bytes of characters whose class isn't looked up.
+_LETTER, _LEAD, _NEXT, _SPACE, _OTHER, _UNKNOWN = 1, 2, 4, 8, 16, 32
+_CLASS = np.full(256, _UNKNOWN, np.uint8)
+_CLASS[:128], _CLASS[128:192], _CLASS[0xC3:0xCA] = _OTHER, _NEXT, _LEAD
+_CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_CLASS[[*range(9, 14), *range(28, 33)]] = _SPACE
+
+
+def unit_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where texts may be cut such that their parts get the same tokens alone as together: at spaces, behind a letter
+    where no letter follows, and before a letter that follows another character. Not between a space and what comes
+    after it, nor behind an apostrophe, nor behind two white spaces, nor beside characters of unknown class.
+
+    That follows from the byte-level pattern: runs of letters with the space before, of digits, of other characters and
+    of white space, and after an apostrophe some endings.
+    """
+    n = len(raw)
+    kind = np.zeros(n + 2, np.uint8)
+    kind[2:] = _CLASS.take(raw)
+    now, before = kind[2:], kind[1:-1]
+    second = (now == _NEXT) & (before == _LEAD)
+    signs = np.flatnonzero(second & ((raw == 0x97) | (raw == 0xB7)))  # the signs of multiplication and division
+    signs = signs[raw[signs - 1] == 0xC3]
+    letter = (now == _LETTER) | (now == _LEAD) | second
+    letter[signs] = letter[signs - 1] = False
+    plain = (now & (_SPACE | _OTHER)) != 0
+    cut = raw == 32
+    cut[1:] |= letter[:-1] & plain[1:]
+    may = plain[:-1] & letter[1:] & ~cut[:-1]
+    may &= raw[:-1] != 39
+    may &= ~((now[:-1] == _SPACE) & (before[:-1] == _SPACE))
+    cut[1:] |= may
+    cut[offsets[:-1][offsets[:-1] < n]] = True
+    return np.flatnonzero(cut)
 
 
 class Encoder:
-    """The tokenizers library over distinct pieces.
+    """The tokenizers library over distinct units of texts; texts in which spaces may not be cut at are encoded whole.
 
-    The byte-level pattern starts a new token at every space, except at one that stands between white space and white
-    space or the end; texts with such a space are encoded whole. Distinct pieces are encoded together, joined by
-    spaces, and taken apart at the tokens that begin with a space; pieces with white space in them one by one.
+    Units that begin with a space are encoded together and taken apart at the tokens that begin with one; other units
+    likewise, with a line end between them; units with other white space in them one by one.
     """
 
     JOIN = 2000
@@ -351,57 +391,65 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a text never yields a control id
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.spaced, self.line = np.zeros(max(vocabulary.values(), default=0) + 1, bool), np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         for token, i in vocabulary.items():
-            self.spaced[i] = token.startswith("\u0120")
-        self.later = co.PieceCache(self._pieces)
-        self.first = co.PieceCache(lambda xs: co.listed(xs, self._ids(xs)), 50_000)
+            self.spaced[i] = token.startswith("Ġ")
+            self.line[i] = token.startswith("Ċ")
+        self.cache = co.UnitCache(self._units)
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
         for k in range(0, len(texts), 20_000):
-            out += [x.ids for x in self.tokenizer.encode_batch_fast(texts[k : k + 20_000], add_special_tokens=False)]
+            out += [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(texts[k : k + 20_000], add_special_tokens=False)]
         return out
 
-    def _pieces(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Ids of the pieces with a space before each."""
-        plain, alone = [], []
-        for x in pieces:
-            (alone if not x or _SPECIAL.search(x) else plain).append(x)
-        order, flat, lengths = [], [], []
-        for lo in range(0, len(plain), self.JOIN):
-            some = plain[lo : lo + self.JOIN]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, np.int32)
-            starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) != len(some):
-                alone += some  # another vocabulary than its pattern promises
-                continue
-            order += some
-            flat.append(ids)
-            lengths.append(np.diff(starts, append=len(ids)))
-        _, ids, sizes = co.listed(alone, self._ids([" " + x for x in alone]))
-        return order + alone, np.concatenate([*flat, ids]), np.concatenate([*lengths, sizes])
+    def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units, and the number of each."""
+        order: list[int] = []
+        flat: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+        with_space, without, alone = [], [], []
+        for k, x in enumerate(units):
+            (alone if len(x) < 2 or _SPECIAL.search(x, 1) else with_space if x[0] == " " else alone if _SPECIAL.match(x) else without).append(k)
+        for group, join, first in ((with_space, "", self.spaced), (without, "\n", self.line)):
+            for lo in range(0, len(group), self.JOIN):
+                some = group[lo : lo + self.JOIN]
+                said = self.tokenizer.encode_batch_fast([join + join.join([units[k] for k in some])], add_special_tokens=False)[0]
+                ids = np.array(said.ids, np.int32)
+                starts = np.flatnonzero(first[ids])
+                if len(starts) != len(some):
+                    alone += some  # another vocabulary than its pattern promises
+                    continue
+                order += some
+                sizes = np.diff(starts, append=len(ids))
+                if join:
+                    ids, sizes = np.delete(ids, starts), sizes - 1
+                flat.append(ids)
+                lengths.append(sizes)
+        said = self._ids([units[k] for k in alone])
+        ids = np.concatenate([*flat, *said, np.zeros(0, np.int32)])
+        sizes = np.concatenate([*lengths, np.array([len(x) for x in said], np.int64)])
+        back = np.empty(len(units), np.int64)
+        back[order + alone] = np.arange(len(units))
+        return ids[co.ragged((np.cumsum(sizes) - sizes)[back], sizes[back])], sizes[back]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and lengths."""
-        odd = pc.match_substring_regex(texts, r"[\s\pZ\x{1c}-\x{1f}\x{0b}\x{85}] (?:[\s\pZ\x{1c}-\x{1f}\x{0b}\x{85}]|\z)").to_numpy(zero_copy_only=False)
-        plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
-        pieces, offsets = co.space_pieces(plain)
-        ids, counts = self.later.lookup(pieces)
-        heads, head_counts = self.first.lookup(pieces.take(pa.array(offsets[:-1])))
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        raw, offsets = co.buffers(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts)
+        starts = unit_starts(raw, offsets)
+        ids, counts = self.cache.lookup(raw, starts, np.diff(starts, append=len(raw)))
         sums = np.concatenate([[0], np.cumsum(counts)])
-        # a text's own ids: those of its first piece without a space before it, then the rest
-        skip, ends = sums[offsets[:-1] + 1], sums[offsets[1:]]
-        whole = [np.asarray(x, np.int32) for x in self._ids([texts[int(k)].as_py() for k in np.flatnonzero(odd)])]
-        head_starts = np.cumsum(head_counts) - head_counts
-        pool = np.concatenate([heads, ids, *whole])
-        starts = np.stack([head_starts, len(heads) + skip], axis=1).reshape(-1)
-        lengths = np.stack([head_counts, ends - skip], axis=1).reshape(-1)
-        at = len(heads) + len(ids)
-        for k, x in zip(np.flatnonzero(odd), whole):
-            starts[2 * k : 2 * k + 2], lengths[2 * k : 2 * k + 2] = at, (len(x), 0)
-            at += len(x)
-        return pool[co.ragged(starts, lengths)], lengths.reshape(-1, 2).sum(axis=1)
+        ends = sums[np.searchsorted(starts, offsets)]
+        lengths = np.diff(ends)
+        if not odd.any():
+            return ids, lengths
+        which = np.flatnonzero(odd)
+        whole = self._ids([texts[int(k)].as_py() for k in which])
+        pool, begins = np.concatenate([ids, *whole]), ends[:-1].copy()
+        lengths[which] = [len(x) for x in whole]
+        begins[which] = len(ids) + np.cumsum(lengths[which]) - lengths[which]
+        return pool[co.ragged(begins, lengths)], lengths
 
 
 _LOADED: dict[str, Encoder] = {}

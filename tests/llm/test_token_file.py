@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,6 +12,9 @@ from passagemill.llm import token_file as tf
 from passagemill.llm.queries import vocabulary
 
 PATH = vocabulary("byte_bpe_50k.json")
+CODER = tf.Encoder(PATH)
+PLAIN = Tokenizer.from_file(PATH)
+PLAIN.encode_special_tokens = True
 SPACES = " \n\t\r\x0b\x1c\x85\xa0 　"
 
 
@@ -29,6 +33,24 @@ def test_many_blocks_and_skewed_ids_shrink():
     assert (tf.unpack(data)[2] == ids).all() and len(data) < 2 * len(ids)
 
 
+def test_fewer_bits_than_a_dictionary_coder_and_than_order_0():
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].combine_chunks()
+    ids = CODER.encode(docs)[0]
+    n = len(ids)
+    assert n > 500_000
+    bits = 8 * len(tf.pack([1], np.array([n]), ids)) / n
+    share = np.bincount(ids) / n
+    assert bits < 8 * len(zlib.compress(ids.astype("<u2").tobytes(), 9)) / n and bits < -sum(p * np.log2(p) for p in share if p)
+
+
+def test_lanes_do_not_matter():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 15, 16, 17, 4096, 70_001):
+        ids = rng.zipf(1.2, n) % 60_000
+        sizes, digits = tf.encode_block(ids)
+        assert len(sizes) == tf._shape(n)[0] and (tf.decode_block(n, sizes, tf.unpacked(tf.packed(digits), len(digits))) == ids).all()
+
+
 def test_damage_is_found():
     data = bytearray(tf.pack([1], np.array([3]), np.array([7, 8, 9])))
     data[-9] ^= 1
@@ -38,13 +60,8 @@ def test_damage_is_found():
         tf.unpack(b"")
 
 
-CODER = tf.Encoder(PATH)
-PLAIN = Tokenizer.from_file(PATH)
-PLAIN.encode_special_tokens = True
-
-
 @settings(max_examples=500, deadline=None)
-@given(st.lists(st.text(alphabet="ab1.'sé😀" + SPACES, max_size=14) | st.sampled_from(["<|endoftext|>", "a <|endoftext|>b", "Ġa Ġ", "\u2581 x"]), min_size=1, max_size=5))
+@given(st.lists(st.text(alphabet="abt1._'sé×÷ĀɏʰЖ\u0301😀" + SPACES, max_size=14) | st.sampled_from(["<|endoftext|>", "a <|endoftext|>b", "Ġa Ġ", "\u2581 x", "don't 'tis 2nd (word) a.\nB", "x" * 30 + " " + "é" * 12 + "y"]), min_size=1, max_size=5))
 def test_pieces_are_encoded_as_whole_texts_are(texts):
     ids, lengths = CODER.encode(pa.array(texts))
     ends = np.cumsum(lengths)
