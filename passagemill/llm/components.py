@@ -1,27 +1,35 @@
-"""Connected components of a distributed edge list, in DataFrame operations only.
+"""Connected components of a distributed edge list.
 
 Each round hooks every node to the neighbour of least priority (a hash that changes with the round, so that paths and
-stars shrink alike), contracts the edges and drops those inside a group. Nodes and edges never reach the driver; each
-round's tables are cut off by a checkpoint. Nulls and loops in the edges connect nothing.
+stars shrink alike), contracts the edges and drops those inside a group, in DataFrame operations. Once few edges are
+left, a single task contracts them. Nodes and edges never reach the driver; each round's tables are cut off by writing
+them. Nulls and loops in the edges connect nothing.
 """
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import itertools
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; where it names none, as in tests, a temporary one."""
+    """The checkpoint folder that the session names. Where it names none, a temporary one, if all runs in one process."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), "passagemill-checkpoints")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
@@ -33,13 +41,51 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/passagemill-{what}-{uuid.uuid4().hex}"
 
 
+def deleted(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_RESULTS: dict[str, list[str]] = {}
+
+
+def kept_until_exit(spark: SparkSession, path: str) -> str:
+    """The path, which is deleted when this process ends with its Spark application still running."""
+    app = spark.sparkContext.applicationId
+    if not _RESULTS:
+        atexit.register(_end)
+    _RESULTS.setdefault(app, []).append(path)
+    return path
+
+
+def _end() -> None:
+    spark = SparkSession.getActiveSession()
+    with contextlib.suppress(Exception):  # the application may be gone
+        if spark is not None:
+            deleted(spark, _RESULTS.get(spark.sparkContext.applicationId, []))
+
+
 def saved(df: DataFrame, what: str = "table") -> DataFrame:
-    """The rows, written to the shared folder and read back: no lineage, and nothing that dies with an executor."""
-    path = scratch(df.sparkSession, what)
+    """The rows, written to the shared folder and read back: no lineage, and nothing that dies with an executor. For
+    results, which callers may read as long as the application runs."""
+    path = kept_until_exit(df.sparkSession, scratch(df.sparkSession, what))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def renamed(carried: list[str], results) -> list[str]:
+    """Names for carried columns that differ from those of the results: ``_input`` is put behind those that clash."""
+    taken, out = {*results, *carried}, []
+    for name in carried:
+        if name in results:
+            while name in taken:
+                name += "_input"
+            taken.add(name)
+        out.append(name)
+    return out
+
+
 class Workspace:
     """Tables in the shared folder that go when the work inside is done; what is left of it must be saved outside."""
 
@@ -56,9 +102,11 @@ class Workspace:
         return self
 
     def __exit__(self, *_: object) -> None:
-        for path in self.paths:
-            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        self.clear()
+
+    def clear(self) -> None:
+        deleted(self.spark, self.paths)
+        self.paths = []
 
 
 #: Rows that go to Python at once, where rows are whole texts.
@@ -85,27 +133,40 @@ def batch_rows(spark: SparkSession, rows: int):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+#: So many edges at most are contracted in one task (some 200 bytes each there); more in distributed rounds, until few
+#: are left.
+TASK_EDGES = 200_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) of all nodes in the edges; the component is the smallest node."""
+    """(node, component) of all nodes in the edges; the component is the smallest node. Nodes are of any type that has
+    an order and a hash."""
     with Workspace(edges.sparkSession) as work:
-        return saved(_labels(edges, a, b, work), "components")
+        return saved(labelled(edges, work, a, b), "components")
 
 
-def _labels(edges: DataFrame, a: str, b: str, work: Workspace) -> DataFrame:
+def labelled(edges: DataFrame, work: Workspace, a: str = "a", b: str = "b", task_edges: int = TASK_EDGES) -> DataFrame:
+    """As ``components``, from tables that go with ``work``."""
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a != b")
     pairs = work.saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     roots: DataFrame | None = None
     for turn in itertools.count():
-        if pairs.isEmpty():
+        n = pairs.count()
+        if n == 0:
             break
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        ranked = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("v"))
-        hooks = both.groupBy("a").agg(F.min(ranked("b")).alias("least")).select(F.col("a").alias("v"), F.least(F.col("least"), ranked("a"))["v"].alias("to"))
-        hooks = work.saved(hooks, "hooks")
+        if n <= task_edges:
+            hooks = work.saved(_contracted(pairs), "hooks")
+        else:
+            both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            ranked = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("v"))
+            hooks = both.groupBy("a").agg(F.min(ranked("b")).alias("least")).select(F.col("a").alias("v"), F.least(F.col("least"), ranked("a"))["v"].alias("to"))
+            hooks = work.saved(hooks, "hooks")
         if roots is None:
             roots = hooks.select(F.col("v").alias("node"), F.col("to").alias("root"))
         else:
             roots = work.saved(roots.join(hooks, roots.root == hooks.v, "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+        if n <= task_edges:
+            break
         left = pairs.join(hooks, pairs.a == hooks.v).select(F.col("to").alias("x"), "b")
         moved = left.join(hooks, left.b == hooks.v).select("x", F.col("to").alias("y")).where("x != y")
         pairs = work.saved(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
@@ -113,3 +174,27 @@ def _labels(edges: DataFrame, a: str, b: str, work: Workspace) -> DataFrame:
         return pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
     least = roots.groupBy("root").agg(F.min("node").alias("component"))
     return roots.join(least, "root").select("node", "component")
+
+
+def _contracted(pairs: DataFrame) -> DataFrame:
+    """(v, to) of all nodes of few edges, where ``to`` is one node for each component: hooks and pointer jumps in numpy."""
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        coded = pa.chunked_array([*table["a"].chunks, *table["b"].chunks]).combine_chunks().dictionary_encode()
+        ends = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64).reshape(2, -1)
+        root = np.arange(len(coded.dictionary))
+        while True:
+            x, y = root[ends[0]], root[ends[1]]
+            if (x == y).all():
+                break
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root != (up := root[root])).any():
+                root = up
+        yield pa.RecordBatch.from_arrays([coded.dictionary, coded.dictionary.take(pa.array(root))], ["v", "to"])
+
+    return pairs.coalesce(1).mapInArrow(run, f"v {kind}, to {kind}")
