@@ -5,10 +5,12 @@ registers; a register keeps the least point and stores it on an exponential scal
 unions are register-wise maxima. Four registers make a band; documents that share a band value are candidates, a joint
 maximum-likelihood estimate of the Jaccard similarity screens them, and the full sets decide.
 
-Groups of copies: documents with equal sets form one class, which a 64-bit hash of the set stands for, so copies never
-meet in pairs, and rows need no ids of their own. In each bucket every class is first compared with the bucket's least one only. What is then connected needs no
-more comparisons; buckets that still hold several components are compared in blocks, across components, until each
-pair is either joined through others or decided. No partner is ever capped or sampled away.
+Groups of copies: documents with equal sets form one class, which a 128-bit fingerprint of the set stands for, so copies
+never meet in pairs, and rows need no ids of their own. (That equal fingerprints mean equal sets is the one thing that
+isn't confirmed on the sets: two of 10**12 sets share one with a chance of one in 10**14.) In each bucket every class is
+first compared with the bucket's least one only. What is then connected needs no more comparisons; buckets that still
+hold several components are compared in blocks, across components, until each pair is either joined through others or
+decided; each pair of blocks is a row of its own, dealt out by bucket and block. No partner is capped or sampled away.
 
 Defined cases: null and empty texts, and texts of white space, have no shingles and link with nothing; fewer than five
 words make one shingle; repeated rows of a document are one class; different texts of one id are decided each by itself;
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from . import columnar as co
-from .components import TEXT_ROWS, Workspace, batch_rows, components, saved
+from .components import TEXT_ROWS, Workspace, batch_rows, labelled, saved
 
 SHINGLE, SIMILARITY = 5, (75, 100)
 REGISTERS, BAND = 128, 4
@@ -123,24 +125,32 @@ def _likely(up: np.ndarray, down: np.ndarray, m: int, na: np.ndarray, nb: np.nda
 
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n, h1, h2, sketch): the set's size, a 128-bit fingerprint of it, and its registers."""
+    """(doc_id, n, id, sketch): the set's size, a 128-bit fingerprint of it, and its registers."""
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in co.slices(batches, "text"):
             grams, offsets = shingle_sets(*co.buffers(co.filled(batch["text"])))
             sizes = np.diff(offsets)
-            h1, h2 = (_fingerprints(grams, offsets, seed) for seed in SEEDS)
-            rows = sketches(grams, offsets)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(h1), pa.array(h2), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "n", "h1", "h2", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), _fingerprints(grams, offsets), _rows(sketches(grams, offsets))], ["doc_id", "n", "id", "sketch"])
 
-    return source.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sketch binary")
+    return source.mapInArrow(run, "doc_id long, n long, id binary, sketch binary")
 
 
-def _fingerprints(grams: np.ndarray, offsets: np.ndarray, seed: int) -> np.ndarray:
-    """A 64-bit hash of each set."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(co.mix(grams ^ np.uint64(seed)), dtype=np.uint64)])
-    return co.mix(sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64)
+def _rows(table: np.ndarray) -> pa.Array:
+    """The bytes of each row."""
+    width = table.shape[1] * table.itemsize
+    data = pa.py_buffer(np.ascontiguousarray(table))
+    return pa.BinaryArray.from_buffers(pa.binary(), len(table), [None, pa.py_buffer(np.arange(len(table) + 1, dtype=np.int32) * np.int32(width)), data])
+
+
+def _fingerprints(grams: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A 128-bit hash of each set."""
+    halves = []
+    for seed in SEEDS:
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(co.mix(grams ^ np.uint64(seed)), dtype=np.uint64)])
+        halves.append(co.mix(sums[offsets[1:]] - sums[offsets[:-1]]))
+    return _rows(np.stack(halves, axis=1))
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, needed: DataFrame) -> DataFrame:
@@ -162,10 +172,11 @@ def _sets(docs: DataFrame, doc_id: str, text: str, needed: DataFrame) -> DataFra
             for batch in co.slices(iter([picked]), "text"):
                 grams, offsets = shingle_sets(*co.buffers(co.filled(batch["text"])))
                 raw = grams.tobytes()
-                ids, first = np.unique(_fingerprints(grams, offsets, SEEDS[0]), return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([raw[8 * offsets[k] : 8 * offsets[k + 1]] for k in first], pa.binary())], ["id", "grams"])
+                ids = _fingerprints(grams, offsets)
+                _, first = np.unique(ids.dictionary_encode().indices.to_numpy(), return_index=True)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(first)), pa.array([raw[8 * offsets[k] : 8 * offsets[k + 1]] for k in first], pa.binary())], ["id", "grams"])
 
-    return source.mapInArrow(run, "id long, grams binary").join(needed.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    return source.mapInArrow(run, "id binary, grams binary").join(needed.select("id"), "id", "left_semi").dropDuplicates(["id"])
 
 
 def _banded(classes: DataFrame) -> DataFrame:
@@ -179,7 +190,7 @@ def _banded(classes: DataFrame) -> DataFrame:
             keys = band_keys(rows)
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), batch["id"].take(pa.array(np.repeat(np.arange(batch.num_rows), keys.shape[1])))], ["key", "id"])
 
-    return classes.select("id", "sketch").mapInArrow(run, "key long, id long")
+    return classes.select("id", "sketch").mapInArrow(run, "key long, id binary")
 
 
 def _screened(pairs: DataFrame, least: float) -> DataFrame:
@@ -194,7 +205,7 @@ def _screened(pairs: DataFrame, least: float) -> DataFrame:
                 good = likely_jaccard(*rows, *sizes) >= least
                 yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, "a binary, b binary")
 
 
 def enough(shared, total, similarity: tuple[int, int] = SIMILARITY):
@@ -213,7 +224,7 @@ def _verified(pairs: DataFrame) -> DataFrame:
                 good[k] = enough(_shared(p, q), len(p) + len(q))
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, "a binary, b binary")
 
 
 def _shared(p: np.ndarray, q: np.ndarray) -> int:
@@ -234,7 +245,9 @@ def _across(blocks: DataFrame, least: float) -> DataFrame:
             for row in range(batch.num_rows):
                 x, y = (batch[c][row].values for c in ("x", "y"))
                 part = [tuple(s.field(c) for c in ("id", "component", "n", "sketch", "grams")) for s in (x, y)]
-                ids, comps, sizes = (tuple(p[k].to_numpy(zero_copy_only=False) for p in part) for k in range(3))
+                coded = pa.chunked_array([part[0][1], part[1][1]]).combine_chunks().dictionary_encode()
+                comps = np.split(coded.indices.to_numpy(zero_copy_only=False), [len(x)])
+                ids, sizes = [p[0] for p in part], [p[2].to_numpy(zero_copy_only=False) for p in part]
                 regs = [np.frombuffer(b"".join(p[3].to_pylist()), np.uint16).reshape(len(p[3]), -1) for p in part]
                 found = []
                 for i in range(len(ids[0])):
@@ -249,7 +262,7 @@ def _across(blocks: DataFrame, least: float) -> DataFrame:
                     if len(other):
                         guess = _likely(up, down, REGISTERS, np.full(len(other), float(sizes[0][i])), sizes[1][other].astype(float))
                         found += [(g, i, int(j)) for g, j in zip(guess, other) if g >= least]
-                root = {int(c): int(c) for side in comps for c in side}
+                root = list(range(len(coded.dictionary)))
 
                 def top(c: int) -> int:
                     while root[c] != c:
@@ -263,11 +276,11 @@ def _across(blocks: DataFrame, least: float) -> DataFrame:
                         p, q = (np.frombuffer(part[side][4][k].as_buffer(), np.uint64) for side, k in ((0, i), (1, j)))
                         if enough(_shared(p, q), len(p) + len(q)):
                             root[a] = b
-                            links.append((int(ids[0][i]), int(ids[1][j])))
+                            links.append((ids[0][i].as_py(), ids[1][j].as_py()))
                 if links:
-                    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.binary()), pa.array([b for _, b in links], pa.binary())], ["a", "b"])
 
-    return blocks.mapInArrow(run, "a long, b long")
+    return blocks.mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -279,10 +292,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 def _decided(docs: DataFrame, doc_id: str, text: str, work: Workspace) -> DataFrame:
     least = SIMILARITY[0] / SIMILARITY[1] - MARGIN
     sig = work.saved(signatures(docs, doc_id, text), "signatures")
-    classes = work.saved(sig.where("n > 0").groupBy(F.col("h1").alias("id")).agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    classes = work.saved(sig.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     named = classes.select("id", "n", "sketch")
     banded = _banded(classes)
-    buckets = banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub != last").select("key", "hub")
+    # Written, so that the join that follows deals out both sides anew, and a full bucket may be split.
+    buckets = work.saved(banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub != last").select("key", "hub"), "buckets")
     members = work.saved(banded.join(buckets, "key"), "members")  # key, id, hub: only of buckets with several classes
 
     pairs = members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
@@ -292,11 +306,11 @@ def _decided(docs: DataFrame, doc_id: str, text: str, work: Workspace) -> DataFr
     sets = work.saved(_sets(docs, doc_id, text, work.saved(classes.select("id", "rep").join(members.select("id").distinct(), "id"), "needed")), "sets")
     left, right = (sets.select(F.col("id").alias(c), F.col("grams").alias(f"g{c}")) for c in "ab")
     links = work.saved(_verified(close.join(right, "b").join(left, "a").select("a", "b", "ga", "gb")), "links")
-    found = components(links)
+    found = work.saved(labelled(links, work), "components")
 
     # Buckets whose members, without the hub that all were compared with, are in several components.
     rest = members.where("id != hub").join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    split = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    split = work.saved(rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key"), "split")
     open_ = work.saved(rest.join(split, "key").select("key", "id", "component"), "open")
     if open_.isEmpty():
         return _result(sig, classes, found)
@@ -306,14 +320,15 @@ def _decided(docs: DataFrame, doc_id: str, text: str, work: Workspace) -> DataFr
     cells = open_.join(known.select("id", "n"), "id").groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(8 * F.sum("n") / BLOCK_BYTES)).cast("int").alias("cells"))
     rows = open_.join(cells, "key").join(known, "id")
     cell = F.pmod(F.xxhash64("id", "key"), F.col("cells")).cast("int")
-    blocks = rows.withColumn("cell", cell).groupBy("key", "cell").agg(F.collect_list(F.struct("id", "component", "n", "sketch", "grams")).alias("list"))
+    blocks = rows.withColumn("cell", cell).groupBy("key", "cells", "cell").agg(F.collect_list(F.struct("id", "component", "n", "sketch", "grams")).alias("list"))
     blocks = work.saved(blocks, "blocks")
-    one, two = blocks.select("key", F.col("cell").alias("i"), F.col("list").alias("x")), blocks.select("key", F.col("cell").alias("j"), F.col("list").alias("y"))
-    cross = one.join(two, "key").where("i <= j").select("x", "y")
+    one = blocks.select("key", F.col("cell").alias("i"), F.explode(F.sequence(F.col("cell"), F.col("cells") - 1)).alias("j"), F.col("list").alias("x"))
+    two = blocks.select("key", F.explode(F.sequence(F.lit(0), F.col("cell"))).alias("i"), F.col("cell").alias("j"), F.col("list").alias("y"))
+    cross = one.join(two, ["key", "i", "j"]).select("x", "y")
     with batch_rows(docs.sparkSession, 4):
         more = work.saved(_across(cross, least), "more_links")
     if not more.isEmpty():
-        found = components(links.unionByName(more))
+        found = work.saved(labelled(links.unionByName(more), work), "components")
     return _result(sig, classes, found)
 
 
@@ -322,11 +337,11 @@ def _result(sig: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     parts = classes.select("id", "rep").join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "rep", F.coalesce("component", "id").alias("component"))
     # Of each component its least document, and the class that is kept: of that document, or without any a class of none.
     heads = parts.groupBy("component").agg(F.min("rep").alias("component_id"), F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "id"))["id"].alias("head"))
-    named = parts.join(heads, "component").select(F.col("id").alias("h1"), "component_id", "head")
-    rows = sig.select("doc_id", "n", "h1").join(named, "h1", "left")
+    named = parts.join(heads, "component").select("id", "component_id", "head")
+    rows = sig.select("doc_id", "n", "id").join(named, "id", "left")
     empty = F.col("n") == 0
-    kept = empty | ((F.col("h1") == F.col("head")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), kept.alias("kept"), F.col("h1").alias("class"))
+    kept = empty | ((F.col("id") == F.col("head")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), kept.alias("kept"), F.col("id").alias("class"))
 
 
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -358,12 +373,12 @@ def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
             for whole in batches:
                 for batch in co.slices(iter([whole.filter(pa.array(picked(whole)))]), "text"):
                     grams, offsets = shingle_sets(*co.buffers(co.filled(batch["text"])))
-                    more = [pa.array(np.diff(offsets), pa.int64()), pa.array(_fingerprints(grams, offsets, SEEDS[0]))]
+                    more = [pa.array(np.diff(offsets), pa.int64()), _fingerprints(grams, offsets)]
                     yield pa.RecordBatch.from_arrays([*(batch[c] for c in [*names, "id"]), *more], [*names, "id", "n", "class"])
 
         return run
 
-    with_class = ", ".join([*(f"{n} {source.schema[n].dataType.simpleString()}" for n in [*names, "id"]), "n long, class long"])
+    with_class = ", ".join([*(f"{n} {source.schema[n].dataType.simpleString()}" for n in [*names, "id"]), "n long, class binary"])
     have, lack = source.where("id is not null"), source.where("id is null")
     met = have.mapInArrow(classed(lambda batch: bloom.maybe(words.value, batch)), with_class).join(odd, F.col("id") == F.col("id_"), "left").where("coalesce(kept_, true)")
     met = met.join(several, (F.col("id") == F.col("head_id")) & (F.col("class") == F.col("head_class")), "left").where("kept_ is null or head_id is not null").dropDuplicates(["id", "class"])

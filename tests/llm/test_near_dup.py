@@ -105,6 +105,23 @@ def test_rows_without_ids_and_shared_ids_are_decided_by_their_texts(spark):
     assert got == sorted([(0, 0), (0, 1), (2, 2), (7, 3), (5, 4), (8, 5), (9, 6), (0, -1), (0, -1), (10, -1)])
 
 
+def test_different_texts_of_one_id_keep_their_links(spark):
+    rng = random.Random(6)
+    a, b = (" ".join(f"u{rng.randrange(9000)}" for _ in range(60)) for _ in range(2))
+    rows = [(1, b), (1, a), (2, a + " word"), (3, b + " word"), (4, "alone")]
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)}
+
+
+def test_full_buckets_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK_ROWS", 4)
+    rng = random.Random(7)
+    common = " ".join(f"s{i}" for i in range(100))  # alike, but not enough to be linked, except for neighbours
+    texts = [common + " " + " ".join(f"t{k}x{rng.randrange(10**6)}" for _ in range(34)) for k in range(25)]
+    texts += [mutated(rng, t, 1) for t in texts[:20]]
+    check(spark, list(enumerate(texts)))
+
+
 def test_a_third_without_ids(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     part = docs.selectExpr("if(doc_id % 3 = 0, null, doc_id) as doc_id", "text", "source")
