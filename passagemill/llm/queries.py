@@ -74,6 +74,7 @@ QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op3_nea
 
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+# Links: tags of the right kind outside of comments, each taken on its own, whatever the order of its attributes.
 OP1 = f"""
 WITH RECURSIVE p AS (
   SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -81,16 +82,21 @@ q AS (
   SELECT page_id, url, html, {_LOW.format("regexp_extract(coalesce(rest, ''), '^[^/?#]*')")} AS host,
     regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(rest, ''), '^[^?#]*(\\?[^#]*)', 1) AS query FROM p),
 rules(kind, name, start) AS (VALUES {", ".join(str(r) for r in url_filter.RULES)}),
+tags AS (
+  SELECT host, path, query, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?(-->|$)', '', 'g'), '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM q WHERE host <> ''),
 link AS (
-  SELECT host || CASE WHEN path = '' THEN '/' ELSE path END || query AS a, url,
-    unnest([regexp_extract(html, '(?is)<link\\b[^>]*\\brel=["'']?canonical["'']?[^>]*?\\bhref=["'']?([^"''\\s>]+)', 1),
-            regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv=["'']?refresh["'']?[^>]*?\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1)]) AS href
-  FROM q WHERE host <> ''),
+  SELECT host, path, query, CASE
+    WHEN regexp_matches(tag, '(?is)^<link\\b.*[\\s"'']rel\\s*=\\s*(?:["''][^"'']*)?\\bcanonical\\b') THEN regexp_extract(tag, '(?is)[\\s"'']href\\s*=\\s*["'']?([^"''\\s>]+)', 1)
+    WHEN regexp_matches(tag, '(?is)^<meta\\b.*[\\s"'']http-equiv\\s*=\\s*["'']?refresh\\b') THEN regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1) ELSE '' END AS href
+  FROM tags),
 aim AS (
-  SELECT a, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN substr(href, strpos(href, '://') + 3)
-    WHEN starts_with(href, '//') THEN substr(href, 3) ELSE regexp_extract(a, '^[^/]*') || CASE WHEN starts_with(href, '/') THEN '' ELSE '/' END || href END AS b
-  FROM link WHERE href <> ''),
-edge AS (SELECT a, regexp_replace(b, '#.*', '') AS b FROM aim), both_ AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+  SELECT host || CASE WHEN path = '' THEN '/' ELSE path END || query AS a, CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN substr(h, strpos(h, '://') + 3)
+    WHEN starts_with(h, '//') THEN substr(h, 3) WHEN starts_with(h, '/') THEN host || h
+    ELSE host || CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^.*/') END || h END AS b
+  FROM (SELECT host, path, query, replace(href, '&amp;', '&') AS h FROM link WHERE href <> '')),
+edge AS (
+  SELECT a, {_LOW.format("regexp_extract(b, '^[^/?#]*')")} || CASE WHEN regexp_matches(b, '^[^/?#]*/') THEN '' ELSE '/' END || regexp_extract(b, '^[^/?#]*([^#]*)', 1) AS b FROM aim),
+both_ AS (SELECT a, b FROM edge WHERE a <> b UNION SELECT b, a FROM edge WHERE a <> b),
 node AS (
   SELECT n, regexp_extract(n, '^[^/?#]*') AS host, regexp_extract(n, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT DISTINCT a AS n FROM both_)),
 nodev AS (
@@ -98,7 +104,7 @@ nodev AS (
 reach AS (SELECT n FROM nodev WHERE v = 'block' UNION SELECT b FROM reach JOIN both_ ON a = n),
 fit AS (
   SELECT page_id, q.host, q.path, q.query, rownum, arg_max(name || start, length(name) + length(start)) AS rule, arg_max(kind, length(name) + length(start)) AS kind
-  FROM (SELECT *, row_number() OVER () AS rownum FROM q) q
+  FROM (SELECT page_id, host, path, query, row_number() OVER () AS rownum FROM q) q
   LEFT JOIN rules ON (q.host = name OR ends_with(q.host, '.' || name)) AND starts_with(q.path, start) GROUP BY ALL)
 SELECT page_id, host, path, rule, coalesce(kind, CASE WHEN host || CASE WHEN path = '' THEN '/' ELSE path END || query IN (SELECT n FROM reach) THEN 'block' ELSE 'allow' END) AS verdict
 FROM fit

@@ -1,24 +1,31 @@
 """URL filters with redirect equivalence, in DataFrame functions only.
 
-Rules name a host and the start of a path. A url's own longest rule decides. Urls that redirects or canonical links
-connect are aliases: a block by rule of any of them blocks the others, except those with an allow rule of their own;
-all else is allowed.
+Rules name a host and the start of a path. A url's own longest rule decides: hosts are joined with those that rules name
+at each of their dots, then the starts of their paths, at the lengths that those rules have, with the rules, so that
+the number of rules is not in the plan. Urls that redirects or canonical links connect are aliases: a block by rule of
+any of them blocks the others, except those with an allow rule of their own; all else is allowed.
 
 Defined cases: null urls, and urls without ``://``, have an empty host and path, fit no rule and have no aliases;
-a path must start with the rule's, so a url without a path fits no rule that has one; rules of equal length fit one
-host only once; repeated pages repeat; links that are null or point to the page itself are ignored.
+a path must start with the rule's, so a url without a path fits no rule that has one; rules of one host and path are
+one rule, the last one given; repeated pages repeat; links that are null, stand in a comment or point to the page itself
+are ignored; all links of a page count; other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, saved
+from .components import Workspace, labelled, saved
 
 #: The contract's rules.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-MAX_RULES = 10_000
+#: Up to so many rules are broadcast (some 200 bytes each); more are joined as Spark sees fit.
+BROADCAST_RULES = 10_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -34,29 +41,51 @@ def path(url: Column) -> Column:
 def resource(url: Column) -> Column:
     """What names the same resource: host, path and query, without scheme and fragment; null if there is no host."""
     query = F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://[^?#]*(\?[^#]*)", 1), F.lit(""))
-    way = path(url)
+    way = _plain_path(path(url))
     return F.when(host(url) != "", F.concat(host(url), F.when(way == "", "/").otherwise(way), query))
 
 
-def rule_of(rules, host_: Column, path_: Column) -> tuple[Column, Column]:
-    """The longest fitting rule's string, and its verdict; null if none fits. An ordered chain of literal tests."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    said, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for kind, name, start in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r[1])):
-        name = name.translate(str.maketrans(UPPER, LOWER))
-        fits = ((host_ == name) | host_.endswith("." + name)) & path_.startswith(start)
-        said, verdict = F.when(fits, name + start).otherwise(said), F.when(fits, kind).otherwise(verdict)
-    return said, verdict
+def _suffixes(host_: Column) -> Column:
+    """The host, and what stands behind each of its dots."""
+    labels = F.split(host_, r"\.")
+    return F.transform(labels, lambda x, i: F.array_join(F.slice(labels, i + 1, F.size(labels) - i), "."))
+
+
+def ruled(urls: DataFrame, rules: Iterable[tuple[str, str, str]], work: Workspace) -> DataFrame:
+    """(host, path, rule, verdict) of the distinct hosts and paths among ``urls`` that a rule fits: its string and kind."""
+    spark = urls.sparkSession
+    known = {(name.translate(str.maketrans(UPPER, LOWER)), start): kind for kind, name, start in rules}
+    said = json.dumps([{"name": name, "start": start, "verdict": kind} for (name, start), kind in known.items()])
+    table = spark.range(1).select(F.explode(F.from_json(F.lit(said), "array<struct<name: string, start: string, verdict: string>>")).alias("r")).select("r.*")
+    small = F.broadcast if len(known) <= BROADCAST_RULES else lambda rows: rows
+    if len(known) > BROADCAST_RULES:
+        table = work.saved(table, "rules")
+    lengths = table.groupBy("name").agg(F.collect_set(F.length("start")).alias("lengths"))
+    each = urls.where("host != ''").select("host", "path").distinct().select("host", "path", F.explode(_suffixes(F.col("host"))).alias("name"))
+    tried = each.join(small(lengths), "name").select("host", "path", "name", F.explode("lengths").alias("n")).where(F.length("path") >= F.col("n"))
+    fits = tried.select("host", "path", "name", F.expr("substring(path, 1, n)").alias("start")).join(small(table), ["name", "start"])
+    rule = F.concat("name", "start")
+    best = F.max(F.struct(F.length(rule).alias("n"), rule.alias("rule"), F.col("verdict")))
+    return fits.groupBy("host", "path").agg(best.alias("best")).select("host", "path", "best.rule", "best.verdict")
+
+
+def _plain_path(way: Column) -> Column:
+    """A path without its ``.`` and ``..`` parts."""
+    parts = F.split(way, "/")
+    none = F.expr("cast(array() as array<string>)")
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x)))
+    end = F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
+    return F.when(way.rlike(r"/\.\.?(?:/|\z)"), F.concat(F.array_join(F.aggregate(parts, none, step), "/"), end)).otherwise(way)
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(source, target) urls of canonical links and refresh redirects in pages."""
+    """(source, target) urls of all canonical links and refresh redirects in pages."""
     tag = lambda name, test: rf"(?is)<{name}\b(?=[^>]*{test})[^>]*?"
-    body = F.col(f"`{html}`")
-    canonical = F.regexp_extract(body, tag("link", r"\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b") + r"\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(body, tag("meta", r"\bhttp-equiv\s*=\s*[\"']?refresh\b") + r"\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    at = pages.where(body.rlike(r"(?i)\bcanonical\b|\bhttp-equiv\b")).select(F.col(f"`{url}`").alias("source"), F.explode(F.array(canonical, refresh)).alias("href"))
+    body = F.regexp_replace(F.col(f"`{html}`"), r"(?s)<!--.*?(?:-->|\z)", "")
+    canonical = tag("link", r"(?<![\w-])rel\s*=\s*(?:[\"'][^\"'>]*)?\bcanonical\b") + r"(?<![\w-])href\s*=\s*[\"']?([^\"'\s>]+)"
+    refresh = tag("meta", r"(?<![\w-])http-equiv\s*=\s*[\"']?refresh\b") + r"\burl\s*=\s*[\"']?([^\"'\s>]+)"
+    found = F.array_union(*[F.regexp_extract_all(body, F.lit(x), F.lit(1)) for x in (canonical, refresh)])
+    at = pages.where(F.col(f"`{html}`").rlike(r"(?i)\bcanonical\b|\bhttp-equiv\b")).select(F.col(f"`{url}`").alias("source"), F.explode(found).alias("href"))
     scheme, base = F.regexp_extract("source", r"(?s)\A(.*?)://", 1), F.regexp_extract("source", r"(?s)\A(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract("source", r"(?s)\A.*?://[^/?#]*((?:/[^?#/]*)*/)", 1)
     href = F.replace("href", F.lit("&amp;"), F.lit("&"))
@@ -69,27 +98,30 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return at.where("href != '' and source is not null").select("source", target.alias("target"))
 
 
-def judge(pages: DataFrame, rules=RULES, *, url: str = "url", html: str | None = "html", redirects: DataFrame | None = None, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, *, url: str = "url", html: str | None = "html", redirects: DataFrame | None = None, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """``keep``, host, path, rule and verdict of each page.
 
     Links come from the pages' html and from ``redirects`` (source, target), such as a crawler's log.
     """
-    spark = pages.sparkSession
-    links = spark.createDataFrame([], "source string, target string")
-    if html is not None:
-        links = page_links(pages, url, html)
-    if redirects is not None:
-        links = links.unionByName(redirects.select("source", "target"))
-    edges = saved(links.select(resource(F.col("source")).alias("a"), resource(F.col("target")).alias("b")).where("a is not null and b is not null and a != b").distinct(), "links")
-    column = F.col(f"`{url}`")
-    at = pages.select(*[F.col(f"`{c}`") for c in keep], host(column).alias("host"), path(column).alias("path"), resource(column).alias("res_"))
-    said, verdict = rule_of(rules, F.col("host"), F.col("path"))
-    at = at.select(*[F.col(f"`{c}`") for c in keep], "host", "path", said.alias("rule"), verdict.alias("own_"), "res_")
-    if edges.isEmpty():
-        return at.select(*[F.col(f"`{c}`") for c in keep], "host", "path", "rule", F.coalesce("own_", F.lit("allow")).alias("verdict"))
-    members = components(edges)
-    member_url = F.concat(F.lit("x://"), F.col("node"))
-    _, member_verdict = rule_of(rules, host(member_url), path(member_url))
-    blocked = members.where(member_verdict == "block").select("component").distinct()
-    aliases = members.join(blocked, "component", "left_semi").select(F.col("node").alias("res_"), F.lit("block").alias("alias_"))
-    return at.join(aliases, "res_", "left").select(*[F.col(f"`{c}`") for c in keep], "host", "path", "rule", F.coalesce("own_", "alias_", F.lit("allow")).alias("verdict"))
+    spark, rules = pages.sparkSession, tuple(rules)
+    links = [page_links(pages, url, html)] * (html is not None) + [r.select("source", "target") for r in [redirects] if r is not None]
+    links = reduce(DataFrame.unionByName, links) if links else spark.range(0).selectExpr("'' as source", "'' as target")
+    column, names = F.col(f"`{url}`"), [f"c{i}" for i in range(len(keep))]
+    at = pages.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], host(column).alias("host"), path(column).alias("path"), resource(column).alias("res"))
+    with Workspace(spark) as work:
+        said = saved(ruled(at, rules, work), "ruled").select(F.col("host").alias("host_"), F.col("path").alias("path_"), "rule", F.col("verdict").alias("own"))
+        # A url without host and path fits no rule, however many rows have none; so these rows aren't dealt out by it.
+        met = (F.col("host") == F.col("host_")) & (F.col("path") == F.col("path_")) & (F.col("host") != "")
+        at = at.join(said, met, "left").drop("host_", "path_")
+        edges = work.saved(links.select(resource(F.col("source")).alias("a"), resource(F.col("target")).alias("b")).where("a is not null and b is not null and a != b").distinct(), "links")
+        if edges.isEmpty():
+            verdict = F.coalesce("own", F.lit("allow"))
+        else:
+            members = work.saved(labelled(edges, work, task_edges=0), "members")  # without Python
+            member = F.concat(F.lit("x://"), F.col("node"))
+            members = members.select("node", "component", host(member).alias("host"), path(member).alias("path"))
+            blocked = members.join(ruled(members, rules, work).where("verdict = 'block'"), ["host", "path"], "left_semi").select("component").distinct()
+            aliases = saved(members.join(blocked, "component", "left_semi").select(F.col("node").alias("alias")), "aliases")
+            at = at.join(aliases, F.col("res") == F.col("alias"), "left")
+            verdict = F.coalesce("own", F.when(F.col("alias").isNotNull(), "block"), F.lit("allow"))
+    return at.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "host", "path", "rule", verdict.alias("verdict"))
