@@ -5,19 +5,20 @@ vectors; a vector's bucket is its nearest signed axis. Queries probe the nearest
 Repeated rows are indexed once. Candidates are scored exactly in double precision inside their bucket, block against
 block; every block gives its k best ids per query, and the k best distinct ones of all tables are the result.
 
-A bucket is one signed axis, however many rows there are: full buckets are met block by block. With ``hashes`` > 1 a
-bucket is a tuple of signed axes of independent rotations, and probes go by the sum of what they give away. That loses
-neighbours that are not near (on random vectors of 64 dimensions, 0.985 of them are found with 10 probes of one axis,
-and 0.175 with 10 of two), so it is never taken unasked, and who asks for it says how many probes are right.
+A bucket is one signed axis, however many rows there are: full buckets are met block by block, and each pair of blocks
+may go to a task of its own. With ``hashes`` > 1 a bucket is a tuple of signed axes of independent rotations, and probes
+go by the sum of what they give away. That loses neighbours that are not near (on random vectors of 64 dimensions, 0.985
+of them are found with 10 probes of one axis, and 0.175 with 10 of two), so it is never taken unasked, and who asks for
+it says how many probes are right. Queries that find fewer than k ids are compared with all rows, block by block.
 
 Defined cases: vectors that are null, zero, empty, or hold null or non-finite components take no part; vectors of
 different lengths never meet; a query's own id is never its neighbour; ties go to the smaller id; repeated rows of an
-id count once, with the better score; queries without any candidate give no row.
+id count once, with the better score, and so do several vectors of a query's id; a query with fewer than k candidates
+has all of them.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,19 +29,9 @@ from pyspark.sql import functions as F
 from .components import Workspace, batch_rows, saved
 
 TABLES, PROBES, SEED = 12, 10, 20240229
-MAX_BUCKET_ROWS = 50_000
 BLOCK_ROWS = 1024
 
 
-def plan_hashes(rows: int, dim: int) -> int:
-    """Rotations to a bucket: the least number that leaves at most MAX_BUCKET_ROWS expected rows in one.
-
-    For callers whose neighbours are near, and who choose probes with it.
-    """
-    size = 2 * _padded(dim)
-    return next(k for k in itertools.count(1) if rows <= MAX_BUCKET_ROWS * size**k)
-
-
 def _padded(dim: int) -> int:
     return 1 << max(0, dim - 1).bit_length()
 
@@ -84,9 +75,16 @@ def buckets(unit: np.ndarray, table: int, hashes: int, probes: int) -> np.ndarra
     return best_key
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """The rows in double precision, times powers of two that bring their largest components to 0.5 to 1, so that no
+    square overflows or vanishes; cosines stay what they are, to the last bit."""
+    x = np.ascontiguousarray(x, np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosines of paired rows in double precision, by the same sums wherever a row stands."""
-    a, b = np.ascontiguousarray(a, np.float64), np.ascontiguousarray(b, np.float64)
+    a, b = scaled(a), scaled(b)
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
@@ -99,7 +97,8 @@ def valid_vectors(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 
 def _hashed(rows: DataFrame, tables: int, hashes: int, probes: int) -> DataFrame:
-    """(dim, bucket, id, v): each row in its buckets, the vector packed as doubles or, if it came so, as floats."""
+    """(dim, t, bucket, id, v): each row in its buckets (without hashes: in one), the vector packed as doubles or, if it
+    came so, as floats."""
     kind = "<f4" if rows.schema["v"].dataType.elementType.typeName() == "float" else "<f8"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,43 +109,60 @@ def _hashed(rows: DataFrame, tables: int, hashes: int, probes: int) -> DataFrame
                 for dim in np.unique(dims):
                     some = batch.filter(pa.array(dims == dim))
                     x = some["v"].flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                    unit = x.astype(np.float64)
-                    unit /= np.abs(unit).max(axis=1, keepdims=True)  # no overflow in the squares
+                    unit = scaled(x)
                     unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
                     packed = pa.array([r.tobytes() for r in np.ascontiguousarray(x.astype(kind))], pa.binary())
-                    for t in range(tables):
-                        keys = buckets(unit, t, hashes, probes)
+                    for t in range(tables) if hashes else [0]:
+                        keys = buckets(unit, t, hashes, max(probes, 1))
                         which = pa.array(np.repeat(np.arange(len(x)), keys.shape[1]))
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(keys.size, dim), pa.int32()), pa.array(np.full(keys.size, t), pa.int32()), pa.array(keys.reshape(-1)), some["id"].take(which), packed.take(which)], ["dim", "t", "bucket", "id", "v"])
 
     return rows.mapInArrow(run, "dim int, t int, bucket long, id long, v binary")
 
 
+KEYS = ["dim", "t", "bucket"]
+
+
 def _blocks(hashed: DataFrame, as_id: str, as_list: str) -> DataFrame:
-    """Lists of about BLOCK_ROWS rows at most of one bucket; a full bucket has several."""
-    keys = ["dim", "t", "bucket"]
-    cells = hashed.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("cells"))
+    """(key, number, list, cells): lists of about BLOCK_ROWS rows of one bucket; a full bucket has several."""
+    cells = hashed.groupBy(*KEYS).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("cells"))
     cell = F.pmod(F.xxhash64("id", "v"), F.col("cells")).cast("int").alias(as_id)
-    return hashed.join(cells, keys).select(*keys, cell, F.struct("id", "v").alias("row")).groupBy(*keys, as_id).agg(F.collect_list("row").alias(as_list))
+    return hashed.join(cells, KEYS).select(*KEYS, "cells", cell, F.struct("id", "v").alias("row")).groupBy(*KEYS, "cells", as_id).agg(F.collect_list("row").alias(as_list))
+
+
+def _met(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """Each block of queries with each block of rows of its bucket. Blocks of rows stay one copy each, in the task of
+    their own key and number; blocks of queries go to all numbers of their key."""
+    asked, found = _blocks(asked, "i", "asked"), _blocks(found, "j", "found")
+    cells = found.select(*KEYS, F.col("cells").alias("n")).distinct()
+    left = asked.join(cells, KEYS).select(*KEYS, "asked", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    return left.join(found, [*KEYS, "j"]).select("asked", "found")
+
+
+def _everywhere(rows: DataFrame) -> DataFrame:
+    """The rows in one bucket for each length, packed as ``_hashed`` packs them."""
+    return _hashed(rows, 0, 0, 0)
 
 
 def search(vectors: DataFrame, queries: DataFrame | None = None, *, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", tables: int = TABLES, probes: int | None = None, hashes: int = 1) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row of ``queries`` (default: every vector)."""
     rows = valid_vectors(vectors, vec_id, embedding).dropDuplicates(["id", "v"])
-    asked = rows if queries is None else valid_vectors(queries, vec_id, embedding)
+    asked = rows if queries is None else valid_vectors(queries, vec_id, embedding).dropDuplicates(["id", "v"])
     if probes is None:
         if hashes > 1:
             raise ValueError("PROBES is right for one hash; say how many probes go with more")
         probes = PROBES
+    spark = vectors.sparkSession
     kinds = ["<f4" if f.schema["v"].dataType.elementType.typeName() == "float" else "<f8" for f in (asked, rows)]
-    with Workspace(vectors.sparkSession) as work:
-        left = work.saved(_blocks(work.saved(_hashed(asked.dropDuplicates(["id"]), tables, hashes, probes), "probes"), "i", "asked"), "asked")
-        right = _blocks(work.saved(_hashed(rows, tables, hashes, 1), "index"), "j", "found")
-        met = left.join(right, ["dim", "t", "bucket"]).select("asked", "found")
-        with batch_rows(vectors.sparkSession, 16):
-            best = saved(_nearest(met, k, kinds), "best")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    with Workspace(spark) as work, batch_rows(spark, 16):
+        best = work.saved(_nearest(_met(work.saved(_hashed(asked, tables, hashes, probes), "probes"), work.saved(_hashed(rows, tables, hashes, 1), "index")), k, kinds), "best")
+        enough = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+        short = work.saved(asked.join(enough, F.col("id") == F.col("query_id"), "left_anti"), "short")
+        if not short.isEmpty():
+            exact = _nearest(_met(_everywhere(short), _everywhere(rows)), k, kinds)
+            best = best.join(short, F.col("query_id") == F.col("id"), "left_anti").unionByName(exact)
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return saved(best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
 
 
 def _nearest(met: DataFrame, k: int, kinds: list[str]) -> DataFrame:
@@ -156,7 +172,7 @@ def _nearest(met: DataFrame, k: int, kinds: list[str]) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 (q_ids, q), (ids, x) = (_unpacked(batch[c][row].values, kind) for c, kind in zip(("asked", "found"), kinds))
-                wide_q, wide_x = q.astype(np.float64), x.astype(np.float64)
+                wide_q, wide_x = scaled(q), scaled(x)
                 a = wide_q / np.linalg.norm(wide_q, axis=1, keepdims=True)
                 b = wide_x / np.linalg.norm(wide_x, axis=1, keepdims=True)
                 guess = a @ b.T
