@@ -1,5 +1,8 @@
 """Language ID by word-first backoff: known words by per-language log frequency, unseen words by shorter n-grams.
 
+The model knows every word of a sample of labelled rows, whose size is the one bound. A letter is what Unicode calls one
+(categories L), in training and in prediction.
+
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; rows without a label or text teach
 nothing; with no labelled row at all every text is ``und``; equal scores go to the language that sorts first.
 """
@@ -19,13 +22,20 @@ from pyspark.sql import functions as F
 
 from . import columnar as co
 
-#: Labelled rows in the training sample (expected number), words kept per language: bounds of the model.
-SAMPLE_ROWS = 20_000
-WORDS_PER_LANGUAGE = 20_000
+#: Labelled rows in the training sample (expected number): the bound of the model.
+SAMPLE_ROWS = 5_000
 LONGEST_GRAM = 4
 UNDETERMINED = "und"
 
-_RUN = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(r"[^\W\d_]+")  # runs of letters, and of numbers that are no digits, which go out one by one
+
+
+def letter_runs(text: str) -> list[str]:
+    """The maximal runs of letters of a lower-case text."""
+    runs = _RUN.findall(text)
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [x for run in runs for x in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 @dataclass
@@ -80,22 +90,19 @@ def fit(counts: list[tuple[str, str, int]], languages: list[str]) -> Model:
     return Model(languages, Table.of(by_word, len(languages)), {n: Table.of(t, len(languages)) for n, t in by_gram.items()})
 
 
-def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, words: int = WORDS_PER_LANGUAGE) -> Model:
+def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Word counts of a sample of about ``sample_rows`` labelled rows, chosen by a hash of ``key`` and the text's length.
 
-    Spark counts the words; the driver gets at most ``words`` of them per language.
+    Spark counts the words, in each partition first; the driver gets a row for each word and language of the sample.
     """
-    from pyspark.sql import Window
-
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(key), F.length(text)).alias("h")).where("text is not null and lang is not null")
-    n = labelled.where(F.col(lang).isNotNull()).count()
+    rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.xxhash64(F.col(f"`{key}`"), F.length(f"`{text}`")).alias("h")).where("text is not null and lang is not null")
+    n = labelled.where(F.col(f"`{lang}`").isNotNull()).count()
     if n > sample_rows:
         rows = rows.where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * sample_rows / n))
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
-    tally = rows.select("lang", word.alias("word")).groupBy("lang", "word").count()
-    top = tally.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("r") <= words)
-    counts = [(r["lang"], r["word"], r["count"]) for r in top.select("lang", "word", "count").collect()]
-    return fit(sorted(counts), sorted({c[0] for c in counts}))
+    tally = rows.select("lang", word.alias("word")).groupBy("lang", "word").count().toArrow()
+    counts = zip(*(tally[c].to_pylist() for c in ("lang", "word", "count")))
+    return fit(sorted(counts), sorted(set(tally["lang"].to_pylist())))
 
 
 def _scores(batches: Iterator[pa.RecordBatch], model: Model, text: str, limit: int = 150_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -116,7 +123,7 @@ def _scores(batches: Iterator[pa.RecordBatch], model: Model, text: str, limit: i
                 k = kept[piece] = len(kept)
                 if k >= len(table):
                     table = np.concatenate([table, np.zeros_like(table)])
-                runs = _RUN.findall(piece.lower())
+                runs = letter_runs(piece.lower())
                 table[k] = 0
                 table[k, width] = len(runs)
                 for run in runs:
