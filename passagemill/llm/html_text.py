@@ -1,11 +1,13 @@
 """HTML extraction by tree scoring: paragraphs pass points for length and commas to their ancestors, discounted by
-link density; the best container and its good siblings are kept. Where the best one is only a part, what it is a part of
+link density; the best container and its good siblings are kept. Each container passes half of its points on. Where the best one is only a part, what it is a part of
 is kept instead: the article or main element around it, else the container that is named as content, else whatever holds
 the table, list, quotation or section.
 
+The time is in proportion to the page, however deep its tags are nested and whatever is left unclosed in it.
+
 Defined cases: null or empty html, and pages of nothing but boilerplate, give an empty text; pages without paragraphs
 are scored by the text that stands directly in their containers; equal scores go to the container that opens first;
-unclosed and stray tags are tolerated; nothing is capped.
+unclosed and stray tags are tolerated, and a quote that is never closed is an ordinary character; nothing is capped.
 """
 
 from __future__ import annotations
@@ -39,9 +41,10 @@ UNLIKELY = re.compile(
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|main|page|post|text|blog|story)(?:$|[\s_-])", re.I)
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|entry|hentry|post|story)(?:$|[\s_-])", re.I)
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<bad_end>/)?(?P<bad>[a-zA-Z][^\s/>]*)(?P<bad_rest>[^>]*)>", re.S
-)
+#: A tag without quotes, or with whole ones; none of its parts gives back what it took.
+_TAG = re.compile(r"<(/)?([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_NAME = re.compile(r"<(/)?([a-zA-Z][^\s/>]*+)", re.S)
+_PLAIN = re.compile(r"[^>\"']*+", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 #: Points of a paragraph for its length: one for each hundred characters, three at most.
@@ -53,13 +56,14 @@ MOSTLY_LINKS = 0.5
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "dropped", "score", "order", "chars", "linked")
+    __slots__ = ("tag", "attrs", "parent", "children", "dropped", "score", "given", "reached", "order", "chars", "linked")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent, order: int) -> None:
         self.tag, self.attrs, self.parent, self.order = tag, attrs, parent, order
         self.children: list = []
-        self.dropped = tag in DROPPED or _hidden(tag, attrs)
-        self.score = 0.0
+        self.dropped = parent is not None and parent.dropped or tag in DROPPED or _hidden(tag, attrs)
+        self.score = self.given = 0.0
+        self.reached = False
         self.chars = self.linked = 0
 
 
@@ -75,58 +79,142 @@ def _hidden(tag: str, attrs: dict[str, str]) -> bool:
     return bool(bad) and not any(LIKELY.search(x) for x in names if x not in bad)
 
 
+class _Stack:
+    """The open elements, and where those of each name, and the scopes, stand among them."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes, self.places, self.scopes = [root], {"html": [0]}, [0]
+
+    def push(self, node: Node) -> None:
+        at = len(self.nodes)
+        self.nodes.append(node)
+        self.places.setdefault(node.tag, []).append(at)
+        if node.tag in SCOPE:
+            self.scopes.append(at)
+
+    def cut(self, at: int) -> None:
+        """Close the element at this place, and all inside it."""
+        while len(self.nodes) > at:
+            node = self.nodes.pop()
+            self.places[node.tag].pop()
+            if node.tag in SCOPE:
+                self.scopes.pop()
+
+    def last(self, name: str) -> int:
+        """The place of the innermost element of the name, or 0, where the root stands."""
+        found = self.places.get(name)
+        return found[-1] if found else 0
+
+    def close(self, names: tuple[str, ...]) -> None:
+        """Close the innermost element of these names that no scope lies inside of."""
+        at = max(map(self.last, names))
+        if at and at >= self.scopes[-1]:
+            self.cut(at)
+
+
+class _Tags:
+    """Finds tags in a page, from left to right. What was searched for in vain isn't searched for again."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.missing, self.failed, self.careful = page, set(), set(), False
+
+    def find(self, what: str, at: int) -> int:
+        """Where it stands next, or -1; places that are asked for never fall by much."""
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def tag(self, at: int) -> tuple[str, str, str, int] | None:
+        """Of the tag that starts here the slash, name, and rest, and where it ends; None if there is none."""
+        if not self.careful:
+            if m := _TAG.match(self.page, at):
+                return m[1], m[2], m[3], m.end()
+            self.careful = True
+        m = _NAME.match(self.page, at)
+        if not m:
+            return None
+        end = self._end(m.end())
+        if end < 0:  # no whole tag with its quotes: it ends at once
+            end = self.find(">", m.end())
+        return None if end < 0 else (m[1], m[2], self.page[m.end() : end], end + 1)
+
+    def _end(self, at: int) -> int:
+        """Where the tag ends, past whole quotes; -1 if it doesn't."""
+        passed = []
+        while at not in self.failed:
+            passed.append(at)
+            at = _PLAIN.match(self.page, at).end()
+            if at == len(self.page):
+                break
+            if self.page[at] == ">":
+                return at
+            close = self.find(self.page[at], at + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.failed.update(passed)
+        return -1
+
+
 def parse(page: str) -> tuple[Node, list[Node]]:
     """The root and all nodes in page order."""
     root = Node("html", {}, None, 0)
-    nodes, stack = [root], [root]
-    at = 0
-    while True:
-        m = _TOKEN.search(page, at)
-        said = page[at : m.start() if m else len(page)]
-        if said:
-            stack[-1].children.append(entities.unescape(said))
-        if not m:
-            return root, nodes
-        at = m.end()
-        name = (m["name"] or m["bad"] or "").lower()
-        if not name:
+    nodes, stack, tags = [root], _Stack(root), _Tags(page)
+    at = said = 0  # what stands from ``said`` to ``at`` is text
+
+    def tell(end: int) -> None:
+        if end > said:
+            stack.nodes[-1].children.append(entities.unescape(page[said:end]))
+
+    while (at := tags.find("<", at)) >= 0:
+        after = page[at + 1 : at + 2]
+        if after in ("!", "?"):
+            if page.startswith("<!--", at):
+                end = tags.find("-->", at + 4)
+                end = len(page) if end < 0 else end + 3
+            else:
+                end = tags.find(">", at) + 1
+            if end:
+                tell(at)
+                at = said = end
+            else:
+                at += 1
+            continue
+        found = tags.tag(at) if after == "/" or after.isascii() and after.isalpha() else None
+        if found is None:
+            at += 1
             continue
-        if m["end"] or m["bad_end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == name:
-                    del stack[k:]
-                    break
-                if stack[k].tag in SCOPE and name not in BLOCK:
-                    break  # a stray inline end tag never closes a container
+        tell(at)
+        slash, name, rest, at = found
+        said, name = at, name.lower()
+        if slash:
+            place = stack.last(name)
+            if place and (name in BLOCK or place >= stack.scopes[-1]):  # a stray inline end tag never closes a container
+                stack.cut(place)
             continue
-        rest = m["rest"] if m["rest"] is not None else m["bad_rest"]
         attrs = {a[0].lower(): entities.unescape(a[1] or a[2] or a[3]) for a in _ATTRIBUTE.findall(rest)} if rest.strip(" /") else {}
-        if name in ("html", "body") and name in [x.tag for x in stack]:
+        if name == "html" or name == "body" and stack.last("body"):
             root.attrs.update(attrs) if name == "html" else None
             continue
         if name in CLOSES_P:
-            _close(stack, ("p",))
+            stack.close(("p",))
         if name in SAME_CLOSES:
-            _close(stack, SAME_CLOSES[name])
-        if name in HEADING and stack[-1].tag in HEADING:
-            stack.pop()
-        node = Node(name, attrs, stack[-1], len(nodes))
-        stack[-1].children.append(node)
+            stack.close(SAME_CLOSES[name])
+        if name in HEADING and stack.nodes[-1].tag in HEADING:
+            stack.cut(len(stack.nodes) - 1)
+        node = Node(name, attrs, stack.nodes[-1], len(nodes))
+        stack.nodes[-1].children.append(node)
         nodes.append(node)
         if name in RAW:
             m = _RAW_END[name].search(page, at)
-            at = m.end() if m else len(page)
+            at = said = m.end() if m else len(page)
         elif name not in VOID and not rest.endswith("/") or name in BLOCK and name != "hr":
-            stack.append(node)
-
-
-def _close(stack: list[Node], names: tuple[str, ...]) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in names:
-            del stack[k:]
-            return
-        if stack[k].tag in SCOPE:
-            return
+            stack.push(node)
+    tell(len(page))
+    return root, nodes
 
 
 def _measure(nodes: list[Node]) -> None:
@@ -158,14 +246,6 @@ def _own(node: Node) -> str:
     return " ".join("".join(parts).split())
 
 
-def _kept(node: Node) -> bool:
-    while node is not None:
-        if node.dropped:
-            return False
-        node = node.parent
-    return True
-
-
 def density(node: Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
@@ -201,22 +281,25 @@ def _whole(best: Node) -> Node:
 def main_nodes(nodes: list[Node]) -> list[Node]:
     """The best container and the siblings that go with it, in page order."""
     _measure(nodes)
-    scored = set()
-    for node in nodes:
-        if node.dropped or node.tag not in BLOCK or not _kept(node):
-            continue
-        said = _own(node)
-        if not said or node.tag not in PARAGRAPH and node.tag not in CONTAINER:
+    for node in reversed(nodes):  # each node after all inside it
+        if node.dropped:
             continue
-        points = 1 + said.count(",") + min(len(said) / CHARS_PER_POINT, LENGTH_POINTS)
-        points *= 1 - density(node)
-        up, level = (node.parent if node.tag in PARAGRAPH else node), 0
-        while up is not None:
-            if up.tag in CONTAINER:
-                up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-                scored.add(up.order)
-                level += 1
-            up = up.parent
+        points = 0.0
+        if node.tag in PARAGRAPH or node.tag in CONTAINER:
+            if said := _own(node):
+                points = 1 + said.count(",") + min(len(said) / CHARS_PER_POINT, LENGTH_POINTS)
+                points *= 1 - density(node)
+                node.reached |= node.tag not in PARAGRAPH
+        up = node.parent
+        if node.tag in CONTAINER:
+            node.score = node.given + points * (node.tag not in PARAGRAPH)
+            passed = node.score / 2
+        else:
+            passed = node.given
+        if up is not None:
+            up.given += passed + points * (node.tag in PARAGRAPH)
+            up.reached |= node.reached or points > 0 or node.tag in PARAGRAPH and bool(said)
+    scored = [node.order for node in nodes if node.reached and node.tag in CONTAINER and not node.dropped]
     if not scored:
         return []
     for k in scored:

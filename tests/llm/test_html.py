@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -74,3 +75,28 @@ def test_a_part_without_an_article_keeps_its_whole():
     assert ht.main_text(page) == f"{LONG}\n\n{LONG}\n\nshort"
     page = f"<body><div><p>First</p><ul>" + f"<li>{CELL}" * 20 + "</ul><p>last</p></div>"
     assert ht.main_text(page).split() == re.sub("<[^>]*>", " ", page).split()
+
+
+HARD = {
+    "nested": "<div>" * 100_000 + LONG + "</div>" * 100_000,
+    "nested, each with text": "".join(f"<div>x{i}" for i in range(100_000)),
+    "open inline elements": "<b>" * 100_000 + "<p>x</p>" * 50_000,
+    "stray end tags": "<b>" * 50_000 + "</i>" * 50_000,
+    "lists in lists": "<ul><li>x" * 50_000,
+    "unclosed quotes": '<a href="x>' * 100_001,
+    "quotes in quotes": "<p title=\"a'b>t" * 100_001,
+    "unclosed declarations": "<!x" * 100_000,
+    "attributes": "<a " + "b=\"c' " * 100_000 + ">",
+}
+
+
+@pytest.mark.parametrize("what", HARD)
+def test_time_goes_with_length(what):
+    began = time.process_time()
+    ht.main_text(HARD[what])
+    assert time.process_time() - began < 10
+
+
+def test_unclosed_quotes_and_stray_tags():
+    assert ht.main_text(f"<p title=\"x>{LONG}</p><p title='y>z</p>") == f"{LONG}\n\nz"
+    assert ht.main_text(f"<body><p>{LONG}</b></i> more <? php x ?> and <!DOCTYPE z>so < on</p>") == f"{LONG} more and so < on"
