@@ -1,4 +1,4 @@
-"""Chat formatting by columnar byte assembly: segment lengths, cumulative offsets and gather indices in numpy; headers,
+"""Chat formatting by columnar byte assembly: segment lengths, cumulative offsets and scatter indices in numpy; headers,
 contents and footers are copied into one preallocated Arrow buffer.
 
 A turn is ``<|turn|>role\\ntext<|end|>\\n``. Inside roles and texts a backslash is doubled, and each control string
@@ -69,20 +69,20 @@ def assemble(roles: pa.Array, texts: pa.Array, loss_roles: tuple[str, ...], grou
     heads = [f"{BEGIN}{x}\n".encode() for x in pc.replace_substring(escape(coded.dictionary), "\n", "\\\n").to_pylist()]
     which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     raw, offsets = co.buffers(escape(texts))
-    pool = np.concatenate([np.frombuffer(b"".join(heads) + END.encode(), np.uint8), raw])
     head_sizes = np.array([len(h) for h in heads], np.int64)
     head_starts = np.cumsum(head_sizes) - head_sizes
-    end_start, text_base = int(head_sizes.sum()), int(head_sizes.sum()) + len(END)
-    starts, lengths = np.empty((n, 3), np.int64), np.empty((n, 3), np.int64)
-    starts[:, 0], lengths[:, 0] = head_starts[which], head_sizes[which]
-    starts[:, 1], lengths[:, 1] = text_base + offsets[:-1], np.diff(offsets)
-    starts[:, 2], lengths[:, 2] = end_start, len(END)
-    out = np.empty(int(lengths.sum()), np.uint8)
-    np.take(pool, co.ragged(starts.reshape(-1), lengths.reshape(-1)), out=out)
+    lengths = np.empty((n, 3), np.int64)
+    lengths[:, 0], lengths[:, 1], lengths[:, 2] = head_sizes[which], np.diff(offsets), len(END)
     bounds = np.concatenate([[0], np.cumsum(lengths.reshape(-1))])
+    places = bounds[:-1].reshape(n, 3)
+    buffer = pa.allocate_buffer(int(bounds[-1]))
+    out = np.frombuffer(buffer, np.uint8)
+    out[co.ragged(places[:, 0], lengths[:, 0])] = np.frombuffer(b"".join(heads), np.uint8)[co.ragged(head_starts[which], lengths[:, 0])]
+    out[co.ragged(places[:, 1], lengths[:, 1])] = raw
+    out[places[:, 2, None] + np.arange(len(END))] = np.frombuffer(END.encode(), np.uint8)
     points = np.concatenate([[0], np.cumsum((out & 0xC0) != 0x80)])
     group_starts = np.concatenate([[0], group_ends[:-1]])
-    formatted = co.string_array(out, bounds[3 * np.concatenate([[0], group_ends])]).cast(pa.string())
+    formatted = pa.LargeStringArray.from_buffers(len(group_ends), pa.py_buffer(bounds[3 * np.concatenate([[0], group_ends])]), buffer).cast(pa.string())
     group = np.repeat(np.arange(len(group_ends)), group_ends - group_starts)
     base = points[bounds[3 * group_starts]][group]
     rows = np.flatnonzero(np.isin(which, [i for i, x in enumerate(names) if x in loss_roles]))
