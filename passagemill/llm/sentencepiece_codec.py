@@ -7,7 +7,8 @@ without a piece, and literal word marks, become byte pieces, so decode(encode(te
 No piece has a word mark behind another character, so the best segmentation splits wherever a run of spaces begins:
 each distinct run of spaces and characters up to the next space is segmented once and its ids reused.
 
-Defined cases: null gives null ids and null text; an empty text has no ids.
+Defined cases: null gives null ids and null text; an empty text has no ids; other columns that are named like a result
+are returned with ``_input`` behind their names.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import columnar as co
+from .components import renamed
 
 MARK = "▁"
 #: What a character without a piece costs beyond the least piece score.
@@ -143,53 +145,59 @@ def codec(path: str) -> Codec:
     return _LOADED[path]
 
 
-def _carried(frame: DataFrame, names: list[str]) -> tuple[DataFrame, str]:
-    source = frame.select(*[F.col(f"`{c}`") for c in names])
-    return source, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
+def _carried(frame: DataFrame, names: list[str], used: str) -> tuple[DataFrame, list[str], str]:
+    """The columns under names of our own, the one that is used last; these names, and their schema."""
+    inner = [f"c{i}" for i in range(len(names))]
+    source = frame.select(*[F.col(f"`{c}`").alias(n) for c, n in zip([*names, used], [*inner, "used"])])
+    return source, inner, "".join(f"{f.name} {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
 
 
 def encode(docs: DataFrame, path: str, *, text: str = "text", keep: list[str] | None = None, ids: str = "piece_ids", round_trip: str | None = None) -> DataFrame:
     """``keep`` (all columns but the text, if None), an array of piece ids and, in the column that ``round_trip`` names,
     whether they decode to the text."""
     kept = [c for c in docs.columns if c != text] if keep is None else keep
-    source, schema = _carried(docs, [*kept, text])
+    source, inner, schema = _carried(docs, kept, text)
+    results = [ids] if round_trip is None else [ids, round_trip]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = codec(path)
-        for batch in co.slices(batches, text):
-            texts = co.filled(batch[text])
+        for batch in co.slices(batches, "used"):
+            texts = co.filled(batch["used"])
             flat, offsets = known.encode(texts)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-            lists = pc.if_else(pc.is_null(batch[text]), pa.scalar(None, lists.type), lists)
-            more = {ids: lists}
-            if round_trip:
-                raw, ends = known.decode(flat, offsets)
-                (given, begun), back = co.buffers(texts), raw.tobytes()
-                asked = given.tobytes()
-                same = [back[a:b] == asked[c:d] for a, b, c, d in zip(ends, ends[1:], begun, begun[1:])]
-                more[round_trip] = pc.if_else(pc.is_null(batch[text]), pa.scalar(None, pa.bool_()), pa.array(same, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more.values()], [*batch.schema.names, *more])
+            more = [pc.if_else(pc.is_null(batch["used"]), pa.scalar(None, lists.type), lists)]
+            if round_trip is not None:
+                same = pa.array(_same(texts, *known.decode(flat, offsets)), pa.bool_())
+                more.append(pc.if_else(pc.is_null(batch["used"]), pa.scalar(None, pa.bool_()), same))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], [*inner, "ids", "same"][: len(inner) + len(more)])
 
-    flag = f", `{round_trip}` boolean" if round_trip else ""
-    return source.mapInArrow(run, f"{schema}, `{ids}` array<int>{flag}").drop(text)
+    out = source.mapInArrow(run, f"{schema}ids array<int>" + ", same boolean" * (round_trip is not None))
+    return out.toDF(*renamed(kept, results), *results)
+
+
+def _same(texts: pa.Array, raw: np.ndarray, ends: np.ndarray) -> list[bool]:
+    """Which of the decoded texts are the texts."""
+    (given, begun), back = co.buffers(texts), raw.tobytes()
+    asked = given.tobytes()
+    return [back[a:b] == asked[c:d] for a, b, c, d in zip(ends, ends[1:], begun, begun[1:])]
 
 
 def decode(frame: DataFrame, path: str, *, ids: str = "piece_ids", text: str = "text") -> DataFrame:
     """The other columns and the text of an array of piece ids."""
     kept = [c for c in frame.columns if c != ids]
-    source, schema = _carried(frame, [*kept, ids])
+    source, inner, schema = _carried(frame, kept, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = codec(path)
         for big in batches:
             for lo in range(0, big.num_rows, 256):
                 batch = big.slice(lo, 256)
-                lists = pc.fill_null(batch[ids], [])
+                lists = pc.fill_null(batch["used"], [])
                 raw, offsets = known.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]))
                 texts = co.string_array(raw, offsets).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pc.if_else(pc.is_null(batch[ids]), pa.scalar(None, pa.string()), texts)], [*batch.schema.names, text])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pc.if_else(pc.is_null(batch["used"]), pa.scalar(None, pa.string()), texts)], [*inner, "said"])
 
-    return source.mapInArrow(run, f"{schema}, `{text}` string").drop(ids)
+    return source.mapInArrow(run, f"{schema}said string").toDF(*renamed(kept, [text]), text)
 
 
 def digests(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -197,22 +205,19 @@ def digests(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "tex
 
     Encodes and decodes whole texts as ``encode`` and ``decode`` do, without ids crossing between Python and the JVM.
     """
-    source, schema = _carried(docs, [key, text])
+    source, inner, schema = _carried(docs, [key], text)
+    results = ["n_pieces", "ids_crc32", "decoded_chars", "round_trip"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = codec(path)
-        for batch in co.slices(batches, text):
-            texts = co.filled(batch[text])
+        for batch in co.slices(batches, "used"):
+            texts = co.filled(batch["used"])
             flat, offsets = known.encode(texts)
             raw, ends = known.decode(flat, offsets)
-            given, begun = co.buffers(texts)
-            little = flat.astype("<u4").tobytes()
-            back = raw.tobytes()
-            asked = given.tobytes()
+            little, back = flat.astype("<u4").tobytes(), raw.tobytes()
             crcs = [zlib.crc32(little[4 * a : 4 * b]) for a, b in zip(offsets, offsets[1:])]
-            same = [back[a:b] == asked[c:d] for a, b, c, d in zip(ends, ends[1:], begun, begun[1:])]
             points = [len(back[a:b].decode()) for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch[key], batch[text], pa.array(np.diff(offsets), pa.int64()), pa.array(crcs, pa.int64()), pa.array(points, pa.int64()), pa.array(same, pa.bool_())], [key, text, "n_pieces", "ids_crc32", "decoded_chars", "round_trip"]).drop_columns([text])
+            more = [pa.array(np.diff(offsets), pa.int64()), pa.array(crcs, pa.int64()), pa.array(points, pa.int64()), pa.array(_same(texts, raw, ends), pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], [*inner, *results])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != text)
-    return source.mapInArrow(run, f"{schema}, n_pieces long, ids_crc32 long, decoded_chars long, round_trip boolean")
+    return source.mapInArrow(run, f"{schema}n_pieces long, ids_crc32 long, decoded_chars long, round_trip boolean").toDF(key, *results)

@@ -74,3 +74,13 @@ def test_operators_and_odd_rows(spark, sf):
     assert sc.encode(docs.limit(0), PATH).collect() == []
     whole = sc.digests(spark.read.parquet(f"{sf}/documents.parquet"), PATH)
     assert whole.where("not round_trip").count() == 0 and whole.count() == 200
+
+
+def test_columns_named_like_results(spark):
+    docs = spark.createDataFrame([(1, "a b", "old", 5)], "doc_id long, text string, piece_ids string, round_trip int")
+    coded = sc.encode(docs, PATH, round_trip="round_trip")
+    assert coded.columns == ["doc_id", "piece_ids_input", "round_trip_input", "piece_ids", "round_trip"]
+    row = coded.first()
+    assert row["piece_ids_input"] == "old" and row["round_trip_input"] == 5 and row["round_trip"] is True
+    back = sc.decode(coded.withColumn("text", coded["doc_id"]), PATH)
+    assert back.columns[-2:] == ["text_input", "text"] and back.first()["text"] == "a b"
