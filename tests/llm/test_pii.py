@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+import time
 
 from passagemill.llm import pii
 
@@ -50,6 +53,76 @@ def test_contexts_of_seeds_find_unseen_identifiers(spark):
     assert few[100] == ([], [])  # three seeds are no evidence
 
 
+def contexts(text):
+    """Seeds and candidates with the two words before them, by the definitions of the module."""
+    base = brute(text)
+    masked = list(text)
+    for _, a, b in base:
+        masked[a:b] = "\0" * (b - a)
+    out = [(k, text[a:b].lower(), text[max(0, a - 64) : a], True, a, b) for k, a, b in base]
+    for m in re.finditer(r"(?<![A-Za-z0-9.+\x00-])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,18}(?![A-Za-z0-9\x00])", "".join(masked)):
+        n = len(re.sub("[^0-9]", "", m[0]))
+        kind = "ip" if re.fullmatch(r"\(?[0-9]{1,3}(?:\.[0-9]{1,3}){3}", m[0]) else "card" if 13 <= n <= 19 else "phone" if 7 <= n <= 12 else None
+        if kind:
+            out.append((kind, m[0].lower(), "".join(masked)[max(0, m.start() - 64) : m.start()], False, m.start(), m.end()))
+    words = lambda s: re.findall(r"[^\W\d_]+", s.lower())
+    return [(k, v, " ".join(words(c)[-2:]) if len(words(c)) > 1 else None, seed, a, b) for k, v, c, seed, a, b in out]
+
+
+def graph_scores(texts):
+    """What is found in each text beside the base spans, by plain loops over the whole graph."""
+    seen = [(i, *x) for i, t in enumerate(texts) for x in contexts(t)]
+    edges, docs, seeds = {}, {}, set()
+    for i, k, v, c, seed, _, _ in seen:
+        if c is not None:
+            edges.setdefault((k, c), {}).setdefault(v, False)
+            edges[k, c][v] |= seed
+            docs.setdefault((k, c), set()).add(texts[i])
+    edges = {p: e for p, e in edges.items() if len(docs[p]) >= pii.MIN_DOCUMENTS}
+    belief = {(p, v): float(seed) for p, e in edges.items() for v, seed in e.items()}
+    for _ in range(pii.ROUNDS):
+        good = {}
+        for p, e in edges.items():
+            believed = sum(belief[p, v] for v in e)
+            share = believed / len(e)
+            if believed >= pii.MIN_INSTANCES - 1e-9 and share >= pii.MIN_CONFIDENCE and share * math.log2(believed + 1) >= pii.MIN_SCORE:
+                good[p] = share
+        for (p, v), _ in belief.items():
+            doubt = math.prod(max(1 - s, 1e-9) for q, s in good.items() if q[0] == p[0] and v in edges[q])
+            belief[p, v] = 1.0 if edges[p][v] else 1 - doubt
+    return [{(k, a, b) for j, k, v, c, seed, a, b in seen if j == i and not seed and (k, c) in good} for i in range(len(texts))]
+
+
+def test_graph_scores_against_brute_force(spark):
+    rng = random.Random(11)
+    cues = ["call us on", "my number is", "ring me at", "lot number", "order was", "the card is", "server is at"]
+    make = {
+        "seed": lambda: rng.choice([f"+1 555 {rng.randrange(100, 999)} {rng.randrange(1000, 9999)}", "4111 1111 1111 1111", f"10.0.{rng.randrange(255)}.{rng.randrange(255)}"]),
+        "open": lambda: rng.choice([f"(555) {rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}", f"555 {rng.randrange(1000, 1030)}", f"{rng.randrange(10**15, 10**16)}", f"10.1.2.{rng.randrange(256, 999)}"]),
+    }
+    texts = []
+    for i in range(260):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            k = rng.randrange(len(cues))
+            parts.append(f"so {cues[k]} {make['seed' if rng.random() < (0.9, 0.7, 0.5, 0.1, 0.3, 0.6, 0.8)[k] else 'open']()}")
+        texts.append(", ".join(parts) + f" end {i % 200}")
+    want = graph_scores(texts)
+    got = found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {i: set(spans) - set(base) for i, (base, spans) in got.items()} == dict(enumerate(want))
+    assert 20 < sum(map(len, want)) < 400
+
+
+def test_time_of_a_text_with_many_spans(spark):
+    text = " ".join(f"é me{i}@x{i}.org +1 555 010 {1000 + i % 9000}" for i in range(50_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    row = pii.digests(pii.find(docs)).first()
+    assert (row["n_email"], row["n_phone"]) == (50_000, 50_000)
+    assert pii.redact(docs).first()["text"] == " ".join(["é [EMAIL] [PHONE]"] * 50_000)
+    assert time.time() - began < 60
+
+
 def test_redact_keeps_columns_and_the_rest(spark):
     rows = [(1, "é a@b.c, 4111111111111111 b", "h", "m"), (2, None, "h", "m"), (3, "+1.2.3.4.56789 x", "h", "m"), (4, "clean", None, "m")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, h string, spans string")
