@@ -54,6 +54,14 @@ def test_odd_texts_short_items_and_spans(spark):
     assert rest[4] == "! and more" and rest[10] == "short" and rest[1] is None and rest[5] == texts[5]
 
 
+def test_kept_columns_named_like_results(spark):
+    docs = spark.createDataFrame([(4, CASES[3][1], "n", 1.5)], "doc_id long, text string, n_words string, `hit spans.x` double")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    marked = decontam.mark(docs, bench, keep=["n_words", "hit spans.x"])
+    row = marked.first()
+    assert marked.columns[:4] == ["doc_id", "text", "n_words_input", "hit spans.x"] and row["n_words_input"] == "n" and row["n_words"] == 4
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert rows_of(decontam.mark(docs, bench)) == {1: brute("a b", [])}

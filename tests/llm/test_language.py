@@ -1,3 +1,6 @@
+import math
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from passagemill.llm import language as lg
@@ -35,3 +38,51 @@ def test_the_label_is_no_input(spark):
     turned = docs.withColumn("lang", F.lit("de")).withColumn("doc_id", -F.col("doc_id"))
     a, b = (sorted((r["text"], r["lang_pred"], r["score"]) for r in lg.identify(d, model).collect()) for d in (docs, turned))
     assert a == b
+
+
+def letters(text):
+    return "".join(c if c.isalpha() else " " for c in text.lower()).split()
+
+
+def brute(labelled, text):
+    """Language and score by the definitions: known words by their log frequency, others by the longest n-grams known."""
+    languages = sorted({lang for lang, _ in labelled})
+    words = {lang: Counter() for lang in languages}
+    for lang, said in labelled:
+        words[lang].update(letters(said))
+    cells = lambda w, n: [(f" {w} " if n > 1 else w)[i : i + n] for i in range(len(f" {w} " if n > 1 else w) - n + 1)]
+    grams = {n: {lang: Counter() for lang in languages} for n in range(1, 5)}
+    for lang in languages:
+        for w, count in words[lang].items():
+            for n in grams:
+                for g in cells(w, n):
+                    grams[n][lang][g] += 1 + math.log(count)
+
+    def chance(table, key):
+        known = set().union(*table.values())
+        if key not in known:
+            return None
+        return [math.log(table[lang][key] + 0.5) - math.log(sum(table[lang].values()) + 0.5 * len(known)) for lang in languages]
+
+    total = [0.0] * len(languages)
+    for w in letters(text):
+        said = chance(words, w)
+        for n in (4, 3, 2, 1):
+            if said is None:
+                parts = [p for g in cells(w, n) if (p := chance(grams[n], g)) is not None]
+                said = [sum(x) / n for x in zip(*parts)] if parts else None
+        total = [a + b for a, b in zip(total, said or [0.0] * len(languages))]
+    best = max(range(len(languages)), key=lambda k: (total[k], -k))
+    return (languages[best], 1 / sum(math.exp(t - total[best]) for t in total)) if letters(text) else ("und", 0.0)
+
+
+def test_scores_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null")
+    labelled = [(r["lang"], r["text"]) for r in docs.where("doc_id % 9 = 0").collect()]
+    texts = [r["text"][:150] for r in docs.where("doc_id % 20 = 1").collect()] + ["²½ Ⅷ", "x½y", "Ünïcode wörds, 12 of them", "qqq zzz", "日本 the", "", "!"]
+    model = lg.train(docs.where("doc_id % 9 = 0"))
+    got = {r["i"]: (r["lang_pred"], r["score"]) for r in lg.identify(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), model, keep=["i"]).collect()}
+    for i, text in enumerate(texts):
+        lang, score = brute(labelled, text)
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-3
+    assert got[len(texts) - 7] == ("und", 0.0)
