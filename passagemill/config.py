@@ -35,6 +35,10 @@ class StoreConfig:
     alias: str = "corpus"
     dim: int = 384
     distance: str = "cosine"
+    #: Parts are merged when there are more of them, or when the newer ones name more than this share of the base's rows.
+    max_parts: int = 8
+    merge_share: float = 0.5
+    keep_versions: int = 2
 
 
 @dataclass(frozen=True)

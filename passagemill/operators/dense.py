@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,17 +40,30 @@ def _scores(q: np.ndarray, x: np.ndarray, kind: str) -> np.ndarray:
     return q @ x.T
 
 
-def top(queries: DataFrame, passages: DataFrame, k: int, *, distance: str = "cosine", query_key: str = "query_id", key: str = "id", vector: str = "vector", digits: int = 6) -> DataFrame:
-    """(query, key, score, rank) of the k most similar passages; scores that agree to so many digits are ties, broken by
-    key. Rows without a vector take no part. Filter the passages before."""
+def _best(scores: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k best scores of each row, ties by place."""
+    n = min(k, scores.shape[1])
+    floor = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
+    i, j = np.nonzero(scores >= floor[:, None])
+    if len(i) > n * len(scores):  # ties at the end
+        order = np.lexsort((places[j], -scores[i, j], i))
+        i, j = i[order], j[order]
+        first = np.searchsorted(i, np.arange(len(scores)))
+        keep = np.arange(len(i)) - first[i] < n
+        i, j = i[keep], j[keep]
+    return i, j
+
+
+def top(queries: DataFrame, passages: DataFrame, k: int, *, distance: str = "cosine", query_key: str = "query_id", key: str = "id", vector: str = "vector", by: str | None = None, digits: int = 6) -> DataFrame:
+    """(query, key, score, rank) of the k most similar passages, or of those of each value of ``by``, which is then a
+    column too; scores that agree to so many digits are ties, broken by key. Rows without a vector take no part. Filter
+    the passages before."""
     kind = to_distance(distance)
     spark = passages.sparkSession
     asked = queries.select(query_key, vector).where(F.col(vector).isNotNull())
-    rows = passages.select(F.col(key), F.col(vector).alias("vector")).where(F.col(vector).isNotNull())
-    key_type, query_type = rows.schema[key].dataType.simpleString(), asked.schema[query_key].dataType.simpleString()
-    found = None
-    block: list = []
-    size = 0
+    carried = [key] if by is None else [key, by]
+    rows = passages.select(*carried, F.col(vector).alias("vector")).where(F.col(vector).isNotNull())
+    schema = f"`{query_key}` {asked.schema[query_key].dataType.simpleString()}, " + "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in carried) + "score double"
 
     def searched(some: list) -> DataFrame:
         ids = pa.array([r[0] for r in some])
@@ -61,24 +75,31 @@ def top(queries: DataFrame, passages: DataFrame, k: int, *, distance: str = "cos
                 for lo in range(0, big.num_rows, 4096):
                     batch = big.slice(lo, 4096)
                     x = batch["vector"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                    scores = _scores(q, x, kind)
-                    n = min(k, x.shape[0])
-                    floor = np.partition(scores, x.shape[0] - n, axis=1)[:, x.shape[0] - n] - 10.0**-digits
-                    i, j = np.nonzero(scores >= floor[:, None])
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), batch[key].take(pa.array(j)), pa.array(scores[i, j])], [query_key, key, "score"])
+                    scores = np.round(_scores(q, x, kind), digits)
+                    places = np.empty(batch.num_rows, np.int64)
+                    places[pc.sort_indices(batch[key]).to_numpy()] = np.arange(batch.num_rows)
+                    coded = pa.array([0] * batch.num_rows) if by is None else batch[by]
+                    groups = coded.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                    for g in np.unique(groups):
+                        at = np.flatnonzero(groups == g)
+                        i, j = _best(scores[:, at], places[at], k)
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), *(batch[c].take(pa.array(at[j])) for c in carried), pa.array(scores[i, at[j]])], [query_key, *carried, "score"])
 
-        return rows.mapInArrow(run, f"`{query_key}` {query_type}, `{key}` {key_type}, score double")
+        return rows.mapInArrow(run, schema)
 
+    found = None
+    block: list = []
+    size = 0
     for row in asked.toLocalIterator():
         block.append((row[0], row[1]))
         size += len(row[1])
         if size >= BLOCK_COMPONENTS:
             found = searched(block) if found is None else found.unionAll(searched(block))
             block, size = [], 0
-    if block or found is None:
-        if not block:
-            return spark.createDataFrame([], f"`{query_key}` {query_type}, `{key}` {key_type}, score double, rank int")
+    if block:
         found = searched(block) if found is None else found.unionAll(searched(block))
+    if found is None:
+        return spark.createDataFrame([], schema + ", rank int")
     said = found.withColumn("score", F.round("score", digits))
-    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
+    rank = F.row_number().over(Window.partitionBy(query_key, *carried[1:]).orderBy(F.desc("score"), key))
     return said.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -22,7 +22,7 @@ def hybrid(queries: DataFrame, passages: DataFrame, *, config: RetrievalConfig |
     k = k or c.return_k
     near = dense.top(queries, filtered(passages, filters), max(k, c.dense_k), distance=distance)
     pool = filtered(passages, filters) if c.prefilter_sparse else passages
-    scored = sparse.top(sparse.scores(queries, pool, index=index), max(k, c.sparse_k))
+    scored = sparse.search(queries, pool, max(k, c.sparse_k), index=None if c.prefilter_sparse and filters else index)
     if filters and not c.prefilter_sparse:
         scored = scored.join(filtered(passages, filters).select("id"), "id", "left_semi")
         scored = rank.renumbered(scored, "rank").withColumn("rank", F.col("pos")).drop("pos")

@@ -1,13 +1,23 @@
-"""BM25 over persisted postings: term counts, document lengths and idf are aggregates, queries an equi-join on terms."""
+"""BM25 over persisted postings: term counts, document lengths and idf are aggregates, queries an equi-join on terms.
+
+The best documents of a query are found without scoring all that share a common word with it (the MaxScore scheme).
+Terms that few documents have name some good documents, whose full scores give a threshold. The terms that count least,
+and together can't lift a document over it, bring in no documents of their own: only those that the other terms bring,
+and that may still pass the threshold, are looked up in their postings. Results are those of scoring everything.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..workspace import Workspace, saved
+
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Query terms are broadcast up to so many; more are joined by a shuffle, as Spark sees fit.
+#: Query terms (some 100 bytes each) are broadcast up to so many; more are joined as Spark sees fit.
 BROADCAST_TERMS = 100_000
+#: Scores are ties if they agree to so many digits; what is surely below a threshold is so by more than that.
+DIGITS, MARGIN = 6, 2e-6
 _SPLIT = r"[\t\n\x0B\f\r\x1C-\x1F \x85\xA0  -     　]+"
 
 
@@ -47,31 +57,89 @@ def idf(posted: DataFrame, totals: DataFrame) -> DataFrame:
     return _floored(raw, raw.agg(F.avg("raw").alias("mean")))
 
 
-def scores(queries: DataFrame, docs: DataFrame, *, query_key: str = "query_id", query_text: str = "text", key: str = "id", text: str = "text", index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """(query, key, score) of every document that shares a term with the query. ``index``: (postings, lengths) as saved."""
-    asked = _terms(queries.select(F.col(query_key), F.col(query_text)), query_key, query_text).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("times"))
-    few = queries.count() * 64 <= BROADCAST_TERMS
-    small = F.broadcast if few else lambda rows: rows
+def _small(rows: DataFrame, n: int):
+    return F.broadcast(rows) if n <= BROADCAST_TERMS else rows
+
+
+def _asked(queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
+    return _terms(queries.select(F.col(query_key), F.col(query_text)), query_key, query_text).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("times"))
+
+
+def _matched(terms: DataFrame, docs: DataFrame, key: str, text: str, index: tuple[DataFrame, DataFrame] | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the terms the postings (key, term, tf, len), and their idf; and the corpus' totals."""
     if index is not None:
         posted, sizes = index
         totals = corpus(sizes)
-        weights = idf(posted, totals)
-        matched = posted.join(sizes, key)
-    else:
-        # Only tokens that some query has are grouped; every document's length goes with its tokens.
-        tokens = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), _SPLIT), lambda t: t != "")
-        rows = docs.select(F.col(key), tokens.alias("w")).select(key, "w", F.size("w").cast("long").alias("len"))
-        totals = corpus(rows)
-        each = rows.select(key, "len", F.explode("w").alias("term"))
-        matched = each.join(small(asked.select("term").distinct()), "term", "left_semi").groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-        every = _raw(each.select(key, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df")), totals)
-        weights = _floored(_raw(matched.groupBy("term").agg(F.count(F.lit(1)).alias("df")), totals), every.agg(F.avg("raw").alias("mean")))
-    hits = matched.join(small(asked.join(weights, "term")), "term").crossJoin(F.broadcast(totals))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avglen")))
-    return hits.groupBy(query_key, key).agg(F.sum(part).alias("score"))
-
-
-def top(scored: DataFrame, k: int, query_key: str = "query_id", key: str = "id", digits: int = 6) -> DataFrame:
+        return posted.join(terms, "term", "left_semi").join(sizes, key), idf(posted, totals).join(terms, "term", "left_semi"), totals
+    # Only tokens that some query has are grouped; every document's length goes with its tokens.
+    tokens = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), _SPLIT), lambda t: t != "")
+    rows = docs.select(F.col(key), tokens.alias("w")).select(key, "w", F.size("w").cast("long").alias("len"))
+    totals = corpus(rows)
+    each = rows.select(key, "len", F.explode("w").alias("term"))
+    matched = each.join(terms, "term", "left_semi").groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    every = _raw(each.select(key, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df")), totals)
+    mean = every.agg(F.avg("raw").alias("mean"))
+    return matched, _floored(every.join(terms, "term", "left_semi"), mean), totals
+
+
+def _weight(avglen) -> F.Column:
+    """What one of a query's terms gives a document, without the term's own weight."""
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avglen))
+
+
+def scores(queries: DataFrame, docs: DataFrame, *, query_key: str = "query_id", query_text: str = "text", key: str = "id", text: str = "text", index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(query, key, score) of every document that shares a term with the query. ``index``: (postings, lengths) as saved.
+
+    For few queries, or where all scores are wanted; ``search`` finds the best ones with less.
+    """
+    asked = _asked(queries, query_key, query_text)
+    terms = asked.select("term").distinct()
+    matched, weights, totals = _matched(terms, docs, key, text, index)
+    hits = matched.join(asked.join(weights, "term"), "term").crossJoin(F.broadcast(totals))
+    return hits.groupBy(query_key, key).agg(F.sum(F.col("times") * F.col("idf") * _weight(F.col("avglen"))).alias("score"))
+
+
+def search(queries: DataFrame, docs: DataFrame, k: int, *, query_key: str = "query_id", query_text: str = "text", key: str = "id", text: str = "text", index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(query, key, score, rank) of the k best documents of each query, as ``top`` of ``scores``."""
+    q = query_key
+    with Workspace(queries.sparkSession) as work:
+        asked = work.saved(_asked(queries, q, query_text), "asked")
+        n_terms = asked.count()
+        matched, weights, totals = _matched(_small(asked.select("term").distinct(), n_terms), docs, key, text, index)
+        avglen = totals.first()["avglen"] or 1.0
+        posted = work.saved(matched.select("term", key, _weight(F.lit(avglen)).alias("part")), "matched")
+        most = posted.groupBy("term").agg(F.max("part").alias("most"))
+        weighed = asked.join(weights, "term").join(most, "term").withColumn("weight", F.col("times") * F.col("idf"))
+        terms = work.saved(weighed.select(q, "term", "df", "weight", F.greatest(F.col("weight") * F.col("most"), F.lit(0.0)).alias("bound")), "terms")
+
+        def scored(some: DataFrame) -> DataFrame:
+            return posted.join(_small(some.select(q, "term", "weight"), n_terms), "term").groupBy(q, key).agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+
+        def looked_up(found: DataFrame, some: DataFrame) -> DataFrame:
+            """What these terms give documents (query, key) that are known by name."""
+            wanted = found.select(q, key).join(_small(some.select(q, "term", "weight"), n_terms), q)
+            return posted.join(wanted, ["term", key]).groupBy(q, key).agg(F.sum(F.col("weight") * F.col("part")).alias("more"))
+
+        # The rarest terms, up to the first one that k documents have.
+        enough = F.sum((F.col("df") >= k).cast("int")).over(Window.partitionBy(q).orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1))
+        rare = terms.withColumn("enough", enough).where("coalesce(enough, 0) = 0").drop("enough")
+        best = F.row_number().over(Window.partitionBy(q).orderBy(F.desc("score"), key))
+        some = work.saved(scored(rare).withColumn("r", best).where(F.col("r") <= k).select(q, key), "some")
+        full = looked_up(some, terms)
+        worst = F.row_number().over(Window.partitionBy(q).orderBy(F.desc("more"), key))
+        bar = full.withColumn("r", worst).where(F.col("r") == k).select(q, F.col("more").alias("bar"))
+        upto = F.sum("bound").over(Window.partitionBy(q).orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0))
+        split = terms.join(bar, q, "left").withColumn("upto", upto).withColumn("minor", F.coalesce(F.col("upto") < F.col("bar") - MARGIN, F.lit(False)))
+        split = work.saved(split.select(q, "term", "weight", "bound", "bar", "minor"), "split")
+        rest = split.where("minor").groupBy(q).agg(F.sum("bound").alias("rest"), F.first("bar").alias("bar"))
+        brought = scored(split.where("not minor")).join(rest, q, "left").where(F.coalesce(F.col("score") + F.col("rest") >= F.col("bar") - MARGIN, F.lit(True)))
+        brought = work.saved(brought.select(q, key, "score"), "brought")
+        more = looked_up(brought.join(rest, q, "left_semi"), split.where("minor"))
+        whole = brought.join(more, [q, key], "left").select(q, key, (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+        return saved(top(whole, k, q, key), "bm25")
+
+
+def top(scored: DataFrame, k: int, query_key: str = "query_id", key: str = "id", digits: int = DIGITS) -> DataFrame:
     """(query, key, score, rank) of the k best per query; scores that agree to so many digits are ties, broken by key."""
     said = scored.withColumn("score", F.round("score", digits))
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))

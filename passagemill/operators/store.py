@@ -1,5 +1,12 @@
-"""A versioned passage store on Parquet: each write makes a new version directory, and a pointer file names the current
-one, so that a reader never sees half a version and plans that are resolved already keep the one they read."""
+"""A versioned passage store on Parquet.
+
+A collection is a list of parts, named by a pointer file: a base, and what was written since, newest last. A part holds
+rows, the ids that it replaces or deletes, and the postings and lengths of its rows, so that each write costs what it
+writes: rows of older parts count unless a newer part names their id. When the newer parts hold a share of the rows, or
+are many, they are merged into a new base. A new pointer takes the old one's name, so a reader never sees half a version,
+and plans that are resolved already keep the parts they read: those that only older versions name are deleted after
+``keep_versions`` further ones.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +17,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ..config import StoreConfig
+from . import sparse
 
 # Names of distances.
 DISTANCES = {"cos": "cosine", "cosine": "cosine", "dot": "dot", "ip": "dot", "inner": "dot", "inner_product": "dot", "l2": "l2", "euclid": "l2", "euclidean": "l2"}
@@ -41,8 +50,9 @@ def filtered(rows: DataFrame, filters: dict[str, object] | None) -> DataFrame:
 
 
 def last_of_each(rows: DataFrame, key: str = "id", order: str = "ingest_seq") -> DataFrame:
-    """The row of the highest order for each key."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+    """The row of the highest order for each key; of equal ones always the same, by a hash of the whole row."""
+    hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in rows.schema.fields if not isinstance(f.dataType, MapType)])
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order), hashed))
     return rows.withColumn("place_", place).where("place_ = 1").drop("place_")
 
 
@@ -113,36 +123,89 @@ class PassageStore:
             raise StoreError(f"no collection {collection!r}")
         self._write_text(self._path("aliases", self.config.alias), collection)
 
+    def _parts(self, name: str) -> list[dict]:
+        said = self._read_text(self._path(name, "current"))
+        return [] if said is None else json.loads(said)["parts"]
+
+    def _table(self, name: str, part: dict, what: str) -> DataFrame:
+        return self.spark.read.parquet(str(self._path(name, part["path"], what)))
+
+    def _merged(self, name: str, parts: list[dict], what: str) -> DataFrame | None:
+        """Of each part the rows (or postings, or lengths) whose id no newer part names."""
+        out, named = None, None
+        for part in reversed(parts):
+            rows = self._table(name, part, what)
+            if named is not None:
+                rows = rows.join(named, "id", "left_anti")
+            out = rows if out is None else rows.unionByName(out, allowMissingColumns=True)
+            ids = self._table(name, part, "ids")
+            named = ids if named is None else named.unionByName(ids).distinct()
+        return out
+
     def rows(self, collection: str | None = None) -> DataFrame | None:
         """The current version's rows; None while there is none."""
         name = self.resolve(collection)
-        version = self._read_text(self._path(name, "current"))
-        return None if version is None else self.spark.read.parquet(str(self._path(name, version)))
+        return self._merged(name, self._parts(name), "rows")
 
-    def _commit(self, name: str, rows: DataFrame) -> None:
-        version = f"v{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
-        rows.write.parquet(str(self._path(name, version)))
-        self._write_text(self._path(name, "current"), version)
+    def index(self, collection: str | None = None) -> tuple[DataFrame, DataFrame] | None:
+        """(postings, lengths) of the current version's rows, for sparse search; None while there is none."""
+        name = self.resolve(collection)
+        parts = self._parts(name)
+        return (self._merged(name, parts, "postings"), self._merged(name, parts, "lengths")) if parts else None
+
+    def _write(self, name: str, rows: DataFrame, ids: DataFrame | None) -> dict:
+        """A new part of rows of distinct ids; ``ids`` are those it names besides."""
+        path = f"p{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+        at = lambda what: str(self._path(name, path, what))
+        rows.write.parquet(at("rows"))
+        made = self.spark.read.schema(rows.schema).parquet(at("rows"))
+        named = made.select("id") if ids is None else made.select("id").unionByName(ids.select(F.col("id").cast(made.schema["id"].dataType))).distinct()
+        named.write.parquet(at("ids"))
+        sparse.postings(made).write.parquet(at("postings"))
+        sparse.lengths(made).write.parquet(at("lengths"))
+        return {"path": path, "rows": made.count(), "ids": self.spark.read.parquet(at("ids")).count()}
+
+    def _commit(self, name: str, parts: list[dict]) -> None:
+        """Name the parts, merged if the newer ones have grown, and delete what no version in keeping names."""
+        newer = sum(p["ids"] for p in parts[1:])
+        if len(parts) > self.config.max_parts or newer > self.config.merge_share * max(parts[0]["rows"], 1) and len(parts) > 1:
+            path = f"p{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+            for what in ("rows", "postings", "lengths"):
+                self._merged(name, parts, what).write.parquet(str(self._path(name, path, what)))
+            ids = self._table(name, {"path": path}, "rows").select("id")
+            ids.write.parquet(str(self._path(name, path, "ids")))
+            n = self._table(name, {"path": path}, "ids").count()
+            parts = [{"path": path, "rows": n, "ids": n}]
+        said = self._read_text(self._path(name, "current"))
+        before = [] if said is None else [[p["path"] for p in json.loads(said)["parts"]], *json.loads(said)["before"]]
+        kept, gone = before[: self.config.keep_versions], before[self.config.keep_versions :]
+        self._write_text(self._path(name, "current"), json.dumps({"parts": parts, "before": kept}))
+        named = {p["path"] for p in parts}.union(*kept)
+        for path in {p for version in gone for p in version} - named:
+            self._fs.delete(self._path(name, path), True)
 
     def upsert(self, rows: DataFrame, collection: str | None = None) -> int:
         """Add rows (id, text, vector, ingest_seq and metadata), replacing those of equal ids; how many were given.
 
-        Vectors may be null; others must have the store's dimension.
+        Vectors may be null; those of rows that win must have the store's dimension, or nothing is added.
         """
         self.ensure(collection)
         name = self.resolve(collection)
-        given, wrong = rows.agg(F.count(F.lit(1)), F.count(F.when(F.size("vector") != self.config.dim, 1))).first()
-        if wrong:
-            raise StoreError(f"{wrong} vectors are not of dimension {self.config.dim}")
-        if given:
-            self._commit(name, upserted(self.rows(name), rows))
-        return given
+        part = self._write(name, last_of_each(rows), None)
+        wrong = self._table(name, part, "rows").where(F.size("vector") != self.config.dim).count()
+        if wrong or not part["rows"]:
+            self._fs.delete(self._path(name, part["path"]), True)
+            if wrong:
+                raise StoreError(f"{wrong} vectors are not of dimension {self.config.dim}")
+            return 0
+        self._commit(name, [*self._parts(name), part])
+        return rows.count()
 
     def delete_ids(self, ids: DataFrame, collection: str | None = None) -> int:
         """Delete rows by id; how many ids were asked for."""
         name = self.resolve(collection)
         if (rows := self.rows(name)) is not None:
-            self._commit(name, without_ids(rows, ids))
+            self._commit(name, [*self._parts(name), self._write(name, rows.limit(0), ids)])
         return ids.count()
 
     def delete_matches(self, filters: dict[str, object] | None, collection: str | None = None) -> int:
@@ -150,10 +213,10 @@ class PassageStore:
         name = self.resolve(collection)
         if not filters or (rows := self.rows(name)) is None:
             return 0
-        gone = filtered(rows, filters).count()
-        if gone:
-            self._commit(name, without_matches(rows, filters))
-        return gone
+        part = self._write(name, rows.limit(0), filtered(rows, filters).select("id"))
+        if part["ids"]:
+            self._commit(name, [*self._parts(name), part])
+        return part["ids"]
 
     def count(self, filters: dict[str, object] | None = None, collection: str | None = None) -> int:
         rows = self.rows(collection)
