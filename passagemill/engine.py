@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from functools import reduce
 
@@ -37,16 +38,21 @@ class RetrievalEngine:
         """Chunk, embed and upsert documents; how many chunks."""
         return self.store.upsert(self._rows(docs, corpus_id))
 
-    def _found(self, path: str, recursive: bool, reader, max_pdf_pages: int | None) -> DataFrame:
+    def _found(self, path: str, recursive: bool, reader, max_pdf_pages: int | None, skip_unreadable: bool) -> DataFrame:
         made = [files.docx_documents(files.files(self.spark, path, ".docx", recursive=recursive), self.config.source)]
+        pdf = files.files(self.spark, path, ".pdf", recursive=recursive)
         reader = reader or files.pdf_reader()
         if reader is not None:
-            made.append(files.pdf_documents(files.files(self.spark, path, ".pdf", recursive=recursive), reader, max_pages=max_pdf_pages, config=self.config.source))
+            made.append(files.pdf_documents(pdf, reader, ocr=files.ocr_program(), max_pages=max_pdf_pages, config=self.config.source))
+        elif n := pdf.select("path").count():
+            if not skip_unreadable:
+                raise RuntimeError(f"{n} PDF files, and no reader for them: give one, or skip them by skip_unreadable")
+            warnings.warn(f"{n} PDF files are skipped, as there is no reader for them", stacklevel=3)
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), made)
 
-    def ingest_path(self, path: str, *, corpus_id: str = "default", recursive: bool = True, reader=None, max_pdf_pages: int | None = None) -> int:
-        """All office documents, and PDF files if they can be read, below a path."""
-        return self.ingest(self._found(path, recursive, reader, max_pdf_pages), corpus_id)
+    def ingest_path(self, path: str, *, corpus_id: str = "default", recursive: bool = True, reader=None, max_pdf_pages: int | None = None, skip_unreadable: bool = False) -> int:
+        """All office documents and PDF files below a path."""
+        return self.ingest(self._found(path, recursive, reader, max_pdf_pages, skip_unreadable), corpus_id)
 
     def ingest_pages(self, pages: DataFrame, *, corpus_id: str = "web") -> int:
         """Fetched pages (url, html)."""
@@ -57,21 +63,25 @@ class RetrievalEngine:
         at = self.spark.createDataFrame([(a,) for a in addresses], "url string")
         return self.ingest(files.fetched_documents(at, client or files.page_client(self.config.source), self.config.source), corpus_id)
 
-    def crawl(self, seed: str, pages: DataFrame, *, corpus_id: str = "web", **policy) -> int:
-        """The pages that a crawl from ``seed`` over a table of fetched pages accepts."""
-        found = crawl(self.spark, seed, pages, max_pages=policy.pop("max_pages", self.config.source.max_crawl_pages), min_text_len=self.config.source.web_min_text_len, **policy)
-        return self.ingest_pages(pages.join(found.select("url"), "url", "left_semi"), corpus_id=corpus_id)
+    def crawl(self, seed: str, pages: DataFrame | None = None, *, client=None, corpus_id: str = "web", **policy) -> int:
+        """The pages that a crawl from ``seed`` accepts, over a table of fetched pages or, without one, over live pages
+        as far as robots files allow."""
+        policy = {"max_pages": self.config.source.max_crawl_pages, "min_text_len": self.config.source.web_min_text_len, **policy}
+        if pages is None:
+            policy["get"] = files.live_pages(client or files.page_client(self.config.source), self.config.source)
+        found = crawl(self.spark, seed, pages, **policy)
+        return self.ingest(files.web_rows(found.select(F.col("url").alias("source"), "title", "text"), self.config.source), corpus_id)
 
-    def rebuild_from_path(self, path: str, *, corpus_id: str = "default", recursive: bool = True, reader=None, collection: str | None = None, force: bool = False) -> str:
+    def rebuild_from_path(self, path: str, *, corpus_id: str = "default", recursive: bool = True, reader=None, collection: str | None = None, force: bool = False, skip_unreadable: bool = False) -> str:
         """A fresh collection of a path's files, promoted when it is whole."""
-        return self.store.rebuild(self._rows(self._found(path, recursive, reader, None), corpus_id), collection, force=force)
+        return self.store.rebuild(self._rows(self._found(path, recursive, reader, None, skip_unreadable), corpus_id), collection, force=force)
 
     def retrieve(self, questions: DataFrame, *, k: int | None = None, filters: dict[str, object] | None = None) -> DataFrame:
         """The best passages of each question (query_id, text, role; vector if there is one)."""
         rows = self.store.rows()
         if rows is None:
             raise RuntimeError("nothing is ingested yet")
-        return retrieve.hybrid(with_vectors(questions, self.embedder), rows, config=self.config.retrieval, filters=filters, k=k, distance=self.config.store.distance)
+        return retrieve.hybrid(with_vectors(questions, self.embedder), rows, config=self.config.retrieval, filters=filters, k=k, distance=self.config.store.distance, index=self.store.index())
 
     def prompts(self, questions: DataFrame, **options) -> DataFrame:
         """(query_id, context, system, user, payload) of each question."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin
 
@@ -27,6 +27,7 @@ class _Text(HTMLParser):
         self.texts: list[str] = []
         self.titles: list[list[str]] = []
         self.heads: list[list[str]] = []
+        self.inside: dict[str, int] = {}  # open elements by name
 
     def handle_starttag(self, tag, attrs) -> None:
         if tag in VOID:
@@ -34,25 +35,26 @@ class _Text(HTMLParser):
         marks = " ".join(v or "" for k, v in attrs if k in ("class", "id"))
         gone = bool(self.open and self.open[-1][1]) or tag in DROPPED or self.drop_tables and tag == "table" or bool(MARKED.search(marks))
         self.open.append((tag, gone))
+        self.inside[tag] = self.inside.get(tag, 0) + 1
         if not gone and tag == "title":
             self.titles.append([])
         if not gone and tag == "h1":
             self.heads.append([])
 
     def handle_endtag(self, tag) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
+        while self.inside.get(tag):
+            closed = self.open.pop()[0]
+            self.inside[closed] -= 1
+            if closed == tag:
                 return
 
     def handle_data(self, data) -> None:
         if self.open and self.open[-1][1]:
             return
         self.texts.append(data)
-        tags = {t for t, _ in self.open}
-        if "title" in tags and self.titles:
+        if self.inside.get("title") and self.titles:
             self.titles[-1].append(data)
-        if "h1" in tags and self.heads:
+        if self.inside.get("h1") and self.heads:
             self.heads[-1].append(data)
 
 
@@ -93,14 +95,32 @@ def links(page: str | None, base: str | None) -> list[str]:
     return out
 
 
-def with_text_and_title(pages: DataFrame, html: str = "html", *, drop_tables: bool = False) -> DataFrame:
-    """The columns, and ``text`` and ``title`` of the page in each row."""
+#: Takes a page, gives its main text, or a dict with text and title, or nothing.
+MainText = Callable[[str], str | dict | None]
+
+
+def main_text_and_title(page: str | None, main: MainText | None, drop_tables: bool = False) -> tuple[str, str]:
+    """Of the main extractor if it finds something, with the page's own title if it names none; else without it."""
+    plain = lambda: text_and_title(page, drop_tables)
+    if main is None or not page:
+        return plain()
+    try:
+        said = main(page)
+    except Exception:  # whatever goes wrong in it, the page still has a text
+        return plain()
+    text, title = (said.get("text"), said.get("title")) if isinstance(said, dict) else (said, None)
+    text = " ".join((text or "").split())
+    return (text, title or plain()[1]) if text else plain()
+
+
+def with_text_and_title(pages: DataFrame, html: str = "html", *, drop_tables: bool = False, main: MainText | None = None) -> DataFrame:
+    """The columns, and ``text`` and ``title`` of the page in each row; ``main`` is an extractor to try first."""
     source = pages.withColumn("page_", F.col(html))
     kept = pages.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [text_and_title(x, drop_tables) for x in batch["page_"].to_pylist()]
+            both = [main_text_and_title(x, main, drop_tables) for x in batch["page_"].to_pylist()]
             columns = [batch[c] for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([t for t, _ in both], pa.string()), pa.array([t for _, t in both], pa.string())], [*kept, "text", "title"])
 

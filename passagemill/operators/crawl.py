@@ -1,4 +1,4 @@
-"""A breadth-first crawl over a table of fetched pages, one level of all its pages at a time."""
+"""A breadth-first crawl, one level of all its pages at a time: over a table of fetched pages, or fetching each level."""
 
 from __future__ import annotations
 
@@ -11,19 +11,25 @@ from ..functions.html import page_links, with_text_and_title
 from ..functions.urls import normalize_url, url_allowed
 
 
-def crawl(spark: SparkSession, seed: str, pages: DataFrame, *, max_pages: int = 30, min_text_len: int = 100, same_site: bool = True, allow: tuple[str, ...] = (), deny: tuple[str, ...] = (), robots: Callable[[Column], Column] | None = None, bare_suffix: bool = False, url: str = "url", html: str = "html") -> DataFrame:
-    """(pos, depth, url, text, title) of accepted pages in the order of their finding.
+def crawl(spark: SparkSession, seed: str, pages: DataFrame | None, *, get: Callable[[DataFrame], DataFrame] | None = None, max_pages: int = 30, min_text_len: int = 100, same_site: bool = True, allow: tuple[str, ...] = (), deny: tuple[str, ...] = (), robots: Callable[[Column], Column] | None = None, bare_suffix: bool = False, url: str = "url", html: str = "html") -> DataFrame:
+    """(pos, depth, url, text, title) of accepted pages in the order of their finding. Pages are those of a table, or what
+    ``get`` makes of a level's urls: (url, html) of those that it gets.
 
     A page is accepted if its text is long enough; others still give links. It ends at ``max_pages`` accepted pages;
     at most ten times as many urls ever wait, which bounds every level's frontier and the loop's state.
     """
-    table = pages.select(normalize_url(F.col(url)).alias("url"), F.col(html).alias("html")).dropDuplicates(["url"])
+    if (pages is None) == (get is None):
+        raise ValueError("crawl() needs a table of pages or a way to get them")
+    table = None if pages is None else pages.select(normalize_url(F.col(url)).alias("url"), F.col(html).alias("html")).dropDuplicates(["url"])
     start = F.lit(seed)
     frontier = spark.range(1).select(normalize_url(start).alias("url"), F.lit(1).cast("long").alias("at"))
     seen = frontier.select("url")
     out: DataFrame | None = None
     accepted, known, depth = 0, 1, 0
     while True:
+        if get is not None:
+            got = get(frontier.select("url")).select("url", "html").collect()  # once, and at most ten times max_pages
+            table = spark.createDataFrame(got, "url string, html string")
         met = with_text_and_title(frontier.join(table, "url"), "html")
         ok = F.length("text") >= min_text_len
         if robots is not None:

@@ -180,7 +180,12 @@ said AS (SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PAR
 
 
 BM25 = f"WITH {ASKED}, {bm25_cte('documents', 'doc_id')}"
-ORACLE["bm25_stats"] = f"{BM25} SELECT term, df, round(idf, 9) AS idf FROM idfs"
+ORACLE["bm25_stats"] = f"""
+WITH t AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '{SPACE}')) AS term FROM documents),
+d AS MATERIALIZED (SELECT term, count(*) AS df FROM t WHERE term <> '' GROUP BY term),
+r AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM d, (SELECT count(*) AS n FROM documents))
+SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw END, 9) AS idf FROM r
+"""
 ORACLE["bm25_topk"] = f"{BM25} SELECT query_id, id, score, rank FROM said"
 ORACLE["bm25_postfilter"] = f"{BM25} SELECT query_id, id, rank FROM said WHERE id IN (SELECT doc_id FROM labels WHERE quality = 1)"
 
@@ -292,3 +297,26 @@ SELECT page_key, 'text' AS chunk_kind, t AS text FROM p WHERE length(t) >= 20
 UNION ALL SELECT page_key, 'erd', e FROM p WHERE length(e) >= 20
 UNION ALL SELECT page_key, 'ocr', o FROM p WHERE m AND length(t) < 20 AND length(o) >= 20
 """
+
+ORACLE["crawl_live"] = ORACLE["crawl_bfs"]
+_article = norm(_chars(r"regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<[^>]*>', ' ', 'gs')"))
+ORACLE["html_main_text"] = f"SELECT page_id, CASE WHEN length(html) % 2 = 0 THEN {_article} ELSE {_page_text} END AS text, {_page_title} AS title FROM pages"
+_office = f"{pick(DOC_TYPES, 'doc_id')} || '_' || doc_id || '.docx'"
+ORACLE["docx_documents"] = f"""
+SELECT '/docs/' || name AS source, name AS file_name, {_names} AS doc_type, 'text' AS chunk_kind, sha256(said) AS text_sha256
+FROM (SELECT {_office} AS name, lower({_office}) AS n, {norm('text')} AS said FROM documents) WHERE length(said) >= 20
+"""
+ORACLE["robots_rules"] = f"""
+WITH {URL_PARTS}, r AS (SELECT DISTINCT url, place, CASE WHEN path = '' THEN '/' ELSE path END AS path FROM q)
+SELECT page_id, length(place) % 2 = 1 OR NOT (starts_with(path, '/en/') OR starts_with(path, '/es')) AS robots_ok FROM pages JOIN r USING (url)
+"""
+ORACLE["store_promote"] = f"WITH {DOCS} SELECT doc_type, count(*) AS rows FROM docs WHERE quality = 1 GROUP BY doc_type"
+WRITTEN = f"""WITH {DOCS}, written AS (
+  SELECT doc_id, doc_type, CASE WHEN toxic = 1 THEN 'new words for ' ELSE '' END || text AS text FROM docs
+  WHERE NOT coalesce(quality = 0 AND toxic = 0, false) AND NOT (doc_type = 'erd' AND quality IS NULL))"""
+ORACLE["store_parts"] = f"{WRITTEN} SELECT CAST(doc_id AS VARCHAR) AS id, doc_type, sha256(text) AS text_sha256 FROM written"
+ORACLE["store_index"] = f"""{WRITTEN}, t AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(text, '{SPACE}')) AS term FROM written)
+SELECT term, count(*) AS df FROM t WHERE term <> '' GROUP BY term"""
+ORACLE["generate_answers"] = """
+SELECT item_id, CASE WHEN length(text) % 5 = 0 THEN '' ELSE trim('said: ' || text) END AS answer, CASE WHEN length(text) % 5 = 0 THEN 'HTTP 400: {"error":"no"}' END AS error FROM benchmark
+"""

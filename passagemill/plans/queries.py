@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import ChunkConfig
+from ..config import ChunkConfig, StoreConfig
 from ..functions import html, text, urls
 from ..operators import chunk as chunks
-from ..operators import dense, diagram, prompt, rank, retrieve, sparse, store
+from ..operators import dense, diagram, generate, prompt, rank, retrieve, sparse, store
 from ..operators.crawl import crawl
 from ..sources import files, fixtures
+from ..workspace import kept_until_exit, saved, scratch
 from . import literals as lit
 
 QUERIES: dict = {}
@@ -191,13 +188,9 @@ def dense_filtered(spark, sf):
 
 @query
 def dense_batch(spark, sf):
-    """By column expressions instead of numpy: every vector's nearest by label, over the questions."""
-    q = fixtures.questions(spark, sf).select("query_id", F.col("vector").alias("q")).where("q is not null")
-    v = _vectors(spark, sf)
-    if q.count() > 100_000:
-        raise ValueError("too many questions for a broadcast")
-    s = v.join(F.broadcast(q)).select("query_id", "label", "id", F.round(dense.similarity(F.col("q"), F.col("vector"), "cosine"), 6).alias("score"))
-    return s.groupBy("query_id", "label").agg(F.max("score").alias("score"), F.max_by("id", F.struct("score", -F.col("id"))).alias("id"))
+    """The nearest vector of every label."""
+    found = dense.top(fixtures.questions(spark, sf), _vectors(spark, sf), 1, by="label")
+    return found.select("query_id", "label", "score", "id")
 
 
 def _docs(spark, sf) -> DataFrame:
@@ -213,13 +206,13 @@ def bm25_stats(spark, sf):
 
 @query
 def bm25_topk(spark, sf):
-    found = sparse.top(sparse.scores(fixtures.questions(spark, sf), _docs(spark, sf)), 20)
+    found = sparse.search(fixtures.questions(spark, sf), _docs(spark, sf), 20)
     return found.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query
 def bm25_postfilter(spark, sf):
-    found = sparse.top(sparse.scores(fixtures.questions(spark, sf), _docs(spark, sf)), 20)
+    found = sparse.search(fixtures.questions(spark, sf), _docs(spark, sf), 20)
     good = store.filtered(fixtures.documents(spark, sf), {"quality": 1}).select(F.col("doc_id").alias("id"))
     return found.join(good, "id", "left_semi").select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
@@ -227,7 +220,7 @@ def bm25_postfilter(spark, sf):
 @query
 def rrf_fuse(spark, sf):
     near = dense.top(fixtures.questions(spark, sf), _vectors(spark, sf), 20).select("query_id", "id", F.lit(0).alias("list_no"), "rank")
-    said = sparse.top(sparse.scores(fixtures.questions(spark, sf), _docs(spark, sf)), 20).select("query_id", "id", F.lit(1).alias("list_no"), "rank")
+    said = sparse.search(fixtures.questions(spark, sf), _docs(spark, sf), 20).select("query_id", "id", F.lit(1).alias("list_no"), "rank")
     return rank.fuse(near.unionByName(said), 30).select("query_id", "id", "score", F.col("pos").cast("long").alias("pos"))
 
 
@@ -262,18 +255,11 @@ def interleave_complete(spark, sf):
     return _positions(rank.interleaved(_ranked(spark, sf), complete=True))
 
 
-def _stored(rows: DataFrame) -> DataFrame:
-    """The rows as a table in the session's checkpoint folder, as a store would hold them: what follows reads them several
-    times, and only the columns it needs."""
-    spark = rows.sparkSession
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    path = f"{(named or os.path.join(tempfile.gettempdir(), 'passagemill-checkpoints')).rstrip('/')}/passages-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
-
-
 def _hybrid(spark, sf) -> DataFrame:
-    found = retrieve.hybrid(fixtures.questions(spark, sf), _stored(_passages(spark, sf)))
+    """Over passages and their index as a store holds them: written at ingest, read by each question."""
+    rows = saved(_passages(spark, sf), "passages")
+    index = saved(sparse.postings(rows), "postings"), saved(sparse.lengths(rows), "lengths")
+    found = retrieve.hybrid(fixtures.questions(spark, sf), rows, index=index)
     return found.withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -373,3 +359,85 @@ def crawl_bfs(spark, sf):
 @query
 def page_kinds(spark, sf):
     return files.page_kinds(_literal(spark, lit.PAGE_ROWS, "page_key long, text string, has_images boolean, erd_summary string, ocr_text string"))
+
+
+@query
+def crawl_live(spark, sf):
+    """The crawl of ``crawl_bfs``, each level fetched by a client as robots files allow."""
+
+    def client():
+        site = {u: "<p>" + " ".join(["word"] * n) + "</p>" + "".join(f'<a href="{x}"></a>' for x in to) for u, n, to in lit.SITE}
+        site["https://s.org/robots.txt"] = "User-agent: *\nDisallow: /private/"
+        return lambda address: (address, "text/html; charset=utf-8", site[address])
+
+    found = crawl(spark, "https://s.org", None, get=files.live_pages(client), max_pages=lit.SITE_PAGES)
+    return found.select(F.col("pos").cast("long").alias("pos"), F.col("depth").cast("long").alias("depth"), "url")
+
+
+@query
+def html_main_text(spark, sf):
+    """A main extractor first, the page without its navigation where that finds nothing."""
+    return html.with_text_and_title(fixtures.table(spark, sf, "pages").select("page_id", "html"), main=fixtures.article).select("page_id", "text", "title")
+
+
+@query
+def docx_documents(spark, sf):
+    made = files.docx_documents(fixtures.office_files(spark, sf))
+    return made.select("source", "file_name", "doc_type", "chunk_kind", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def robots_rules(spark, sf):
+    at = fixtures.table(spark, sf, "pages").select("page_id", "url")
+    place = urls.parts(urls.normalize_url(F.col("url")))["place"]
+    rules = at.select(place.alias("place")).distinct().where(F.length("place") % 2 == 0).withColumn("robots", F.lit("User-agent: *\nDisallow: /en/\nDisallow: /es\n"))
+    return files.robots_allowed(at, rules).select("page_id", "robots_ok")
+
+
+def _store(spark) -> store.PassageStore:
+    """An empty store in the session's shared folder."""
+    return store.PassageStore(spark, StoreConfig(path=kept_until_exit(spark, scratch(spark, "store")), dim=64, max_parts=3))
+
+
+def _plain_rows(spark, sf) -> DataFrame:
+    d = fixtures.documents(spark, sf).withColumn("id", F.col("doc_id").cast("string")).withColumn("ingest_seq", F.col("doc_id"))
+    return d.select("id", "text", F.lit(None).cast("array<float>").alias("vector"), "ingest_seq", "doc_type", "quality", "toxic")
+
+
+@query
+def store_promote(spark, sf):
+    """What the alias names after a second collection has been built and promoted."""
+    s, rows = _store(spark), _plain_rows(spark, sf)
+    s.rebuild(rows)
+    s.rebuild(rows.where("quality = 1"))
+    return s.rows().groupBy("doc_type").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _written(spark, sf) -> store.PassageStore:
+    """A store after an upsert of all documents, one of some with new texts, and deletions by id and by filter."""
+    s, rows = _store(spark), _plain_rows(spark, sf)
+    s.upsert(rows)
+    s.upsert(rows.where("toxic = 1").withColumn("text", F.concat(F.lit("new words for "), "text")))
+    s.delete_ids(rows.where("quality = 0 and toxic = 0").select("id"))
+    s.delete_matches({"doc_type": "erd", "quality": None})
+    return s
+
+
+@query
+def store_parts(spark, sf):
+    return _written(spark, sf).rows().select("id", "doc_type", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def store_index(spark, sf):
+    """Document frequencies of the index that a store keeps as it is written."""
+    posted, sizes = _written(spark, sf).index()
+    return sparse.idf(posted, sparse.corpus(sizes)).select("term", "df")
+
+
+@query
+def generate_answers(spark, sf):
+    """Requests, replies and refusals of a client, over every question."""
+    q = fixtures.table(spark, sf, "benchmark").select("item_id", "text")
+    asked = q.select("item_id", prompt.chat_payload(prompt.messages(F.lit("be brief"), F.col("text")), "default", 0.2).alias("payload"))
+    return generate.generate(asked, fixtures.repeating_client).select("item_id", prompt.response_text(F.col("body")).alias("answer"), "error")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SourceConfig
-from ..functions.html import with_text_and_title
+from ..functions.html import MainText, with_text_and_title
 from ..functions.text import name_type, normalize_text, now_iso, url_type
 from ..functions.urls import normalize_url, parts
 
@@ -151,8 +153,9 @@ def page_kinds(pages: DataFrame, config: SourceConfig | None = None) -> DataFram
     return pages.select(*kept, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x")).select(*kept, "x.*")
 
 
-def web_documents(pages: DataFrame, config: SourceConfig | None = None, *, url: str = "url", html: str = "html", content_type: str | None = None, allowed: Column | None = None) -> DataFrame:
-    """Document rows of fetched pages: of a page type, allowed by robots, and with enough text."""
+def web_documents(pages: DataFrame, config: SourceConfig | None = None, *, url: str = "url", html: str = "html", content_type: str | None = None, allowed: Column | None = None, main: MainText | None = None) -> DataFrame:
+    """Document rows of fetched pages: of a page type, allowed by robots, and with enough text. ``main`` is tried first on
+    each page; without it, or where it finds nothing, the text is what is left when navigation and the like is dropped."""
     config = config or SourceConfig()
     at = pages
     if content_type is not None:
@@ -164,24 +167,35 @@ def web_documents(pages: DataFrame, config: SourceConfig | None = None, *, url:
     if allowed is not None and config.obey_robots:
         at = at.where(allowed)
     where = normalize_url(F.col(url))
-    rows = with_text_and_title(at.select(where.alias("source"), F.col(html).alias("html")), "html", drop_tables=config.strip_tables).where(F.length("text") >= config.web_min_text_len)
+    rows = with_text_and_title(at.select(where.alias("source"), F.col(html).alias("html")), "html", drop_tables=config.strip_tables, main=main)
+    return web_rows(rows, config)
+
+
+def web_rows(rows: DataFrame, config: SourceConfig | None = None) -> DataFrame:
+    """Document rows of pages (source, title, text) with enough text."""
+    config = config or SourceConfig()
     kind = url_type(parts(F.col("source"))["path"]) if config.infer_type else F.lit("web")
+    rows = rows.where(F.length("text") >= config.web_min_text_len)
     return rows.select("source", F.col("source").alias("file_name"), F.lit(1).alias("page_number"), kind.alias("doc_type"), F.lit("text").alias("chunk_kind"), now_iso().alias("created_at"), "title", "text")
 
 
+@functools.lru_cache(1000)
+def _robots(text: str):
+    """A robots file's rules; parsed once in a worker."""
+    from urllib.robotparser import RobotFileParser
+
+    reader = RobotFileParser()
+    reader.parse(text.splitlines())
+    return reader
+
+
 def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str = "*", url: str = "url") -> DataFrame:
     """The columns and ``robots_ok``, by the robots files (place, robots) of the urls' places; a missing file allows all."""
     place = parts(normalize_url(F.col(url)))["place"]
 
     @F.udf("boolean", useArrow=True)
     def ok(text, address):
-        from urllib.robotparser import RobotFileParser
-
-        if text is None:
-            return True
-        reader = RobotFileParser()
-        reader.parse(text.splitlines())
-        return reader.can_fetch(agent, address)
+        return text is None or _robots(text).can_fetch(agent, address)
 
     known = rules.select(F.lower("place").alias("place_"), "robots")
     return urls.join(known, place == F.col("place_"), "left").withColumn("robots_ok", ok("robots", normalize_url(F.col(url)))).drop("place_", "robots")
@@ -225,14 +239,37 @@ def page_client(config: SourceConfig | None = None) -> Callable[[], Callable[[st
     return make
 
 
+def live_pages(client, config: SourceConfig | None = None, url: str = "url") -> Callable[[DataFrame], DataFrame]:
+    """Makes (url, html) of live pages of urls: each place's robots file is fetched first, then the pages that it allows
+    and that are of a page type."""
+    config = config or SourceConfig()
+
+    def get(urls: DataFrame) -> DataFrame:
+        at = urls.select(normalize_url(F.col(url)).alias("url"))
+        if config.obey_robots:
+            p = parts(F.col("url"))
+            places = at.select(F.concat(p["scheme"], F.lit("://"), p["place"], F.lit("/robots.txt")).alias("url")).distinct()
+            rules = fetch(places, client).where("html != ''").select(parts(F.col("url"))["place"].alias("place"), F.col("html").alias("robots"))
+            at = robots_allowed(at, rules).where("robots_ok").select("url")
+        said = F.lower("content_type")
+        return fetch(at, client).where("html != ''").where(reduce(lambda a, b: a | b, [said.contains(x) for x in PAGE_TYPES]))
+
+    return get
+
+
 def fetched_documents(urls: DataFrame, client, config: SourceConfig | None = None, url: str = "url") -> DataFrame:
-    """Document rows of live pages: each place's robots file is fetched once, then the pages that it allows."""
+    """Document rows of live pages, as far as robots files allow."""
     config = config or SourceConfig()
-    at = urls.select(normalize_url(F.col(url)).alias("url"))
-    if config.obey_robots:
-        p = parts(F.col("url"))
-        places = at.select(F.concat(p["scheme"], F.lit("://"), p["place"], F.lit("/robots.txt")).alias("url")).distinct()
-        rules = fetch(places, client).where("html != ''").select(parts(F.col("url"))["place"].alias("place"), F.col("html").alias("robots"))
-        at = robots_allowed(at, rules).where("robots_ok").select("url")
-    pages = fetch(at, client).select(F.coalesce(F.when(F.col("final_url") != "", F.col("final_url")), F.col("url")).alias("url"), "content_type", "html")
-    return web_documents(pages, config, content_type="content_type")
+    pages = live_pages(client, config, url)(urls)
+    return web_documents(pages.select(F.coalesce(F.when(F.col("final_url") != "", F.col("final_url")), F.col("url")).alias("url"), "html"), config)
+
+
+def ocr_program(name: str = "tesseract") -> Ocr | None:
+    """OCR by a program that reads an image from its input, if it is installed."""
+    import shutil
+    import subprocess
+
+    path = shutil.which(name)
+    if path is None:
+        return None
+    return lambda image: subprocess.run([path, "-", "-"], input=image, capture_output=True, timeout=300, check=False).stdout.decode(errors="replace")

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import html
+import io
+import json
+import re
+import zipfile
+from xml.sax.saxutils import escape
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.generate import Client, Reply
+
 # What a document's type and a question's role are, by id modulo the length.
 DOC_TYPES = ("technical", "schema", "erd", "functional", "product", "analytics", "reporting", "onboarding", "user_guide", "api", "web", "unknown")
 ROLES = ("developer", "ba", "new_joiner", "dev")
@@ -33,3 +42,36 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return items.join(vectors, "query_id", "left").withColumn("role", _pick(ROLES, "query_id"))
+
+
+def office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): every document as an office file, a paragraph for each line, the last one in a table."""
+    space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+
+    @F.udf("binary", useArrow=True)
+    def made(text):
+        lines = [f"<w:p><w:r><w:t>{escape(x)}</w:t></w:r></w:p>" for x in re.split("[\r\n]+", text or "")]
+        body = "".join(lines[:-1]) + f"<w:tbl><w:tr><w:tc>{lines[-1]}</w:tc></w:tr></w:tbl>"
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("word/document.xml", f"<w:document {space}><w:body>{body}</w:body></w:document>")
+        return out.getvalue()
+
+    path = F.concat(F.lit("/docs/"), _pick(DOC_TYPES, "doc_id"), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".docx"))
+    return table(spark, sf_dir, "documents").select(path.alias("path"), made("text").alias("content"))
+
+
+def article(page: str) -> str | None:
+    """A main extractor for the fixtures' pages, which finds nothing in those of an odd length."""
+    m = re.search("<article>(.*?)</article>", page, re.S)
+    return html.unescape(re.sub("<[^>]*>", " ", m[1])) if m and len(page) % 2 == 0 else None
+
+
+def repeating_client() -> Client:
+    """Repeats the question, and refuses those whose length is a multiple of five."""
+
+    def reply(payload: str) -> Reply:
+        asked = json.loads(payload)["messages"][-1]["content"]
+        return Reply(400, '{"error":"no"}') if len(asked) % 5 == 0 else Reply(200, json.dumps({"choices": [{"message": {"content": f"said: {asked}"}}]}))
+
+    return reply
