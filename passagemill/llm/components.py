@@ -8,13 +8,8 @@ them. Nulls and loops in the edges connect nothing.
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import itertools
-import os
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,56 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names. Where it names none, a temporary one, if all runs in one process."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if named is None:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        named = os.path.join(tempfile.gettempdir(), "passagemill-checkpoints")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/passagemill-{what}-{uuid.uuid4().hex}"
-
-
-def deleted(spark: SparkSession, paths: list[str]) -> None:
-    for path in paths:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-_RESULTS: dict[str, list[str]] = {}
-
-
-def kept_until_exit(spark: SparkSession, path: str) -> str:
-    """The path, which is deleted when this process ends with its Spark application still running."""
-    app = spark.sparkContext.applicationId
-    if not _RESULTS:
-        atexit.register(_end)
-    _RESULTS.setdefault(app, []).append(path)
-    return path
-
-
-def _end() -> None:
-    spark = SparkSession.getActiveSession()
-    with contextlib.suppress(Exception):  # the application may be gone
-        if spark is not None:
-            deleted(spark, _RESULTS.get(spark.sparkContext.applicationId, []))
-
-
-def saved(df: DataFrame, what: str = "table") -> DataFrame:
-    """The rows, written to the shared folder and read back: no lineage, and nothing that dies with an executor. For
-    results, which callers may read as long as the application runs."""
-    path = kept_until_exit(df.sparkSession, scratch(df.sparkSession, what))
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..workspace import Workspace, saved, scratch, shared_dir  # noqa: F401
 
 
 def renamed(carried: list[str], results) -> list[str]:
@@ -86,29 +32,6 @@ def renamed(carried: list[str], results) -> list[str]:
     return out
 
 
-class Workspace:
-    """Tables in the shared folder that go when the work inside is done; what is left of it must be saved outside."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.paths = spark, []
-
-    def saved(self, df: DataFrame, what: str = "table") -> DataFrame:
-        path = scratch(self.spark, what)
-        self.paths.append(path)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def __enter__(self) -> Workspace:
-        return self
-
-    def __exit__(self, *_: object) -> None:
-        self.clear()
-
-    def clear(self) -> None:
-        deleted(self.spark, self.paths)
-        self.paths = []
-
-
 #: Rows that go to Python at once, where rows are whole texts.
 TEXT_ROWS = 1000
 

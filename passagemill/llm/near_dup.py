@@ -318,6 +318,7 @@ def _decided(docs: DataFrame, doc_id: str, text: str, work: Workspace) -> DataFr
     known = work.saved(named.join(needed, "id", "left_semi").join(sets, "id"), "known")
     # Blocks of about so many members and bytes; a bucket has as many blocks as it needs.
     cells = open_.join(known.select("id", "n"), "id").groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(8 * F.sum("n") / BLOCK_BYTES)).cast("int").alias("cells"))
+    cells = work.saved(cells, "cells")
     rows = open_.join(cells, "key").join(known, "id")
     cell = F.pmod(F.xxhash64("id", "key"), F.col("cells")).cast("int")
     blocks = rows.withColumn("cell", cell).groupBy("key", "cells", "cell").agg(F.collect_list(F.struct("id", "component", "n", "sketch", "grams")).alias("list"))
