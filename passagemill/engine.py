@@ -17,6 +17,7 @@ from .operators.generate import Client, generate
 from .operators.store import PassageStore
 from .sources import files
 from .streaming.ingest import passages
+from .workspace import saved
 
 
 class RetrievalEngine:
@@ -40,14 +41,15 @@ class RetrievalEngine:
 
     def _found(self, path: str, recursive: bool, reader, max_pdf_pages: int | None, skip_unreadable: bool) -> DataFrame:
         made = [files.docx_documents(files.files(self.spark, path, ".docx", recursive=recursive), self.config.source)]
-        pdf = files.files(self.spark, path, ".pdf", recursive=recursive)
-        reader = reader or files.pdf_reader()
-        if reader is not None:
-            made.append(files.pdf_documents(pdf, reader, ocr=files.ocr_program(), max_pages=max_pdf_pages, config=self.config.source))
-        elif n := pdf.select("path").count():
+        found = files.files(self.spark, path, ".pdf", recursive=recursive)
+        pages = saved(files.pdf_pages(found, reader or files.pdf_reader(), ocr=files.ocr_program(), max_pages=max_pdf_pages, config=self.config.source), "pages")
+        bad = pages.where("error is not null").select("source", "error")
+        if some := bad.limit(5).collect():
+            said = f"{bad.count()} PDF files can't be read, among them " + "; ".join(f"{r['source']} ({r['error']})" for r in some)
             if not skip_unreadable:
-                raise RuntimeError(f"{n} PDF files, and no reader for them: give one, or skip them by skip_unreadable")
-            warnings.warn(f"{n} PDF files are skipped, as there is no reader for them", stacklevel=3)
+                raise RuntimeError(f"{said}. To ingest the others, say skip_unreadable")
+            warnings.warn(said, stacklevel=3)
+        made.append(files.page_documents(pages, self.config.source))
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), made)
 
     def ingest_path(self, path: str, *, corpus_id: str = "default", recursive: bool = True, reader=None, max_pdf_pages: int | None = None, skip_unreadable: bool = False) -> int:

@@ -82,6 +82,7 @@ def summaries(drawings: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataF
     arrow = F.concat(F.col("from"), F.lit(" -> "), F.col("to"), F.coalesce(F.concat(F.lit(" ("), F.col("label"), F.lit(")")), F.lit("")))
     arrows = listed(edges(drawings, blocks), arrow, "e")
     at = boxes_.join(pages, "page_key").join(arrows, "page_key", "left").join(titles(blocks), "page_key", "left")
+    # The labels of a summary.
     text = F.concat(
         F.lit("--- DOCUMENT CHUNK (ERD) ---\nSOURCE: "), "file_name", F.lit(" (Page "), F.col("page_number").cast("string"), F.lit(")\nCATEGORY: erd\nTITLE: "), F.coalesce("title", F.lit("")),
         F.lit("\nNODES: "), F.array_join("n", ", "), F.lit("\nEDGES: "), F.coalesce(F.array_join("e", "; "), F.lit("")),

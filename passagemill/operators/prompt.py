@@ -23,6 +23,7 @@ def context_blocks(hits: DataFrame, queries: DataFrame, query: str = "query_id")
     """(query, context): numbered blocks of each query's passages in order of ``pos``; a fixed sentence if it has none."""
     number = F.row_number().over(Window.partitionBy(query).orderBy("pos"))
     said = lambda c, other: F.coalesce(F.col(c).cast("string"), F.lit(other)) if c in hits.columns else F.lit(other)
+    # The labels of a block.
     block = F.concat(
         F.lit("--- DOCUMENT CHUNK "), number.cast("string"), F.lit(" ---\nSOURCE: "), said("file_name", "?"), F.lit(" (Page "), said("page_number", "?"),
         F.lit(")\nCATEGORY: "), said("doc_type", "General"), F.lit(" / "), said("chunk_kind", "text"), F.lit("\nCONTENT: "), said("text", ""), F.lit("\n"),

@@ -218,6 +218,22 @@ class PassageStore:
             self._commit(name, [*self._parts(name), part])
         return part["ids"]
 
+    def load(self, collection: str | None = None) -> bool:
+        """Whether there is such a collection; nothing else must be loaded."""
+        return self._fs.exists(self._path(self.resolve(collection), "manifest.json"))
+
+    def save(self) -> None:
+        """Every write is saved when it returns."""
+
+    def close(self) -> None:
+        """Nothing is held open."""
+
+    def __enter__(self) -> PassageStore:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
     def count(self, filters: dict[str, object] | None = None, collection: str | None = None) -> int:
         rows = self.rows(collection)
         return 0 if rows is None else filtered(rows, filters).count()

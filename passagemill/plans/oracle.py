@@ -320,3 +320,13 @@ SELECT term, count(*) AS df FROM t WHERE term <> '' GROUP BY term"""
 ORACLE["generate_answers"] = """
 SELECT item_id, CASE WHEN length(text) % 5 = 0 THEN '' ELSE trim('said: ' || text) END AS answer, CASE WHEN length(text) % 5 = 0 THEN 'HTTP 400: {"error":"no"}' END AS error FROM benchmark
 """
+_pdf = f"{pick(DOC_TYPES, 'doc_id')} || '_' || doc_id || '.pdf'"
+ORACLE["pdf_documents"] = f"""
+WITH f AS (SELECT doc_id, {_pdf} AS name, lower({_pdf}) AS n, {norm('text')} AS said FROM documents),
+p AS (
+  SELECT name, n, 1::BIGINT AS page_number, 'text' AS chunk_kind, said FROM f WHERE length(said) >= 20
+  UNION ALL SELECT name, n, 2, 'text', 'Model of a document 1:n order_' || doc_id || ' head line_' || doc_id || ' rows' FROM f
+  UNION ALL SELECT name, n, 2, 'erd', '--- DOCUMENT CHUNK (ERD) ---' || chr(10) || 'SOURCE: ' || name || ' (Page 2)' || chr(10) || 'CATEGORY: erd' || chr(10) || 'TITLE: Model of a document' || chr(10)
+    || 'NODES: order_' || doc_id || ', line_' || doc_id || chr(10) || 'EDGES: order_' || doc_id || ' -> line_' || doc_id || ' (1:n)' FROM f)
+SELECT '/docs/' || name AS source, {_names} AS doc_type, page_number, chunk_kind, sha256(said) AS text_sha256 FROM p
+"""

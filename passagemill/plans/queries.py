@@ -441,3 +441,10 @@ def generate_answers(spark, sf):
     q = fixtures.table(spark, sf, "benchmark").select("item_id", "text")
     asked = q.select("item_id", prompt.chat_payload(prompt.messages(F.lit("be brief"), F.col("text")), "default", 0.2).alias("payload"))
     return generate.generate(asked, fixtures.repeating_client).select("item_id", prompt.response_text(F.col("body")).alias("answer"), "error")
+
+
+@query
+def pdf_documents(spark, sf):
+    """Text layer and diagrams of a PDF file for each document."""
+    made = files.pdf_documents(fixtures.pdf_files(spark, sf), files.pdf_reader())
+    return made.select("source", "doc_type", F.col("page_number").cast("long").alias("page_number"), "chunk_kind", F.sha2("text", 256).alias("text_sha256"))

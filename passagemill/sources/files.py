@@ -17,6 +17,9 @@ from ..config import SourceConfig
 from ..functions.html import MainText, with_text_and_title
 from ..functions.text import name_type, normalize_text, now_iso, url_type
 from ..functions.urls import normalize_url, parts
+from ..operators import diagram
+from ..workspace import saved
+from . import pdf
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 # Content types that hold a page.
@@ -92,13 +95,19 @@ def described(rows: DataFrame, config: SourceConfig, page: str | None = None) ->
     return rows.withColumns({"file_name": name, "page_number": number, "doc_type": kind, "created_at": now_iso()})
 
 
-#: Takes a file's bytes, gives a dict for each page: text, has_images, diagram (a summary or None), image (or None).
+#: Takes a file's bytes, gives a dict for each page: text, has_images, and if there are such diagram (a summary), image,
+#: drawings (type, box or None, points or None) and blocks (x0, y0, x1, y1, text). Raises an exception if it can't read it.
 PageReader = Callable[[bytes], list[dict]]
 Ocr = Callable[[bytes], str]
 
 
-def pdf_reader() -> PageReader | None:
-    """A reader on PyMuPDF, if it is installed."""
+def pdf_reader() -> PageReader:
+    """The reader on the standard library."""
+    return pdf.reader
+
+
+def rendering_reader() -> PageReader | None:
+    """A reader on PyMuPDF, if it is installed: it renders pages for OCR, and gives no geometry."""
     try:
         import fitz
     except ImportError:
@@ -106,35 +115,60 @@ def pdf_reader() -> PageReader | None:
 
     def read(content: bytes) -> list[dict]:
         with fitz.open(stream=content, filetype="pdf") as pages:
-            return [{"text": p.get_text("text"), "has_images": bool(p.get_images()), "diagram": None, "image": p.get_pixmap(dpi=200).tobytes()} for p in pages]
+            return [{"text": p.get_text("text"), "has_images": bool(p.get_images()), "image": p.get_pixmap(dpi=200).tobytes()} for p in pages]
 
     return read
 
 
-def pdf_documents(found: DataFrame, reader: PageReader, *, ocr: Ocr | None = None, max_pages: int | None = None, config: SourceConfig | None = None) -> DataFrame:
-    """Document rows of (path, content): for each page its text, its diagram, and OCR if it has images but too little text."""
+_BOX = pa.struct([(c, pa.float64()) for c in ("x0", "y0", "x1", "y1")])
+_DRAWINGS = pa.list_(pa.struct([("ord", pa.int64()), ("type", pa.string()), ("bbox", _BOX), ("points", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))]))
+_BLOCKS = pa.list_(pa.struct([("ord", pa.int64()), *((c, pa.float64()) for c in ("x0", "y0", "x1", "y1")), ("text", pa.string())]))
+_PAGES = [("source", pa.string()), ("page_number", pa.int32()), ("text", pa.string()), ("has_images", pa.bool_()), ("erd_summary", pa.string()), ("ocr_text", pa.string()), ("drawings", _DRAWINGS), ("blocks", _BLOCKS), ("error", pa.string())]
+_PAGE_SCHEMA = "source string, page_number int, text string, has_images boolean, erd_summary string, ocr_text string, drawings array<struct<ord: long, type: string, bbox: struct<x0: double, y0: double, x1: double, y1: double>, points: array<struct<x: double, y: double>>>>, blocks array<struct<ord: long, x0: double, y0: double, x1: double, y1: double, text: string>>, error string"
+
+
+def _page_row(path: str, n: int, page: dict, ocr: Ocr | None, config: SourceConfig) -> tuple:
+    short = len(" ".join((page.get("text") or "").split())) < config.min_text_len
+    image = page.get("image") if config.enable_ocr and ocr and short and page.get("has_images") else None
+    drawings = [{"ord": k, "type": t, "bbox": box and dict(zip(("x0", "y0", "x1", "y1"), box)), "points": points and [{"x": x, "y": y} for x, y in points]} for k, (t, box, points) in enumerate(page.get("drawings") or [], 1)]
+    blocks = [{"ord": k, **dict(zip(("x0", "y0", "x1", "y1", "text"), block))} for k, block in enumerate(page.get("blocks") or [], 1)]
+    return (path, n, page.get("text"), bool(page.get("has_images")), page.get("diagram"), ocr(image) if image is not None else None, drawings, blocks, None)
+
+
+def pdf_pages(found: DataFrame, reader: PageReader, *, ocr: Ocr | None = None, max_pages: int | None = None, config: SourceConfig | None = None) -> DataFrame:
+    """Rows of the pages of files (path, content): text, images, geometry, and OCR of pages that have images but too little
+    text. A file that its reader can't read is a row with an error."""
     config = config or SourceConfig()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch["path"].to_pylist(), batch["content"]):
                 try:
-                    pages = reader(content.as_py())
-                except Exception:  # a file that its reader can't open has no pages
-                    continue
-                if max_pages:
-                    pages = pages[:max_pages]
-                rows = []
-                for n, page in enumerate(pages, 1):
-                    short = len(" ".join((page.get("text") or "").split())) < config.min_text_len
-                    image = page.get("image") if config.enable_ocr and ocr and short and page.get("has_images") else None
-                    rows.append((path, n, page.get("text"), bool(page.get("has_images")), page.get("diagram"), ocr(image) if image is not None else None))
-                columns = list(zip(*rows)) or [()] * 6
-                kinds = [pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["source", "page_number", "text", "has_images", "erd_summary", "ocr_text"])
-
-    pages = found.mapInArrow(run, "source string, page_number int, text string, has_images boolean, erd_summary string, ocr_text string")
-    return described(page_kinds(pages, config), config, "page_number")
+                    rows = [_page_row(path, n, page, ocr, config) for n, page in enumerate(reader(content.as_py())[: max_pages or None], 1)]
+                except Exception as e:
+                    rows = [(path, 0, None, False, None, None, [], [], f"{type(e).__name__}: {e}")]
+                columns = list(zip(*rows)) or [()] * len(_PAGES)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, (_, k) in zip(columns, _PAGES)], [name for name, _ in _PAGES])
+
+    return found.mapInArrow(run, _PAGE_SCHEMA)
+
+
+def page_documents(pages: DataFrame, config: SourceConfig | None = None) -> DataFrame:
+    """Document rows of pages: their text, what OCR read, and the diagrams that their geometry makes. Pages should be
+    written, as they are read several times."""
+    config = config or SourceConfig()
+    pages = pages.where("error is null")
+    if config.parse_diagrams:
+        at = pages.withColumn("page_key", F.concat_ws("#", "source", "page_number")).withColumn("file_name", file_name(F.col("source")))
+        each = lambda c: at.select("page_key", F.explode(c).alias("x")).select("page_key", "x.*")
+        found = diagram.summaries(each("drawings"), each("blocks"), at.select("page_key", "file_name", "page_number"))
+        pages = at.drop("file_name").join(found, "page_key", "left").withColumn("erd_summary", F.coalesce("erd_summary", "summary")).drop("page_key", "summary")
+    return described(page_kinds(pages.drop("drawings", "blocks", "error"), config), config, "page_number")
+
+
+def pdf_documents(found: DataFrame, reader: PageReader, *, ocr: Ocr | None = None, max_pages: int | None = None, config: SourceConfig | None = None) -> DataFrame:
+    """Document rows of (path, content). Files that can't be read give none; ``pdf_pages`` says which."""
+    return page_documents(saved(pdf_pages(found, reader, ocr=ocr, max_pages=max_pages, config=config), "pages"), config)
 
 
 def page_kinds(pages: DataFrame, config: SourceConfig | None = None) -> DataFrame:

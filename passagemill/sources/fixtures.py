@@ -7,6 +7,7 @@ import io
 import json
 import re
 import zipfile
+import zlib
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +62,39 @@ def office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(path.alias("path"), made("text").alias("content"))
 
 
+def pdf_bytes(contents: list[bytes], packed: bool = True) -> bytes:
+    """A PDF file with a page for each stream of drawing operators, in which /F is a Latin font."""
+    objects = [b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/MediaBox[0 0 600 800]/Count %d/Kids[%s]>>" % (len(contents), b" ".join(b"%d 0 R" % (4 + 2 * k) for k in range(len(contents)))), b"<</Type/Font/Subtype/Type1/BaseFont/Courier/Encoding/WinAnsiEncoding/FirstChar 0/Widths[%s]>>" % b" ".join([b"600"] * 256)]
+    for k, said in enumerate(contents):
+        objects.append(b"<</Type/Page/Parent 2 0 R/Resources<</Font<</F 3 0 R>>>>/Contents %d 0 R>>" % (5 + 2 * k))
+        data = zlib.compress(said) if packed else said
+        objects.append(b"<</Length %d%s>>stream\n%s\nendstream" % (len(data), b"/Filter/FlateDecode" * packed, data))
+    out, places = bytearray(b"%PDF-1.5\n"), []
+    for number, said in enumerate(objects, 1):
+        places.append(len(out))
+        out += b"%d 0 obj\n%s\nendobj\n" % (number, said)
+    table = b"".join(b"%010d 00000 n \n" % x for x in places)
+    return bytes(out) + b"xref\n0 %d\n0000000000 65535 f \n%strailer\n<</Size %d/Root 1 0 R>>\nstartxref\n%d\n%%%%EOF" % (len(objects) + 1, table, len(objects) + 1, len(out))
+
+
+def _lines(text: str, x: float, y: float, size: float = 8) -> bytes:
+    shown = [b"(" + re.sub(rb"([\\()])", rb"\\\1", line.encode("cp1252", "replace")) + b") Tj T*" for line in text.split("\n")]
+    return b"BT /F %g Tf %g TL %g %g Td %s ET" % (size, 1.25 * size, x, y, b"\n".join(shown))
+
+
+def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): every document as a PDF file: its lines on a page, and two boxes with a line between on another."""
+
+    @F.udf("binary", useArrow=True)
+    def made(text, number):
+        boxes = b"100 600 120 40 re S 320 600 120 40 re S 220 620 m 320 620 l S"
+        labels = [_lines("Model of a document", 60, 760, 12), _lines(f"order_{number} head", 105, 620), _lines(f"line_{number} rows", 325, 620), _lines("1:n", 262, 626)]
+        return pdf_bytes([_lines("\n".join(re.split("[\r\n]+", text or "")), 40, 770), boxes + b"\n" + b"\n".join(labels)])
+
+    path = F.concat(F.lit("/docs/"), _pick(DOC_TYPES, "doc_id"), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    return table(spark, sf_dir, "documents").select(path.alias("path"), made("text", "doc_id").alias("content"))
+
+
 def article(page: str) -> str | None:
     """A main extractor for the fixtures' pages, which finds nothing in those of an odd length."""
     m = re.search("<article>(.*?)</article>", page, re.S)

@@ -5,6 +5,7 @@ import io
 import json
 import random
 import zipfile
+import zlib
 from urllib.parse import urldefrag, urlparse
 
 import numpy as np
@@ -17,7 +18,7 @@ from passagemill.functions import embed, html, text, urls
 from passagemill.operators import chunk, dense, generate, prompt, rank, retrieve, sparse, store
 from passagemill.operators.crawl import crawl
 from passagemill.plans import literals
-from passagemill.sources import files
+from passagemill.sources import files, fixtures, pdf
 from passagemill.streaming import ingest
 from passagemill.workspace import Workspace
 
@@ -421,16 +422,41 @@ def test_clients_over_http():
     server.shutdown()
 
 
-def test_pdf_files_without_a_reader_are_reported(spark, config, tmp_path, monkeypatch):
-    monkeypatch.setattr(files, "pdf_reader", lambda: None)
+def test_pdf_files_that_cannot_be_read_are_reported(spark, config, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.docx").write_bytes(docx("A paragraph that is long enough."))
-    (tmp_path / "in/b.pdf").write_bytes(b"%PDF")
+    (tmp_path / "in/good.pdf").write_bytes(fixtures.pdf_bytes([b"BT /F 10 Tf 50 700 Td (A line that is long enough) Tj ET"]))
+    (tmp_path / "in/bad.pdf").write_bytes(b"no file")
     engine = RetrievalEngine(spark, config)
-    with pytest.raises(RuntimeError, match="1 PDF"):
+    with pytest.raises(RuntimeError, match="1 PDF.*bad.pdf.*not a PDF"):
         engine.ingest_path(str(tmp_path / "in"))
     with pytest.warns(UserWarning, match="1 PDF"):
-        assert engine.ingest_path(str(tmp_path / "in"), skip_unreadable=True) == 1
+        assert engine.ingest_path(str(tmp_path / "in"), skip_unreadable=True) == 2
+
+
+def test_pdf_reading():
+    show = lambda content, **more: pdf.reader(fixtures.pdf_bytes([content], **more))[0]
+    page = show(b"q 2 0 0 2 0 0 cm BT /F 10 Tf 20 300 Td [(Wor) -10 (ld) -400 (t\\(w\\)\\157)] TJ 0 -12 Td <4142> Tj ET Q 10 10 30 20 re f 5 5 m 5 60 l 90 60 l S 0 0 m 9 9 l 9 9 8 8 7 7 c s")
+    assert page["text"] == "World t(w)o\nAB" and not page["has_images"]
+    assert page["drawings"] == [("rect", (10, 770, 40, 790), None), ("line", None, [(5, 795), (5, 740), (90, 740)]), ("curve", None, [(0, 800), (9, 791), (7, 793)])]
+    assert show(b"BT /F 10 Tf 1 0 0 1 300 500 Tm (right) Tj 1 0 0 1 50 500 Tm (left) Tj 1 0 0 1 50 700 Tm (top) Tj ET", packed=False)["text"].split() == ["top", "left", "right"]
+    assert show(b"BI /W 1 /H 1 ID \x00\xff EI BT /F 9 Tf 9 9 Td (x) Tj ET")["has_images"]
+    # two-byte codes with a map, a compressed object, a form in a form, and a picture
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfchar <0001> <00E9> endbfchar 1 beginbfrange <0005> <0007> <0061> endbfrange"
+    inner = b"<</Type/Font/Subtype/Type0/DescendantFonts[<</DW 500>>]/ToUnicode 7 0 R>>"
+    packed = zlib.compress(b"6 0 " + inner)
+    parts = [
+        b"1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj", b"2 0 obj<</Kids[3 0 R]/Count 1>>endobj",
+        b"3 0 obj<</Type/Page/MediaBox[0 0 100 100]/Contents[4 0 R]/Resources<</Font<</A 6 0 R>>/XObject<</X 8 0 R/I 9 0 R>>>>>>endobj",
+        b"4 0 obj<</Length 9 >>stream\n/X Do /I Do\nendstream endobj", b"5 0 obj<</Type/ObjStm/N 1/First 4/Filter/FlateDecode>>stream\n" + packed + b"\nendstream endobj",
+        b"7 0 obj<<>>stream\n" + cmap + b"\nendstream endobj", b"8 0 obj<</Subtype/Form/Matrix[1 0 0 1 5 5]>>stream\nBT /A 10 Tf 1 1 Td <00010005000600070009> Tj ET\nendstream endobj",
+        b"9 0 obj<</Subtype/Image/Filter/DCTDecode>>stream\nJPEG\nendstream endobj",
+    ]
+    page = pdf.reader(b"%PDF-1.5\n" + b"\n".join(parts))[0]
+    assert page["text"] == "éabc\ufffd" and page["image"] == b"JPEG"
+    for bad in (b"", b"%PDF-1.4", b"%PDF-1.4\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj trailer<</Root 1 0 R/Encrypt 9 0 R>>"):
+        with pytest.raises(ValueError):
+            pdf.reader(bad)
 
 
 def test_live_crawl_and_main_extractors(spark, config):
