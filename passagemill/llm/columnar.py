@@ -154,57 +154,6 @@ def string_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
 
 
-class PieceCache:
-    """Ids of the pieces of texts cut at spaces, so that each distinct piece is encoded once.
-
-    ``encode`` takes a list of distinct pieces and gives them in the order that suits it, the ids of all in that order
-    as one array, and the number of ids of each. At most ``limit`` pieces are kept; then the
-    cache starts anew, which costs time and changes no result.
-    """
-
-    def __init__(self, encode: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], limit: int = 300_000) -> None:
-        self.encode, self.limit = encode, limit
-        self._clear()
-
-    def _clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.lengths = np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def _grow(self, name: str, need: int) -> None:
-        old = getattr(self, name)
-        if need > len(old):
-            new = np.zeros(max(need, 2 * len(old)), old.dtype)
-            new[: len(old)] = old
-            setattr(self, name, new)
-
-    def lookup(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all pieces in order, and the number of ids of each."""
-        coded = pieces.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.at) + len(distinct) > self.limit and self.at:
-            self._clear()
-        found = [self.at.get(x, -1) for x in distinct]
-        missing = [x for x, k in zip(distinct, found) if k < 0]
-        if missing:
-            order, flat, lengths = self.encode(missing)
-            n, first, more = len(self.at), self.used, len(order)
-            self._grow("ids", first + len(flat))
-            self._grow("starts", n + more)
-            self._grow("lengths", n + more)
-            self.ids[first : first + len(flat)] = flat
-            self.starts[n : n + more] = first + np.cumsum(lengths) - lengths
-            self.lengths[n : n + more] = lengths
-            self.used = first + len(flat)
-            self.at.update(zip(order, range(n, n + more)))
-            found = [self.at[x] for x in distinct]
-        which = np.asarray(found, np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(pieces) else np.zeros(0, np.int64)
-        lengths = self.lengths[which]
-        return self.ids[ragged(self.starts[which], lengths)], lengths
-
-
 class UnitCache:
     """Ids of byte strings, so that each distinct one is encoded once; found by comparing whole strings, in numpy.
 
@@ -213,7 +162,7 @@ class UnitCache:
     and changes no result.
     """
 
-    #: Strings of more bytes are kept in a dictionary; a key's last byte is the length.
+    #: Strings of more bytes are kept in a dictionary; a key's last byte is one more than the length.
     SHORT = WIDE - 1
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1_000_000) -> None:
@@ -281,7 +230,7 @@ class UnitCache:
     def lookup(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all runs of bytes in order, and the number of ids of each."""
         rows = heads(raw, starts, np.minimum(lengths, self.SHORT))
-        rows[:, 2] |= np.minimum(lengths, 255).astype(np.uint64) << np.uint64(56)
+        rows[:, 2] |= np.minimum(lengths + 1, 255).astype(np.uint64) << np.uint64(56)
         hashes = head_hashes(rows, np.zeros(len(rows), np.int64))
         short = lengths <= self.SHORT
         which = np.where(short, self._find(rows, hashes), -1)
@@ -310,11 +259,16 @@ class UnitCache:
         counts = self.lengths.take(which)
         return self.ids.take(ragged(self.starts.take(which), counts)), counts
 
+    def of(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of an array of texts."""
+        raw, offsets = buffers(pieces)
+        return self.lookup(raw, offsets[:-1], np.diff(offsets))
+
 
-def listed(pieces: list[str], ids: list[list[int]]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """What ``PieceCache`` wants of pieces with their lists of ids."""
+def listed(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """What ``UnitCache`` wants of lists of ids."""
     lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    return pieces, np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths
+    return np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths
 
 
 def space_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

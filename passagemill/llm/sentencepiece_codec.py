@@ -59,7 +59,7 @@ class Codec:
         self.raw = np.frombuffer(b"".join(texts), np.uint8)
         self.lengths = np.array([len(x) for x in texts], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.cache = co.PieceCache(lambda distinct: co.listed(distinct, [self._piece(x) for x in distinct]))
+        self.cache = co.UnitCache(lambda distinct: co.listed([self._piece(x) for x in distinct]), 500_000)
 
     @classmethod
     def load(cls, path: str) -> Codec:
@@ -115,7 +115,7 @@ class Codec:
             pieces, offsets = pa.array([p for x in lists for p in x], pa.string()), np.cumsum([0, *map(len, lists)])
         else:
             pieces, offsets = co.space_pieces(texts)
-        ids, counts = self.cache.lookup(pieces)
+        ids, counts = self.cache.of(pieces)
         sums = np.concatenate([[0], np.cumsum(counts)])
         lengths = sums[offsets[1:]] - sums[offsets[:-1]]
         if (empty := np.diff(co.buffers(texts)[1]) == 0).any():
