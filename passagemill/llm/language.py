@@ -9,9 +9,7 @@ nothing; with no labelled row at all every text is ``und``; equal scores go to t
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +21,7 @@ from pyspark.sql import functions as F
 from . import columnar as co
 
 #: Labelled rows in the training sample (expected number): the bound of the model.
-SAMPLE_ROWS = 5_000
+SAMPLE_ROWS = 4_000
 LONGEST_GRAM = 4
 UNDETERMINED = "und"
 
@@ -38,21 +36,32 @@ def letter_runs(text: str) -> list[str]:
     return [x for run in runs for x in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
+def _points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each character of the words, one word after another, and n + 1 offsets."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    return co.mix(np.frombuffer("".join(words).encode("utf-32-le"), "<u4")), np.concatenate([[0], ends]).astype(np.int64)
+
+
 @dataclass
 class Table:
-    """Log probabilities by language (columns) of strings (rows)."""
+    """Log probabilities by language (columns) of strings (rows), found by 64-bit hashes of the strings."""
 
-    place: dict[str, int]
+    keys: np.ndarray
     scores: np.ndarray
 
     @classmethod
-    def of(cls, counts: dict[str, np.ndarray], width: int) -> Table:
-        """With add-a-half smoothing."""
-        matrix = np.array(list(counts.values())).reshape(len(counts), width) + 0.5
-        return cls({k: i for i, k in enumerate(counts)}, (np.log(matrix) - np.log(matrix.sum(axis=0))).astype(np.float32))
+    def of(cls, keys: np.ndarray, column: np.ndarray, counts: np.ndarray, width: int) -> Table:
+        """Of counts of a string, by its hash, in a column; with add-a-half smoothing."""
+        distinct, row = np.unique(keys, return_inverse=True)
+        matrix = np.bincount(row * width + column, counts, len(distinct) * width).reshape(len(distinct), width) + 0.5
+        return cls(distinct, (np.log(matrix) - np.log(matrix.sum(axis=0))).astype(np.float32))
 
-    def rows(self, strings: list[str]) -> list[int]:
-        return [k for x in strings if (k := self.place.get(x)) is not None]
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The rows of these hashes, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
 
 
 @dataclass
@@ -63,31 +72,43 @@ class Model:
     words: Table
     grams: dict[int, Table]
 
-    def word(self, word: str) -> np.ndarray | None:
-        """Scores of a word; None if no n-gram of it, down to one letter, was ever seen."""
-        if found := self.words.rows([word]):
-            return self.words.scores[found[0]]
-        padded = f" {word} "
+    def score(self, words: list[str]) -> np.ndarray:
+        """Scores of words by language: of the word if it is known, else of its n-grams of the greatest n of which any is
+        known, divided by n, as neighbouring n-grams share letters; 0 if no letter is."""
+        points, offsets = _points(words)
+        row = self.words.find(co.run_hashes(points, offsets[:-1], offsets[1:]))
+        out = np.where(row[:, None] >= 0, self.words.scores[row] if len(self.words.keys) else 0.0, 0.0).astype(np.float64)
+        rest = np.flatnonzero(row < 0)
         for n in range(LONGEST_GRAM, 0, -1):
-            cells = padded if n > 1 else word
-            if found := self.grams[n].rows([cells[i : i + n] for i in range(len(cells) - n + 1)]):
-                return self.grams[n].scores[found].sum(axis=0) / n  # neighbouring n-grams share letters
-        return None
+            if not len(rest):
+                break
+            points, offsets = _points([words[k] if n == 1 else f" {words[k]} " for k in rest.tolist()])
+            per = np.maximum(np.diff(offsets) - n + 1, 0)
+            at = co.ragged(offsets[:-1], per)
+            row = self.grams[n].find(co.run_hashes(points, at, at + n))
+            hit = row >= 0
+            owner = np.repeat(np.arange(len(rest)), per)[hit]
+            known = np.bincount(owner, minlength=len(rest)) > 0
+            for k in range(len(self.languages)):
+                out[rest, k] += np.bincount(owner, self.grams[n].scores[row[hit], k], len(rest)) / n
+            rest = rest[~known]
+        return out
 
 
 def fit(counts: list[tuple[str, str, int]], languages: list[str]) -> Model:
     """A model of (language, word, count) rows."""
-    place = {x: i for i, x in enumerate(languages)}
-    by_word: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
-    by_gram: dict[int, dict[str, np.ndarray]] = {n: defaultdict(lambda: np.zeros(len(languages))) for n in range(1, LONGEST_GRAM + 1)}
-    for language, word, count in counts:
-        by_word[word][place[language]] += count
-        weight = 1 + math.log(count)
-        for n, table in by_gram.items():
-            cells = f" {word} " if n > 1 else word
-            for gram, times in Counter(cells[i : i + n] for i in range(len(cells) - n + 1)).items():
-                table[gram][place[language]] += weight * times
-    return Model(languages, Table.of(by_word, len(languages)), {n: Table.of(t, len(languages)) for n, t in by_gram.items()})
+    width, words = len(languages), [w for _, w, _ in counts]
+    column = np.array([languages.index(x) for x, _, _ in counts], np.int64)
+    times = np.array([n for _, _, n in counts], float)
+    points, offsets = _points(words)
+    known, grams = Table.of(co.run_hashes(points, offsets[:-1], offsets[1:]), column, times, width), {}
+    padded = _points([f" {w} " for w in words])
+    for n in range(1, LONGEST_GRAM + 1):
+        points, offsets = padded if n > 1 else (points, offsets)
+        per = np.maximum(np.diff(offsets) - n + 1, 0)
+        at = co.ragged(offsets[:-1], per)
+        grams[n] = Table.of(co.run_hashes(points, at, at + n), np.repeat(column, per), np.repeat(1 + np.log(times), per), width)
+    return Model(languages, known, grams)
 
 
 def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -105,34 +126,41 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: s
     return fit(sorted(counts), sorted(set(tally["lang"].to_pylist())))
 
 
-def _scores(batches: Iterator[pa.RecordBatch], model: Model, text: str, limit: int = 150_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """For each slice the summed scores by text and language, and whether a text has a letter."""
-    width = len(model.languages)
-    kept: dict[str, int] = {}
-    table = np.zeros((1 << 12, width + 1), np.float32)
-    for batch in co.slices(batches, text):
-        pieces, offsets = co.space_pieces(co.filled(batch[text]))
-        coded = pieces.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(kept) + len(distinct) > limit:
-            kept = {}
-        places = []
-        for piece in distinct:
-            k = kept.get(piece)
-            if k is None:
-                k = kept[piece] = len(kept)
-                if k >= len(table):
-                    table = np.concatenate([table, np.zeros_like(table)])
-                runs = letter_runs(piece.lower())
-                table[k] = 0
-                table[k, width] = len(runs)
-                for run in runs:
-                    if width and (s := model.word(run)) is not None:
-                        table[k, :width] += s
-            places.append(k)
-        rows = table[np.asarray(places, np.int64)[coded.indices.to_numpy(zero_copy_only=False)]]
-        total = np.add.reduceat(rows, offsets[:-1], axis=0, dtype=np.float64)  # every text has a piece, the empty one too
-        yield batch, total[:, :width], total[:, width] > 0.5
+class _Scorer:
+    """Scores of texts, each distinct piece between spaces scored once."""
+
+    def __init__(self, model: Model, limit: int = 300_000) -> None:
+        self.model, self.width = model, len(model.languages)
+        self.cache = co.UnitCache(self._score, limit)
+        self._begin()
+
+    def _begin(self) -> None:
+        #: Of each piece the sum by language, and the number of words.
+        self.table, self.used = np.zeros((1 << 12, self.width + 1), np.float32), 0
+
+    def _score(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A row of the table for each piece; its number is the piece's one id."""
+        if self.cache.n == 0:
+            self._begin()
+        need = self.used + len(pieces)
+        if need > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((max(need, 2 * len(self.table)) - len(self.table), self.width + 1), np.float32)])
+        runs = [letter_runs(piece.lower()) for piece in pieces]
+        counts = np.fromiter(map(len, runs), np.int64, len(runs))
+        first, self.used = self.used, need
+        self.table[first:need, self.width] = counts
+        owner = np.repeat(np.arange(len(runs)), counts)
+        if self.width and len(owner):
+            for k, said in enumerate(self.model.score([x for some in runs for x in some]).T):
+                self.table[first:need, k] = np.bincount(owner, said, len(runs))
+        return np.arange(first, need, dtype=np.int32), np.ones(len(pieces), np.int64)
+
+    def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The summed scores by text and language, and whether a text has a letter."""
+        pieces, offsets = co.space_pieces(co.filled(texts))
+        ids, _ = self.cache.of(pieces)
+        total = np.add.reduceat(self.table[ids], offsets[:-1], axis=0, dtype=np.float64)  # every text has a piece, the empty one too
+        return total[:, : self.width], total[:, self.width] > 0.5
 
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None, labels: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -146,8 +174,9 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: list[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch, scores, lettered in _scores(batches, known, body):
-            width = len(known.languages)
+        scorer, width = _Scorer(known), len(known.languages)
+        for batch in co.slices(batches, body):
+            scores, lettered = scorer.scores(batch[body])
             if width:
                 best = scores.argmax(axis=1)
                 share = 1 / np.exp(np.maximum(scores - scores.max(axis=1, keepdims=True), -700)).sum(axis=1)
