@@ -74,7 +74,7 @@ _STRETCH, _SQUASH = _logistic()
 
 
 class _Common:
-    """Order 0: how often each id was seen. It takes in what was seen when that is a quarter of what it knows."""
+    """Order 0: how often each id was seen. It takes in what was seen when that is half of what it knows."""
 
     def __init__(self, lanes: int, decoding: bool) -> None:
         self.count = np.zeros(IDS, np.int64)
@@ -86,7 +86,7 @@ class _Common:
             new = np.concatenate(self.waiting)
             self.count += np.bincount(new, minlength=IDS)
             self.known += len(new)
-        self.waiting, self.held, self.due = [], 0, max(self.known >> 2, 2 * self.lanes)
+        self.waiting, self.held, self.due = [], 0, max(self.known >> 1, 2 * self.lanes)
         self.widths = 1 + _SEEN * self.count
         self.ends = np.cumsum(self.widths)
         self.starts = self.ends - self.widths
