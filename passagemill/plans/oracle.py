@@ -330,3 +330,4 @@ p AS (
     || 'NODES: order_' || doc_id || ', line_' || doc_id || chr(10) || 'EDGES: order_' || doc_id || ' -> line_' || doc_id || ' (1:n)' FROM f)
 SELECT '/docs/' || name AS source, {_names} AS doc_type, page_number, chunk_kind, sha256(said) AS text_sha256 FROM p
 """
+ORACLE["stream_ingest"] = f"{CHUNKS} SELECT DISTINCT id, sha256(text) AS text_sha256 FROM chunks"

@@ -11,6 +11,7 @@ from ..operators import chunk as chunks
 from ..operators import dense, diagram, generate, prompt, rank, retrieve, sparse, store
 from ..operators.crawl import crawl
 from ..sources import files, fixtures
+from ..streaming import ingest
 from ..workspace import kept_until_exit, saved, scratch
 from . import literals as lit
 
@@ -448,3 +449,17 @@ def pdf_documents(spark, sf):
     """Text layer and diagrams of a PDF file for each document."""
     made = files.pdf_documents(fixtures.pdf_files(spark, sf), files.pdf_reader())
     return made.select("source", "doc_type", F.col("page_number").cast("long").alias("page_number"), "chunk_kind", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def stream_ingest(spark, sf):
+    """The passages in a store that a stream of documents has been run into, twice from the same checkpoint."""
+    s = _store(spark)
+    at = kept_until_exit(spark, scratch(spark, "stream"))
+    docs = fixtures.table(spark, sf, "documents")
+    folder, _, name = docs.inputFiles()[0].rpartition("/")  # the table is a file, or a folder of files
+    files_ = name if name == "documents.parquet" else "*.parquet"
+    for _ in range(2):  # the second finds nothing new
+        stream = fixtures.described(spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 8).option("pathGlobFilter", files_).parquet(folder))
+        ingest.start(stream, s, at).awaitTermination()
+    return s.rows().select("id", F.sha2("text", 256).alias("text_sha256"))

@@ -28,11 +28,15 @@ def _pick(values: tuple[str, ...], key: str):
     return F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
 
 
+def described(rows: DataFrame) -> DataFrame:
+    """doc_id, text, source of rows of documents, with doc_type, file_name and page_number."""
+    docs = rows.select("doc_id", "text", "source").withColumn("doc_type", _pick(DOC_TYPES, "doc_id"))
+    return docs.withColumns({"file_name": F.concat("doc_type", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".pdf")), "page_number": (F.col("doc_id") % 5).cast("int")})
+
+
 def documents(spark: SparkSession, sf_dir: str, *, vectors: bool = False) -> DataFrame:
     """doc_id, text, file_name, source, page_number, doc_type, quality, toxic, and the vector if asked for."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source").withColumn("doc_type", _pick(DOC_TYPES, "doc_id"))
-    docs = docs.withColumns({"file_name": F.concat("doc_type", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".pdf")), "page_number": (F.col("doc_id") % 5).cast("int")})
-    docs = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    docs = described(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "labels"), "doc_id", "left")
     if vectors:
         docs = docs.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id", "left")
     return docs
