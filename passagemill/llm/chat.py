@@ -5,8 +5,10 @@ A turn is ``<|turn|>role\\ntext<|end|>\\n``. Inside roles and texts a backslash
 gets a backslash behind its first character, so none is left; dropping single backslashes gives the text back. A new
 line in a role also gets a backslash before it.
 
-Conversations are formatted in order of their turns as a stream: a partition sorted by conversation goes by in slices,
-and a conversation that outgrows a slice continues in a further part, so that no conversation is held whole.
+Turns are dealt out by ranges of conversation and turn, so that a conversation with a large share of all rows goes to
+several tasks. Each formats its turns in order as a stream: what it holds of a conversation is a part, and one that
+outgrows a slice continues in a further part, so that no conversation is held whole. Parts have numbers that grow with
+the turns; nearly all conversations have one part.
 
 Defined cases: null texts and roles are empty; null turns sort first; equal turns are ordered by role, then text;
 repeated rows are repeated turns; null conversation ids form one conversation; other columns are not read.
@@ -33,7 +35,7 @@ CONTROL = ("<|turn|>", "<|end|>", "<|im_start|>", "<|im_end|>", "<|endoftext|>",
 _TURN = re.compile(r"<\|turn\|>((?:[^\\\n]|\\.)*)\n(.*?)<\|end\|>\n", re.S)
 _BACK = re.compile(r"\\(.)", re.S)
 
-TURN_SCHEMA = "conv_id long, part int, last boolean, n_turns long, formatted string, loss_spans array<struct<start: long, end: long>>"
+TURN_SCHEMA = "conv_id long, part long, whole boolean, n_turns long, formatted string, loss_spans array<struct<start: long, end: long>>"
 
 
 def escape(column: pa.Array) -> pa.Array:
@@ -91,73 +93,106 @@ def assemble(roles: pa.Array, texts: pa.Array, loss_roles: tuple[str, ...], grou
 
 
 def format_chat(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """Formatted conversations in parts (nearly always one), each with its turns, its text and its loss spans.
-
-    Parts of a conversation follow one another in a partition; their texts, joined, are the conversation.
+    """Formatted conversations in parts, each with its turns, its text and its loss spans, and whether it is known to be the
+    whole conversation. The texts of a conversation's parts, joined by their numbers, are the conversation.
     """
     source = turns.select(F.col(f"`{conv_id}`").cast("long").alias("conv_id"), F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    source = source.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    # Equal turns are split too, at a prefix of their texts: between ranges the order is that of whole texts.
+    ranges = ["conv_id", "turn", "role", F.substring("text", 1, 64)]
+    source = source.repartitionByRange(*ranges).sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         held: pa.RecordBatch | None = None  # the rows of the newest conversation, which may go on
-        part = 0
+        part = TaskContext.get().partitionId() << 40
+        # The first conversation of a task may have begun, and its last one may go on, in another.
+        opened = part > 0
 
-        def made(rows: pa.RecordBatch, ends: np.ndarray, first_part: int, last: bool) -> pa.RecordBatch:
+        def made(rows: pa.RecordBatch, ends: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
+            nonlocal part
             formatted, spans = assemble(rows["role"], rows["text"], loss_roles, ends)
             begins = np.concatenate([[0], ends[:-1]])
-            parts = np.zeros(len(ends), np.int32)
-            parts[0] = first_part
-            final = np.ones(len(ends), bool)
-            final[-1] = last
-            return pa.RecordBatch.from_arrays([rows["conv_id"].take(pa.array(begins)), pa.array(parts), pa.array(final), pa.array(ends - begins, pa.int64()), formatted, spans], ["conv_id", "part", "last", "n_turns", "formatted", "loss_spans"])
+            parts = part + np.arange(len(ends))
+            part += len(ends)
+            return pa.RecordBatch.from_arrays([rows["conv_id"].take(pa.array(begins)), pa.array(parts, pa.int64()), pa.array(whole), pa.array(ends - begins, pa.int64()), formatted, spans], ["conv_id", "part", "whole", "n_turns", "formatted", "loss_spans"])
 
         for batch in co.slices(batches, "text"):
             rows = batch if held is None else pa.concat_batches([held, batch])
-            ids = rows["conv_id"]
-            if rows.num_rows > 1:
-                a, b = ids.slice(1), ids.slice(0, rows.num_rows - 1)
-                same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
-                ends = np.flatnonzero(~same.to_numpy(zero_copy_only=False)) + 1
-            else:
-                ends = np.zeros(0, np.int64)
+            ends = _changes(rows["conv_id"])
             if len(ends):
-                yield made(rows.slice(0, int(ends[-1])), ends, part, True)
-                part, held = 0, rows.slice(int(ends[-1]))
+                whole = np.ones(len(ends), bool)
+                whole[0], opened = not opened, False
+                yield made(rows.slice(0, int(ends[-1])), ends, whole)
+                held = rows.slice(int(ends[-1]))
             else:
                 held = rows
             if held.nbytes > 4 * co.SLICE_BYTES and held.num_rows > 1:  # all but the last row, so that a last part has rows
-                yield made(held.slice(0, held.num_rows - 1), np.array([held.num_rows - 1]), part, False)
-                part, held = part + 1, held.slice(held.num_rows - 1)
+                yield made(held.slice(0, held.num_rows - 1), np.array([held.num_rows - 1]), np.zeros(1, bool))
+                held, opened = held.slice(held.num_rows - 1), True
         if held is not None:
-            yield made(held, np.array([held.num_rows]), part, True)
+            yield made(held, np.array([held.num_rows]), np.zeros(1, bool))
 
     return source.mapInArrow(run, TURN_SCHEMA)
 
 
+def _changes(ids: pa.Array) -> np.ndarray:
+    """The rows at which another id begins; nulls are one id."""
+    if len(ids) < 2:
+        return np.zeros(0, np.int64)
+    a, b = ids.slice(1), ids.slice(0, len(ids) - 1)
+    same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+    return np.flatnonzero(~same.to_numpy(zero_copy_only=False)) + 1
+
+
 def digests(formatted: DataFrame) -> DataFrame:
-    """Per conversation what its formatted text says when it is read back; parts must follow one another."""
+    """Per conversation what its formatted text says when it is read back. ``formatted`` should be written, as it is read
+    twice: conversations in one part, and those in several, whose parts meet in order of their numbers.
+
+    Its hashes are over all turns of a conversation, so the parts of one pass through one task, as a stream.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns, loss = hashlib.sha256(), hashlib.sha256()
-        n_turns = loss_chars = chars = 0
+        now = None
         for batch in batches:
             out: list[tuple] = []
-            for conv, last, text, spans in zip(batch["conv_id"].to_pylist(), batch["last"].to_pylist(), batch["formatted"], batch["loss_spans"].to_pylist()):
-                text = text.as_py()
-                for role, said in parse(text):
-                    turns.update(f"{role}\n{said}\n".encode())
-                    n_turns += 1
-                for s in spans:
-                    said = unescape(text[s["start"] : s["end"]])
-                    loss.update(said.encode())
-                    loss_chars += len(said)
-                chars += len(text)
-                if last:
-                    out.append((conv, n_turns, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
-                    turns, loss = hashlib.sha256(), hashlib.sha256()
-                    n_turns = loss_chars = chars = 0
-            columns = list(zip(*out)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+            for conv, whole, text, spans in zip(batch["conv_id"].to_pylist(), batch["whole"].to_pylist(), batch["formatted"], batch["loss_spans"].to_pylist()):
+                if now is None or whole or now.conv != conv:
+                    if now is not None:
+                        out.append(now.said())
+                    now = _Digest(conv)
+                now.add(text.as_py(), spans)
+            yield _digest_rows(out)
+        if now is not None:
+            yield _digest_rows([now.said()])
+
+    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    columns = ["conv_id", "part", "whole", "formatted", "loss_spans"]
+    one = formatted.where("whole").select(columns).mapInArrow(run, schema)
+    several = formatted.where("not whole").select(columns).repartition("conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(run, schema)
+    return one.unionByName(several)
+
+
+class _Digest:
+    def __init__(self, conv) -> None:
+        self.conv, self.turns, self.loss = conv, hashlib.sha256(), hashlib.sha256()
+        self.n_turns = self.loss_chars = self.chars = 0
+
+    def add(self, text: str, spans: list[dict]) -> None:
+        for role, said in parse(text):
+            self.turns.update(f"{role}\n{said}\n".encode())
+            self.n_turns += 1
+        for s in spans:
+            said = unescape(text[s["start"] : s["end"]])
+            self.loss.update(said.encode())
+            self.loss_chars += len(said)
+        self.chars += len(text)
+
+    def said(self) -> tuple:
+        return self.conv, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+
+
+def _digest_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 6
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])

@@ -39,7 +39,19 @@ def test_round_trip_of_hostile_and_odd_turns(spark):
 def test_a_conversation_larger_than_a_slice(spark):
     rows = [(5, i, "assistant" if i % 2 else "user", "wörd " * 3000) for i in range(400)] + [(4, 0, "user", "a"), (6, 0, "user", "b")]
     parts = check(spark, rows).where("conv_id = 5").collect()
-    assert len(parts) > 1 and [p["part"] for p in parts] == list(range(len(parts))) and sum(p["n_turns"] for p in parts) == 400
+    assert len(parts) > 1 and len({p["part"] for p in parts}) == len(parts) and sum(p["n_turns"] for p in parts) == 400
+    said = [t for p in sorted(parts, key=lambda p: p["part"]) for t in chat.parse(p["formatted"])]
+    assert said == [("assistant" if i % 2 else "user", "wörd " * 3000) for i in range(400)]
+
+
+def test_a_hot_conversation_goes_to_several_tasks(spark):
+    rows = [(None if i % 3 == 0 else i % 50, i // 3, "assistant" if i % 2 else "user", f"text {i}") for i in range(6000)]
+    rows += [(7, 1, "user", "same")] * 500
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    out = check(spark, rows)
+    hot = out.where("conv_id is null").selectExpr("part >> 40 as task", "n_turns").groupBy("task").sum("n_turns").collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(hot) > 1 and sum(r[1] for r in hot) == 2000
 
 
 def test_loss_spans_and_empty_table(spark):
