@@ -5,11 +5,12 @@ vectors; a vector's bucket is its nearest signed axis. Queries probe the nearest
 Repeated rows are indexed once. Candidates are scored exactly in double precision inside their bucket, block against
 block; every block gives its k best ids per query, and the k best distinct ones of all tables are the result.
 
-A bucket is one signed axis, however many rows there are: full buckets are met block by block, and each pair of blocks
-may go to a task of its own. With ``hashes`` > 1 a bucket is a tuple of signed axes of independent rotations, and probes
-go by the sum of what they give away. That loses neighbours that are not near (on random vectors of 64 dimensions, 0.985
-of them are found with 10 probes of one axis, and 0.175 with 10 of two), so it is never taken unasked, and who asks for
-it says how many probes are right. Queries that find fewer than k ids are compared with all rows, block by block.
+A bucket is a tuple of signed axes of independent rotations, and probes go by the sum of what they give away. How many
+axes and probes is chosen by measured recall, at any size: SAMPLE queries are compared with all rows, and of the CHOICES
+by which at least TARGET of their true neighbours share a bucket, the cheapest is taken (candidates scored, and rows of
+probes dealt out). For neighbours that are hardly near, as among random vectors, that is one axis and many probes, whose
+work grows with queries times rows; near ones allow tuples. Full buckets are met block by block, and each pair of blocks
+may go to a task of its own. Queries that find fewer than k ids are compared with all rows, block by block.
 
 Defined cases: vectors that are null, zero, empty, or hold null or non-finite components take no part; vectors of
 different lengths never meet; a query's own id is never its neighbour; ties go to the smaller id; repeated rows of an
@@ -28,7 +29,11 @@ from pyspark.sql import functions as F
 
 from .components import Workspace, batch_rows, saved
 
-TABLES, PROBES, SEED = 12, 10, 20240229
+TABLES, SEED = 12, 20240229
+#: Queries whose recall is measured, the share that must be found, and (axes of a bucket, probes of a table) to choose from;
+#: the last is taken if none finds enough. A row that is dealt out costs as much as so many scored candidates.
+SAMPLE, TARGET, ROW_COST = 64, 0.95, 100
+CHOICES = ((3, 20), (3, 60), (3, 200), (2, 8), (2, 24), (2, 80), (2, 240), (1, 3), (1, 6), (1, 10), (1, 20), (1, 40))
 BLOCK_ROWS = 1024
 
 
@@ -144,17 +149,50 @@ def _everywhere(rows: DataFrame) -> DataFrame:
     return _hashed(rows, 0, 0, 0)
 
 
-def search(vectors: DataFrame, queries: DataFrame | None = None, *, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", tables: int = TABLES, probes: int | None = None, hashes: int = 1) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each row of ``queries`` (default: every vector)."""
+def recall(pairs: list[tuple[np.ndarray, np.ndarray]], tables: int, hashes: int, probes: int) -> float:
+    """The share of pairs (query, neighbour) that share a bucket in some table; pairs come by length, as two matrices."""
+    found = total = 0
+    for asked, near in pairs:
+        units = [x / np.sqrt((x * x).sum(axis=1, keepdims=True)) for x in (scaled(asked), scaled(near))]
+        met = np.zeros(len(asked), bool)
+        for t in range(tables):
+            met |= (buckets(units[0], t, hashes, probes) == buckets(units[1], t, hashes, 1)).any(axis=1)
+        found, total = found + met.sum(), total + len(met)
+    return found / max(total, 1)
+
+
+def plan(pairs: list[tuple[np.ndarray, np.ndarray]], rows: int, tables: int = TABLES) -> tuple[int, int]:
+    """Axes and probes for so many rows, by the recall of true neighbours."""
+    size = 2 * _padded(max((a.shape[1] for a, _ in pairs), default=1))
+    cost = {(h, p): tables * p * (rows / size**h + ROW_COST) for h, p in CHOICES if p <= size**h}
+    return next((c for c in sorted(cost, key=cost.get) if recall(pairs, tables, *c) >= TARGET), CHOICES[-1])
+
+
+def _planned(asked: DataFrame, rows: DataFrame, k: int, kinds: list[str], tables: int, work: Workspace) -> tuple[int, int]:
+    """Axes and probes by the exact neighbours of a sample of queries; SAMPLE times k pairs come to the driver."""
+    some = work.saved(asked.orderBy(F.xxhash64("id", "v")).limit(SAMPLE), "sample")
+    near = _nearest(_met(_everywhere(some), _everywhere(rows)), k, kinds)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    near = near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "vec_id")
+    left, right = (f.select(F.col("id").alias(c), F.col("v").cast("array<double>").alias(v), F.col("dim").alias(d)) for f, c, v, d in ((some, "query_id", "a", "da"), (rows, "vec_id", "b", "db")))
+    met = near.join(left.dropDuplicates(["query_id"]), "query_id").join(right, "vec_id").where("da = db").dropDuplicates(["query_id", "vec_id"])
+    found = met.select("da", "a", "b").collect()
+    by_size = {d: [r for r in found if r["da"] == d] for d in {r["da"] for r in found}}
+    return plan([(np.array([r["a"] for r in some]), np.array([r["b"] for r in some])) for some in by_size.values()], rows.count(), tables)
+
+
+def search(vectors: DataFrame, queries: DataFrame | None = None, *, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", tables: int = TABLES, probes: int | None = None, hashes: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of each row of ``queries`` (default: every vector). ``hashes``
+    and ``probes`` are chosen if they aren't given."""
     rows = valid_vectors(vectors, vec_id, embedding).dropDuplicates(["id", "v"])
     asked = rows if queries is None else valid_vectors(queries, vec_id, embedding).dropDuplicates(["id", "v"])
-    if probes is None:
-        if hashes > 1:
-            raise ValueError("PROBES is right for one hash; say how many probes go with more")
-        probes = PROBES
+    if (probes is None) != (hashes is None):
+        raise ValueError("hashes and probes go together")
     spark = vectors.sparkSession
     kinds = ["<f4" if f.schema["v"].dataType.elementType.typeName() == "float" else "<f8" for f in (asked, rows)]
     with Workspace(spark) as work, batch_rows(spark, 16):
+        if hashes is None:
+            hashes, probes = _planned(asked, rows, k, kinds, tables, work)
         best = work.saved(_nearest(_met(work.saved(_hashed(asked, tables, hashes, probes), "probes"), work.saved(_hashed(rows, tables, hashes, 1), "index")), k, kinds), "best")
         enough = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
         short = work.saved(asked.join(enough, F.col("id") == F.col("query_id"), "left_anti"), "short")

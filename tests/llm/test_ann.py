@@ -92,6 +92,36 @@ def test_recall_on_many_near_random_vectors(spark):
         recall(spark, path, hashes=2)
 
 
+def clustered(rng, n):
+    centres = rng.normal(size=(n // 20, 48))
+    return centres[rng.integers(0, len(centres), n)] + 0.12 * rng.normal(size=(n, 48))
+
+
+def test_choices_keep_their_recall_at_any_size():
+    rng = np.random.default_rng(7)
+    random_ = rng.normal(size=(4000, 64))
+    near = clustered(rng, 4000)
+    for x in (random_, near):
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        scores = unit[:200] @ unit.T
+        scores[np.arange(200), np.arange(200)] = -2
+        best = np.argsort(-scores, axis=1)[:, :5]
+        pairs = [(np.repeat(x[:64], 5, axis=0), x[best[:64]].reshape(320, -1))]
+        others = [(np.repeat(x[64:200], 5, axis=0), x[best[64:]].reshape(680, -1))]
+        chosen = [ann.plan(pairs, rows) for rows in (4000, 10**6, 10**9, 10**12)]
+        assert all(ann.recall(others, ann.TABLES, *c) >= 0.9 for c in chosen)  # on queries that were not in the sample
+        assert chosen[0][0] == 1 and (x is random_ or chosen[-1][0] > 1)
+
+
+@pytest.mark.parametrize("hashes", [1, 2, 3])
+def test_recall_with_tuples_on_many_rows(spark, monkeypatch, tmp_path, hashes):
+    x = clustered(np.random.default_rng(8), 5000)
+    path = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").write.parquet(path)
+    monkeypatch.setattr(ann, "CHOICES", tuple(c for c in ann.CHOICES if c[0] == hashes))
+    assert recall(spark, path) >= 0.9
+
+
 def test_two_hashes_with_probes_to_match(spark):
     assert recall(spark, "/root/testdata/sf0.1/embeddings.parquet", hashes=2, probes=800) >= 0.9
 
