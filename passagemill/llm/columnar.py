@@ -6,6 +6,8 @@ Every helper works on one slice of a record batch, so memory is bounded by the s
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import itertools
 from collections.abc import Callable, Iterator
 
@@ -35,8 +37,20 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def release() -> None:
+    """Give memory that is free back to the system: a worker process outlives its task, and others need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches into pieces of about ``limit`` bytes of ``text``; a longer text stands alone."""
+    yield from _slices(batches, text, limit)
+    release()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
         if n == 0:

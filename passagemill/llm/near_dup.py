@@ -204,6 +204,7 @@ def _screened(pairs: DataFrame, least: float) -> DataFrame:
                 sizes = [batch[c].to_numpy(zero_copy_only=False).astype(float) for c in ("na", "nb")]
                 good = likely_jaccard(*rows, *sizes) >= least
                 yield batch.select(["a", "b"]).filter(pa.array(good))
+        co.release()
 
     return pairs.mapInArrow(run, "a binary, b binary")
 
@@ -223,6 +224,7 @@ def _verified(pairs: DataFrame) -> DataFrame:
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 good[k] = enough(_shared(p, q), len(p) + len(q))
             yield batch.select(["a", "b"]).filter(pa.array(good))
+        co.release()
 
     return pairs.mapInArrow(run, "a binary, b binary")
 
@@ -279,6 +281,7 @@ def _across(blocks: DataFrame, least: float) -> DataFrame:
                             links.append((ids[0][i].as_py(), ids[1][j].as_py()))
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.binary()), pa.array([b for _, b in links], pa.binary())], ["a", "b"])
+        co.release()
 
     return blocks.mapInArrow(run, "a binary, b binary")
 
