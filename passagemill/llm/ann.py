@@ -42,41 +42,49 @@ def _padded(dim: int) -> int:
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """The Walsh-Hadamard transform of the rows; their length is a power of two."""
-    n, d = x.shape
+    """The Walsh-Hadamard transform of the columns; their length is a power of two."""
+    d, n = x.shape
     h = 1
     while h < d:
-        y = x.reshape(n, d // (2 * h), 2, h)
-        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(n, d)
+        y = x.reshape(d // (2 * h), 2, h, n)
+        x = np.empty_like(y)
+        np.add(y[:, 0], y[:, 1], out=x[:, 0])
+        np.subtract(y[:, 0], y[:, 1], out=x[:, 1])
         h *= 2
-    return x
+    return x.reshape(d, n)
 
 
 def axes(unit: np.ndarray, table: int, hash_: int) -> np.ndarray:
-    """Scores of the 2d signed axes after the pseudo-rotation of this table and hash."""
+    """Scores of the 2d signed axes (rows) after the pseudo-rotation of this table and hash, for each vector (columns)."""
     dim = _padded(unit.shape[1])
-    signs = np.random.default_rng([SEED, dim, table, hash_]).choice([-1.0, 1.0], (3, dim))
-    x = np.zeros((len(unit), dim))
-    x[:, : unit.shape[1]] = unit
+    signs = np.random.default_rng([SEED, dim, table, hash_]).choice([-1.0, 1.0], (3, dim, 1))
+    x = np.zeros((dim, len(unit)))
+    x[: unit.shape[1]] = unit.T
     for s in signs:
         x = hadamard(x * s) / np.sqrt(dim)
-    return np.concatenate([x, -x], axis=1)
+    return np.concatenate([x, -x])
 
 
 def buckets(unit: np.ndarray, table: int, hashes: int, probes: int) -> np.ndarray:
     """For each row its ``probes`` best buckets, the best first."""
     n, dim = unit.shape
     size = 2 * _padded(dim)
+    if probes == 1:
+        key = np.zeros(n, np.int64)
+        for h in range(hashes):
+            key = key * size + axes(unit, table, h).argmax(axis=0)
+        return key[:, None]
     best_key, best_loss = np.zeros((n, 1), np.int64), np.zeros((n, 1))
     for h in range(hashes):
-        scores = axes(unit, table, h)
-        width = min(probes, size)
-        near = np.argsort(-scores, axis=1, kind="stable")[:, :width]
+        scores = np.ascontiguousarray(axes(unit, table, h).T)
+        near = np.argsort(-scores, axis=1, kind="stable")[:, : min(probes, size)]
         top = np.take_along_axis(scores, near, axis=1)
-        loss = (best_loss[:, :, None] + (top[:, :1] - top)[:, None, :]).reshape(n, -1)
-        key = (best_key[:, :, None] * size + near[:, None, :]).reshape(n, -1)
+        # What comes behind so many others in both lists that they fill the probes can't be among them.
+        i, j = np.nonzero(np.multiply.outer(np.arange(1, best_key.shape[1] + 1), np.arange(1, near.shape[1] + 1)) <= probes)
+        loss = best_loss[:, i] + (top[:, :1] - top)[:, j]
         order = np.argsort(loss, axis=1, kind="stable")[:, :probes]
-        best_key, best_loss = np.take_along_axis(key, order, axis=1), np.take_along_axis(loss, order, axis=1)
+        best_key = np.take_along_axis(best_key[:, i] * size + near[:, j], order, axis=1)
+        best_loss = np.take_along_axis(loss, order, axis=1)
     return best_key
 
 
@@ -149,23 +157,27 @@ def _everywhere(rows: DataFrame) -> DataFrame:
     return _hashed(rows, 0, 0, 0)
 
 
-def recall(pairs: list[tuple[np.ndarray, np.ndarray]], tables: int, hashes: int, probes: int) -> float:
-    """The share of pairs (query, neighbour) that share a bucket in some table; pairs come by length, as two matrices."""
-    found = total = 0
+def found_at(pairs: list[tuple[np.ndarray, np.ndarray]], tables: int, hashes: int, probes: int) -> np.ndarray:
+    """Of pairs (query, neighbour) how many probes a table needs until they share a bucket in some; ``probes`` + 1 if more
+    than that. Pairs come by length, as two matrices."""
+    out = [np.zeros(0, np.int64)]
     for asked, near in pairs:
         units = [x / np.sqrt((x * x).sum(axis=1, keepdims=True)) for x in (scaled(asked), scaled(near))]
-        met = np.zeros(len(asked), bool)
+        need = np.full(len(asked), probes + 1)
         for t in range(tables):
-            met |= (buckets(units[0], t, hashes, probes) == buckets(units[1], t, hashes, 1)).any(axis=1)
-        found, total = found + met.sum(), total + len(met)
-    return found / max(total, 1)
+            met = buckets(units[0], t, hashes, probes) == buckets(units[1], t, hashes, 1)
+            need = np.minimum(need, np.where(met.any(axis=1), met.argmax(axis=1) + 1, probes + 1))
+        out.append(need)
+    return np.concatenate(out)
 
 
 def plan(pairs: list[tuple[np.ndarray, np.ndarray]], rows: int, tables: int = TABLES) -> tuple[int, int]:
     """Axes and probes for so many rows, by the recall of true neighbours."""
     size = 2 * _padded(max((a.shape[1] for a, _ in pairs), default=1))
     cost = {(h, p): tables * p * (rows / size**h + ROW_COST) for h, p in CHOICES if p <= size**h}
-    return next((c for c in sorted(cost, key=cost.get) if recall(pairs, tables, *c) >= TARGET), CHOICES[-1])
+    need = {h: found_at(pairs, tables, h, max(p for g, p in cost if g == h)) for h in {h for h, _ in cost}}
+    good = [c for c in cost if len(need[c[0]]) == 0 or (need[c[0]] <= c[1]).mean() >= TARGET]
+    return min(good, key=cost.get, default=CHOICES[-1])
 
 
 def _planned(asked: DataFrame, rows: DataFrame, k: int, kinds: list[str], tables: int, work: Workspace) -> tuple[int, int]:
