@@ -51,7 +51,7 @@ def _suffixes(host_: Column) -> Column:
     return F.transform(labels, lambda x, i: F.array_join(F.slice(labels, i + 1, F.size(labels) - i), "."))
 
 
-def ruled(urls: DataFrame, rules: Iterable[tuple[str, str, str]], work: Workspace) -> DataFrame:
+def ruled(urls: DataFrame, rules: Iterable[tuple[str, str, str]]) -> DataFrame:
     """(host, path, rule, verdict) of the distinct hosts and paths among ``urls`` that a rule fits: its string and kind."""
     spark = urls.sparkSession
     known = {(name.translate(str.maketrans(UPPER, LOWER)), start): kind for kind, name, start in rules}
@@ -59,7 +59,7 @@ def ruled(urls: DataFrame, rules: Iterable[tuple[str, str, str]], work: Workspac
     table = spark.range(1).select(F.explode(F.from_json(F.lit(said), "array<struct<name: string, start: string, verdict: string>>")).alias("r")).select("r.*")
     small = F.broadcast if len(known) <= BROADCAST_RULES else lambda rows: rows
     if len(known) > BROADCAST_RULES:
-        table = work.saved(table, "rules")
+        table = saved(table, "rules")
     lengths = table.groupBy("name").agg(F.collect_set(F.length("start")).alias("lengths"))
     each = urls.where("host != ''").select("host", "path").distinct().select("host", "path", F.explode(_suffixes(F.col("host"))).alias("name"))
     tried = each.join(small(lengths), "name").select("host", "path", "name", F.explode("lengths").alias("n")).where(F.length("path") >= F.col("n"))
@@ -109,7 +109,7 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, *, ur
     column, names = F.col(f"`{url}`"), [f"c{i}" for i in range(len(keep))]
     at = pages.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], host(column).alias("host"), path(column).alias("path"), resource(column).alias("res"))
     with Workspace(spark) as work:
-        said = saved(ruled(at, rules, work), "ruled").select(F.col("host").alias("host_"), F.col("path").alias("path_"), "rule", F.col("verdict").alias("own"))
+        said = ruled(at, rules).select(F.col("host").alias("host_"), F.col("path").alias("path_"), "rule", F.col("verdict").alias("own"))
         # A url without host and path fits no rule, however many rows have none; so these rows aren't dealt out by it.
         met = (F.col("host") == F.col("host_")) & (F.col("path") == F.col("path_")) & (F.col("host") != "")
         at = at.join(said, met, "left").drop("host_", "path_")
@@ -120,7 +120,7 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, *, ur
             members = work.saved(labelled(edges, work, task_edges=0), "members")  # without Python
             member = F.concat(F.lit("x://"), F.col("node"))
             members = members.select("node", "component", host(member).alias("host"), path(member).alias("path"))
-            blocked = members.join(ruled(members, rules, work).where("verdict = 'block'"), ["host", "path"], "left_semi").select("component").distinct()
+            blocked = members.join(ruled(members, rules).where("verdict = 'block'"), ["host", "path"], "left_semi").select("component").distinct()
             aliases = saved(members.join(blocked, "component", "left_semi").select(F.col("node").alias("alias")), "aliases")
             at = at.join(aliases, F.col("res") == F.col("alias"), "left")
             verdict = F.coalesce("own", F.when(F.col("alias").isNotNull(), "block"), F.lit("allow"))
