@@ -80,6 +80,11 @@ class Workspace:
     def __exit__(self, *_: object) -> None:
         self.clear()
 
+    def keep_last(self) -> None:
+        """Delete all but the newest table."""
+        deleted(self.spark, self.paths[:-1])
+        self.paths = self.paths[-1:]
+
     def clear(self) -> None:
         deleted(self.spark, self.paths)
         self.paths = []
