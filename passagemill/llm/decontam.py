@@ -132,10 +132,13 @@ def mark(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text:
         while not last:
             following = next(groups, None)
             last = following is None
-            at = _pass(at, spark.sparkContext.broadcast(Grams(group, window)), names, kept, body, one_in, last)
+            known = spark.sparkContext.broadcast(Grams(group, window))
+            at = _pass(at, known, names, kept, body, one_in, last)
             if not last:
                 with batch_rows(spark, TEXT_ROWS):
                     at = work.saved(at, "marked")
+                known.destroy()
+                work.keep_last()
             group = following
         if work.paths:
             at = saved(at, "marked")  # what it reads goes
