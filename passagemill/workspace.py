@@ -48,9 +48,8 @@ def kept_until_exit(spark: SparkSession, path: str) -> str:
 
 
 def _end() -> None:
-    spark = SparkSession.getActiveSession()
     with contextlib.suppress(Exception):  # the application may be gone
-        if spark is not None:
+        if (spark := SparkSession.getActiveSession()) is not None:
             deleted(spark, _RESULTS.get(spark.sparkContext.applicationId, []))
 
 
