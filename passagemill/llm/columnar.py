@@ -46,11 +46,7 @@ def release() -> None:
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches into pieces of about ``limit`` bytes of ``text``; a longer text stands alone."""
-    yield from _slices(batches, text, limit)
-    release()
-
-
-def _slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
+    done = 0
     for batch in batches:
         n = batch.num_rows
         if n == 0:
@@ -62,6 +58,11 @@ def _slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterato
             hi = max(lo + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(lo, hi - lo)
             base, lo = int(ends[hi - 1]), hi
+        done += int(ends[-1])
+        if done >= 4 * limit:
+            release()
+            done = 0
+    release()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -199,17 +200,23 @@ class UnitCache:
 
     def _find(self, rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The number of each string, or -1."""
-        out, todo = np.full(len(rows), -1, np.int64), np.arange(len(rows))
         mask = len(self.table) - 1
         slot = (hashes & np.uint64(mask)).view(np.int64)
-        while len(todo):
+        said = self.table.take(slot)
+        differ = self.keys.take(np.maximum(said, 0), axis=0)
+        differ ^= rows
+        same = (differ[:, 0] | differ[:, 1] | differ[:, 2]) == 0
+        out = np.where(same & (said >= 0), said, -1).astype(np.int64)
+        todo = np.flatnonzero(~same & (said >= 0))
+        slot = slot[todo]
+        while len(todo):  # the place is another string's: look on
+            slot = (slot + 1) & mask
             said = self.table.take(slot)
             there = np.flatnonzero(said >= 0)
             todo, slot, said = todo[there], slot[there], said[there]
             same = (self.keys.take(said, axis=0) == rows.take(todo, axis=0)).all(axis=1)
             out[todo[same]] = said[same]
-            other = np.flatnonzero(~same)
-            todo, slot = todo[other], (slot[other] + 1) & mask
+            todo, slot = todo[~same], slot[~same]
         return out
 
     def _place(self, first: int) -> None:

@@ -11,7 +11,7 @@ model, which learns from all of them after each step. Everything that decides an
 that any machine decodes what another one wrote.
 
 Segment layout, little endian: magic ``PMTS``, version u8, then u32 counts of documents and blocks, u64 of ids; the
-document keys (u8 valid, i64) and lengths (u32); per block u32 ids, u32 digits, u32 crc32 of its ids as u32; per block
+document keys (u8 valid, i64) and lengths (u32); per block u32 ids, u32 digits, u32 crc32 of its ids as u16; per block
 the number of digits of each lane (u32) and the digits (20 bits each, two to five bytes, big endian); crc32 of
 everything before. Segments are rows (shard, seq, data) of a Parquet table, so that Spark's committer, not the tasks,
 decides what counts as written, and a lost executor leaves no half file.
@@ -42,7 +42,7 @@ BLOCK = SEGMENT_IDS = 1 << 20
 MAX_LANES = 4096
 #: Up to so many segments their starts (20 bytes each) are broadcast; those of more are joined as Spark sees fit.
 MAX_BROADCAST_SEGMENTS = 1_000_000
-MAGIC, VERSION = b"PMTS", 2
+MAGIC, VERSION = b"PMTS", 3
 _HEAD = struct.Struct("<4sBIIQ")
 
 #: Ids are below this.
@@ -74,7 +74,7 @@ _STRETCH, _SQUASH = _logistic()
 
 
 class _Common:
-    """Order 0: how often each id was seen. It takes in what was seen when that is half of what it knows."""
+    """Order 0: how often each id was seen. It takes in what was seen when that is as much as it knows."""
 
     def __init__(self, lanes: int, decoding: bool) -> None:
         self.count = np.zeros(IDS, np.int64)
@@ -86,7 +86,7 @@ class _Common:
             new = np.concatenate(self.waiting)
             self.count += np.bincount(new, minlength=IDS)
             self.known += len(new)
-        self.waiting, self.held, self.due = [], 0, max(self.known >> 1, 2 * self.lanes)
+        self.waiting, self.held, self.due = [], 0, max(self.known, 2 * self.lanes)
         self.widths = 1 + _SEEN * self.count
         self.ends = np.cumsum(self.widths)
         self.starts = self.ends - self.widths
@@ -298,7 +298,7 @@ def pack(keys: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     head, body = [_HEAD.pack(MAGIC, VERSION, len(keys), len(parts), len(ids)), table.tobytes()], []
     for part in parts:
         sizes, digits = encode_block(part)
-        head.append(struct.pack("<III", len(part), len(digits), zlib.crc32(part.astype("<u4").tobytes())))
+        head.append(struct.pack("<III", len(part), len(digits), zlib.crc32(part.astype("<u2").tobytes())))
         body += [sizes.astype("<u4").tobytes(), packed(digits)]
     data = b"".join(head + body)
     return data + struct.pack("<I", zlib.crc32(data))
@@ -327,7 +327,7 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         end = at + (n_digits + 1) // 2 * 5
         part = decode_block(n, sizes, unpacked(data[at:end], n_digits))
         at = end
-        if zlib.crc32(part.astype("<u4").tobytes()) != crc:
+        if zlib.crc32(part.astype("<u2").tobytes()) != crc:
             raise ValueError(f"block {k} is damaged")
         ids[filled : filled + n] = part
         filled += n
@@ -383,7 +383,7 @@ class Encoder:
     likewise, with a line end between them; units with other white space in them one by one.
     """
 
-    JOIN = 2000
+    JOIN = 100
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -410,7 +410,14 @@ class Encoder:
         lengths: list[np.ndarray] = []
         with_space, without, alone = [], [], []
         for k, x in enumerate(units):
-            (alone if len(x) < 2 or _SPECIAL.search(x, 1) else with_space if x[0] == " " else alone if _SPECIAL.match(x) else without).append(k)
+            if x[0] == " " and x[1:].isalpha():
+                with_space.append(k)
+            elif x.isalpha():
+                without.append(k)
+            elif len(x) < 2 or _SPECIAL.search(x, 1):
+                alone.append(k)
+            else:
+                (with_space if x[0] == " " else alone if _SPECIAL.match(x) else without).append(k)
         for group, join, first in ((with_space, "", self.spaced), (without, "\n", self.line)):
             for lo in range(0, len(group), self.JOIN):
                 some = group[lo : lo + self.JOIN]
