@@ -129,7 +129,7 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: s
 class _Scorer:
     """Scores of texts, each distinct piece between spaces scored once."""
 
-    def __init__(self, model: Model, limit: int = 300_000) -> None:
+    def __init__(self, model: Model, limit: int = 200_000) -> None:
         self.model, self.width = model, len(model.languages)
         self.cache = co.UnitCache(self._score, limit)
         self._begin()

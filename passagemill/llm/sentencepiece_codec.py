@@ -59,7 +59,7 @@ class Codec:
         self.raw = np.frombuffer(b"".join(texts), np.uint8)
         self.lengths = np.array([len(x) for x in texts], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.cache = co.UnitCache(lambda distinct: co.listed([self._piece(x) for x in distinct]), 500_000)
+        self.cache = co.UnitCache(lambda distinct: co.listed([self._piece(x) for x in distinct]), 200_000)
 
     @classmethod
     def load(cls, path: str) -> Codec:
