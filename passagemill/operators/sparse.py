@@ -16,6 +16,9 @@ from ..workspace import Workspace, saved
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Query terms (some 100 bytes each) are broadcast up to so many; more are joined as Spark sees fit.
 BROADCAST_TERMS = 100_000
+#: So few (query, term, document) triples are scored without looking for thresholds, which would take longer; the results
+#: are the same.
+DIRECT = 100_000_000
 #: Scores are ties if they agree to so many digits; what is surely below a threshold is so by more than that.
 DIGITS, MARGIN = 6, 2e-6
 _SPLIT = r"[\t\n\x0B\f\r\x1C-\x1F \x85\xA0  -     　]+"
@@ -66,20 +69,20 @@ def _asked(queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
 
 
 def _matched(terms: DataFrame, docs: DataFrame, key: str, text: str, index: tuple[DataFrame, DataFrame] | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of the terms the postings (key, term, tf, len), and their idf; and the corpus' totals."""
+    """Of the terms the postings (key, term, tf, len); the mean of all terms' idf as it was; and the corpus' totals."""
     if index is not None:
         posted, sizes = index
         totals = corpus(sizes)
-        return posted.join(terms, "term", "left_semi").join(sizes, key), idf(posted, totals).join(terms, "term", "left_semi"), totals
-    # Only tokens that some query has are grouped; every document's length goes with its tokens.
-    tokens = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), _SPLIT), lambda t: t != "")
-    rows = docs.select(F.col(key), tokens.alias("w")).select(key, "w", F.size("w").cast("long").alias("len"))
-    totals = corpus(rows)
-    each = rows.select(key, "len", F.explode("w").alias("term"))
-    matched = each.join(terms, "term", "left_semi").groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    every = _raw(each.select(key, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df")), totals)
-    mean = every.agg(F.avg("raw").alias("mean"))
-    return matched, _floored(every.join(terms, "term", "left_semi"), mean), totals
+        matched, dfs = posted.join(terms, "term", "left_semi").join(sizes, key), posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    else:
+        # Only tokens that some query has are grouped; every document's length goes with its tokens.
+        tokens = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), _SPLIT), lambda t: t != "")
+        rows = docs.select(F.col(key), tokens.alias("w")).select(key, "w", F.size("w").cast("long").alias("len"))
+        totals = corpus(rows)
+        each = rows.select(key, "len", F.explode("w").alias("term"))
+        matched = each.join(terms, "term", "left_semi").groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+        dfs = rows.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return matched, _raw(dfs, totals).agg(F.avg("raw").alias("mean")), totals
 
 
 def _weight(avglen) -> F.Column:
@@ -94,7 +97,8 @@ def scores(queries: DataFrame, docs: DataFrame, *, query_key: str = "query_id",
     """
     asked = _asked(queries, query_key, query_text)
     terms = asked.select("term").distinct()
-    matched, weights, totals = _matched(terms, docs, key, text, index)
+    matched, mean, totals = _matched(terms, docs, key, text, index)
+    weights = _floored(_raw(matched.groupBy("term").agg(F.count(F.lit(1)).alias("df")), totals), mean)
     hits = matched.join(asked.join(weights, "term"), "term").crossJoin(F.broadcast(totals))
     return hits.groupBy(query_key, key).agg(F.sum(F.col("times") * F.col("idf") * _weight(F.col("avglen"))).alias("score"))
 
@@ -105,11 +109,14 @@ def search(queries: DataFrame, docs: DataFrame, k: int, *, query_key: str = "que
     with Workspace(queries.sparkSession) as work:
         asked = work.saved(_asked(queries, q, query_text), "asked")
         n_terms = asked.count()
-        matched, weights, totals = _matched(_small(asked.select("term").distinct(), n_terms), docs, key, text, index)
+        if index is None:  # one pass over the texts
+            index = work.saved(postings(docs, key, text), "postings"), work.saved(lengths(docs, key, text), "lengths")
+        matched, mean, totals = _matched(_small(asked.select("term").distinct(), n_terms), docs, key, text, index)
         avglen = totals.first()["avglen"] or 1.0
         posted = work.saved(matched.select("term", key, _weight(F.lit(avglen)).alias("part")), "matched")
-        most = posted.groupBy("term").agg(F.max("part").alias("most"))
-        weighed = asked.join(weights, "term").join(most, "term").withColumn("weight", F.col("times") * F.col("idf"))
+        stats = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("most"))
+        weights = _floored(_raw(stats, totals), mean)
+        weighed = asked.join(weights, "term").join(stats.select("term", "most"), "term").withColumn("weight", F.col("times") * F.col("idf"))
         terms = work.saved(weighed.select(q, "term", "df", "weight", F.greatest(F.col("weight") * F.col("most"), F.lit(0.0)).alias("bound")), "terms")
 
         def scored(some: DataFrame) -> DataFrame:
@@ -120,6 +127,8 @@ def search(queries: DataFrame, docs: DataFrame, k: int, *, query_key: str = "que
             wanted = found.select(q, key).join(_small(some.select(q, "term", "weight"), n_terms), q)
             return posted.join(wanted, ["term", key]).groupBy(q, key).agg(F.sum(F.col("weight") * F.col("part")).alias("more"))
 
+        if (terms.agg(F.sum("df")).first()[0] or 0) <= DIRECT:
+            return saved(top(scored(terms), k, q, key), "bm25")
         # The rarest terms, up to the first one that k documents have.
         enough = F.sum((F.col("df") >= k).cast("int")).over(Window.partitionBy(q).orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1))
         rare = terms.withColumn("enough", enough).where("coalesce(enough, 0) = 0").drop("enough")
