@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, html_text, language, near_dup, pii, sentencepiece_codec, token_file, url_filter
+from . import ann, chat, decontam, html_text, language, near_dup, ngram_join, phrases, pii, sentencepiece_codec, token_file, url_filter
 from .components import saved, scratch, text_batches
 
 
@@ -70,7 +70,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model, keep=["doc_id"]).withColumn("held_out", language.held_out(F.col("doc_id")))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op3_nearest_neighbours, op4_decontamination, op5_personal_data, op6_html_extraction, op7_token_files, op8_near_duplicates, op9_sentencepiece, op10_language_id)}
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op3_nearest_neighbours, op4_decontamination, op5_personal_data, op6_html_extraction, op7_token_files, op8_near_duplicates, op9_sentencepiece, op10_language_id, op11_phrases, op12_ngram_join)}
 
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -162,4 +170,37 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.d
 FROM d LEFT JOIN n USING (doc_id) JOIN least_ ON v = d.doc_id
 """
 
-ORACLE = {"op1_url_filters": OP1, "op2_chat_formatting": OP2, "op4_decontamination": OP4, "op6_html_extraction": OP6, "op8_near_duplicates": OP8}
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, {_LOW.format("coalesce(text, '')")} AS t FROM documents),
+p AS (SELECT doc, lang, unnest(string_split_regex(t, '[.,;:!?\\x{{0A}}-\\x{{0D}}]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x{{20}}\\x{{09}}]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS s(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cut AS (SELECT lang, phrase, k, a, cut, array_to_string(w[1:cut], ' ') AS x, array_to_string(w[cut + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+s AS (SELECT c.lang, c.phrase, a, cut, l.f AS l, r.f AS r, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM cut c JOIN f l ON l.lang = c.lang AND l.phrase = x JOIN f r ON r.lang = c.lang AND r.phrase = y),
+least_ AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+held AS (SELECT lang, phrase, max(longer) AS longer FROM (
+  SELECT lang, a AS longer, array_to_string(w[i:i + 1], ' ') AS phrase FROM (SELECT *, unnest([1, 2]) AS i FROM c WHERE k = 3)) GROUP BY ALL),
+kept AS (SELECT s.* FROM least_ s LEFT JOIN held USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+OP12 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW.format("text")}, '[^\\x{{20}}\\x{{09}}-\\x{{0D}}]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 3], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+both_ AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS v, doc_id AS r FROM d UNION SELECT b, r FROM reach JOIN both_ ON a = v WHERE r < b),
+least_ AS (SELECT v, min(r) AS component_id FROM reach GROUP BY v)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN least_ ON v = d.doc_id
+"""
+
+ORACLE = {"op1_url_filters": OP1, "op2_chat_formatting": OP2, "op4_decontamination": OP4, "op6_html_extraction": OP6, "op8_near_duplicates": OP8, "op11_phrases": OP11, "op12_ngram_join": OP12}
