@@ -46,30 +46,38 @@ class Tally:
         )
 
 
-def table(rows: DataFrame, limit: int, buckets: int = BUCKETS) -> np.ndarray:
-    """The sum of all tasks' tables, stopped at the limit; one or two bytes a bucket come to the driver."""
+def _summed(rows: DataFrame, limit: int, buckets: int, sent) -> dict[int, bytes]:
+    """What ``sent`` makes of the sums of each block that has any, stopped at the limit; done where the blocks are."""
     size = min(BLOCK, buckets)
-    kind = np.dtype(np.uint8 if limit < 256 else np.uint16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, at, counts in zip(*(batch[c].to_pylist() for c in ("block", "at", "counts"))):
-                sums = held.setdefault(block, np.zeros(size, np.int64))
-                sums[np.frombuffer(at, "<u2")] += np.frombuffer(counts, "<u2")
-                np.minimum(sums, limit, out=sums)
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([s.astype(kind).tobytes() for s in held.values()], pa.binary())], ["block", "counts"])
+                sums = held.setdefault(block, np.zeros(size, np.uint16))
+                places = np.frombuffer(at, "<u2")
+                sums[places] = np.minimum(sums[places].astype(np.int64) + np.frombuffer(counts, "<u2"), limit)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([sent(s) for s in held.values()], pa.binary())], ["block", "said"])
+
+    found = rows.repartition("block").mapInArrow(run, "block int, said binary").toArrow()
+    return dict(zip(found["block"].to_pylist(), found["said"].to_pylist()))
 
-    out = np.zeros(buckets, kind)
-    found = rows.repartition("block").mapInArrow(run, "block int, counts binary").toArrow()
-    for block, counts in zip(found["block"].to_pylist(), found["counts"].to_pylist()):
-        out[block * size : (block + 1) * size] = np.frombuffer(counts, kind)
-    return out
+
+def table(rows: DataFrame, limit: int, buckets: int = BUCKETS) -> np.ndarray:
+    """The sum of all tasks' tables, stopped at the limit; one or two bytes a bucket come to the driver."""
+    kind = np.dtype(np.uint8 if limit < 256 else np.uint16)
+    out = np.zeros((-(-buckets // BLOCK), min(BLOCK, buckets)), kind)
+    for block, said in _summed(rows, limit, buckets, lambda sums: sums.astype(kind).tobytes()).items():
+        out[block] = np.frombuffer(said, kind)
+    return out.reshape(-1)
 
 
 def bitmap(rows: DataFrame, least: int, buckets: int = BUCKETS) -> np.ndarray:
-    """A bit for each bucket: whether its count reaches ``least``. Some 2 MB."""
-    return np.packbits(table(rows, least, buckets) >= least)
+    """A bit for each bucket: whether its count reaches ``least``. Only the bits come to the driver."""
+    out = np.zeros((-(-buckets // BLOCK), min(BLOCK, buckets) // 8), np.uint8)
+    for block, said in _summed(rows, least, buckets, lambda sums: np.packbits(sums >= least).tobytes()).items():
+        out[block] = np.frombuffer(said, np.uint8)
+    return out.reshape(-1)
 
 
 def marked(bits: np.ndarray, hashes: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:

@@ -6,7 +6,7 @@ to o. Three orders are used. Under the first one, rare tokens first, the first n
 buckets: linked sets meet in one. Tokens' counts come from a table of fixed size (``hashed_counts``), so nothing is
 shuffled for them; any counts give an order, better ones give fewer candidates. Under the other two, falling and rising
 hashes, a pair must share what it has to of a longer prefix, too; only pairs that pass all three are decided, on the full
-sets. The filters lose no link.
+sets. The filters lose no link. Buckets are by bands of sizes, too, as linked sets have nearly the same size.
 
 Groups of copies: texts with equal sets form one class, named by a 128-bit fingerprint, so copies never meet in pairs.
 In each bucket every class is first compared with the bucket's least one only. Buckets that then still hold several
@@ -38,7 +38,7 @@ SHINGLE, SIMILARITY = 4, (85, 100)
 #: Counts of tokens stop here.
 LIMIT = 65_535
 #: The longer prefixes of the second and third order have so many percent of a set more than the shortest.
-LONGER = 10
+LONGER = 5
 BLOCK_ROWS, BLOCK_BYTES = 512, 2 << 20
 #: Classes with more than one in HEAVY pairs of candidates (so at most HEAVY of them) are copied, for so many pairs each.
 HEAVY, SPREAD_ROWS = 1000, 4096
@@ -54,6 +54,15 @@ def _overlap(n, m, similarity: tuple[int, int]):
     return -(-similarity[0] * (n + m) // (similarity[0] + similarity[1]))
 
 
+def size_bands(similarity: tuple[int, int]) -> np.ndarray:
+    """The least sizes of bands of sets, such that linked sets are in the same band or in neighbouring ones. Wider bands are
+    as right, so they never get so narrow that there are very many."""
+    least = [1]
+    while least[-1] < 1 << 40:
+        least.append(1 + max(least[-1] * similarity[1] // similarity[0], least[-1] + least[-1] // 1000))
+    return np.array(least)
+
+
 def signatures(docs: DataFrame, doc_id: str, text: str, size: int, buckets: int) -> DataFrame:
     """(doc_id, n, id): each text's set size and fingerprint; and in rows of their own the bucket counts of tokens."""
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -95,9 +104,11 @@ def _class_sets(docs: DataFrame, doc_id: str, text: str, size: int, needed: Data
 
 
 def prefixes(docs: DataFrame, doc_id: str, text: str, size: int, similarity: tuple[int, int], classes: DataFrame, counts, buckets: int) -> DataFrame:
-    """(key, id): the tokens of each class's shortest prefix under the first order, but those that nothing else holds.
-    ``counts``: a broadcast table of them. Copies of a class may give it several times."""
+    """(key, id): a bucket for each token of each class's shortest prefix under the first order, but those that nothing
+    else holds, and for each of two bands: its own size's and the next. So linked sets, whose bands are neighbours at most,
+    share one. ``counts``: a broadcast table of tokens' counts. Copies of a class may give it several times."""
     source, picked = _class_sets(docs, doc_id, text, size, classes)
+    bands = size_bands(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for grams, offsets, ids, first in picked(batches):
@@ -110,29 +121,44 @@ def prefixes(docs: DataFrame, doc_id: str, text: str, size: int, similarity: tup
             wanted[first] = True
             keep = order[wanted[owner] & (place <= (sizes - _least(sizes, similarity))[owner])]
             keep = keep[often[keep] > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(grams[keep].view(np.int64)), ids.take(pa.array(owner[keep]))], ["key", "id"])
+            band = np.searchsorted(bands, sizes, "right")[owner[keep]].astype(np.uint64)
+            for more in (0, 1):
+                key = co.mix(grams[keep] ^ co.mix(band + np.uint64(more)))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids.take(pa.array(owner[keep]))], ["key", "id"])
 
     return source.mapInArrow(run, "key long, id binary")
 
 
-def full_sets(docs: DataFrame, doc_id: str, text: str, size: int, needed: DataFrame) -> DataFrame:
-    """(id, n, grams): the packed sets of the classes ``needed`` (id, rep)."""
+def _sets_of(docs: DataFrame, doc_id: str, text: str, size: int, needed: DataFrame, columns: str, made) -> DataFrame:
+    """(id, n, columns): what ``made`` gives of the sets of the classes ``needed`` (id, rep): a list for each column."""
     source, picked = _class_sets(docs, doc_id, text, size, needed)
+    names = ["id", "n", *(c.split()[0] for c in columns.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for grams, offsets, ids, first in picked(batches):
-            raw = grams.tobytes()
-            packed = pa.array([raw[8 * offsets[k] : 8 * offsets[k + 1]] for k in first], pa.binary())
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(first)), pa.array(np.diff(offsets)[first], pa.int64()), packed], ["id", "n", "grams"])
+            rows = zip(*(made(grams[offsets[k] : offsets[k + 1]]) for k in first)) if len(first) else [[]] * (len(names) - 2)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(first)), pa.array(np.diff(offsets)[first], pa.int64()), *(pa.array(c, pa.binary()) for c in rows)], names)
+
+    return source.mapInArrow(run, f"id binary, n long, {columns}").join(needed.select("id"), "id", "left_semi").dropDuplicates(["id"])
+
+
+def full_sets(docs: DataFrame, doc_id: str, text: str, size: int, needed: DataFrame) -> DataFrame:
+    """(id, n, grams): the packed sets."""
+    return _sets_of(docs, doc_id, text, size, needed, "grams binary", lambda grams: (grams.tobytes(),))
+
 
-    return source.mapInArrow(run, "id binary, n long, grams binary").join(needed.select("id"), "id", "left_semi").dropDuplicates(["id"])
+def set_ends(docs: DataFrame, doc_id: str, text: str, size: int, needed: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(id, n, low, high): the packed longer prefixes (``ends``)."""
+    return _sets_of(docs, doc_id, text, size, needed, "low binary, high binary", lambda grams: [e.tobytes() for e in ends(grams, similarity)])
 
 
 def ends(grams: np.ndarray, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The longer prefixes of a sorted set under rising and falling hashes, both in rising order."""
+    """The longer prefixes of a sorted set under rising and falling hashes, both in rising order. Of each token its upper
+    half: tokens that are equal stay so, and the order too."""
     n = len(grams)
     stop = min(n, n - _least(n, similarity) + 1 + LONGER * n // 100)
-    return grams[:stop], grams[n - stop :]
+    upper = lambda x: (x >> np.uint64(32)).astype(np.uint32)
+    return upper(grams[:stop]), upper(grams[n - stop :])
 
 
 def may_link(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], n: int, m: int, similarity: tuple[int, int]) -> bool:
@@ -170,7 +196,7 @@ def _passing(pairs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
             low_a, high_a, low_b, high_b = (batch[c] for c in ("low_a", "high_a", "low_b", "high_b"))
             good = np.zeros(batch.num_rows, bool)
             for k in range(batch.num_rows):
-                a, b = ((_grams(x[k]), _grams(y[k])) for x, y in ((low_a, high_a), (low_b, high_b)))
+                a, b = ([np.frombuffer(c[k].as_buffer(), np.uint32) for c in two] for two in ((low_a, high_a), (low_b, high_b)))
                 good[k] = may_link(a, b, int(n[k]), int(m[k]), similarity)
             yield batch.select(["a", "b"]).filter(pa.array(good))
         co.release()
@@ -182,17 +208,6 @@ def _grams(packed: pa.Scalar) -> np.ndarray:
     return np.frombuffer(packed.as_buffer(), np.uint64)
 
 
-def _ends_of(sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """(id, n, low, high): the packed longer prefixes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = [ends(_grams(x), similarity) for x in batch["grams"]]
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["n"], *(pa.array([e[k].tobytes() for e in both], pa.binary()) for k in (0, 1))], ["id", "n", "low", "high"])
-
-    return sets.mapInArrow(run, "id binary, n long, low binary, high binary")
-
-
 def linked(p: np.ndarray, q: np.ndarray, similarity: tuple[int, int]) -> bool:
     shared = _shared(p, q)
     return similarity[1] * shared >= similarity[0] * (len(p) + len(q) - shared)
@@ -276,9 +291,14 @@ def _decided(docs: DataFrame, doc_id: str, text: str, size: int, similarity: tup
     members = work.saved(_in_buckets(banded, buckets), "members")  # key, id, hub: only of buckets with several classes
 
     pairs = work.saved(members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    needed = work.saved(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id"), "needed")
-    sets = work.saved(full_sets(docs, doc_id, text, size, needed), "sets")
-    close = work.saved(_passing(_sides(pairs, _ends_of(sets, similarity), work), similarity), "close")
+
+    def of(ids: DataFrame) -> DataFrame:
+        return work.saved(classes.join(ids.distinct(), "id"), "needed")
+
+    both = F.explode(F.array("a", "b")).alias("id")
+    cut = work.saved(set_ends(docs, doc_id, text, size, of(pairs.select(both)), similarity), "ends")
+    close = work.saved(_passing(_sides(pairs, cut, work), similarity), "close")
+    sets = work.saved(full_sets(docs, doc_id, text, size, of(close.select(both))), "sets")
     links = work.saved(_verified(_sides(close, sets.select("id", "grams"), work), similarity), "links")
     found = work.saved(labelled(links, work), "components")
 
@@ -287,6 +307,7 @@ def _decided(docs: DataFrame, doc_id: str, text: str, size: int, similarity: tup
     split = work.saved(rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key"), "split")
     open_ = work.saved(rest.join(split, "key").select("key", "id", "component"), "open")
     if not open_.isEmpty():
+        sets = work.saved(full_sets(docs, doc_id, text, size, of(open_.select("id"))), "sets")
         with batch_rows(spark, 4):
             more = work.saved(_across(met(open_, sets, work), similarity), "more-links")
         if not more.isEmpty():

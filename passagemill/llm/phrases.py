@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -32,7 +31,8 @@ from . import hashed_counts as hc
 from .components import TEXT_ROWS, Workspace, batch_rows, saved
 
 UNKNOWN = "und"
-SLICE_BYTES = 4 << 20
+#: Buckets of the table of the next length's counts: a byte each in a task, a bit each in the bitmaps.
+BUCKETS = 1 << 26
 #: Rows of partial counts that a task holds before it sums them.
 HELD_ROWS = 400_000
 #: Parts that more than one in so many look-ups ask for are broadcast, so at most this many.
@@ -53,6 +53,12 @@ def _longer(left: np.ndarray, word: np.ndarray) -> np.ndarray:
     return co.mix(left * _STEP + word)
 
 
+def _coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each value among the distinct ones, and these."""
+    coded = pa.array(values).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False)
+
+
 def _behind(values: np.ndarray, by: int) -> np.ndarray:
     """The values that stand so many places further on; zeros at the end."""
     out = np.zeros_like(values)
@@ -76,7 +82,7 @@ class _Words:
         said = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         known = pc.fill_null(langs, UNKNOWN).dictionary_encode()
         lang = np.repeat(known.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts)
-        self.number, distinct = pd.factorize(lang * max(len(coded.dictionary), 1) + said)
+        self.number, distinct = _coded(lang * max(len(coded.dictionary), 1) + said)
         self.lang, self.word = np.divmod(distinct, max(len(coded.dictionary), 1))
         self.langs, self.words = known.dictionary, coded.dictionary
         self.hash = hashes(self.words, self.langs, self.word, self.lang)[self.number]
@@ -88,9 +94,9 @@ class _Words:
         """(lang, phrase, n) of the phrases of ``size`` words that begin there, each distinct one once."""
         code = self.number[at]
         for k in range(1, size):
-            code, _ = pd.factorize(code * len(self.lang) + self.number[at + k])
+            code, _ = _coded(code * len(self.lang) + self.number[at + k])
         if size == 1:
-            code, _ = pd.factorize(code)
+            code, _ = _coded(code)
         n = np.bincount(code)
         one = np.empty(len(n), np.int64)
         one[code] = at
@@ -113,7 +119,7 @@ def hashes(words: pa.Array, langs: pa.Array, word: np.ndarray, lang: np.ndarray)
 def _pass(docs: DataFrame, size: int, frequent, buckets, last: bool, min_count: int, room: int) -> DataFrame:
     """(lang, phrase, n): partial counts of the phrases of ``size`` words; and in rows of their own (block, at, counts) the
     bucket counts of those of one word more. ``frequent`` and ``buckets`` are broadcast bitmaps, or None; ``room`` is the number of buckets."""
-    slice_bytes, held_rows = SLICE_BYTES, HELD_ROWS
+    slice_bytes, held_rows = co.SLICE_BYTES, HELD_ROWS
 
     def summed(held: list[pa.Table]) -> pa.Table:
         return pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"])
@@ -178,7 +184,7 @@ def _marks(frequent: DataFrame, size: int, room: int) -> DataFrame:
     return frequent.mapInArrow(run, hc.ROWS)
 
 
-def frequent_phrases(docs: DataFrame, work: Workspace, *, max_words: int = 3, min_count: int = 10, text: str = "text", lang: str = "lang", buckets: int = hc.BUCKETS) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, work: Workspace, *, max_words: int = 3, min_count: int = 10, text: str = "text", lang: str = "lang", buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
     """(size, lang, phrase, n) of all phrases of up to ``max_words`` words that occur ``min_count`` times; and (lang, n) of
     all words."""
     if not 1 <= min_count < 1 << 16:
@@ -220,7 +226,7 @@ def score(a, left, right):
     return F.call_function("div", wide(a) * wide(a) * F.lit(SCALE), wide(left) * wide(right)).cast("long")
 
 
-def collocations(docs: DataFrame, *, max_words: int = 3, min_count: int = 10, cover: tuple[int, int] = (50, 100), top: int = 2000, text: str = "text", lang: str = "lang", buckets: int = hc.BUCKETS) -> DataFrame:
+def collocations(docs: DataFrame, *, max_words: int = 3, min_count: int = 10, cover: tuple[int, int] = (50, 100), top: int = 2000, text: str = "text", lang: str = "lang", buckets: int = BUCKETS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's phrases of 2 to ``max_words`` words, without those that a
     longer one covers; the best ``top`` of them.
 

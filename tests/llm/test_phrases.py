@@ -83,7 +83,7 @@ def test_odd_texts(spark):
 def test_results_do_not_hang_on_slices_tasks_or_buckets(spark, monkeypatch):
     rng = random.Random(3)
     rows = [(t, rng.choice(["en", None])) for t in corpus(rng, 80, 40, 60)]
-    monkeypatch.setattr(ph, "SLICE_BYTES", 300)
+    monkeypatch.setattr(ph.co, "SLICE_BYTES", 300)
     monkeypatch.setattr(ph, "HELD_ROWS", 50)
     monkeypatch.setattr(ph, "HEAVY", 5)
     monkeypatch.setattr(ph, "SHARES", 3)
