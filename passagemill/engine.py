@@ -83,7 +83,10 @@ class RetrievalEngine:
         rows = self.store.rows()
         if rows is None:
             raise RuntimeError("nothing is ingested yet")
-        return retrieve.hybrid(with_vectors(questions, self.embedder), rows, config=self.config.retrieval, filters=filters, k=k, distance=self.config.store.distance, index=self.store.index())
+        c = self.config.retrieval
+        asked = with_vectors(questions, self.embedder)
+        near = None if filters else self.store.nearest(asked, max(k or c.return_k, c.dense_k))
+        return retrieve.hybrid(asked, rows, config=c, filters=filters, k=k, distance=self.config.store.distance, index=self.store.index(), near=near)
 
     def prompts(self, questions: DataFrame, **options) -> DataFrame:
         """(query_id, context, system, user, payload) of each question."""

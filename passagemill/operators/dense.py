@@ -1,5 +1,6 @@
-"""Exact top-k by vector similarity: numpy products of a broadcast block of queries with each Arrow batch of passages,
-k rows per query and batch; a window takes the best of them."""
+"""Exact top-k by vector similarity: numpy products of the broadcast queries with each Arrow batch of passages, k rows per
+query and batch; a window takes the best of them. Queries that are too many to broadcast meet the passages block by block
+(``blocks.msearch``), with the same result."""
 
 from __future__ import annotations
 
@@ -7,13 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
 from .store import to_distance
 
-#: Query vectors (components in all) in one broadcast block; more queries take several passes over the passages.
+#: Query vectors (components in all) that are broadcast.
 BLOCK_COMPONENTS = 8_000_000
 
 
@@ -30,76 +31,49 @@ def similarity(a: Column, b: Column, distance: str) -> Column:
     return dot / (F.sqrt(total(F.transform(x, lambda p: p * p))) * F.sqrt(total(F.transform(y, lambda q: q * q))))
 
 
-def _scores(q: np.ndarray, x: np.ndarray, kind: str) -> np.ndarray:
-    if kind == "l2":
-        return -np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T, 0))
-    if kind == "cosine":
-        with np.errstate(invalid="ignore", divide="ignore"):
-            q = q / np.sqrt((q * q).sum(1, keepdims=True))
-            x = x / np.sqrt((x * x).sum(1, keepdims=True))
-    return q @ x.T
-
-
-def _best(scores: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the k best scores of each row, ties by place."""
-    n = min(k, scores.shape[1])
-    floor = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
-    i, j = np.nonzero(scores >= floor[:, None])
-    if len(i) > n * len(scores):  # ties at the end
-        order = np.lexsort((places[j], -scores[i, j], i))
-        i, j = i[order], j[order]
-        first = np.searchsorted(i, np.arange(len(scores)))
-        keep = np.arange(len(i)) - first[i] < n
-        i, j = i[keep], j[keep]
-    return i, j
-
-
 def top(queries: DataFrame, passages: DataFrame, k: int, *, distance: str = "cosine", query_key: str = "query_id", key: str = "id", vector: str = "vector", by: str | None = None, digits: int = 6) -> DataFrame:
     """(query, key, score, rank) of the k most similar passages, or of those of each value of ``by``, which is then a
-    column too; scores that agree to so many digits are ties, broken by key. Rows without a vector take no part. Filter
-    the passages before."""
+    column too; scores that agree to so many digits are ties, broken by key. Filter the passages before.
+
+    Vectors that are null, empty, or hold null or non-finite components take no part, nor zero vectors where the distance
+    is cosine; vectors of different lengths never meet.
+    """
     kind = to_distance(distance)
     spark = passages.sparkSession
-    asked = queries.select(query_key, vector).where(F.col(vector).isNotNull())
+    asked = queries.select(query_key, vector)
     carried = [key] if by is None else [key, by]
-    rows = passages.select(*carried, F.col(vector).alias("vector")).where(F.col(vector).isNotNull())
+    rows = passages.select(*carried, F.col(vector).alias("vector"))
     schema = f"`{query_key}` {asked.schema[query_key].dataType.simpleString()}, " + "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in carried) + "score double"
 
-    def searched(some: list) -> DataFrame:
-        ids = pa.array([r[0] for r in some])
-        shared = spark.sparkContext.broadcast((ids, np.array([r[1] for r in some], np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, q = shared.value
-            for big in batches:
-                for lo in range(0, big.num_rows, 4096):
-                    batch = big.slice(lo, 4096)
-                    x = batch["vector"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                    scores = np.round(_scores(q, x, kind), digits)
-                    places = np.empty(batch.num_rows, np.int64)
-                    places[pc.sort_indices(batch[key]).to_numpy()] = np.arange(batch.num_rows)
-                    coded = pa.array([0] * batch.num_rows) if by is None else batch[by]
-                    groups = coded.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-                    for g in np.unique(groups):
-                        at = np.flatnonzero(groups == g)
-                        i, j = _best(scores[:, at], places[at], k)
-                        yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), *(batch[c].take(pa.array(at[j])) for c in carried), pa.array(scores[i, at[j]])], [query_key, *carried, "score"])
-
-        return rows.mapInArrow(run, schema)
-
-    found = None
-    block: list = []
-    size = 0
-    for row in asked.toLocalIterator():
-        block.append((row[0], row[1]))
-        size += len(row[1])
-        if size >= BLOCK_COMPONENTS:
-            found = searched(block) if found is None else found.unionAll(searched(block))
-            block, size = [], 0
-    if block:
-        found = searched(block) if found is None else found.unionAll(searched(block))
-    if found is None:
+    some, size = [], 0
+    for row in asked.where(F.col(vector).isNotNull()).toLocalIterator():
+        some.append(row)
+        if (size := size + len(row[1])) > BLOCK_COMPONENTS:
+            return blocks.msearch(asked.withColumnRenamed(vector, "vector"), rows, k, kind=kind, query_key=query_key, key=key, by=by, digits=digits)
+    vectors = pa.array([r[1] for r in some], pa.list_(pa.float64()))
+    names = pa.array([r[0] for r in some])
+    parts = {dim: (names.take(pa.array(at)), q) for dim, at, q in blocks.matrices(vectors, kind)}
+    if not parts:
         return spark.createDataFrame([], schema + ", rank int")
-    said = found.withColumn("score", F.round("score", digits))
+    shared = spark.sparkContext.broadcast(parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for lo in range(0, big.num_rows, 4096):
+                batch = big.slice(lo, 4096)
+                coded = pa.array([0] * batch.num_rows) if by is None else batch[by]
+                groups = coded.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                places = blocks.ranks(batch[key])
+                for dim, valid, x in blocks.matrices(batch["vector"], kind):
+                    if dim not in shared.value:
+                        continue
+                    asked_names, q = shared.value[dim]
+                    scores = np.round(blocks.products(q, x, kind), digits)
+                    for g in np.unique(groups[valid]):
+                        at = np.flatnonzero(groups[valid] == g)
+                        i, j = blocks.best(scores[:, at], places[valid[at]], k)
+                        yield pa.RecordBatch.from_arrays([asked_names.take(pa.array(i)), *(batch[c].take(pa.array(valid[at[j]])) for c in carried), pa.array(scores[i, at[j]])], [query_key, *carried, "score"])
+
+    said = rows.mapInArrow(run, schema).withColumn("score", F.round("score", digits))
     rank = F.row_number().over(Window.partitionBy(query_key, *carried[1:]).orderBy(F.desc("score"), key))
     return said.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -12,15 +12,16 @@ from . import dense, rank, sparse
 from .store import filtered
 
 
-def hybrid(queries: DataFrame, passages: DataFrame, *, config: RetrievalConfig | None = None, filters: dict[str, object] | None = None, k: int | None = None, distance: str = "cosine", index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def hybrid(queries: DataFrame, passages: DataFrame, *, config: RetrievalConfig | None = None, filters: dict[str, object] | None = None, k: int | None = None, distance: str = "cosine", index: tuple[DataFrame, DataFrame] | None = None, near: DataFrame | None = None) -> DataFrame:
     """(query_id, pos, score, and the passage's columns) of the k best passages of each query.
 
     Queries: query_id, text, vector, role. Passages: id, text, vector, source, doc_type and others. Dense search takes
-    the filters before its top-k, sparse search after (before, if the settings say so).
+    the filters before its top-k, sparse search after (before, if the settings say so). ``near``: the result of dense
+    search, where an index has it already.
     """
     c = config or RetrievalConfig()
     k = k or c.return_k
-    near = dense.top(queries, filtered(passages, filters), max(k, c.dense_k), distance=distance)
+    near = near if near is not None else dense.top(queries, filtered(passages, filters), max(k, c.dense_k), distance=distance)
     pool = filtered(passages, filters) if c.prefilter_sparse else passages
     scored = sparse.search(queries, pool, max(k, c.sparse_k), index=None if c.prefilter_sparse and filters else index)
     if filters and not c.prefilter_sparse:

@@ -1,8 +1,8 @@
 """A versioned passage store on Parquet.
 
 A collection is a list of parts, named by a pointer file: a base, and what was written since, newest last. A part holds
-rows, the ids that it replaces or deletes, and the postings and lengths of its rows, so that each write costs what it
-writes: rows of older parts count unless a newer part names their id. When the newer parts hold a share of the rows, or
+rows, the ids that it replaces or deletes, and indexes of its rows: postings and lengths for sparse search, cells for
+dense search. So each write costs what it writes: rows of older parts count unless a newer part names their id. When the newer parts hold a share of the rows, or
 are many, they are merged into a new base. A new pointer takes the old one's name, so a reader never sees half a version,
 and plans that are resolved already keep the parts they read: those that only older versions name are deleted after
 ``keep_versions`` further ones.
@@ -15,12 +15,12 @@ import time
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from ..config import StoreConfig
-from . import sparse
+from . import cells, sparse
 
 # Names of distances.
 DISTANCES = {"cos": "cosine", "cosine": "cosine", "dot": "dot", "ip": "dot", "inner": "dot", "inner_product": "dot", "l2": "l2", "euclid": "l2", "euclidean": "l2"}
@@ -153,6 +153,26 @@ class PassageStore:
         parts = self._parts(name)
         return (self._merged(name, parts, "postings"), self._merged(name, parts, "lengths")) if parts else None
 
+    def nearest(self, queries: DataFrame, k: int, collection: str | None = None, *, query_key: str = "query_id", vector: str = "vector", digits: int = 6) -> DataFrame | None:
+        """(query, id, score, rank): the k most similar rows of the current version, from the parts' cells; the same as
+        ``dense.top`` over all rows. None while there is no version."""
+        name = self.resolve(collection)
+        found, named = [], None
+        for part in reversed(self._parts(name)):
+            if part["rows"]:
+                found.append(cells.Cells(self.spark, str(self._path(name, part["path"], "cells")), self.distance, named))
+            ids = self._table(name, part, "ids")
+            named = ids if named is None else named.unionByName(ids).distinct()
+        return cells.search(found, queries, k, query_key=query_key, vector=vector, digits=digits) if found else None
+
+    def _index(self, name: str, path: str) -> None:
+        """Postings, lengths and cells of a part's rows."""
+        rows = self._table(name, {"path": path}, "rows")
+        at = lambda what: str(self._path(name, path, what))
+        sparse.postings(rows).write.parquet(at("postings"))
+        sparse.lengths(rows).write.parquet(at("lengths"))
+        cells.build(rows, at("cells"), dim=self.config.dim, kind=self.distance)
+
     def _write(self, name: str, rows: DataFrame, ids: DataFrame | None) -> dict:
         """A new part of rows of distinct ids; ``ids`` are those it names besides."""
         path = f"p{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
@@ -161,8 +181,7 @@ class PassageStore:
         made = self.spark.read.schema(rows.schema).parquet(at("rows"))
         named = made.select("id") if ids is None else made.select("id").unionByName(ids.select(F.col("id").cast(made.schema["id"].dataType))).distinct()
         named.write.parquet(at("ids"))
-        sparse.postings(made).write.parquet(at("postings"))
-        sparse.lengths(made).write.parquet(at("lengths"))
+        self._index(name, path)
         return {"path": path, "rows": made.count(), "ids": self.spark.read.parquet(at("ids")).count()}
 
     def _commit(self, name: str, parts: list[dict]) -> None:
@@ -170,8 +189,8 @@ class PassageStore:
         newer = sum(p["ids"] for p in parts[1:])
         if len(parts) > self.config.max_parts or newer > self.config.merge_share * max(parts[0]["rows"], 1) and len(parts) > 1:
             path = f"p{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
-            for what in ("rows", "postings", "lengths"):
-                self._merged(name, parts, what).write.parquet(str(self._path(name, path, what)))
+            self._merged(name, parts, "rows").write.parquet(str(self._path(name, path, "rows")))
+            self._index(name, path)
             ids = self._table(name, {"path": path}, "rows").select("id")
             ids.write.parquet(str(self._path(name, path, "ids")))
             n = self._table(name, {"path": path}, "ids").count()
@@ -191,7 +210,8 @@ class PassageStore:
         """
         self.ensure(collection)
         name = self.resolve(collection)
-        part = self._write(name, last_of_each(rows), None)
+        given = Observation()
+        part = self._write(name, last_of_each(rows.observe(given, F.count(F.lit(1)).alias("n"))), None)
         wrong = self._table(name, part, "rows").where(F.size("vector") != self.config.dim).count()
         if wrong or not part["rows"]:
             self._fs.delete(self._path(name, part["path"]), True)
@@ -199,7 +219,7 @@ class PassageStore:
                 raise StoreError(f"{wrong} vectors are not of dimension {self.config.dim}")
             return 0
         self._commit(name, [*self._parts(name), part])
-        return rows.count()
+        return given.get["n"]
 
     def delete_ids(self, ids: DataFrame, collection: str | None = None) -> int:
         """Delete rows by id; how many ids were asked for."""

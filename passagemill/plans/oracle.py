@@ -155,6 +155,8 @@ def dense_cte(score: str, rows: str = "embeddings", k: int = 20, key: str = "vec
 
 COSINE = "list_cosine_similarity({a}, {b})"
 ORACLE["dense_cosine"] = f"WITH {ASKED}, {dense_cte(COSINE)} SELECT * FROM near"
+ORACLE["dense_index"] = ORACLE["dense_cosine"]
+ORACLE["dense_msearch"] = f"WITH asked AS (SELECT vec_id AS query_id, embedding AS vector FROM embeddings), {dense_cte(COSINE, k=5)} SELECT * FROM near"
 ORACLE["dense_dot"] = f"WITH {ASKED}, {dense_cte('list_inner_product({a}, {b})')} SELECT * FROM near"
 ORACLE["dense_l2"] = f"WITH {ASKED}, {dense_cte('0.0 - list_distance({a}, {b})')} SELECT * FROM near"
 ORACLE["dense_filtered"] = f"WITH {ASKED}, {dense_cte(COSINE, '(SELECT * FROM embeddings WHERE label = 3)')} SELECT * FROM near"
@@ -187,6 +189,7 @@ r AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM d, (SELECT co
 SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw END, 9) AS idf FROM r
 """
 ORACLE["bm25_topk"] = f"{BM25} SELECT query_id, id, score, rank FROM said"
+ORACLE["bm25_blocks"] = ORACLE["bm25_topk"]
 ORACLE["bm25_postfilter"] = f"{BM25} SELECT query_id, id, rank FROM said WHERE id IN (SELECT doc_id FROM labels WHERE quality = 1)"
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..config import ChunkConfig, StoreConfig
 from ..functions import html, text, urls
+from ..operators import blocks, cells
 from ..operators import chunk as chunks
-from ..operators import dense, diagram, generate, prompt, rank, retrieve, sparse, store
+from ..operators import dense, diagram, generate, postings, prompt, rank, retrieve, sparse, store
 from ..operators.crawl import crawl
 from ..sources import files, fixtures
 from ..streaming import ingest
@@ -194,6 +195,24 @@ def dense_batch(spark, sf):
     return found.select("query_id", "label", "score", "id")
 
 
+@query
+def dense_index(spark, sf):
+    """From an index of cells, which is built first."""
+    rows = _vectors(spark, sf)
+    path = kept_until_exit(spark, scratch(spark, "cells"))
+    cells.build(rows, path, dim=rows.agg(F.max(F.size("vector"))).first()[0], cell_rows=32)
+    found = cells.Cells(spark, path).search(fixtures.questions(spark, sf), 20)
+    return found.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def dense_msearch(spark, sf):
+    """Every vector as a question, block by block."""
+    rows = _vectors(spark, sf)
+    found = blocks.msearch(rows.select(F.col("id").alias("query_id"), "vector"), rows, 5)
+    return found.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def _docs(spark, sf) -> DataFrame:
     return fixtures.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
 
@@ -211,6 +230,15 @@ def bm25_topk(spark, sf):
     return found.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query
+def bm25_blocks(spark, sf):
+    """From an index of posting blocks, which is built first."""
+    path = kept_until_exit(spark, scratch(spark, "postings"))
+    postings.build(_docs(spark, sf), path)
+    found = postings.Postings(spark, path).search(fixtures.questions(spark, sf), 20)
+    return found.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query
 def bm25_postfilter(spark, sf):
     found = sparse.search(fixtures.questions(spark, sf), _docs(spark, sf), 20)

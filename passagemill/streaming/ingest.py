@@ -12,12 +12,13 @@ from ..operators.store import PassageStore
 
 
 def passages(docs: DataFrame, config: ChunkConfig | None = None, *, corpus_id: str = "default", seq: int = 0) -> DataFrame:
-    """Chunks as store rows: id, text, vector (null unless given), metadata, ingest_seq."""
+    """Chunks as store rows: id, text, vector (null unless given), metadata, and ingest_seq, which orders them by batch and
+    by place in it."""
     made = chunk(docs, config).withColumnRenamed("hash_id", "id")
     if "vector" not in made.columns:
         made = made.withColumn("vector", F.lit(None).cast("array<float>"))
     given = F.col("corpus_id") if "corpus_id" in made.columns else F.lit(None).cast("string")
-    return made.withColumns({"corpus_id": F.coalesce(given, F.lit(corpus_id)), "ingest_seq": F.lit(seq).cast("long") * (1 << 40) + F.monotonically_increasing_id() % (1 << 40)})
+    return made.withColumns({"corpus_id": F.coalesce(given, F.lit(corpus_id)), "ingest_seq": F.struct(F.lit(seq).cast("long").alias("batch"), F.monotonically_increasing_id().alias("row"))})
 
 
 def start(stream: DataFrame, store: PassageStore, checkpoint: str, *, config: ChunkConfig | None = None, corpus_id: str = "default", available_now: bool = True) -> StreamingQuery:

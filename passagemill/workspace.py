@@ -61,6 +61,18 @@ def saved(df: DataFrame, what: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def batch_bytes(spark: SparkSession, size: int = 32 << 20):
+    """What runs inside sends about so many bytes to Python at once: for rows that may be large."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class Workspace:
     """Tables in the shared folder that go when the work inside is done; what is left of it must be saved outside."""
 
