@@ -9,10 +9,11 @@ hashes, a pair must share what it has to of a longer prefix, too; only pairs tha
 sets. The filters lose no link. Buckets are by bands of sizes, too, as linked sets have nearly the same size.
 
 Groups of copies: texts with equal sets form one class, named by a 128-bit fingerprint, so copies never meet in pairs.
-In each bucket every class is first compared with the bucket's least one only. Buckets that then still hold several
-components are compared in blocks, across components, until each pair is either joined through others or decided. Each
-pair of blocks is a row of its own, in the task of one block, which is shuffled once; the other goes to all that it must
-meet. No partner is capped or sampled away.
+Of buckets with the same classes, as the tokens of a shared passage give, one is kept. In each bucket every class is first
+compared with the bucket's least one only. Of buckets that then still hold several components, those of few classes give
+the pairs across components; larger ones are compared in blocks, until each pair is either joined through others or
+decided. Each pair of blocks is a row of its own, in the task of one block, which is shuffled once; the other goes to all
+that it must meet. No partner is capped or sampled away.
 
 Defined cases: null and empty texts, and texts of white space, have no tokens and link with nothing; fewer words than a
 shingle make one token; repeated rows of a document are one class; different texts of one id are decided each by itself; a
@@ -40,6 +41,8 @@ LIMIT = 65_535
 #: The longer prefixes of the second and third order have so many percent of a set more than the shortest.
 LONGER = 5
 BLOCK_ROWS, BLOCK_BYTES = 512, 2 << 20
+#: Buckets of so few classes give their pairs, at most so many for each class; larger ones are met in blocks.
+FEW = 32
 #: Classes with more than one in HEAVY pairs of candidates (so at most HEAVY of them) are copied, for so many pairs each.
 HEAVY, SPREAD_ROWS = 1000, 4096
 
@@ -288,7 +291,8 @@ def _decided(docs: DataFrame, doc_id: str, text: str, size: int, similarity: tup
     counts.destroy()
     # Written, so that the join that follows deals out both sides anew, and a full bucket may be split.
     buckets = work.saved(banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub != last").select("key", "hub"), "buckets")
-    members = work.saved(_in_buckets(banded, buckets), "members")  # key, id, hub: only of buckets with several classes
+    members = work.saved(_in_buckets(banded, buckets).distinct(), "members")  # key, id, hub: only of buckets with several classes
+    members = work.saved(_one_of_each(members), "members")
 
     pairs = work.saved(members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
 
@@ -307,11 +311,18 @@ def _decided(docs: DataFrame, doc_id: str, text: str, size: int, similarity: tup
     split = work.saved(rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key"), "split")
     open_ = work.saved(rest.join(split, "key").select("key", "id", "component"), "open")
     if not open_.isEmpty():
-        sets = work.saved(full_sets(docs, doc_id, text, size, of(open_.select("id"))), "sets")
-        with batch_rows(spark, 4):
-            more = work.saved(_across(met(open_, sets, work), similarity), "more-links")
-        if not more.isEmpty():
-            found = work.saved(labelled(links.unionByName(more), work), "components")
+        few = open_.groupBy("key").agg(F.count(F.lit(1)).alias("few")).where(F.col("few") <= FEW).select("key")
+        one = open_.join(few, "key", "left_semi")
+        two = one.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
+        pairs = one.join(two, "key").where("id < b and component != other").select(F.col("id").alias("a"), "b").distinct()
+        close = work.saved(_passing(_sides(work.saved(pairs, "pairs"), cut, work), similarity), "close")
+        large = work.saved(open_.join(few, "key", "left_anti"), "large")
+        sets = work.saved(full_sets(docs, doc_id, text, size, of(close.select(both).union(large.select("id")))), "sets")
+        more = work.saved(_verified(_sides(close, sets.select("id", "grams"), work), similarity), "more-links")
+        if not large.isEmpty():
+            with batch_rows(spark, 4):
+                more = more.unionByName(work.saved(_across(met(large, sets, work), similarity), "more-links"))
+        found = work.saved(labelled(links.unionByName(more), work), "components")
     parts = classes.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "rep", F.coalesce("component", "id").alias("component"))
     heads = parts.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = parts.join(heads, "component").select("id", "component_id")
@@ -328,3 +339,11 @@ def _in_buckets(banded: DataFrame, buckets: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(bloom.maybe(bits.value, batch))).select(["key", "id"])
 
     return banded.select("key", "id", *bloom.hashes(F.col("key"))).mapInArrow(run, "key long, id binary").join(buckets, "key")
+
+
+def _one_of_each(members: DataFrame) -> DataFrame:
+    """The distinct members (key, id, hub), of buckets with the same ones only of one. Buckets are told apart by their size
+    and 128 bits of hashes."""
+    hashes = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+    same = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *hashes)
+    return members.join(same.groupBy("size", "h1", "h2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")

@@ -83,9 +83,11 @@ def test_repeated_rows_null_ids_shared_ids_and_empty_tables(spark):
     assert nj.similar(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_full_buckets_in_several_blocks_and_hot_classes(spark, monkeypatch):
+@pytest.mark.parametrize("few", [1, 6, 1000])
+def test_full_buckets_in_several_blocks_and_hot_classes(spark, monkeypatch, few):
     monkeypatch.setattr(nj, "BLOCK_ROWS", 4)
     monkeypatch.setattr(nj, "SPREAD_ROWS", 3)
+    monkeypatch.setattr(nj, "FEW", few)
     rng = random.Random(7)
     common = " ".join(f"s{i}" for i in range(100))  # alike, but not enough to be linked, except for neighbours
     texts = [common + " " + " ".join(f"t{k}x{rng.randrange(10**6)}" for _ in range(20)) for k in range(40)]
