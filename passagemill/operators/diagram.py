@@ -1,7 +1,8 @@
 """Diagrams from page geometry: boxes with labels are nodes, lines whose ends lie near boxes are edges.
 
 ``drawings``: page_key, ord, type, bbox (x0, y0, x1, y1), points (array of x, y). ``blocks``: page_key, ord, x0, y0, x1,
-y1, text. Joins are by page; nearest neighbours are minima per box or point, ties to the lower ``ord``.
+y1, text. Joins are by page and grid cell (``spatial``); nearest neighbours are minima per box or point, ties to the lower
+``ord``.
 """
 
 from __future__ import annotations
@@ -10,15 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text
+from . import spatial
 
 PAD, LABEL_DIST, EDGE_LABEL_DIST, SNAP_DIST = 1.5, 36.0, 48.0, 64.0
 TITLE_BLOCKS, MIN_LABEL, MAX_EDGE_LABEL = 6, 2, 200
 
 
-def _distance2(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    return (x0 - x1) * (x0 - x1) + (y0 - y1) * (y0 - y1)
-
-
 def text_blocks(blocks: DataFrame) -> DataFrame:
     """Blocks with normalised texts and centres, without empty ones."""
     said = blocks.withColumn("text", normalize_text(F.col("text"))).where("text != ''")
@@ -37,22 +35,14 @@ def lines(drawings: DataFrame) -> DataFrame:
     return at.select("page_key", "ord", first["x"].alias("px"), first["y"].alias("py"), last["x"].alias("qx"), last["y"].alias("qy"))
 
 
-def _nearest(points: DataFrame, targets: DataFrame, limit: float, value: str, name: str) -> DataFrame:
-    """(page_key, ord, name): what ``value`` the nearest target within the limit has, for points (page_key, ord, x, y)."""
-    t = targets.select(F.col("page_key").alias("k_"), F.col("ord").alias("o_"), "cx", "cy", F.col(value).alias("v_"))
-    d2 = _distance2(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))
-    met = points.join(t, F.col("page_key") == F.col("k_")).withColumn("d2", d2).where(F.col("d2") <= limit * limit)
-    return met.groupBy("page_key", "ord").agg(F.min_by("v_", F.struct("d2", "o_")).alias(name))
-
-
 def nodes(drawings: DataFrame, blocks: DataFrame, *, label_dist: float = LABEL_DIST, min_label: int = MIN_LABEL) -> DataFrame:
     """(page_key, ord, id, cx, cy): boxes with the first word of their longest text inside, or else of the nearest."""
     said, rects = text_blocks(blocks), boxes(drawings)
-    b = said.select(F.col("page_key").alias("k_"), F.col("ord").alias("o_"), "text", *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")])
-    inside = (F.col("bx0") >= F.col("x0") - PAD) & (F.col("by0") >= F.col("y0") - PAD) & (F.col("bx1") <= F.col("x1") + PAD) & (F.col("by1") <= F.col("y1") + PAD)
-    longest = rects.join(b, (F.col("page_key") == F.col("k_")) & inside).groupBy("page_key", "ord").agg(F.max_by("text", F.struct(F.length("text"), -F.col("o_"))).alias("inner"))
+    b = said.select("page_key", F.col("ord").alias("o_"), "text", F.col("x0").alias("x"), F.col("y0").alias("y"), F.col("x1").alias("bx1"), F.col("y1").alias("by1"))
+    whole = (F.col("x") >= F.col("x0") - PAD) & (F.col("y") >= F.col("y0") - PAD) & (F.col("bx1") <= F.col("x1") + PAD) & (F.col("by1") <= F.col("y1") + PAD)
+    longest = spatial.inside(rects, b, PAD).where(whole).groupBy("page_key", "ord").agg(F.max_by("text", F.struct(F.length("text"), -F.col("o_"))).alias("inner"))
     centres = rects.select("page_key", "ord", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
-    near = _nearest(centres, said, label_dist, "text", "near")
+    near = spatial.nearest(centres, said, label_dist, "text", "near")
     at = centres.join(longest, ["page_key", "ord"], "left").join(near, ["page_key", "ord"], "left")
     label = F.element_at(F.split(F.coalesce("inner", "near"), " "), 1)
     return at.select("page_key", "ord", label.alias("id"), F.col("x").alias("cx"), F.col("y").alias("cy")).where(F.length("id") >= min_label)
@@ -61,9 +51,9 @@ def nodes(drawings: DataFrame, blocks: DataFrame, *, label_dist: float = LABEL_D
 def edges(drawings: DataFrame, blocks: DataFrame, *, snap_dist: float = SNAP_DIST, label_dist: float = EDGE_LABEL_DIST) -> DataFrame:
     """(page_key, ord, from, to, label): lines whose ends snap to different nodes."""
     found, ends = nodes(drawings, blocks), lines(drawings)
-    sides = [_nearest(ends.select("page_key", "ord", F.col(f"{p}x").alias("x"), F.col(f"{p}y").alias("y")), found, snap_dist, "id", name) for p, name in (("p", "from"), ("q", "to"))]
+    sides = [spatial.nearest(ends.select("page_key", "ord", F.col(f"{p}x").alias("x"), F.col(f"{p}y").alias("y")), found, snap_dist, "id", name) for p, name in (("p", "from"), ("q", "to"))]
     middle = ends.select("page_key", "ord", ((F.col("px") + F.col("qx")) / 2).alias("x"), ((F.col("py") + F.col("qy")) / 2).alias("y"))
-    label = _nearest(middle, text_blocks(blocks), label_dist, "text", "label")
+    label = spatial.nearest(middle, text_blocks(blocks), label_dist, "text", "label")
     at = sides[0].join(sides[1], ["page_key", "ord"]).where(F.col("from") != F.col("to")).join(label, ["page_key", "ord"], "left")
     return at.withColumn("label", F.when(F.length("label") < MAX_EDGE_LABEL, F.col("label")))
 

@@ -26,6 +26,10 @@ from . import cells, sparse
 DISTANCES = {"cos": "cosine", "cosine": "cosine", "dot": "dot", "ip": "dot", "inner": "dot", "inner_product": "dot", "l2": "l2", "euclid": "l2", "euclidean": "l2"}
 
 
+#: Sketches of distinct keys have 2 to this power registers.
+SKETCH_BITS = 14
+
+
 class StoreError(RuntimeError):
     """A write or a query that the store's settings rule out."""
 
@@ -72,6 +76,16 @@ def without_matches(rows: DataFrame, filters: dict[str, object] | None) -> DataF
     return rows if test is None else rows.where(~F.coalesce(test, F.lit(False)))
 
 
+def count_sketch(key: Column) -> Column:
+    """An aggregate: a sketch of the distinct keys, which merges with others. Its error is about 1 %."""
+    return F.hll_sketch_agg(key, SKETCH_BITS)
+
+
+def sketched_count(sketches: Column | str) -> Column:
+    """An aggregate: about how many distinct keys the sketches hold together."""
+    return F.hll_sketch_estimate(F.hll_union_agg(sketches))
+
+
 class PassageStore:
     """Named collections of passages below a path that all executors share."""
 

@@ -334,3 +334,16 @@ p AS (
 SELECT '/docs/' || name AS source, {_names} AS doc_type, page_number, chunk_kind, sha256(said) AS text_sha256 FROM p
 """
 ORACLE["stream_ingest"] = f"{CHUNKS} SELECT DISTINCT id, sha256(text) AS text_sha256 FROM chunks"
+
+_xy = lambda *k: ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) * 1000 AS {c}" for i, c in k)
+ORACLE["spatial_nearest"] = f"""
+WITH p AS (SELECT vec_id, label, {_xy((0, "x"), (1, "y"))} FROM embeddings),
+d AS (SELECT a.vec_id AS ord, b.vec_id AS near, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM p a JOIN p b ON a.label % 2 = 0 AND b.label % 2 = 1)
+SELECT ord, near FROM d WHERE d2 <= 48.0 * 48.0 QUALIFY row_number() OVER (PARTITION BY ord ORDER BY d2, near) = 1
+"""
+ORACLE["spatial_inside"] = f"""
+WITH p AS (SELECT vec_id, {_xy((0, "a"), (1, "b"), (2, "c"), (3, "d"), (4, "x"), (5, "y"))} FROM embeddings)
+SELECT q.vec_id AS box, count(*) AS points, min(p.vec_id) AS first FROM p q JOIN p ON p.x >= q.a - 1.5 AND p.x <= q.a + abs(q.c) + 1.5 AND p.y >= q.b - 1.5 AND p.y <= q.b + abs(q.d) + 1.5
+GROUP BY q.vec_id
+"""
+ORACLE["store_count_approx"] = "SELECT count(DISTINCT coalesce(text, '')) AS n, true AS within FROM documents"

@@ -9,7 +9,7 @@ from ..config import ChunkConfig, StoreConfig
 from ..functions import html, text, urls
 from ..operators import blocks, cells
 from ..operators import chunk as chunks
-from ..operators import dense, diagram, generate, postings, prompt, rank, retrieve, sparse, store
+from ..operators import dense, diagram, generate, postings, prompt, rank, retrieve, sparse, spatial, store
 from ..operators.crawl import crawl
 from ..sources import files, fixtures
 from ..streaming import ingest
@@ -357,6 +357,39 @@ def _geometry(spark) -> tuple[DataFrame, DataFrame]:
     return drawings, spark.createDataFrame(lit.BLOCKS, "page_key long, ord long, x0 double, y0 double, x1 double, y1 double, text string")
 
 
+def _at(*places: int) -> list:
+    """Components of the vectors as places on a page."""
+    return [F.col("embedding")[k].cast("double") * 1000 for k in places]
+
+
+@query
+def spatial_nearest(spark, sf):
+    """Of each vector with an even label the nearest one with an odd label, both as points of one page."""
+    x, y = _at(0, 1)
+    rows = fixtures.table(spark, sf, "embeddings").select(F.lit(0).alias("page_key"), F.col("vec_id").alias("ord"), x.alias("x"), y.alias("y"), "label")
+    odd = rows.where("label % 2 = 1").withColumns({"cx": F.col("x"), "cy": F.col("y")})
+    return spatial.nearest(rows.where("label % 2 = 0"), odd, 48.0, "ord", "near").select("ord", "near")
+
+
+@query
+def spatial_inside(spark, sf):
+    """Boxes of many sizes, and the points inside of each."""
+    a, b, c, d, x, y = _at(0, 1, 2, 3, 4, 5)
+    rows = fixtures.table(spark, sf, "embeddings")
+    boxes = rows.select(F.lit(0).alias("page_key"), F.col("vec_id").alias("box"), a.alias("x0"), b.alias("y0"), (a + F.abs(c)).alias("x1"), (b + F.abs(d)).alias("y1"))
+    points = rows.select(F.lit(0).alias("page_key"), F.col("vec_id").alias("point"), x.alias("x"), y.alias("y"))
+    return spatial.inside(boxes, points, 1.5).groupBy("box").agg(F.count(F.lit(1)).alias("points"), F.min("point").alias("first"))
+
+
+@query
+def store_count_approx(spark, sf):
+    """The number of distinct texts, exact and by sketches that are kept per source and merged; each within 3 %."""
+    each = fixtures.table(spark, sf, "documents").groupBy("source").agg(store.count_sketch(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).alias("s"))
+    exact = fixtures.table(spark, sf, "documents").agg(F.count_distinct(F.coalesce(F.col("text"), F.lit(""))).alias("n"))
+    guess = each.agg(store.sketched_count("s").alias("guess"))
+    return exact.crossJoin(guess).select("n", (F.abs(F.col("guess") - F.col("n")) <= 0.03 * F.col("n")).alias("within"))
+
+
 @query
 def diagram_nodes(spark, sf):
     return diagram.nodes(*_geometry(spark)).select("page_key", "ord", "id")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import os
 import re
@@ -36,21 +35,13 @@ def deleted(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-_RESULTS: dict[str, list[str]] = {}
-
-
 def kept_until_exit(spark: SparkSession, path: str) -> str:
-    """The path, which is deleted when this process ends with its Spark application still running."""
-    if not _RESULTS:
-        atexit.register(_end)
-    _RESULTS.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
-
-
-def _end() -> None:
-    with contextlib.suppress(Exception):  # the application may be gone
-        if (spark := SparkSession.getActiveSession()) is not None:
-            deleted(spark, _RESULTS.get(spark.sparkContext.applicationId, []))
+    """A path below this one, which is deleted when the driver's process ends, whether or not the session was stopped."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return f"{path}/table"
 
 
 def saved(df: DataFrame, what: str = "table") -> DataFrame:
