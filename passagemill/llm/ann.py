@@ -9,8 +9,10 @@ A bucket is a tuple of signed axes of independent rotations, and probes go by th
 axes and probes is chosen by measured recall, at any size: SAMPLE queries are compared with all rows, and of the CHOICES
 by which at least TARGET of their true neighbours share a bucket, the cheapest is taken (candidates scored, and rows of
 probes dealt out). For neighbours that are hardly near, as among random vectors, that is one axis and many probes, whose
-work grows with queries times rows; near ones allow tuples. Full buckets are met block by block, and each pair of blocks
-may go to a task of its own. Queries that find fewer than k ids are compared with all rows, block by block.
+work grows with queries times rows; near ones allow tuples. Where no choice finds enough, as among random vectors of many
+hundred dimensions, whose neighbours share nothing that a few axes could show, all queries are compared with all rows,
+block by block. ``report`` says what was chosen, and the recall that was measured. Full buckets are met block by block, and
+each pair of blocks may go to a task of its own. Queries that find fewer than k ids are compared with all rows, too.
 
 Defined cases: vectors that are null, zero, empty, or hold null or non-finite components take no part; vectors of
 different lengths never meet; a query's own id is never its neighbour; ties go to the smaller id; repeated rows of an
@@ -31,9 +33,9 @@ from .components import Workspace, batch_rows, saved
 
 TABLES, SEED = 12, 20240229
 #: Queries whose recall is measured, the share that must be found, and (axes of a bucket, probes of a table) to choose from;
-#: the last is taken if none finds enough. A row that is dealt out costs as much as so many scored candidates.
+#: if none finds enough, all rows are compared. A row that is dealt out costs as much as so many scored candidates.
 SAMPLE, TARGET, ROW_COST = 64, 0.95, 100
-CHOICES = ((3, 20), (3, 60), (3, 200), (2, 8), (2, 24), (2, 80), (2, 240), (1, 3), (1, 6), (1, 10), (1, 20), (1, 40))
+CHOICES = ((3, 20), (3, 60), (3, 200), (2, 8), (2, 24), (2, 80), (2, 240), (1, 3), (1, 6), (1, 10), (1, 20), (1, 40), (1, 80))
 BLOCK_ROWS = 1024
 
 
@@ -171,17 +173,17 @@ def found_at(pairs: list[tuple[np.ndarray, np.ndarray]], tables: int, hashes: in
     return np.concatenate(out)
 
 
-def plan(pairs: list[tuple[np.ndarray, np.ndarray]], rows: int, tables: int = TABLES) -> tuple[int, int]:
-    """Axes and probes for so many rows, by the recall of true neighbours."""
+def plan(pairs: list[tuple[np.ndarray, np.ndarray]], rows: int, tables: int = TABLES) -> tuple[int, int] | None:
+    """Axes and probes for so many rows, by the recall of true neighbours; None if no choice reaches TARGET."""
     size = 2 * _padded(max((a.shape[1] for a, _ in pairs), default=1))
     cost = {(h, p): tables * p * (rows / size**h + ROW_COST) for h, p in CHOICES if p <= size**h}
     need = {h: found_at(pairs, tables, h, max(p for g, p in cost if g == h)) for h in {h for h, _ in cost}}
     good = [c for c in cost if len(need[c[0]]) == 0 or (need[c[0]] <= c[1]).mean() >= TARGET]
-    return min(good, key=cost.get, default=CHOICES[-1])
+    return min(good, key=cost.get, default=None)
 
 
-def _planned(asked: DataFrame, rows: DataFrame, k: int, kinds: list[str], tables: int, work: Workspace) -> tuple[int, int]:
-    """Axes and probes by the exact neighbours of a sample of queries; SAMPLE times k pairs come to the driver."""
+def _planned(asked: DataFrame, rows: DataFrame, k: int, kinds: list[str], tables: int, work: Workspace) -> tuple[int | None, int | None, float]:
+    """Axes and probes (None, if all rows are to be compared) and their recall, by the exact neighbours of a sample of queries; SAMPLE times k pairs come to the driver."""
     some = work.saved(asked.orderBy(F.xxhash64("id", "v")).limit(SAMPLE), "sample")
     near = _nearest(_met(_everywhere(some), _everywhere(rows)), k, kinds)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
@@ -190,12 +192,17 @@ def _planned(asked: DataFrame, rows: DataFrame, k: int, kinds: list[str], tables
     met = near.join(left.dropDuplicates(["query_id"]), "query_id").join(right, "vec_id").where("da = db").dropDuplicates(["query_id", "vec_id"])
     found = met.select("da", "a", "b").collect()
     by_size = {d: [r for r in found if r["da"] == d] for d in {r["da"] for r in found}}
-    return plan([(np.array([r["a"] for r in some]), np.array([r["b"] for r in some])) for some in by_size.values()], rows.count(), tables)
+    pairs = [(np.array([r["a"] for r in some]), np.array([r["b"] for r in some])) for some in by_size.values()]
+    chosen = plan(pairs, rows.count(), tables)
+    if chosen is None:
+        return None, None, 1.0
+    return *chosen, float((found_at(pairs, tables, *chosen) <= chosen[1]).mean()) if pairs else 1.0
 
 
-def search(vectors: DataFrame, queries: DataFrame | None = None, *, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", tables: int = TABLES, probes: int | None = None, hashes: int | None = None) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame | None = None, *, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", tables: int = TABLES, probes: int | None = None, hashes: int | None = None, report: dict | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row of ``queries`` (default: every vector). ``hashes``
-    and ``probes`` are chosen if they aren't given."""
+    and ``probes`` are chosen if they aren't given; then ``report`` gets them (None: all rows are compared) and the recall
+    on the sample."""
     rows = valid_vectors(vectors, vec_id, embedding).dropDuplicates(["id", "v"])
     asked = rows if queries is None else valid_vectors(queries, vec_id, embedding).dropDuplicates(["id", "v"])
     if (probes is None) != (hashes is None):
@@ -203,15 +210,20 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, *, k: int = 5,
     spark = vectors.sparkSession
     kinds = ["<f4" if f.schema["v"].dataType.elementType.typeName() == "float" else "<f8" for f in (asked, rows)]
     with Workspace(spark) as work, batch_rows(spark, 16):
-        if hashes is None:
-            hashes, probes = _planned(asked, rows, k, kinds, tables, work)
+        if planned := hashes is None:
+            hashes, probes, found = _planned(asked, rows, k, kinds, tables, work)
+            if report is not None:
+                report |= {"hashes": hashes, "probes": probes, "recall": found}
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        if planned and hashes is None:
+            exact = _nearest(_met(_everywhere(asked), _everywhere(rows)), k, kinds)
+            return saved(exact.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
         best = work.saved(_nearest(_met(work.saved(_hashed(asked, tables, hashes, probes), "probes"), work.saved(_hashed(rows, tables, hashes, 1), "index")), k, kinds), "best")
         enough = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
         short = work.saved(asked.join(enough, F.col("id") == F.col("query_id"), "left_anti"), "short")
         if not short.isEmpty():
             exact = _nearest(_met(_everywhere(short), _everywhere(rows)), k, kinds)
             best = best.join(short, F.col("query_id") == F.col("id"), "left_anti").unionByName(exact)
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return saved(best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
 
 

@@ -4,8 +4,8 @@ The benchmark is taken in groups of at most ``max_windows`` windows, each of whi
 every benchmark is one group, and one pass over the texts. Those of more groups take a pass each: what a pass has found
 is written beside the rows, so that one set at a time is held, on the driver, in the broadcast and in the workers.
 
-Defined cases: a null or empty text has no words and is never contaminated; benchmark items that are null or have no
-words match nothing; an item of fewer than ``window`` words is one window; repeated items and repeated documents each
+Defined cases: a null or empty text has no words and is never contaminated; benchmark items without words match nothing;
+items without an id count as one, and have no place in the list of ids; an item of fewer than ``window`` words is one window; repeated items and repeated documents each
 count for themselves; a column to keep that is named like a result is returned with ``_input`` behind its name.
 """
 
@@ -35,7 +35,7 @@ class Grams:
     """Windows of the items: for each window length the sorted hashes of the distinct ones, where the words of each
     stand, to verify a hit, and the items of each."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int) -> None:
+    def __init__(self, items: list[tuple[str | None, str]], window: int) -> None:
         self.names = [item for item, _ in items]
         texts = [(text or "").encode() for _, text in items]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts], dtype=np.int64)]).astype(np.int64)
@@ -99,7 +99,7 @@ def _said(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, word: int, size
 def _groups(benchmark: DataFrame, item: str, text: str, max_windows: int) -> Iterator[list[tuple[str, str]]]:
     """The benchmark's items in groups of at most ``max_windows`` windows (a single longer item is a group of its own)."""
     group, size = [], 0
-    rows = benchmark.select(F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{text}`").cast("string").alias("text")).where("item is not null and text is not null")
+    rows = benchmark.select(F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
     for row in rows.toLocalIterator():
         n = max(1, len(row.text) // 2)  # two characters a window at least
         if size and size + n > max_windows:
@@ -163,7 +163,7 @@ def _pass(rows: DataFrame, known, names: list[str], kept: str, body: str, one_in
                 for k, more in enumerate(batch["items_"].to_pylist()):
                     if more:
                         items.setdefault(k, set()).update(more)
-            said = [sorted(items.get(k, ())) for k in range(batch.num_rows)]
+            said = [sorted(items.get(k, ()), key=lambda x: (x is None, x)) for k in range(batch.num_rows)]
             columns = [batch[n] for n in names]
             if not last:
                 bits = [np.packbits(hit[a:b]).tobytes() for a, b in zip(first, first[1:])]
@@ -178,7 +178,7 @@ def _pass(rows: DataFrame, known, names: list[str], kept: str, body: str, one_in
                 pa.array(counts, pa.int64()),
                 pa.array(n_hit, pa.int64()),
                 pa.array([len(x) for x in said], pa.int64()),
-                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in said]),
+                pa.array([hashlib.sha256(",".join(i for i in x if i is not None).encode()).hexdigest() for x in said]),
                 pa.array((n_hit > 0) & (one_in * n_hit >= counts), pa.bool_()),
                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             ]

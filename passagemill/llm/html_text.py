@@ -1,7 +1,14 @@
 """HTML extraction by tree scoring: paragraphs pass points for length and commas to their ancestors, discounted by
-link density; the best container and its good siblings are kept. Each container passes half of its points on. Where the best one is only a part, what it is a part of
-is kept instead: the article or main element around it, else the container that is named as content, else whatever holds
-the table, list, quotation or section.
+link density; the best container and its good siblings are kept. Each container passes half of its points on. Where the
+best one is only a part, what it is a part of is kept instead: the article or main element around it, else the container
+that is named as content, else whatever holds the table, list, quotation or section.
+
+What goes as boilerplate: the elements of ``DROPPED``, hidden ones, those whose role says so, and those whose class or id
+has one of the words of ``UNLIKELY`` and none that speaks for content; of a paragraph, heading, item or cell the whole
+name must be made of such words. The header of an article is one of the headers that go. A form that holds half of the
+page's text or more is no form but a frame, and stays; so does the text of inline elements. Siblings of the best container
+stay if they score well, are named as content, or are paragraphs, lists, tables and the like that say something without
+links; beside an article or main element only those that score well, paragraphs and titles do.
 
 The time is in proportion to the page, however deep its tags are nested and whatever is left unclosed in it.
 
@@ -22,15 +29,17 @@ from pyspark.sql import functions as F
 
 from . import columnar as co
 
-# Elements by their role.
+# Elements by their role.
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style noscript template textarea title iframe noembed noframes xmp nav footer header aside form button select fieldset dialog menu svg math canvas audio video object map head label datalist".split())
+DROPPED = frozenset("script style noscript template textarea title iframe noembed noframes xmp nav footer header aside form button select fieldset dialog menu svg canvas audio video object map head datalist".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article body center details div dl html main ol section table tbody td th tr ul blockquote figure dd li".split())
 PARAGRAPH = frozenset("p pre blockquote td dd li h1 h2 h3 h4 h5 h6 figcaption dt".split())
 #: Never a page's whole content where something around them is no boilerplate; a section's document may be the body.
 PART = frozenset("td th tr tbody table center li ul ol dl dd blockquote figure details section".split())
+#: What may stand beside a page's content and belong to it.
+BESIDE = frozenset("ul ol dl table blockquote figure pre".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - frozenset("html body caption tbody td tfoot th thead tr".split())
 SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -41,6 +50,9 @@ UNLIKELY = re.compile(
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|main|page|post|text|blog|story)(?:$|[\s_-])", re.I)
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|entry|hentry|post|story)(?:$|[\s_-])", re.I)
 
+#: Said again to the end of a name: nothing but such words.
+ONLY_UNLIKELY = re.compile(rf"(?:{UNLIKELY.pattern.removeprefix(r'(?:^|[\s_-])').removesuffix(r'(?:$|[\s_-])')}(?:[_-]|$))+", re.I)
+
 #: A tag without quotes, or with whole ones; none of its parts gives back what it took.
 _TAG = re.compile(r"<(/)?([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _NAME = re.compile(r"<(/)?([a-zA-Z][^\s/>]*+)", re.S)
@@ -56,12 +68,13 @@ MOSTLY_LINKS = 0.5
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "dropped", "score", "given", "reached", "order", "chars", "linked")
+    __slots__ = ("tag", "attrs", "parent", "children", "dropped", "apart", "score", "given", "reached", "order", "chars", "linked")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent, order: int) -> None:
         self.tag, self.attrs, self.parent, self.order = tag, attrs, parent, order
         self.children: list = []
-        self.dropped = parent is not None and parent.dropped or tag in DROPPED or _hidden(tag, attrs)
+        self.apart = tag in DROPPED or _hidden(tag, attrs)
+        self.dropped = parent is not None and parent.dropped or self.apart
         self.score = self.given = 0.0
         self.reached = False
         self.chars = self.linked = 0
@@ -75,7 +88,7 @@ def _hidden(tag: str, attrs: dict[str, str]) -> bool:
     if attrs.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alertdialog", "alert"):
         return True
     names = [x for x in f"{attrs.get('class', '')} {attrs.get('id', '')}".split() if not x.lower().startswith(("has-", "with-", "no-"))]
-    bad = [x for x in names if UNLIKELY.search(x)]
+    bad = [x for x in names if (ONLY_UNLIKELY.fullmatch(x) if tag in PARAGRAPH else UNLIKELY.search(x))]
     return bool(bad) and not any(LIKELY.search(x) for x in names if x not in bad)
 
 
@@ -217,6 +230,22 @@ def parse(page: str) -> tuple[Node, list[Node]]:
     return root, nodes
 
 
+def _unwrap(nodes: list[Node]) -> None:
+    """Forms that hold half of the page's text or more don't count as such."""
+    forms = [node for node in nodes if node.tag == "form" and node.apart and not _hidden(node.tag, node.attrs)]
+    if not forms:
+        return
+    size = [0] * len(nodes)
+    for node in reversed(nodes):
+        size[node.order] += sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
+        if node.parent is not None and (node.tag == "form" or not node.apart):
+            size[node.parent.order] += size[node.order]
+    for node in forms:
+        node.apart = 2 * size[node.order] < size[0]
+    for node in nodes:
+        node.dropped = node.parent is not None and node.parent.dropped or node.apart
+
+
 def _measure(nodes: list[Node]) -> None:
     """Characters, and characters inside links, below each node that is kept."""
     for node in reversed(nodes):
@@ -280,6 +309,7 @@ def _whole(best: Node) -> Node:
 
 def main_nodes(nodes: list[Node]) -> list[Node]:
     """The best container and the siblings that go with it, in page order."""
+    _unwrap(nodes)
     _measure(nodes)
     for node in reversed(nodes):  # each node after all inside it
         if node.dropped:
@@ -316,6 +346,9 @@ def main_nodes(nodes: list[Node]) -> list[Node]:
         elif isinstance(node, Node) and not node.dropped and node.tag in BLOCK and node.chars:
             good = node.tag in CONTAINER and node.score >= max(10, SIBLING_SHARE * best.score) and density(node) < 0.25
             good |= node.tag == "p" and (node.chars > 80 and density(node) < 0.25 or bool(re.search(r"[.!?](?:\s|$)", _own(node))) and not node.linked)
+            if best.tag not in ("article", "main"):
+                good |= node.tag in CONTAINER and bool(CONTENT.search(_named(node))) and density(node) < 0.25
+                good |= node.tag in BESIDE and not node.linked and (node.chars > 80 or bool(re.search(r"[.!?](?:\s|$)", _own(node))) or node.order > best.order)
             good |= node.tag in ("h1", "h2") and node.order < best.order and not node.linked
             if good:
                 out.append(node)

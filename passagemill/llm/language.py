@@ -4,7 +4,8 @@ The model knows every word of a sample of labelled rows, whose size is the one b
 (categories L), in training and in prediction.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; rows without a label or text teach
-nothing; with no labelled row at all every text is ``und``; equal scores go to the language that sorts first.
+nothing; with no labelled row at all every text is ``und``; equal scores go to the language that sorts first; a column to
+keep that is named like a result is returned with ``_input`` behind its name.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import columnar as co
+from .components import renamed
 
 #: Labelled rows in the training sample (expected number): the bound of the model.
 SAMPLE_ROWS = 4_000
@@ -186,7 +188,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: list[st
 
     schema = ", ".join([*(f"{n} {source.schema[n].dataType.simpleString()}" for n in names), "p string, s double"])
     out = source.mapInArrow(run, schema)
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, carried)], F.col("p").alias(labels[0]), F.col("s").alias(labels[1]))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, renamed(carried, labels))], F.col("p").alias(labels[0]), F.col("s").alias(labels[1]))
 
 
 def held_out(key) -> F.Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, decontam, html_text, language, near_dup, ngram_join, phrases, pii, sentencepiece_codec, token_file, url_filter
+from ..workspace import kept_until_exit
 from .components import saved, scratch, text_batches
 
 
@@ -51,7 +52,7 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "token-files")
+    path = kept_until_exit(spark, scratch(spark, "token-files"))
     token_file.write(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), path, end_id=2)
     return token_file.read(spark, path)
 

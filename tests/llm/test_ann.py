@@ -126,6 +126,16 @@ def test_two_hashes_with_probes_to_match(spark):
     assert recall(spark, "/root/testdata/sf0.1/embeddings.parquet", hashes=2, probes=800) >= 0.9
 
 
+@pytest.mark.parametrize("dim", [128, 384, 768])
+def test_recall_in_many_dimensions(spark, tmp_path, dim):
+    x = np.random.default_rng(9).normal(size=(1500, dim)).astype(np.float32)
+    path = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").write.parquet(path)
+    report = {}
+    assert recall(spark, path, report=report) >= 0.9
+    assert report["recall"] >= ann.TARGET and (report["hashes"] is None) == (dim > 128)
+
+
 def test_ids_that_stand_more_than_k_times(spark):
     v = [[1.0, 0.0, 0.01 * i] for i in range(12)]
     rows = [(i, x) for i, x in enumerate(v) for _ in range(2)] + [(1, v[1])] * 9 + [(2, [1.0, 0.001 * j, 0.02]) for j in range(9)]

@@ -100,3 +100,21 @@ def test_time_goes_with_length(what):
 def test_unclosed_quotes_and_stray_tags():
     assert ht.main_text(f"<p title=\"x>{LONG}</p><p title='y>z</p>") == f"{LONG}\n\nz"
     assert ht.main_text(f"<body><p>{LONG}</b></i> more <? php x ?> and <!DOCTYPE z>so < on</p>") == f"{LONG} more and so < on"
+
+
+STORY = "A sentence of the story, with a comma, and some more words to read, goes on here. " * 3
+
+
+def told(body):
+    return ht.main_text(f"<html><body><nav><a href=x>Menu</a></nav>{body}<footer>Footer words.</footer></body></html>").split("\n\n")
+
+
+def test_nothing_of_an_article_is_lost():
+    said = STORY.strip()
+    assert told(f'<form id="aspnetForm"><input name=q><div class="content"><p>{STORY}</p><p>{STORY}</p></div></form>') == [said, said]
+    assert told(f"<article><p>{STORY}</p><form>Your name <input> <p>Subscribe now.</p></form></article>") == [said]
+    assert told(f'<article><p>{STORY}</p><p class="share-price">The share closed at 5 euros.</p><p class="share">Share this.</p></article>') == [said, "The share closed at 5 euros."]
+    assert told(f"<article><p>{STORY}</p><p>Set the <label>volume</label> to <math>five</math> now.</p></article>") == [said, "Set the volume to five now."]
+    assert told(f'<div class="content"><p>{STORY}</p><p>{STORY}</p></div><div class="content"><p>A short end.</p></div>') == [said, said, "A short end."]
+    assert told(f"<div><p>{STORY}</p><p>{STORY}</p></div><ul><li>one thing</li><li>another</li></ul>") == [said, said, "one thing", "another"]
+    assert told(f"<div><p>{STORY}</p><p>{STORY}</p></div><ul><li><a href=x>Other page</a></li><li><a href=y>And another</a></li></ul>") == [said, said]
