@@ -8,7 +8,8 @@ shuffled for them; any counts give an order, better ones give fewer candidates.
 hashes, a pair must share what it has to of a longer prefix, too; only pairs that pass all three are decided, on the full
 sets. The filters lose no link. Buckets are by bands of sizes, too, as linked sets have nearly the same size.
 
-Groups of copies: texts with equal sets form one class, named by a 128-bit fingerprint, so copies never meet in pairs.
+Groups of copies: texts with equal sets form one class, named by a 128-bit fingerprint (in first buckets by half of it), so
+copies never meet in pairs.
 Of buckets with the same classes, as the tokens of a shared passage give, one is kept. In each bucket every class is first
 compared with the bucket's least one only. Of buckets that then still hold several components, those of few classes give
 the pairs across components; larger ones are compared in blocks, until each pair is either joined through others or
@@ -67,22 +68,29 @@ def size_bands(similarity: tuple[int, int]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, size: int, buckets: int) -> DataFrame:
-    """(doc_id, n, id): each text's set size and fingerprint; and in rows of their own the bucket counts of tokens."""
+    """(doc_id, n, id, h): each text's set size, fingerprint, and half of it as a number; and in rows of their own the
+    bucket counts of tokens."""
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = hc.Tally(LIMIT, buckets)
-        names = ["doc_id", "n", "id", "block", "at", "counts"]
+        names = ["doc_id", "n", "id", "h", "block", "at", "counts"]
         for batch in co.slices(batches, "text"):
             grams, offsets = shingle_sets(*co.buffers(co.filled(batch["text"])), size)
             tally.add(co.mix(grams))
             nothing = [pa.nulls(batch.num_rows, t) for t in (pa.int32(), pa.binary(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(offsets), pa.int64()), _fingerprints(grams, offsets), *nothing], names)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(offsets), pa.int64()), ids := _fingerprints(grams, offsets), _half(ids), *nothing], names)
         blocks = tally.rows()
-        nothing = [pa.nulls(blocks.num_rows, t) for t in (pa.int64(), pa.int64(), pa.binary())]
+        nothing = [pa.nulls(blocks.num_rows, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int64())]
         yield pa.RecordBatch.from_arrays([*nothing, *blocks.columns], names)
 
-    return source.mapInArrow(run, f"doc_id long, n long, id binary, {hc.ROWS}")
+    return source.mapInArrow(run, f"doc_id long, n long, id binary, h long, {hc.ROWS}")
+
+
+def _half(ids: pa.Array) -> pa.Array:
+    """The first half of fingerprints, as a number."""
+    raw, _ = co.buffers(ids)
+    return pa.array(np.ascontiguousarray(raw).view(np.int64)[::2])
 
 
 def _class_sets(docs: DataFrame, doc_id: str, text: str, size: int, needed: DataFrame) -> Iterator:
@@ -107,11 +115,9 @@ def _class_sets(docs: DataFrame, doc_id: str, text: str, size: int, needed: Data
 
 
 def prefixes(docs: DataFrame, doc_id: str, text: str, size: int, similarity: tuple[int, int], classes: DataFrame, counts, buckets: int) -> DataFrame:
-    """(key, id): a bucket for each token of each class's shortest prefix under the first order, but those that nothing
-    else holds, and for each of two bands: its own size's and the next. So linked sets, whose bands are neighbours at most,
-    share one. ``counts``: a broadcast table of tokens' counts. Copies of a class may give it several times."""
+    """(key, h): the tokens of each class's shortest prefix under the first order. ``counts``: a broadcast table of tokens'
+    counts. Copies of a class may give it several times."""
     source, picked = _class_sets(docs, doc_id, text, size, classes)
-    bands = size_bands(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for grams, offsets, ids, first in picked(batches):
@@ -123,13 +129,24 @@ def prefixes(docs: DataFrame, doc_id: str, text: str, size: int, similarity: tup
             wanted = np.zeros(len(sizes), bool)
             wanted[first] = True
             keep = order[wanted[owner] & (place <= (sizes - _least(sizes, similarity))[owner])]
-            keep = keep[often[keep] > 1]
-            band = np.searchsorted(bands, sizes, "right")[owner[keep]].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(grams[keep].view(np.int64)), _half(ids).take(pa.array(owner[keep]))], ["key", "h"])
+
+    return source.mapInArrow(run, "key long, h long")
+
+
+def by_size(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(key, id) of members (key, id, n): a bucket for each of two bands of sizes, the own one and the next. So linked
+    sets, whose bands are neighbours at most, still share one."""
+    bands = size_bands(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            band = np.searchsorted(bands, batch["n"].to_numpy(zero_copy_only=False), "right").astype(np.uint64)
+            key = batch["key"].to_numpy(zero_copy_only=False).view(np.uint64)
             for more in (0, 1):
-                key = co.mix(grams[keep] ^ co.mix(band + np.uint64(more)))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids.take(pa.array(owner[keep]))], ["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(co.mix(key ^ co.mix(band + np.uint64(more))).view(np.int64)), batch["id"]], ["key", "id"])
 
-    return source.mapInArrow(run, "key long, id binary")
+    return members.select("key", "id", "n").mapInArrow(run, "key long, id binary")
 
 
 def _sets_of(docs: DataFrame, doc_id: str, text: str, size: int, needed: DataFrame, columns: str, made) -> DataFrame:
@@ -284,20 +301,23 @@ def similar(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size
 def _decided(docs: DataFrame, doc_id: str, text: str, size: int, similarity: tuple[int, int], room: int, work: Workspace) -> DataFrame:
     spark = docs.sparkSession
     first = work.saved(signatures(docs, doc_id, text, size, room), "signatures")
-    sig = first.where("block is null").select("doc_id", "n", "id")
-    classes = work.saved(sig.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("rep")), "classes")
+    sig = first.where("block is null").select("doc_id", "n", "id", "h")
+    classes = work.saved(sig.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("h").alias("h")), "classes")
     counts = spark.sparkContext.broadcast(hc.table(first.where("block is not null").select("block", "at", "counts"), LIMIT, room))
     banded = work.saved(prefixes(docs, doc_id, text, size, similarity, classes, counts, room), "prefixes")
     counts.destroy()
-    # Written, so that the join that follows deals out both sides anew, and a full bucket may be split.
-    buckets = work.saved(banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub != last").select("key", "hub"), "buckets")
-    members = work.saved(_in_buckets(banded, buckets).distinct(), "members")  # key, id, hub: only of buckets with several classes
-    members = work.saved(_one_of_each(members), "members")
+    # Each step is written, so that joins deal out both sides anew, and a full bucket may be split.
+    shared = work.saved(banded.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo != hi").select("key"), "shared")
+    met_ = work.saved(_in_buckets(banded, shared).distinct(), "met")
+    met_ = work.saved(_one_of_each(met_, "h").join(classes.select("h", "id", "n"), "h"), "met")
+    sized = work.saved(by_size(met_, similarity), "sized")
+    buckets = work.saved(sized.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub != last").select("key", "hub"), "buckets")
+    members = work.saved(_one_of_each(sized.join(buckets, "key"), "id"), "members")  # key, id, hub
 
     pairs = work.saved(members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
 
     def of(ids: DataFrame) -> DataFrame:
-        return work.saved(classes.join(ids.distinct(), "id"), "needed")
+        return work.saved(classes.select("id", "rep").join(ids.distinct(), "id"), "needed")
 
     both = F.explode(F.array("a", "b")).alias("id")
     cut = work.saved(set_ends(docs, doc_id, text, size, of(pairs.select(both)), similarity), "ends")
@@ -330,20 +350,20 @@ def _decided(docs: DataFrame, doc_id: str, text: str, size: int, similarity: tup
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _in_buckets(banded: DataFrame, buckets: DataFrame) -> DataFrame:
-    """The rows whose key is in some bucket; a Bloom filter lets most others go before they are shuffled."""
-    bits = banded.sparkSession.sparkContext.broadcast(bloom.build(buckets, "key"))
+def _in_buckets(banded: DataFrame, shared: DataFrame) -> DataFrame:
+    """The rows (key, h) whose key is among the shared ones; a Bloom filter lets most others go before they are shuffled."""
+    bits = banded.sparkSession.sparkContext.broadcast(bloom.build(shared, "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(bloom.maybe(bits.value, batch))).select(["key", "id"])
+            yield batch.filter(pa.array(bloom.maybe(bits.value, batch))).select(["key", "h"])
 
-    return banded.select("key", "id", *bloom.hashes(F.col("key"))).mapInArrow(run, "key long, id binary").join(buckets, "key")
+    return banded.select("key", "h", *bloom.hashes(F.col("key"))).mapInArrow(run, "key long, h long").join(shared, "key")
 
 
-def _one_of_each(members: DataFrame) -> DataFrame:
-    """The distinct members (key, id, hub), of buckets with the same ones only of one. Buckets are told apart by their size
-    and 128 bits of hashes."""
-    hashes = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+def _one_of_each(members: DataFrame, who: str) -> DataFrame:
+    """Distinct members (key, who) of buckets, of buckets with the same ones only those of one. Buckets are told apart by
+    their size and 128 bits of hashes."""
+    hashes = [F.bit_xor(F.xxhash64(who, F.lit(k))).alias(f"h{k}") for k in (1, 2)]
     same = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *hashes)
     return members.join(same.groupBy("size", "h1", "h2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
