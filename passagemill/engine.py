@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import warnings
 from collections.abc import Callable
 from functools import reduce
@@ -16,7 +17,7 @@ from .operators.crawl import crawl
 from .operators.generate import Client, generate
 from .operators.store import PassageStore
 from .sources import files
-from .streaming.ingest import passages
+from .streaming.ingest import passages, sync
 from .workspace import saved
 
 
@@ -39,6 +40,11 @@ class RetrievalEngine:
         """Chunk, embed and upsert documents; how many chunks."""
         return self.store.upsert(self._rows(docs, corpus_id))
 
+    def sync(self, docs: DataFrame, corpus_id: str = "default") -> DataFrame:
+        """Bring a corpus to the state of ``docs``: chunk and embed what is new or changed, delete what is gone. (source,
+        change) of what was different."""
+        return sync(docs, self.store, self.config.chunk, corpus_id=corpus_id, seq=int(time.time()), prepared=lambda made: with_vectors(made, self.embedder))
+
     def _found(self, path: str, recursive: bool, reader, max_pdf_pages: int | None, skip_unreadable: bool) -> DataFrame:
         made = [files.docx_documents(files.files(self.spark, path, ".docx", recursive=recursive), self.config.source)]
         found = files.files(self.spark, path, ".pdf", recursive=recursive)

@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from ..workspace import Workspace, saved
 from . import sparse
 
-#: Partitions by term; documents of a range, on average.
+#: Partitions by term: as many as ranges, but no more than this; documents of a range, on average.
 BUCKETS, RANGE_DOCS = 256, 128
 
 
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def build(docs: DataFrame, path: str, *, key: str = "id", text: str = "text") -> None:
@@ -35,13 +35,16 @@ def build(docs: DataFrame, path: str, *, key: str = "id", text: str = "text") ->
         words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), sparse._SPLIT), lambda t: t != "")
         rows = docs.select(F.col(key).alias("id"), words.alias("w")).withColumn("len", F.size("w").cast("long"))
         totals = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("words"), F.lit(rows.schema["id"].dataType.simpleString()).alias("id_type"))
+        ranges = F.greatest(F.lit(1), F.floor(F.col("n") / RANGE_DOCS)).cast("int")
+        totals = totals.withColumn("ranges", ranges).withColumn("buckets", F.least("ranges", F.lit(BUCKETS)))
         totals.write.parquet(f"{path}/totals")
-        ranges = max(1, spark.read.parquet(f"{path}/totals").first()["n"] // RANGE_DOCS)
+        row = spark.read.parquet(f"{path}/totals").first()
+        ranges, buckets = row["ranges"], row["buckets"]
         posted = rows.select("id", "len", F.explode("w").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
         at = F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int").alias("range")
         made = posted.select("term", at, F.struct("id", "tf", "len").alias("p")).groupBy("term", "range")
         made = made.agg(F.count(F.lit(1)).alias("n"), F.max("p.tf").alias("most"), F.min("p.len").alias("shortest"), F.collect_list("p").alias("postings"))
-        blocks = made.withColumn("bucket", _bucket(F.col("term"))).repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range")
+        blocks = made.withColumn("bucket", _bucket(F.col("term"), buckets)).repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range")
         blocks.write.partitionBy("bucket").parquet(f"{path}/blocks")
         terms = spark.read.schema("term string, n long, bucket int").parquet(f"{path}/blocks").groupBy("bucket", "term").agg(F.sum("n").alias("df"))
         terms = work.saved(terms, "terms")
@@ -56,6 +59,7 @@ class Postings:
         self.spark, self.path = spark, path
         totals = spark.read.parquet(f"{path}/totals").first()
         self.id_type = totals["id_type"]
+        self.buckets = totals["buckets"]
         self.n, self.mean_length = totals["n"], totals["words"] / totals["n"] if totals["n"] else 1.0
         counts = spark.read.parquet(f"{path}/counts").agg(F.sum(F.col("terms") * self._raw(F.col("df"))).alias("raw"), F.sum("terms").alias("terms")).first()
         #: The mean of all terms' idf before the floor.
@@ -78,7 +82,7 @@ class Postings:
         if math.isnan(self.mean):  # no terms at all
             return self.spark.createDataFrame([], f"`{q}` {queries.schema[q].dataType.simpleString()}, id {self.id_type}, score double, rank int")
         with Workspace(self.spark) as work:
-            asked = work.saved(sparse._asked(queries, q, query_text).withColumn("bucket", _bucket(F.col("term"))), "asked")
+            asked = work.saved(sparse._asked(queries, q, query_text).withColumn("bucket", _bucket(F.col("term"), self.buckets)), "asked")
             buckets = sorted(r["bucket"] for r in asked.select("bucket").distinct().collect())  # BUCKETS at most
             known = self.spark.read.parquet(f"{self.path}/terms").where(F.col("bucket").isin(buckets))
             raw = self._raw(F.col("df"))

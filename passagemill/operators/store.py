@@ -198,6 +198,17 @@ class PassageStore:
         self._index(name, path)
         return {"path": path, "rows": made.count(), "ids": self.spark.read.parquet(at("ids")).count()}
 
+    def _checked(self, name: str, rows: DataFrame, ids: DataFrame | None) -> dict | None:
+        """As ``_write``; None, and nothing is left, if there is nothing to write, and an error if vectors have a wrong
+        dimension."""
+        part = self._write(name, rows, ids)
+        wrong = self._table(name, part, "rows").where(F.size("vector") != self.config.dim).count()
+        if wrong or not part["ids"]:
+            self._fs.delete(self._path(name, part["path"]), True)
+        if wrong:
+            raise StoreError(f"{wrong} vectors are not of dimension {self.config.dim}")
+        return part if part["ids"] else None
+
     def _commit(self, name: str, parts: list[dict]) -> None:
         """Name the parts, merged if the newer ones have grown, and delete what no version in keeping names."""
         newer = sum(p["ids"] for p in parts[1:])
@@ -225,16 +236,23 @@ class PassageStore:
         self.ensure(collection)
         name = self.resolve(collection)
         given = Observation()
-        part = self._write(name, last_of_each(rows.observe(given, F.count(F.lit(1)).alias("n"))), None)
-        wrong = self._table(name, part, "rows").where(F.size("vector") != self.config.dim).count()
-        if wrong or not part["rows"]:
-            self._fs.delete(self._path(name, part["path"]), True)
-            if wrong:
-                raise StoreError(f"{wrong} vectors are not of dimension {self.config.dim}")
+        part = self._checked(name, last_of_each(rows.observe(given, F.count(F.lit(1)).alias("n"))), None)
+        if part is None:
             return 0
         self._commit(name, [*self._parts(name), part])
         return given.get["n"]
 
+    def exchange(self, rows: DataFrame, gone: DataFrame, collection: str | None = None) -> dict[str, int]:
+        """Add rows and delete ids in one version, so that no reader sees the one without the other; rows that are added
+        stay, whether or not their ids are among those deleted. How many rows and ids were written."""
+        self.ensure(collection)
+        name = self.resolve(collection)
+        part = self._checked(name, last_of_each(rows), gone)
+        if part is None:
+            return {"rows": 0, "ids": 0}
+        self._commit(name, [*self._parts(name), part])
+        return {"rows": part["rows"], "ids": part["ids"]}
+
     def delete_ids(self, ids: DataFrame, collection: str | None = None) -> int:
         """Delete rows by id; how many ids were asked for."""
         name = self.resolve(collection)

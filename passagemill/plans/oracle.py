@@ -335,6 +335,13 @@ SELECT '/docs/' || name AS source, {_names} AS doc_type, page_number, chunk_kind
 """
 ORACLE["stream_ingest"] = f"{CHUNKS} SELECT DISTINCT id, sha256(text) AS text_sha256 FROM chunks"
 
+# The later state's documents; what was too short before has come new.
+_later = chunk_ctes().replace("SELECT doc_id, text, source,", "SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'Now with another beginning. ' || text ELSE text END AS text, source,", 1)
+ORACLE["ingest_diff"] = f"""
+WITH RECURSIVE {_later},
+n AS (SELECT file_name AS source, CASE WHEN doc_id % 10 = 3 AND (SELECT length({norm('text')}) FROM documents x WHERE x.doc_id = docs.doc_id) < {_c.min_text_len} THEN 1 ELSE doc_id % 10 END AS d, (SELECT count(DISTINCT c.text) FROM chunks c WHERE c.doc_id = docs.doc_id) AS passages FROM docs WHERE length({norm('text')}) >= {_c.min_text_len})
+SELECT source, CASE d WHEN 1 THEN 'added' WHEN 2 THEN 'removed' WHEN 3 THEN 'changed' ELSE 'same' END AS change, CASE WHEN d = 2 THEN 0 ELSE passages END AS passages FROM n
+"""
 _xy = lambda *k: ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) * 1000 AS {c}" for i, c in k)
 ORACLE["spatial_nearest"] = f"""
 WITH p AS (SELECT vec_id, label, {_xy((0, "x"), (1, "y"))} FROM embeddings),

@@ -381,6 +381,20 @@ def spatial_inside(spark, sf):
     return spatial.inside(boxes, points, 1.5).groupBy("box").agg(F.count(F.lit(1)).alias("points"), F.min("point").alias("first"))
 
 
+@query
+def ingest_diff(spark, sf):
+    """The store brought from one state of the documents to a later one: some came, some changed, some went. What was
+    different, and how many passages each source has then."""
+    docs = fixtures.documents(spark, sf).select("doc_id", "text", "doc_type", F.col("file_name").alias("source"))
+    n = F.col("doc_id") % 10
+    s = _store(spark)
+    ingest.sync(docs.where(n != 1), s)
+    later = docs.where(n != 2).withColumn("text", F.when(n == 3, F.concat(F.lit("Now with another beginning. "), "text")).otherwise(F.col("text")))
+    changes = ingest.sync(later, s, seq=1)
+    held = s.rows().groupBy("source").agg(F.count(F.lit(1)).alias("passages"))
+    return held.join(changes, "source", "full").select("source", F.coalesce("change", F.lit("same")).alias("change"), F.coalesce("passages", F.lit(0).cast("long")).alias("passages"))
+
+
 @query
 def store_count_approx(spark, sf):
     """The number of distinct texts, exact and by sketches that are kept per source and merged; each within 3 %."""

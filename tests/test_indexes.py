@@ -142,3 +142,21 @@ def test_posting_blocks_of_nothing(spark, tmp_path):
     for n, docs in enumerate([[], [(1, None), (2, "")]]):
         postings.build(spark.createDataFrame(docs, "id long, text string"), str(tmp_path / f"p{n}"))
         assert postings.Postings(spark, str(tmp_path / f"p{n}")).search(asked, 3).collect() == []
+
+
+def test_a_store_follows_the_state_of_its_documents(spark, tmp_path):
+    s = PassageStore(spark, StoreConfig(path=str(tmp_path / "s"), dim=4, merge_share=100.0))
+    text = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    put = lambda rows: spark.createDataFrame(rows, "source string, page_number int, text string, doc_type string")
+    one = [("a", 1, text("a", 200), "x"), ("a", 2, text("b", 90), "x"), ("b", 1, text("c", 50), "x"), ("c", 1, text("d", 400), "x"), ("d", 1, "short", "x"), (None, 1, text("e", 30), "x")]
+    said = lambda f: {(r["source"], r["change"]) for r in f.collect()}
+    held = lambda: {(r["source"], r["page_number"], r["text"]) for r in s.rows().collect()}
+    fresh = lambda rows: {(r["source"], r["page_number"], r["text"]) for r in ingest.passages(put(rows).fillna({"source": "unknown"})).collect()}
+    assert said(ingest.sync(put(one), s)) == {("a", "added"), ("b", "added"), ("c", "added"), ("unknown", "added")} and held() == fresh(one)
+    parts = len(s._parts("corpus"))
+    assert said(ingest.sync(put(one[::-1]).union(put(one)), s, seq=1)) == set() and len(s._parts("corpus")) == parts  # nothing new: no part
+    two = [one[0], ("a", 2, text("changed", 90), "x"), ("b", 1, one[2][2] + " \n", "x"), ("e", 1, text("d", 400), "x"), one[5]]
+    assert said(ingest.sync(put(two), s, seq=2)) == {("a", "changed"), ("c", "removed"), ("e", "added")} and held() == fresh(two)
+    assert said(ingest.sync(put([("z", 1, text("z", 20), "x")]), s, corpus_id="other", seq=3)) == {("z", "added")} and held() == fresh(two) | fresh([("z", 1, text("z", 20), "x")])
+    ingest.sync(put([]), s, seq=4)
+    assert held() == fresh([("z", 1, text("z", 20), "x")])
