@@ -326,9 +326,10 @@ def _decided(docs: DataFrame, doc_id: str, text: str, work: Workspace) -> DataFr
     cell = F.pmod(F.xxhash64("id", "key"), F.col("cells")).cast("int")
     blocks = rows.withColumn("cell", cell).groupBy("key", "cells", "cell").agg(F.collect_list(F.struct("id", "component", "n", "sketch", "grams")).alias("list"))
     blocks = work.saved(blocks, "blocks")
-    one = blocks.select("key", F.col("cell").alias("i"), F.explode(F.sequence(F.col("cell"), F.col("cells") - 1)).alias("j"), F.col("list").alias("x"))
-    two = blocks.select("key", F.explode(F.sequence(F.lit(0), F.col("cell"))).alias("i"), F.col("cell").alias("j"), F.col("list").alias("y"))
-    cross = one.join(two, ["key", "i", "j"]).select("x", "y")
+    # One side is shuffled once, by its own number; the other goes to all that it meets.
+    still = blocks.select("key", F.col("cell").alias("j"), F.col("list").alias("y"))
+    sent = blocks.select("key", F.explode(F.sequence(F.col("cell"), F.col("cells") - 1)).alias("j"), F.col("list").alias("x"))
+    cross = sent.join(still, ["key", "j"]).select("x", "y")
     with batch_rows(docs.sparkSession, 4):
         more = work.saved(_across(cross, least), "more_links")
     if not more.isEmpty():

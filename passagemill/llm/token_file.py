@@ -385,11 +385,12 @@ class Encoder:
 
     JOIN = 100
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, escape_special: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a text never yields a control id
+        self.tokenizer.encode_special_tokens = escape_special
+        self.special = [] if escape_special else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.spaced, self.line = np.zeros(max(vocabulary.values(), default=0) + 1, bool), np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         for token, i in vocabulary.items():
@@ -443,6 +444,9 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and lengths."""
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        for token in self.special:
+            if not token.startswith("<|"):  # _ODD has those
+                odd = odd | pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         raw, offsets = co.buffers(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts)
         starts = unit_starts(raw, offsets)
         ids, counts = self.cache.lookup(raw, starts, np.diff(starts, append=len(raw)))
@@ -459,18 +463,19 @@ class Encoder:
         return pool[co.ragged(begins, lengths)], lengths
 
 
-_LOADED: dict[str, Encoder] = {}
+_LOADED: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, escape_special: bool = False) -> Encoder:
     """The encoder of a vocabulary file, loaded once per worker."""
-    if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
-    return _LOADED[path]
+    if (path, escape_special) not in _LOADED:
+        _LOADED[path, escape_special] = Encoder(path, escape_special)
+    return _LOADED[path, escape_special]
 
 
-def segments(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int = 2, segment_ids: int = SEGMENT_IDS) -> DataFrame:
-    """(shard, seq, n_ids, data): documents in ascending order of their key, tokenized and packed.
+def segments(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int = 2, segment_ids: int = SEGMENT_IDS, escape_special: bool = False) -> DataFrame:
+    """(shard, seq, n_ids, data): documents in ascending order of their key, tokenized and packed. A special token that
+    a text spells out gets its id, as by the library's plain call; ``escape_special`` takes it for ordinary text.
 
     The range partitioning also uses the text's hash, so that many rows of one key still spread.
     """
@@ -481,7 +486,7 @@ def segments(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str
         from pyspark import TaskContext
 
         shard, seq = TaskContext.get().partitionId(), 0
-        coder = encoder(tokenizer)
+        coder = encoder(tokenizer, escape_special)
         keys: list = []
         lengths: list[np.ndarray] = []
         parts: list[np.ndarray] = []

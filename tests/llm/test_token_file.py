@@ -14,7 +14,6 @@ from passagemill.llm.queries import vocabulary
 PATH = vocabulary("byte_bpe_50k.json")
 CODER = tf.Encoder(PATH)
 PLAIN = Tokenizer.from_file(PATH)
-PLAIN.encode_special_tokens = True
 SPACES = " \n\t\r\x0b\x1c\x85\xa0 　"
 
 
@@ -86,3 +85,11 @@ def test_write_and_read(spark, tmp_path):
     assert sorted(r[4] for r in got) == want
     tf.write(docs.limit(0), PATH, str(tmp_path / "none"))
     assert tf.read(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_special_tokens_that_texts_spell_out():
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|", "x<|endoftext|>y <|endoftext|>", "plain"]
+    ids, lengths = tf.Encoder(PATH).encode(pa.array(texts))
+    assert [list(x) for x in np.split(ids, np.cumsum(lengths)[:-1])] == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, lengths = tf.Encoder(PATH, escape_special=True).encode(pa.array(texts))
+    assert 50256 not in ids and lengths[0] == 9
