@@ -39,6 +39,10 @@ class StoreConfig:
     max_parts: int = 8
     merge_share: float = 0.5
     keep_versions: int = 2
+    #: Columns that rows are laid out by, so that filters on them skip files and row groups, and columns with Bloom filters.
+    sort_by: tuple[str, ...] = ()
+    bloom: tuple[str, ...] = ()
+    row_group_bytes: int = 128 << 20
 
 
 @dataclass(frozen=True)

@@ -79,13 +79,21 @@ def content_text(body: Column) -> Column:
     return F.trim(F.coalesce(F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), ""), F.lit("")))
 
 
+def line_data(line: Column) -> Column:
+    """What a server-sent line carries; null if it is no data."""
+    return F.when(line.startswith("data:"), F.trim(F.substring(line, 6, 1 << 30)))
+
+
+def line_delta(data: Column) -> Column:
+    """The piece of an answer in a line's data; null if it is no JSON of the expected form."""
+    return F.get_json_object(data, "$.choices[0].delta.content")
+
+
 def stream_deltas(lines: DataFrame, stream: str = "stream_id", order: str = "ord", line: str = "line") -> DataFrame:
     """(stream, order, delta) of server-sent lines up to the end mark; lines that are no data or no JSON say nothing."""
-    data = F.trim(F.substring(F.col(line), 6, 1 << 30))
-    at = lines.where(F.col(line).startswith("data:")).select(stream, order, data.alias("data"))
+    at = lines.select(stream, order, line_data(F.col(line)).alias("data")).where("data IS NOT NULL")
     done = F.max((F.col("data") == "[DONE]").cast("int")).over(Window.partitionBy(stream).orderBy(order))
-    delta = F.get_json_object("data", "$.choices[0].delta.content")
-    return at.withColumn("done", done).where("done = 0").select(stream, order, delta.alias("delta")).where("delta != ''")
+    return at.withColumn("done", done).where("done = 0").select(stream, order, line_delta(F.col("data")).alias("delta")).where("delta != ''")
 
 
 def status_class(status: Column) -> Column:

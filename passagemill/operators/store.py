@@ -187,11 +187,21 @@ class PassageStore:
         sparse.lengths(rows).write.parquet(at("lengths"))
         cells.build(rows, at("cells"), dim=self.config.dim, kind=self.distance)
 
+    def _write_rows(self, rows: DataFrame, path: str) -> None:
+        """Rows by ranges of the columns to sort by and of id, so that one value's rows may take many files, each file
+        sorted: row groups then have narrow bounds, which filters are held against before anything is read."""
+        by = [*self.config.sort_by, "id"]
+        laid = rows.repartitionByRange(*by).sortWithinPartitions(*by) if self.config.sort_by else rows
+        out = laid.write.option("parquet.block.size", self.config.row_group_bytes)
+        for column in self.config.bloom:
+            out = out.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        out.parquet(path)
+
     def _write(self, name: str, rows: DataFrame, ids: DataFrame | None) -> dict:
         """A new part of rows of distinct ids; ``ids`` are those it names besides."""
         path = f"p{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
         at = lambda what: str(self._path(name, path, what))
-        rows.write.parquet(at("rows"))
+        self._write_rows(rows, at("rows"))
         made = self.spark.read.schema(rows.schema).parquet(at("rows"))
         named = made.select("id") if ids is None else made.select("id").unionByName(ids.select(F.col("id").cast(made.schema["id"].dataType))).distinct()
         named.write.parquet(at("ids"))
@@ -214,7 +224,7 @@ class PassageStore:
         newer = sum(p["ids"] for p in parts[1:])
         if len(parts) > self.config.max_parts or newer > self.config.merge_share * max(parts[0]["rows"], 1) and len(parts) > 1:
             path = f"p{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
-            self._merged(name, parts, "rows").write.parquet(str(self._path(name, path, "rows")))
+            self._write_rows(self._merged(name, parts, "rows"), str(self._path(name, path, "rows")))
             self._index(name, path)
             ids = self._table(name, {"path": path}, "rows").select("id")
             ids.write.parquet(str(self._path(name, path, "ids")))

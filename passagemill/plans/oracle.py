@@ -6,7 +6,7 @@ from ..config import ChunkConfig
 from ..functions.text import NAME_RULES, ROLE_ALIASES, URL_EXTRA
 from ..operators import prompt
 from ..operators.rank import FUNCTIONAL, ROLE_TYPES, TECHNICAL
-from ..sources.fixtures import DOC_TYPES, ROLES
+from ..sources.fixtures import DOC_TYPES, PIECE, ROLES
 from . import literals as lit
 
 ORACLE: dict[str, str] = {}
@@ -354,3 +354,11 @@ SELECT q.vec_id AS box, count(*) AS points, min(p.vec_id) AS first FROM p q JOIN
 GROUP BY q.vec_id
 """
 ORACLE["store_count_approx"] = "SELECT count(DISTINCT coalesce(text, '')) AS n, true AS within FROM documents"
+ORACLE["stream_answers"] = f"""
+SELECT conv_id || '-' || turn AS stream_id, text AS answer, CAST(ceil(length(text) / {PIECE}.0) AS BIGINT) AS pieces, conv_id % 7 <> 0 AS complete
+FROM conversations WHERE role = 'assistant' AND text <> ''
+"""
+ORACLE["store_filter_pruned"] = f"""WITH {DOCS}, written AS (SELECT docs.*, d.source AS src, CASE WHEN toxic = 1 THEN 'new words for ' ELSE '' END || docs.text AS said FROM docs JOIN documents d USING (doc_id))
+SELECT CAST(doc_id AS VARCHAR) AS id, 'type' AS "by", sha256(said) AS text_sha256 FROM written WHERE doc_type = 'schema'
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'source', sha256(said) FROM written WHERE src = 'src3' AND quality IS NULL
+"""

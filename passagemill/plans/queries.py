@@ -12,7 +12,7 @@ from ..operators import chunk as chunks
 from ..operators import dense, diagram, generate, postings, prompt, rank, retrieve, sparse, spatial, store
 from ..operators.crawl import crawl
 from ..sources import files, fixtures
-from ..streaming import ingest
+from ..streaming import answers, ingest
 from ..workspace import kept_until_exit, saved, scratch
 from . import literals as lit
 
@@ -470,9 +470,9 @@ def robots_rules(spark, sf):
     return files.robots_allowed(at, rules).select("page_id", "robots_ok")
 
 
-def _store(spark) -> store.PassageStore:
+def _store(spark, **layout) -> store.PassageStore:
     """An empty store in the session's shared folder."""
-    return store.PassageStore(spark, StoreConfig(path=kept_until_exit(spark, scratch(spark, "store")), dim=64, max_parts=3))
+    return store.PassageStore(spark, StoreConfig(path=kept_until_exit(spark, scratch(spark, "store")), dim=64, max_parts=3, **layout))
 
 
 def _plain_rows(spark, sf) -> DataFrame:
@@ -504,6 +504,18 @@ def store_parts(spark, sf):
     return _written(spark, sf).rows().select("id", "doc_type", F.sha2("text", 256).alias("text_sha256"))
 
 
+@query
+def store_filter_pruned(spark, sf):
+    """Rows of one type, and of one source without a label, from a store that is laid out by type and keeps Bloom filters
+    of sources; its second part replaces some."""
+    s, rows = _store(spark, sort_by=("doc_type",), bloom=("source",)), _plain_rows(spark, sf).join(fixtures.table(spark, sf, "documents").select("doc_id", "source"), F.col("ingest_seq") == F.col("doc_id"))
+    s.upsert(rows.drop("doc_id"))
+    s.upsert(rows.where("toxic = 1").drop("doc_id").withColumn("text", F.concat(F.lit("new words for "), "text")))
+    some = [({"doc_type": "schema"}, "type"), ({"source": "src3", "quality": None}, "source")]
+    found = [store.filtered(s.rows(), by).select("id", F.lit(name).alias("by"), F.sha2("text", 256).alias("text_sha256")) for by, name in some]
+    return found[0].unionByName(found[1])
+
+
 @query
 def store_index(spark, sf):
     """Document frequencies of the index that a store keeps as it is written."""
@@ -538,3 +550,16 @@ def stream_ingest(spark, sf):
         stream = fixtures.described(spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 8).option("pathGlobFilter", files_).parquet(folder))
         ingest.start(stream, s, at).awaitTermination()
     return s.rows().select("id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def stream_answers(spark, sf):
+    """Answers from the lines of a stream, run after each arrival from the same checkpoint; lines of a day later end it."""
+    base = kept_until_exit(spark, scratch(spark, "answers"))
+    lines = fixtures.answer_lines(spark, sf)
+    later = spark.createDataFrame([("", 0, 0, "data: [DONE]", 172_800, 3)], "stream_id string, attempt long, ord long, line string, s long, arrival int")
+    later = later.withColumn("at", F.timestamp_seconds("s")).select(lines.columns)
+    for arrival in range(4):
+        (lines.where(F.col("arrival") == arrival) if arrival < 3 else later).write.mode("append").parquet(f"{base}/lines")
+        answers.append(spark.readStream.schema(lines.schema).parquet(f"{base}/lines"), f"{base}/out", f"{base}/checkpoint", delay="4 hours", patience=3600)
+    return spark.read.schema(answers.ANSWERS).parquet(f"{base}/out").where("stream_id != ''")

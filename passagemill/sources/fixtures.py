@@ -49,6 +49,25 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(vectors, "query_id", "left").withColumn("role", _pick(ROLES, "query_id"))
 
 
+#: Characters of a piece of an answer.
+PIECE = 40
+
+
+def answer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(stream_id, attempt, ord, line, at, arrival): every assistant's text as server-sent lines, which arrive mixed over
+    three hours. Each fifth conversation's first attempt broke off and was sent again; each seventh's answers never end."""
+    said = table(spark, sf_dir, "conversations").where("role = 'assistant' AND text != ''").select("conv_id", "turn", "text")
+    n = F.ceil(F.length("text") / PIECE).cast("long")
+    ends = F.when(F.col("conv_id") % 7 != 0, F.array(F.struct(n.alias("ord"), F.lit("data: [DONE]").alias("line"))))
+    json = lambda i: F.to_json(F.struct(F.array(F.struct(F.struct(F.substring(F.col("text"), (i * PIECE + 1).cast("int"), F.lit(PIECE)).alias("content")).alias("delta"))).alias("choices")))
+    pieces = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.struct(i.alias("ord"), F.concat(F.lit("data: "), json(i)).alias("line")))
+    stream = F.concat_ws("-", "conv_id", "turn")
+    whole = said.select(stream.alias("stream_id"), (F.col("conv_id") % 5 == 0).cast("long").alias("attempt"), F.explode(F.concat(pieces, F.coalesce(ends, F.array().cast("array<struct<ord: long, line: string>>")))).alias("x")).select("stream_id", "attempt", "x.*")
+    broken = said.where("conv_id % 5 = 0").select(stream.alias("stream_id"), F.lit(0).cast("long").alias("attempt"), F.lit(0).cast("long").alias("ord"), F.lit('data: {"choices":[{"delta":{"content":"broken off"}}]}').alias("line"))
+    arrival = F.when(F.col("attempt") == 0, F.col("ord") % 3).otherwise(1 + F.col("ord") % 2)
+    return whole.unionByName(broken).withColumn("arrival", arrival.cast("int")).withColumn("at", F.timestamp_seconds(86_400 + F.col("arrival") * 3600 + F.col("ord") % 60))
+
+
 def office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content): every document as an office file, a paragraph for each line, the last one in a table."""
     space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
