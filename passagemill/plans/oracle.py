@@ -362,3 +362,8 @@ ORACLE["store_filter_pruned"] = f"""WITH {DOCS}, written AS (SELECT docs.*, d.so
 SELECT CAST(doc_id AS VARCHAR) AS id, 'type' AS "by", sha256(said) AS text_sha256 FROM written WHERE doc_type = 'schema'
 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'source', sha256(said) FROM written WHERE src = 'src3' AND quality IS NULL
 """
+ORACLE["robots_native"] = f"""
+WITH {URL_PARTS}, r AS (SELECT DISTINCT url, place, CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS t FROM q)
+SELECT page_id, CASE WHEN length(place) % 2 = 1 THEN starts_with(t, '/es/1') OR NOT starts_with(t, '/es/') WHEN regexp_matches(t, '^/.*\\.html$') THEN false WHEN starts_with(t, '/en/') THEN true ELSE NOT (starts_with(t, '/fr/') OR regexp_matches(t, '^/.*/2')) END AS robots_ok
+FROM pages JOIN r USING (url)
+"""

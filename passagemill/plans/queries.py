@@ -11,7 +11,7 @@ from ..operators import blocks, cells
 from ..operators import chunk as chunks
 from ..operators import dense, diagram, generate, postings, prompt, rank, retrieve, sparse, spatial, store
 from ..operators.crawl import crawl
-from ..sources import files, fixtures
+from ..sources import files, fixtures, robots
 from ..streaming import answers, ingest
 from ..workspace import kept_until_exit, saved, scratch
 from . import literals as lit
@@ -470,6 +470,16 @@ def robots_rules(spark, sf):
     return files.robots_allowed(at, rules).select("page_id", "robots_ok")
 
 
+@query
+def robots_native(spark, sf):
+    """Groups of agents, wildcards and end marks of a rule file for every host, without Python on executors."""
+    at = fixtures.table(spark, sf, "pages").select("page_id", "url")
+    place = urls.parts(urls.normalize_url(F.col("url")))["place"]
+    own = "User-agent: other\nDisallow: /\n\nUser-agent: PassageMill # us\nUser-agent: more\nDisallow: /*/2\nAllow: /en/\nSitemap: x\nDisallow: /*.html$\nDisallow: /fr/\n"
+    rules = at.select(place.alias("place")).distinct().withColumn("robots", F.when(F.length("place") % 2 == 0, own).otherwise("User-agent: *\nDisallow: /es/\nAllow: /es/1\nDisallow:\n"))
+    return robots.allowed(at, rules, "passagemill/1.0").select("page_id", "robots_ok")
+
+
 def _store(spark, **layout) -> store.PassageStore:
     """An empty store in the session's shared folder."""
     return store.PassageStore(spark, StoreConfig(path=kept_until_exit(spark, scratch(spark, "store")), dim=64, max_parts=3, **layout))
