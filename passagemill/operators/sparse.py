@@ -1,6 +1,11 @@
-"""BM25 over persisted postings: term counts, document lengths and idf are aggregates, queries an equi-join on terms.
+"""BM25: term counts, document lengths and idf are aggregates, queries an equi-join on terms.
 
-The best documents of a query are found without scoring all that share a common word with it (the MaxScore scheme).
+The best documents of a query are found in blocks: the postings of each Arrow batch of documents are put together where it
+is read, all its scores for a query are summed in one array, and the k best leave it. Queries of few terms are broadcast;
+of more, blocks of queries meet blocks of documents in lanes, as in ``blocks.msearch``. No posting and no score but the k
+best is shuffled or written for few queries, and the documents' blocks once for many.
+
+Beyond DIRECT scores the MaxScore scheme does without scoring all that share a common word with a query, on joins.
 Terms that few documents have name some good documents, whose full scores give a threshold. The terms that count least,
 and together can't lift a document over it, bring in no documents of their own: only those that the other terms bring,
 and that may still pass the threshold, are looked up in their postings. Results are those of scoring everything.
@@ -8,22 +13,35 @@ and that may still pass the threshold, are looked up in their postings. Results
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..workspace import Workspace, saved
+from ..workspace import Workspace, batch_bytes, saved
+from . import blocks
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Query terms (some 100 bytes each) are broadcast up to so many; more are joined as Spark sees fit.
 BROADCAST_TERMS = 100_000
-#: So few (query, term, document) triples are scored without looking for thresholds, which would take longer; the results
-#: are the same.
-DIRECT = 100_000_000
+#: So many (query, term, document) triples are scored in blocks, without looking for thresholds, whose joins move far more
+#: than they spare; the results are the same.
+DIRECT = 10**15
+#: Queries and documents in a block, at most.
+BLOCK_QUERIES, BLOCK_DOCS = 1024, 8192
 #: Scores are ties if they agree to so many digits; what is surely below a threshold is so by more than that.
 DIGITS, MARGIN = 6, 2e-6
 _SPLIT = r"[\t\n\x0B\f\r\x1C-\x1F \x85\xA0  -     　]+"
 
 
+def _words(text: str) -> Column:
+    """The tokens of a text, in order."""
+    return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), _SPLIT), lambda t: t != "")
+
+
 def _terms(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term) of every token: split at white space, case kept."""
     return rows.select(F.col(key), F.explode(F.split(F.coalesce(F.col(text), F.lit("")), _SPLIT)).alias("term")).where("term != ''")
@@ -36,8 +54,7 @@ def postings(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
 
 def lengths(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(key, len): tokens of each document, those without any too."""
-    tokens = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), _SPLIT), lambda t: t != "")
-    return docs.select(F.col(key), F.size(tokens).cast("long").alias("len"))
+    return docs.select(F.col(key), F.size(_words(text)).cast("long").alias("len"))
 
 
 def corpus(sizes: DataFrame) -> DataFrame:
@@ -60,7 +77,8 @@ def idf(posted: DataFrame, totals: DataFrame) -> DataFrame:
     return _floored(raw, raw.agg(F.avg("raw").alias("mean")))
 
 
-def _small(rows: DataFrame, n: int):
+def small(rows: DataFrame, n: int) -> DataFrame:
+    """Rows that are broadcast, if they are so few."""
     return F.broadcast(rows) if n <= BROADCAST_TERMS else rows
 
 
@@ -76,8 +94,7 @@ def _matched(terms: DataFrame, docs: DataFrame, key: str, text: str, index: tupl
         matched, dfs = posted.join(terms, "term", "left_semi").join(sizes, key), posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     else:
         # Only tokens that some query has are grouped; every document's length goes with its tokens.
-        tokens = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), _SPLIT), lambda t: t != "")
-        rows = docs.select(F.col(key), tokens.alias("w")).select(key, "w", F.size("w").cast("long").alias("len"))
+        rows = docs.select(F.col(key), _words(text).alias("w")).select(key, "w", F.size("w").cast("long").alias("len"))
         totals = corpus(rows)
         each = rows.select(key, "len", F.explode("w").alias("term"))
         matched = each.join(terms, "term", "left_semi").groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -103,49 +120,202 @@ def scores(queries: DataFrame, docs: DataFrame, *, query_key: str = "query_id",
     return hits.groupBy(query_key, key).agg(F.sum(F.col("times") * F.col("idf") * _weight(F.col("avglen"))).alias("score"))
 
 
+def _postings_of(words: pa.ListArray, tfs: np.ndarray | None, lens: np.ndarray, avglen: float, known: pa.Array | None) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, starts, docs, parts) of some documents: the postings of each term lie together, and a part is what one of a
+    query's terms gives the document. ``tfs``: how often each word counts, if not as often as it is there. ``known``: the
+    terms, if no others matter."""
+    n = len(words)
+    flat, doc = words.flatten(), np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+    if known is None:
+        coded = flat.dictionary_encode()
+        terms, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    else:
+        terms, code = known, pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy(zero_copy_only=False)
+        ok = code >= 0
+        doc, code, tfs = doc[ok], code[ok], None if tfs is None else tfs[ok]
+    place = code.astype(np.int64) * n + doc
+    if tfs is None:
+        place, tf = np.unique(place, return_counts=True)
+    else:
+        order = np.argsort(place)
+        place, tf = place[order], tfs[order]
+    code, doc = np.divmod(place, n)
+    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[doc] / avglen))
+    return terms, np.searchsorted(code, np.arange(len(terms) + 1)), doc, part
+
+
+def _best_of(postings: tuple, asked: tuple[np.ndarray, np.ndarray, np.ndarray], places: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, document, score) of the k best documents of a block for each query, without those that k better ones are
+    known for already: ``least`` has the k-th best score so far. ``asked``: (starts, terms, weights), a negative term is in
+    no document; ``places``: the order of the documents' keys."""
+    _, starts, docs, parts = postings
+    first, codes, weights = asked
+    found = []
+    for q in range(len(first) - 1):
+        total, seen, plain = np.zeros(len(places)), None, True
+        some = slice(first[q], first[q + 1])
+        if len(weights[some]) and weights[some].min() <= 0:  # then a score of 0 or less may be one of the best
+            seen, plain = np.zeros(len(places), bool), False
+        for c, w in zip(codes[some].tolist(), weights[some].tolist()):
+            if c >= 0:
+                at = docs[starts[c] : starts[c + 1]]
+                total[at] += w * parts[starts[c] : starts[c + 1]]
+                if not plain:
+                    seen[at] = True
+        at = np.flatnonzero(total > max(least[q] - MARGIN, 0.0)) if plain else np.flatnonzero(seen & (total >= least[q] - MARGIN))
+        if len(at) > k:
+            at = at[total[at] >= np.partition(total[at], len(at) - k)[len(at) - k] - MARGIN]
+        score = np.round(total[at], DIGITS)
+        order = np.lexsort((places[at], -score))[:k]
+        if len(order) == k:
+            least[q] = max(least[q], score[order[-1]])
+        found.append((np.full(len(order), q), at[order], score[order]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _in_blocks(questions: DataFrame, n_terms: int, rows: DataFrame, avglen: float, k: int, q: str, key: str) -> DataFrame:
+    """(query, key, score): the k best documents of each block for each query. Questions: the query, ``terms`` and their
+    ``weights``. Rows: the key, ``words``, ``len``, and ``tfs`` where words are not repeated."""
+    spark = rows.sparkSession
+    counted, size_d, size_q = "tfs" in rows.columns, BLOCK_DOCS, BLOCK_QUERIES
+    key_type, q_type = rows.schema[key].dataType.simpleString(), questions.schema[q].dataType.simpleString()
+    schema = f"`{q}` {q_type}, `{key}` {key_type}, score double"
+
+    def slices(batches: Iterator[pa.RecordBatch], known: pa.Array | None) -> Iterator[tuple[pa.Array, tuple]]:
+        for big in batches:
+            for lo in range(0, big.num_rows, size_d):
+                batch = big.slice(lo, size_d)
+                tfs = batch["tfs"].flatten().to_numpy() if counted else None
+                yield batch[key], _postings_of(batch["words"], tfs, batch["len"].to_numpy(), avglen, known)
+
+    def starts_of(lists: pa.ListArray) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+
+    def said(found: tuple, asked: pa.Array, keys: pa.Array) -> pa.RecordBatch:
+        i, j, score = found
+        return pa.RecordBatch.from_arrays([asked.take(pa.array(i)), keys.take(pa.array(j)), pa.array(score)], [q, key, "score"])
+
+    if n_terms <= BROADCAST_TERMS:
+        table = questions.toArrow().combine_chunks()
+        if not table.num_rows:
+            return spark.createDataFrame([], schema)
+        lists, whole = (table[c].chunk(0) for c in ("terms", "weights"))
+        coded = lists.flatten().cast(pa.string()).dictionary_encode()
+        shared = spark.sparkContext.broadcast((table[q].chunk(0), coded.dictionary, (starts_of(lists), coded.indices.to_numpy(), whole.flatten().to_numpy())))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, known, asked = shared.value
+            least = np.full(len(names), -np.inf)
+            for keys, postings in slices(batches, known):
+                yield said(_best_of(postings, asked, blocks.ranks(keys), k, least), names, keys)
+
+        return rows.mapInArrow(run, schema)
+
+    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    raw = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
+    numbers = lambda batch, c, row, kind: np.frombuffer(batch[c][row].as_buffer(), kind)
+
+    def doc_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, (terms, starts, docs, parts) in slices(batches, None):
+            yield pa.RecordBatch.from_arrays([one(keys), one(terms), raw(starts, np.int64), raw(docs, np.int32), raw(parts, np.float64)], ["ids", "terms", "starts", "docs", "parts"])
+
+    def query_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for lo in range(0, big.num_rows, size_q):
+                batch = big.slice(lo, size_q)
+                coded = batch["terms"].flatten().dictionary_encode()
+                yield pa.RecordBatch.from_arrays([one(batch[q]), one(coded.dictionary), raw(starts_of(batch["terms"]), np.int64), raw(coded.indices.to_numpy(), np.int32), raw(batch["weights"].flatten().to_numpy(), np.float64)], ["asked", "q_terms", "q_starts", "q_codes", "q_weights"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}  # the k-th best scores so far, by the block of queries
+        for batch in batches:
+            for row in range(batch.num_rows):
+                asked, keys, terms = (batch[c][row].values for c in ("asked", "ids", "terms"))
+                postings = terms, numbers(batch, "starts", row, np.int64), numbers(batch, "docs", row, np.int32).astype(np.int64), numbers(batch, "parts", row, np.float64)
+                codes = pc.fill_null(pc.index_in(batch["q_terms"][row].values, value_set=terms), -1).to_numpy(zero_copy_only=False)
+                least = known.setdefault(asked[0].as_py(), np.full(len(asked), -np.inf))
+                wanted = numbers(batch, "q_starts", row, np.int64), codes[numbers(batch, "q_codes", row, np.int32)], numbers(batch, "q_weights", row, np.float64)
+                yield said(_best_of(postings, wanted, blocks.ranks(keys), k, least), asked, keys)
+
+    # Queries go to all lanes, so that these are as many as can be at work, and no more with more input.
+    lanes = 2 * spark.sparkContext.defaultParallelism
+    docs = rows.mapInArrow(doc_blocks, f"ids array<{key_type}>, terms array<string>, starts binary, docs binary, parts binary")
+    docs = docs.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int"))
+    asked = questions.mapInArrow(query_blocks, f"asked array<{q_type}>, q_terms array<string>, q_starts binary, q_codes binary, q_weights binary")
+    asked = asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    return docs.join(asked, "lane").mapInArrow(meet, schema)
+
+
 def search(queries: DataFrame, docs: DataFrame, k: int, *, query_key: str = "query_id", query_text: str = "text", key: str = "id", text: str = "text", index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """(query, key, score, rank) of the k best documents of each query, as ``top`` of ``scores``."""
+    """(query, key, score, rank) of the k best documents of each query, as ``top`` of ``scores``. ``index``: (postings,
+    lengths) as saved; without, the texts are read twice."""
     q = query_key
     with Workspace(queries.sparkSession) as work:
         asked = work.saved(_asked(queries, q, query_text), "asked")
         n_terms = asked.count()
-        if index is None:  # one pass over the texts
-            index = work.saved(postings(docs, key, text), "postings"), work.saved(lengths(docs, key, text), "lengths")
-        matched, mean, totals = _matched(_small(asked.select("term").distinct(), n_terms), docs, key, text, index)
-        avglen = totals.first()["avglen"] or 1.0
-        posted = work.saved(matched.select("term", key, _weight(F.lit(avglen)).alias("part")), "matched")
-        stats = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("most"))
-        weights = _floored(_raw(stats, totals), mean)
-        weighed = asked.join(weights, "term").join(stats.select("term", "most"), "term").withColumn("weight", F.col("times") * F.col("idf"))
-        terms = work.saved(weighed.select(q, "term", "df", "weight", F.greatest(F.col("weight") * F.col("most"), F.lit(0.0)).alias("bound")), "terms")
-
-        def scored(some: DataFrame) -> DataFrame:
-            return posted.join(_small(some.select(q, "term", "weight"), n_terms), "term").groupBy(q, key).agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
-
-        def looked_up(found: DataFrame, some: DataFrame) -> DataFrame:
-            """What these terms give documents (query, key) that are known by name."""
-            wanted = found.select(q, key).join(_small(some.select(q, "term", "weight"), n_terms), q)
-            return posted.join(wanted, ["term", key]).groupBy(q, key).agg(F.sum(F.col("weight") * F.col("part")).alias("more"))
-
-        if (terms.agg(F.sum("df")).first()[0] or 0) <= DIRECT:
-            return saved(top(scored(terms), k, q, key), "bm25")
-        # The rarest terms, up to the first one that k documents have.
-        enough = F.sum((F.col("df") >= k).cast("int")).over(Window.partitionBy(q).orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1))
-        rare = terms.withColumn("enough", enough).where("coalesce(enough, 0) = 0").drop("enough")
-        best = F.row_number().over(Window.partitionBy(q).orderBy(F.desc("score"), key))
-        some = work.saved(scored(rare).withColumn("r", best).where(F.col("r") <= k).select(q, key), "some")
-        full = looked_up(some, terms)
-        worst = F.row_number().over(Window.partitionBy(q).orderBy(F.desc("more"), key))
-        bar = full.withColumn("r", worst).where(F.col("r") == k).select(q, F.col("more").alias("bar"))
-        upto = F.sum("bound").over(Window.partitionBy(q).orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0))
-        split = terms.join(bar, q, "left").withColumn("upto", upto).withColumn("minor", F.coalesce(F.col("upto") < F.col("bar") - MARGIN, F.lit(False)))
-        split = work.saved(split.select(q, "term", "weight", "bound", "bar", "minor"), "split")
-        rest = split.where("minor").groupBy(q).agg(F.sum("bound").alias("rest"), F.first("bar").alias("bar"))
-        brought = scored(split.where("not minor")).join(rest, q, "left").where(F.coalesce(F.col("score") + F.col("rest") >= F.col("bar") - MARGIN, F.lit(True)))
-        brought = work.saved(brought.select(q, key, "score"), "brought")
-        more = looked_up(brought.join(rest, q, "left_semi"), split.where("minor"))
-        whole = brought.join(more, [q, key], "left").select(q, key, (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
-        return saved(top(whole, k, q, key), "bm25")
+        if index is None:
+            rows = docs.select(F.col(key), _words(text).alias("words")).withColumn("len", F.size("words").cast("long"))
+            # The row without a term counts documents, and their words.
+            each = rows.select("len", F.explode(F.array_append(F.array_distinct("words"), F.lit(None).cast("string"))).alias("term"))
+            counts = work.saved(each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("words")), "counts")
+            totals = counts.where("term is null").select(F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avglen"))
+            dfs = counts.where("term is not null").select("term", "df")
+        else:
+            totals = corpus(index[1])
+            dfs = work.saved(index[0].groupBy("term").agg(F.count(F.lit(1)).alias("df")), "counts")
+        raw = _raw(dfs, totals)
+        weights = _floored(raw, raw.agg(F.avg("raw").alias("mean")))
+        terms = work.saved(small(asked, n_terms).join(weights, "term").select(q, "term", "df", (F.col("times") * F.col("idf")).alias("weight")), "weights")
+        if (terms.agg(F.sum("df")).first()[0] or 0) > DIRECT:
+            return _pruned(work, asked, n_terms, docs, k, q, key, text, index)
+        at = F.array_sort(F.collect_list(F.struct("term", "weight")))
+        questions = work.saved(terms.groupBy(q).agg(at.alias("t")).select(q, F.col("t.term").alias("terms"), F.col("t.weight").alias("weights")), "questions")
+        if index is not None:
+            mine = index[0].join(small(asked.select("term").distinct(), n_terms), "term", "left_semi").groupBy(key).agg(F.collect_list(F.struct("term", "tf")).alias("p"))
+            rows = mine.join(index[1], key).select(key, F.col("p.term").alias("words"), F.col("p.tf").alias("tfs"), "len")
+        first = totals.first()
+        avglen = first["avglen"] if first is not None else None
+        with batch_bytes(queries.sparkSession):
+            return saved(top(_in_blocks(questions, n_terms, rows, avglen or 1.0, k, q, key), k, q, key), "bm25")
+
+
+def _pruned(work: Workspace, asked: DataFrame, n_terms: int, docs: DataFrame, k: int, q: str, key: str, text: str, index: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+    """As ``search``, by MaxScore."""
+    if index is None:  # one pass over the texts
+        index = work.saved(postings(docs, key, text), "postings"), work.saved(lengths(docs, key, text), "lengths")
+    matched, mean, totals = _matched(small(asked.select("term").distinct(), n_terms), docs, key, text, index)
+    avglen = totals.first()["avglen"] or 1.0
+    posted = work.saved(matched.select("term", key, _weight(F.lit(avglen)).alias("part")), "matched")
+    stats = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("most"))
+    weights = _floored(_raw(stats, totals), mean)
+    weighed = asked.join(weights, "term").join(stats.select("term", "most"), "term").withColumn("weight", F.col("times") * F.col("idf"))
+    terms = work.saved(weighed.select(q, "term", "df", "weight", F.greatest(F.col("weight") * F.col("most"), F.lit(0.0)).alias("bound")), "terms")
+
+    def scored(some: DataFrame) -> DataFrame:
+        return posted.join(small(some.select(q, "term", "weight"), n_terms), "term").groupBy(q, key).agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+
+    def looked_up(found: DataFrame, some: DataFrame) -> DataFrame:
+        """What these terms give documents (query, key) that are known by name."""
+        wanted = found.select(q, key).join(small(some.select(q, "term", "weight"), n_terms), q)
+        return posted.join(wanted, ["term", key]).groupBy(q, key).agg(F.sum(F.col("weight") * F.col("part")).alias("more"))
+
+    # The rarest terms, up to the first one that k documents have.
+    enough = F.sum((F.col("df") >= k).cast("int")).over(Window.partitionBy(q).orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1))
+    rare = terms.withColumn("enough", enough).where("coalesce(enough, 0) = 0").drop("enough")
+    best = F.row_number().over(Window.partitionBy(q).orderBy(F.desc("score"), key))
+    some = work.saved(scored(rare).withColumn("r", best).where(F.col("r") <= k).select(q, key), "some")
+    full = looked_up(some, terms)
+    worst = F.row_number().over(Window.partitionBy(q).orderBy(F.desc("more"), key))
+    bar = full.withColumn("r", worst).where(F.col("r") == k).select(q, F.col("more").alias("bar"))
+    upto = F.sum("bound").over(Window.partitionBy(q).orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0))
+    split = terms.join(bar, q, "left").withColumn("upto", upto).withColumn("minor", F.coalesce(F.col("upto") < F.col("bar") - MARGIN, F.lit(False)))
+    split = work.saved(split.select(q, "term", "weight", "bound", "bar", "minor"), "split")
+    rest = split.where("minor").groupBy(q).agg(F.sum("bound").alias("rest"), F.first("bar").alias("bar"))
+    brought = scored(split.where("not minor")).join(rest, q, "left").where(F.coalesce(F.col("score") + F.col("rest") >= F.col("bar") - MARGIN, F.lit(True)))
+    brought = work.saved(brought.select(q, key, "score"), "brought")
+    more = looked_up(brought.join(rest, q, "left_semi"), split.where("minor"))
+    whole = brought.join(more, [q, key], "left").select(q, key, (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    return saved(top(whole, k, q, key), "bm25")
 
 
 def top(scored: DataFrame, k: int, query_key: str = "query_id", key: str = "id", digits: int = DIGITS) -> DataFrame:
