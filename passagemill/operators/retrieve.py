@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import RetrievalConfig
 from ..functions.text import resolve_role
+from ..workspace import saved
 from . import dense, rank, sparse
 from .store import filtered
 
@@ -30,7 +31,9 @@ def hybrid(queries: DataFrame, passages: DataFrame, *, config: RetrievalConfig |
     lists = near.select("query_id", "id", F.lit(0).alias("list_no"), "rank").unionByName(scored.select("query_id", "id", F.lit(1).alias("list_no"), "rank"))
     fused = rank.fuse(lists, max(3 * k, 20), rrf_k=c.rrf_k).select("query_id", "id", "score", "pos")
     role = resolve_role(F.col("role")) if c.resolve_role else F.col("role")
-    rows = fused.join(passages, "id").join(queries.select("query_id", role.alias("role")), "query_id")
+    fused = saved(fused, "fused")
+    hits = sparse.small(fused, fused.count())  # so that passages aren't shuffled for some lists of hits
+    rows = passages.join(hits, "id").join(queries.select("query_id", role.alias("role")), "query_id")
     rows = rank.preferred_first(rank.deduplicated(rows), max(2 * k, 20))
     if c.interleave:
         rows = rank.interleaved(rows, complete=c.complete_interleave)
