@@ -22,6 +22,8 @@ from . import sparse
 
 #: Partitions by term: as many as ranges, but no more than this; documents of a range, on average.
 BUCKETS, RANGE_DOCS = 256, 128
+#: Tasks that a bucket's postings are dealt to when they are written.
+SHARES = 8
 
 
 def _bucket(term: Column, buckets: int) -> Column:
@@ -32,19 +34,20 @@ def build(docs: DataFrame, path: str, *, key: str = "id", text: str = "text") ->
     """Index documents of distinct keys below ``path``: ``blocks``, ``terms``, ``counts``, ``totals``."""
     spark = docs.sparkSession
     with Workspace(spark) as work:
-        words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), sparse._SPLIT), lambda t: t != "")
-        rows = docs.select(F.col(key).alias("id"), words.alias("w")).withColumn("len", F.size("w").cast("long"))
+        rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.size(sparse._words(text)).cast("long").alias("len"))
         totals = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("words"), F.lit(rows.schema["id"].dataType.simpleString()).alias("id_type"))
         ranges = F.greatest(F.lit(1), F.floor(F.col("n") / RANGE_DOCS)).cast("int")
         totals = totals.withColumn("ranges", ranges).withColumn("buckets", F.least("ranges", F.lit(BUCKETS)))
         totals.write.parquet(f"{path}/totals")
         row = spark.read.parquet(f"{path}/totals").first()
         ranges, buckets = row["ranges"], row["buckets"]
-        posted = rows.select("id", "len", F.explode("w").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
         at = F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int").alias("range")
-        made = posted.select("term", at, F.struct("id", "tf", "len").alias("p")).groupBy("term", "range")
+        posted = sparse.postings(rows, keep=("len",)).select("term", _bucket(F.col("term"), buckets).alias("bucket"), at, F.struct("id", "tf", "len").alias("p"))
+        # One shuffle, by the bucket and a share of its ranges, so that a frequent term's postings are dealt out.
+        posted = posted.withColumn("share", F.col("range") % SHARES).repartition("bucket", "share")
+        made = posted.groupBy("bucket", "share", "term", "range")
         made = made.agg(F.count(F.lit(1)).alias("n"), F.max("p.tf").alias("most"), F.min("p.len").alias("shortest"), F.collect_list("p").alias("postings"))
-        blocks = made.withColumn("bucket", _bucket(F.col("term"), buckets)).repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range")
+        blocks = made.drop("share").sortWithinPartitions("bucket", "term", "range")
         blocks.write.partitionBy("bucket").parquet(f"{path}/blocks")
         terms = spark.read.schema("term string, n long, bucket int").parquet(f"{path}/blocks").groupBy("bucket", "term").agg(F.sum("n").alias("df"))
         terms = work.saved(terms, "terms")

@@ -47,9 +47,23 @@ def _terms(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(F.col(key), F.explode(F.split(F.coalesce(F.col(text), F.lit("")), _SPLIT)).alias("term")).where("term != ''")
 
 
-def postings(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """(key, term, tf)."""
-    return _terms(docs, key, text).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def postings(docs: DataFrame, key: str = "id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, kept columns, term, tf) of documents of distinct keys, counted where they are read: nothing is shuffled."""
+    kept = [key, *keep]
+    rows = docs.select(*kept, _words(text).alias("words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for lo in range(0, big.num_rows, 512):
+                batch = big.slice(lo, 512)
+                coded = batch["words"].flatten().dictionary_encode()
+                doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch["words"]).to_numpy(zero_copy_only=False))
+                place, tf = np.unique(doc * max(len(coded.dictionary), 1) + coded.indices.to_numpy(), return_counts=True)
+                doc, code = (pa.array(x) for x in np.divmod(place, max(len(coded.dictionary), 1)))
+                yield pa.RecordBatch.from_arrays([*(batch[c].take(doc) for c in kept), coded.dictionary.take(code), pa.array(tf, pa.int64())], [*kept, "term", "tf"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema.fields)
+    return rows.mapInArrow(run, f"{schema}, term string, tf long")
 
 
 def lengths(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:

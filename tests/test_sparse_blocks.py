@@ -50,3 +50,10 @@ def test_postings_of_the_corpus_are_not_written(spark, monkeypatch):
     monkeypatch.setattr(Workspace, "saved", counted)
     assert sparse.search(queries, docs, 5).count() == 100
     assert max(n for _, n in sizes) <= 201  # of 100,000 postings
+
+
+def test_postings_are_counted_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(1, "a b  a", "x"), (2, None, "y"), (3, " \t", "z"), (4, "b", None)], "id long, text string, note string")
+    made = sparse.postings(docs, keep=("note",))
+    assert sorted(tuple(r) for r in made.collect()) == [(1, "x", "a", 2), (1, "x", "b", 1), (4, None, "b", 1)]
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
