@@ -15,6 +15,9 @@ ROLE_TYPES = {
 TECHNICAL = ("technical", "schema", "erd", "api", "reference")
 FUNCTIONAL = ("functional", "product", "analytics", "reporting", "user_guide")
 
+#: Characters of a text that tell it from others of its source.
+HEAD = 80
+
 
 def fuse(lists: DataFrame, k: int, *, rrf_k: int = 60, query: str = "query_id", key: str = "id", list_no: str = "list_no", rank: str = "rank", digits: int = 12) -> DataFrame:
     """(query, key, score, first_list, first_rank, pos): the sum of 1 / (rrf_k + rank) over all appearances; ties go to
@@ -31,7 +34,7 @@ def renumbered(rows: DataFrame, *order: Column | str, query: str = "query_id") -
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy(query).orderBy(*order)))
 
 
-def deduplicated(rows: DataFrame, *, query: str = "query_id", source: str = "source", text: str = "text", head: int = 80) -> DataFrame:
+def deduplicated(rows: DataFrame, *, query: str = "query_id", source: str = "source", text: str = "text", head: int = HEAD) -> DataFrame:
     """The first row of each source and beginning of text; null is a source like others."""
     same = Window.partitionBy(query, source, F.substring(F.coalesce(F.col(text), F.lit("")), 1, head)).orderBy("pos")
     return renumbered(rows.withColumn("same_", F.row_number().over(same)).where("same_ = 1").drop("same_"), "pos", query=query)
