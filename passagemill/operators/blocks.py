@@ -10,6 +10,7 @@ cosine; vectors of different lengths never meet.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +66,24 @@ def best(scores: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np
     return i, j
 
 
+def above(q: np.ndarray, x: np.ndarray, places: np.ndarray, bars: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and cosines of the k best of each row that reach its bar: products in single precision, whose error is
+    bounded, leave few pairs to be measured in double precision."""
+    q, x = units(q), units(x)
+    error = (q.shape[1] + 8) * float(np.finfo(np.float32).eps) + 10.0**-digits
+    floor = np.where(np.isfinite(bars), bars - error, -2.0).astype(np.float32)
+    i, j = np.nonzero(q.astype(np.float32) @ x.astype(np.float32).T >= floor[:, None])
+    score = np.empty(len(i))
+    for lo in range(0, len(i), 1 << 16):
+        some = slice(lo, lo + (1 << 16))
+        score[some] = np.einsum("ij,ij->i", q[i[some]], x[j[some]])
+    score = np.round(score, digits)
+    order = np.lexsort((places[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, np.arange(len(q)))[i] < k
+    return i[keep], j[keep], score[keep]
+
+
 def ranks(keys: pa.Array) -> np.ndarray:
     """The place of each key in their order."""
     places = np.empty(len(keys), np.int64)
@@ -101,15 +120,26 @@ def scored(pairs: DataFrame, k: int, kind: str, digits: int, schema: str, carrie
     names = [part.split()[0].strip("`") for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}  # the k best scores so far of each question of a block
         for batch in batches:
             for row in range(batch.num_rows):
                 dim = batch["dim"][row].as_py()
                 asked, ids = batch["asked"][row].values, batch["ids"][row].values
                 q, x = (np.frombuffer(batch[c][row].as_buffer(), np.float64).reshape(-1, dim) for c in ("q", "x"))
-                said = np.round(products(q, x, kind), digits)
-                i, j = best(said, ranks(ids), k)
+                block = (dim, len(asked), asked[0].as_py(), zlib.crc32(batch["q"][row].as_buffer()), *(batch[c][row].as_py() for c in carried))
+                tops = known.get(block)
+                if tops is not None and kind == "cosine":
+                    i, j, score = above(q, x, ranks(ids), tops.min(1), k, digits)
+                else:
+                    said = np.round(products(q, x, kind), digits)
+                    i, j = best(said, ranks(ids), k)
+                    score = said[i, j]
+                new = np.full((len(asked), k), -np.inf)
+                first = np.searchsorted(i, np.arange(len(asked)))
+                new[i, np.arange(len(i)) - first[i]] = score
+                known[block] = new if tops is None else np.partition(np.concatenate([tops, new], axis=1), k, axis=1)[:, k:]
                 more = [batch[c].take(pa.array(np.full(len(i), row))) for c in carried]
-                yield pa.RecordBatch.from_arrays([asked.take(pa.array(i)), ids.take(pa.array(j)), pa.array(said[i, j]), *more], names)
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(i)), ids.take(pa.array(j)), pa.array(score), *more], names)
 
     return pairs.mapInArrow(run, schema)
 
@@ -122,7 +152,8 @@ def ranked(found: DataFrame, k: int, query_key: str, key: str, *groups: str) ->
 def msearch(queries: DataFrame, passages: DataFrame, k: int, *, kind: str = "cosine", query_key: str = "query_id", key: str = "id", vector: str = "vector", by: str | None = None, digits: int = 6, lanes: int | None = None) -> DataFrame:
     """(query, key, score, rank) as ``dense.top``, for any number of questions."""
     spark = passages.sparkSession
-    lanes = lanes or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # All questions go to each lane, so that lanes are as many as can be at work, and no more with more input.
+    lanes = lanes or min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     carried = () if by is None else (by,)
     asked = packed(queries.select(query_key, vector), query_key, vector, kind, "asked", "q")
     asked = asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
