@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from passagemill.functions.text import normalize_text
 from passagemill.operators import sparse
+from passagemill.workspace import saved, shuffles_deleted
 
 from .common import command, settings
 
@@ -40,9 +41,20 @@ def questions(turns: DataFrame, role: str = "user") -> DataFrame:
     return asked.select(F.sha2("question", 256).alias("question_id"), "question", F.size(F.split("question", " ")).cast("long").alias("words"), "asked", "conversations")
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A row for each key. Only ids are shuffled to find those of several rows, and no texts but theirs."""
+    twice = saved(docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key), "twice")
+    n = twice.count()
+    if n == 0:
+        return docs
+    twice = sparse.small(twice, n)
+    return docs.join(twice, key, "left_anti").unionByName(docs.join(twice, key, "left_semi").dropDuplicates([key]))
+
+
 def report(asked: DataFrame, documents: DataFrame, k: int, weak_below: float) -> DataFrame:
     """A row for each question and each of its ``k`` best documents, or one without any."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source").where("doc_id is not null").dropDuplicates(["doc_id"])
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source").where("doc_id is not null")
+    docs = one_of_each(docs)
     found = sparse.search(asked, docs, k, query_key="question_id", query_text="question", key="doc_id")
     found = found.join(docs.select("doc_id", "source"), "doc_id")
     best = F.max("score").over(Window.partitionBy("question_id"))
@@ -61,7 +73,8 @@ def run(spark: SparkSession, conversations: str, documents: str, out: str, confi
     turns, docs = spark.read.parquet(conversations), spark.read.parquet(documents)
     asked = questions(turns, config["role"])
     made = report(asked, docs, config["k"], config["weak_below"])
-    made.repartition("coverage", "question_id").write.mode("overwrite").partitionBy("coverage").parquet(out)
+    with shuffles_deleted(spark):
+        made.repartition("coverage", "question_id").write.mode("overwrite").partitionBy("coverage").parquet(out)
     log.info("read %d turns from %s and %d documents from %s", turns.count(), conversations, docs.count(), documents)
     for row in read(spark, out).groupBy("coverage").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("question_id").alias("questions")).orderBy("coverage").collect():
         log.info("wrote %d rows, %d questions of coverage %s to %s", row["rows"], row["questions"], row["coverage"], out)

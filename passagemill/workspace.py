@@ -48,22 +48,31 @@ def saved(df: DataFrame, what: str = "table") -> DataFrame:
     """The rows, written to the shared folder and read back: no lineage, and nothing that dies with an executor. For
     results, which callers may read as long as the application runs."""
     path = kept_until_exit(df.sparkSession, scratch(df.sparkSession, what))
-    df.write.parquet(path)
+    with shuffles_deleted(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager
-def batch_bytes(spark: SparkSession, size: int = 32 << 20):
-    """What runs inside sends about so many bytes to Python at once: for rows that may be large."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+def _set(spark: SparkSession, key: str, value: str):
     before = spark.conf.get(key, None)
-    spark.conf.set(key, str(size))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def batch_bytes(spark: SparkSession, size: int = 32 << 20):
+    """What runs inside sends about so many bytes to Python at once: for rows that may be large."""
+    return _set(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def shuffles_deleted(spark: SparkSession):
+    """What is written inside leaves no shuffle files behind, which otherwise stay until the driver collects garbage."""
+    return _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 class Workspace:
     """Tables in the shared folder that go when the work inside is done; what is left of it must be saved outside."""
 
@@ -73,7 +82,8 @@ class Workspace:
     def saved(self, df: DataFrame, what: str = "table") -> DataFrame:
         path = scratch(self.spark, what)
         self.paths.append(path)
-        df.write.parquet(path)
+        with shuffles_deleted(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __enter__(self) -> Workspace:
@@ -82,6 +92,12 @@ class Workspace:
     def __exit__(self, *_: object) -> None:
         self.clear()
 
+    def drop(self, *names: str) -> None:
+        """Delete the tables of these names, which nothing reads any more."""
+        gone = [p for p in self.paths if p.rsplit("/passagemill-", 1)[1].rsplit("-", 1)[0] in names]
+        deleted(self.spark, gone)
+        self.paths = [p for p in self.paths if p not in gone]
+
     def keep_last(self) -> None:
         """Delete all but the newest table."""
         deleted(self.spark, self.paths[:-1])
