@@ -301,18 +301,23 @@ def similar(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size
 def _decided(docs: DataFrame, doc_id: str, text: str, size: int, similarity: tuple[int, int], room: int, work: Workspace) -> DataFrame:
     spark = docs.sparkSession
     first = work.saved(signatures(docs, doc_id, text, size, room), "signatures")
-    sig = first.where("block is null").select("doc_id", "n", "id", "h")
+    sig = work.saved(first.where("block is null").select("doc_id", "n", "id", "h"), "texts")
     classes = work.saved(sig.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("h").alias("h")), "classes")
     counts = spark.sparkContext.broadcast(hc.table(first.where("block is not null").select("block", "at", "counts"), LIMIT, room))
+    work.drop("signatures")  # tables go as soon as nothing reads them any more
     banded = work.saved(prefixes(docs, doc_id, text, size, similarity, classes, counts, room), "prefixes")
     counts.destroy()
     # Each step is written, so that joins deal out both sides anew, and a full bucket may be split.
     shared = work.saved(banded.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo != hi").select("key"), "shared")
-    met_ = work.saved(_in_buckets(banded, shared).distinct(), "met")
-    met_ = work.saved(_one_of_each(met_, "h").join(classes.select("h", "id", "n"), "h"), "met")
+    full = work.saved(_in_buckets(banded, shared).distinct(), "full")
+    work.drop("prefixes", "shared")
+    met_ = work.saved(_one_of_each(full, "h").join(classes.select("h", "id", "n"), "h"), "met")
+    work.drop("full")
     sized = work.saved(by_size(met_, similarity), "sized")
+    work.drop("met")
     buckets = work.saved(sized.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub != last").select("key", "hub"), "buckets")
     members = work.saved(_one_of_each(sized.join(buckets, "key"), "id"), "members")  # key, id, hub
+    work.drop("sized", "buckets")
 
     pairs = work.saved(members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
 
@@ -322,20 +327,25 @@ def _decided(docs: DataFrame, doc_id: str, text: str, size: int, similarity: tup
     both = F.explode(F.array("a", "b")).alias("id")
     cut = work.saved(set_ends(docs, doc_id, text, size, of(pairs.select(both)), similarity), "ends")
     close = work.saved(_passing(_sides(pairs, cut, work), similarity), "close")
+    work.drop("pairs", "needed", "heavy")
     sets = work.saved(full_sets(docs, doc_id, text, size, of(close.select(both))), "sets")
     links = work.saved(_verified(_sides(close, sets.select("id", "grams"), work), similarity), "links")
+    work.drop("close", "sets", "needed", "heavy")
     found = work.saved(labelled(links, work), "components")
+    work.drop("edges", "hooks", "roots")
 
     # Buckets whose members, without the hub that all were compared with, are in several components.
     rest = members.where("id != hub").join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")).distinct()
     split = work.saved(rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key"), "split")
     open_ = work.saved(rest.join(split, "key").select("key", "id", "component"), "open")
+    work.drop("members", "split")
     if not open_.isEmpty():
         few = open_.groupBy("key").agg(F.count(F.lit(1)).alias("few")).where(F.col("few") <= FEW).select("key")
         one = open_.join(few, "key", "left_semi")
         two = one.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
         pairs = one.join(two, "key").where("id < b and component != other").select(F.col("id").alias("a"), "b").distinct()
         close = work.saved(_passing(_sides(work.saved(pairs, "pairs"), cut, work), similarity), "close")
+        work.drop("pairs", "heavy", "ends")
         large = work.saved(open_.join(few, "key", "left_anti"), "large")
         sets = work.saved(full_sets(docs, doc_id, text, size, of(close.select(both).union(large.select("id")))), "sets")
         more = work.saved(_verified(_sides(close, sets.select("id", "grams"), work), similarity), "more-links")

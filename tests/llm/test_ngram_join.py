@@ -124,3 +124,21 @@ def test_filters_lose_no_link_and_spare_work():
 def test_fixtures(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert sorted((tuple(r) for r in nj.similar(docs).collect()), key=str) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_tables_go_as_soon_as_nothing_reads_them(spark, monkeypatch):
+    standing = {}
+
+    class Watched(nj.Workspace):
+        def saved(self, df, what="table"):
+            standing.setdefault(what, [p.rsplit("/", 1)[1].split("-")[1] for p in self.paths])
+            return super().saved(df, what)
+
+    monkeypatch.setattr(nj, "Workspace", Watched)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(words[: 60 - k % 3] + [f"x{k % 3}"])) for k in range(12)]
+    got = nj.similar(spark.createDataFrame(rows, "doc_id long, text string"), buckets=1 << 12)
+    assert {r["component_id"] for r in got.collect()} == {0}
+    assert "signatures" not in standing["prefixes"]
+    assert not {"prefixes", "shared", "full"} & set(standing["sized"])
+    assert not {"met", "sized", "buckets", "pairs", "close", "sets"} & set(standing["components"])
