@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from ..workspace import batch_bytes, saved
 
 BLOCK_ROWS = 1024
+#: Bytes of known best scores that a task holds, about.
+KNOWN_BYTES = 64 << 20
 
 
 def matrices(column: pa.Array, kind: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -118,9 +120,11 @@ def scored(pairs: DataFrame, k: int, kind: str, digits: int, schema: str, carrie
     """(question, key, score, and what is carried) of the k best of each question in each pair of blocks (dim, asked, q, ids, x).
     ``schema``: of the result."""
     names = [part.split()[0].strip("`") for part in schema.split(", ")]
+    room = KNOWN_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}  # the k best scores so far of each question of a block
+        held = 0
         for batch in batches:
             for row in range(batch.num_rows):
                 dim = batch["dim"][row].as_py()
@@ -137,7 +141,11 @@ def scored(pairs: DataFrame, k: int, kind: str, digits: int, schema: str, carrie
                 new = np.full((len(asked), k), -np.inf)
                 first = np.searchsorted(i, np.arange(len(asked)))
                 new[i, np.arange(len(i)) - first[i]] = score
+                known.pop(block, None)  # the newest stands last
                 known[block] = new if tops is None else np.partition(np.concatenate([tops, new], axis=1), k, axis=1)[:, k:]
+                held += new.nbytes if tops is None else 0
+                while held > room and len(known) > 1:  # what is forgotten only spares less work
+                    held -= known.pop(next(iter(known))).nbytes
                 more = [batch[c].take(pa.array(np.full(len(i), row))) for c in carried]
                 yield pa.RecordBatch.from_arrays([asked.take(pa.array(i)), ids.take(pa.array(j)), pa.array(score), *more], names)
 

@@ -38,6 +38,15 @@ LANE_ROWS = 1 << 16
 MARGIN = 2e-6
 #: Rows of visits that are made at once.
 VISITS = 8192
+#: Distances between rows and centres that are held at once.
+DISTANCES = 1 << 20
+
+
+def nearest_centres(u: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row, some rows at a time, so that few distances are held at once."""
+    step = max(1, DISTANCES // len(c))
+    square = (c * c).sum(1)[None, :]
+    return np.concatenate([(square - 2 * u[lo : lo + step] @ c.T).argmin(axis=1) for lo in range(0, len(u), step)])
 
 
 def _placed(rows: DataFrame, key: str, vector: str, kind: str, dim: int, centres: np.ndarray) -> DataFrame:
@@ -50,7 +59,7 @@ def _placed(rows: DataFrame, key: str, vector: str, kind: str, dim: int, centres
                 if n == dim:
                     c = shared.value
                     u = blocks.units(x) if kind == "cosine" else x
-                    cell = ((c * c).sum(1)[None, :] - 2 * u @ c.T).argmin(axis=1)
+                    cell = nearest_centres(u, c)
                     away = np.sqrt(((u - c[cell]) ** 2).sum(axis=1))
                     some = batch.take(pa.array(at))
                     yield pa.RecordBatch.from_arrays([some["id"], some["vector"], pa.array(cell, pa.int32()), pa.array(away)], ["id", "vector", "cell", "away"])

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from passagemill.config import StoreConfig
 from passagemill.operators import blocks, cells, dense, postings, sparse
@@ -160,3 +161,29 @@ def test_a_store_follows_the_state_of_its_documents(spark, tmp_path):
     assert said(ingest.sync(put([("z", 1, text("z", 20), "x")]), s, corpus_id="other", seq=3)) == {("z", "added")} and held() == fresh(two) | fresh([("z", 1, text("z", 20), "x")])
     ingest.sync(put([]), s, seq=4)
     assert held() == fresh([("z", 1, text("z", 20), "x")])
+
+
+def test_few_distances_to_centres_are_held_at_once():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    u, c = rng.normal(size=(5000, 16)), rng.normal(size=(2048, 16))
+    want = np.array([((x - c) ** 2).sum(1).argmin() for x in u[:200]])
+    tracemalloc.start()
+    got = cells.nearest_centres(u, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got[:200] == want).all() and len(got) == 5000
+    assert peak < 40 << 20  # all at once: 160 MB
+
+
+def test_known_scores_may_be_forgotten(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(90)], "id long, vector array<double>")
+    asked = rows.select(F.col("id").alias("query_id"), "vector")
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 8)
+    made = []
+    for most in (blocks.KNOWN_BYTES, 1):
+        monkeypatch.setattr(blocks, "KNOWN_BYTES", most)
+        made.append(sorted(map(tuple, blocks.msearch(asked, rows, 3).collect())))
+    assert made[0] == made[1] and len(made[0]) == 270
