@@ -10,8 +10,9 @@ keep that is named like a result is returned with ``_input`` behind its name.
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +26,8 @@ from .components import renamed
 #: Labelled rows in the training sample (expected number): the bound of the model.
 SAMPLE_ROWS = 4_000
 LONGEST_GRAM = 4
+#: Words whose n-grams the driver holds at once: what it needs besides the model does not grow with the sample's words.
+FIT_WORDS = 16_384
 UNDETERMINED = "und"
 
 _RUN = re.compile(r"[^\W\d_]+")  # runs of letters, and of numbers that are no digits, which go out one by one
@@ -44,6 +47,15 @@ def _points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return co.mix(np.frombuffer("".join(words).encode("utf-32-le"), "<u4")), np.concatenate([[0], ends]).astype(np.int64)
 
 
+def summed(keys: np.ndarray, counts: np.ndarray, column: np.ndarray | None = None, width: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and the sum of their rows of counts; or of single counts, each in a column of ``width``."""
+    distinct, row = np.unique(keys, return_inverse=True)
+    if column is not None:
+        return distinct, np.bincount(row * width + column, counts, len(distinct) * width).reshape(len(distinct), width)
+    sums = [np.bincount(row, some, len(distinct)) for some in counts.T]
+    return distinct, np.stack(sums, axis=1) if sums else np.empty((len(distinct), 0))
+
+
 @dataclass
 class Table:
     """Log probabilities by language (columns) of strings (rows), found by 64-bit hashes of the strings."""
@@ -52,11 +64,11 @@ class Table:
     scores: np.ndarray
 
     @classmethod
-    def of(cls, keys: np.ndarray, column: np.ndarray, counts: np.ndarray, width: int) -> Table:
-        """Of counts of a string, by its hash, in a column; with add-a-half smoothing."""
-        distinct, row = np.unique(keys, return_inverse=True)
-        matrix = np.bincount(row * width + column, counts, len(distinct) * width).reshape(len(distinct), width) + 0.5
-        return cls(distinct, (np.log(matrix) - np.log(matrix.sum(axis=0))).astype(np.float32))
+    def of(cls, parts: list[tuple[np.ndarray, np.ndarray]], width: int) -> Table:
+        """Of ``summed`` parts of the counts, with add-a-half smoothing."""
+        keys, matrix = summed(*(np.concatenate(x) for x in zip((np.empty(0, np.uint64), np.empty((0, width))), *parts)))
+        matrix += 0.5
+        return cls(keys, (np.log(matrix) - np.log(matrix.sum(axis=0))).astype(np.float32))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The rows of these hashes, or -1."""
@@ -97,20 +109,28 @@ class Model:
         return out
 
 
-def fit(counts: list[tuple[str, str, int]], languages: list[str]) -> Model:
-    """A model of (language, word, count) rows."""
-    width, words = len(languages), [w for _, w, _ in counts]
-    column = np.array([languages.index(x) for x, _, _ in counts], np.int64)
-    times = np.array([n for _, _, n in counts], float)
-    points, offsets = _points(words)
-    known, grams = Table.of(co.run_hashes(points, offsets[:-1], offsets[1:]), column, times, width), {}
-    padded = _points([f" {w} " for w in words])
-    for n in range(1, LONGEST_GRAM + 1):
-        points, offsets = padded if n > 1 else (points, offsets)
-        per = np.maximum(np.diff(offsets) - n + 1, 0)
-        at = co.ragged(offsets[:-1], per)
-        grams[n] = Table.of(co.run_hashes(points, at, at + n), np.repeat(column, per), np.repeat(1 + np.log(times), per), width)
-    return Model(languages, known, grams)
+def fit(counts: Iterable[tuple[str, str, int]], languages: list[str]) -> Model:
+    """A model of (language, word, count) rows, of which FIT_WORDS are held with their n-grams at once."""
+    width, known, grams, rows = len(languages), [], {n: [] for n in range(1, LONGEST_GRAM + 1)}, iter(counts)
+    while some := list(itertools.islice(rows, FIT_WORDS)):
+        words = [w for _, w, _ in some]
+        column = np.array([languages.index(x) for x, _, _ in some], np.int64)
+        times = np.array([n for _, _, n in some], float)
+        points, offsets = _points(words)
+        known.append(summed(co.run_hashes(points, offsets[:-1], offsets[1:]), times, column, width))
+        padded = _points([f" {w} " for w in words])
+        for n in grams:
+            points, offsets = padded if n > 1 else (points, offsets)
+            per = np.maximum(np.diff(offsets) - n + 1, 0)
+            at = co.ragged(offsets[:-1], per)
+            grams[n].append(summed(co.run_hashes(points, at, at + n), np.repeat(1 + np.log(times), per), np.repeat(column, per), width))
+    return Model(languages, Table.of(known, width), {n: Table.of(parts, width) for n, parts in grams.items()})
+
+
+def _rows(tally: pa.Table) -> Iterator[tuple]:
+    """The table's rows, of which few are Python objects at once."""
+    for batch in tally.to_batches(FIT_WORDS):
+        yield from zip(*(column.to_pylist() for column in batch.columns))
 
 
 def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -124,8 +144,11 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: s
         rows = rows.where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * sample_rows / n))
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
     tally = rows.select("lang", word.alias("word")).groupBy("lang", "word").count().toArrow()
-    counts = zip(*(tally[c].to_pylist() for c in ("lang", "word", "count")))
-    return fit(sorted(counts), sorted(set(tally["lang"].to_pylist())))
+    tally = tally.select(["lang", "word", "count"]).sort_by([("lang", "ascending"), ("word", "ascending")])
+    model = fit(_rows(tally), sorted(tally["lang"].unique().to_pylist()))
+    del tally
+    co.release()
+    return model
 
 
 class _Scorer:
