@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # The 29 code points that count as white space.
 WHITESPACE = r"[\t\n\x0B\f\r\x1C-\x1F \x85\xA0  -     　]+"
 
+# Runs of white space that are not one plain space, which need no change. Letters are passed over at a glance.
+_UNEVEN = r"(?![!-~])(?:[\t-\r\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000][\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]*| [\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+)"
+
 # Document types in the order their rules are tried. Keys of file names are substrings of the lower-cased
 # name; keys of urls are whole tokens of the path.
 NAME_RULES = (
@@ -35,7 +38,7 @@ DEFAULT_ROLE = "developer"
 
 def normalize_text(text: Column) -> Column:
     """Runs of white space as one space, none at the ends; null is empty."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), WHITESPACE, " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), _UNEVEN, " "))
 
 
 def first_filled(*columns: Column) -> Column:
@@ -45,7 +48,12 @@ def first_filled(*columns: Column) -> Column:
 
 def text_id(text: Column, source: Column, page: Column) -> Column:
     """32 hex digits of the SHA-256 of normalised text, source and page."""
-    said = F.concat(normalize_text(text), F.lit("|"), source, F.lit("|"), F.coalesce(page, F.lit(0)).cast("string"))
+    return normal_id(normalize_text(text), source, page)
+
+
+def normal_id(text: Column, source: Column, page: Column) -> Column:
+    """``text_id`` of a text that is normalised already."""
+    said = F.concat(text, F.lit("|"), source, F.lit("|"), F.coalesce(page, F.lit(0)).cast("string"))
     return F.substring(F.sha2(said, 256), 1, 32)
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ChunkConfig
-from ..functions.text import normalize_text, resolved_source, text_id
+from ..functions.text import normal_id, resolved_source
 
 
 def _packed(pieces: list[str], size: int, overlap: int) -> list[str]:
@@ -29,13 +31,28 @@ def _packed(pieces: list[str], size: int, overlap: int) -> list[str]:
     return out
 
 
+def _windows(text: str, starts: list[int], size: int, overlap: int) -> list[str]:
+    """As ``_packed``, over words of less than ``size`` characters that begin at ``starts``, of which the last is the end."""
+    out, lo, last = [], 0, len(starts) - 1
+    while (hi := bisect_right(starts, starts[lo] + size) - 1) < last:
+        if said := text[starts[lo] : starts[hi]].strip():
+            out.append(said)
+        lo = bisect_left(starts, starts[hi] - min(overlap, size - (starts[hi + 1] - starts[hi])), lo, hi)
+    if said := text[starts[lo] :].strip():
+        out.append(said)
+    return out
+
+
 def split_text(text: str, size: int, overlap: int) -> list[str]:
     """Chunks of a text whose only white space is single spaces. A word of ``size`` characters or more is packed by
     character, and shares nothing with its neighbours."""
+    points = np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    spaces = np.flatnonzero(points == 32)
+    starts = np.concatenate([[0], spaces[spaces > 0], [len(text)]])
+    if np.diff(starts).max() < size and len(text):
+        return _windows(text, starts.tolist(), size, overlap)
     first, *rest = text.split(" ")
     words = [first, *(" " + w for w in rest)]
-    if all(len(w) < size for w in words):
-        return _packed(words, size, overlap)
     out: list[str] = []
     run: list[str] = []
     for word in words:
@@ -65,8 +82,8 @@ def chunk(docs: DataFrame, config: ChunkConfig | None = None) -> DataFrame:
     """
     config = config or ChunkConfig()
     kept = [c for c in docs.columns if c not in ("text", "chunk_index", "chunk_total", "hash_id")]
-    source = docs.select(*kept, normalize_text(F.col("text")).alias("text"), F.lower(F.coalesce("doc_type", F.lit(""))).isin(*config.technical_types).alias("technical_"))
-    source = source.where(F.length("text") >= config.min_text_len)
+    # White space is evened out in Python, whose notion of it is ``normalize_text``'s, so that chunks need no second look.
+    source = docs.select(*kept, "text", F.lower(F.coalesce("doc_type", F.lit(""))).isin(*config.technical_types).alias("technical_"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,7 +91,7 @@ def chunk(docs: DataFrame, config: ChunkConfig | None = None) -> DataFrame:
                 some = batch.slice(lo, 512)
                 rows, texts, index, total = [], [], [], []
                 for k, (text, technical) in enumerate(zip(some["text"].to_pylist(), some["technical_"].to_pylist())):
-                    found, n = chunk_texts(text, technical, config)
+                    found, n = chunk_texts(" ".join((text or "").split()), technical, config)
                     for i, said in found:
                         rows.append(k)
                         texts.append(said)
@@ -88,5 +105,5 @@ def chunk(docs: DataFrame, config: ChunkConfig | None = None) -> DataFrame:
     has = lambda c, kind: F.col(c) if c in kept else F.lit(None).cast(kind)
     return out.withColumns({
         "chunk_kind": F.coalesce(has("chunk_kind", "string"), F.lit("text")),
-        "hash_id": text_id(F.col("text"), resolved_source(has("source", "string"), has("file_name", "string")), has("page_number", "int")),
+        "hash_id": normal_id(F.col("text"), resolved_source(has("source", "string"), has("file_name", "string")), has("page_number", "int")),
     })

@@ -34,12 +34,14 @@ def described(rows: DataFrame) -> DataFrame:
     return docs.withColumns({"file_name": F.concat("doc_type", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".pdf")), "page_number": (F.col("doc_id") % 5).cast("int")})
 
 
-def documents(spark: SparkSession, sf_dir: str, *, vectors: bool = False, head: int | None = None) -> DataFrame:
-    """doc_id, text (or so many characters of it), file_name, source, page_number, doc_type, quality, toxic, and the vector
-    if asked for."""
+def documents(spark: SparkSession, sf_dir: str, *, vectors: bool = False, labels: bool = True, head: int | None = None) -> DataFrame:
+    """doc_id, text (or so many characters of it), file_name, source, page_number, doc_type, quality and toxic unless they
+    are not wanted, which spares shuffling texts, and the vector if asked for."""
     rows = table(spark, sf_dir, "documents")
     rows = rows if head is None else rows.withColumn("text", F.substring("text", 1, head))
-    docs = described(rows).join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    docs = described(rows)
+    if labels:
+        docs = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left")
     if vectors:
         docs = docs.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id", "left")
     return docs
