@@ -56,8 +56,9 @@ def filtered(rows: DataFrame, filters: dict[str, object] | None) -> DataFrame:
 def last_of_each(rows: DataFrame, key: str = "id", order: str = "ingest_seq") -> DataFrame:
     """The row of the highest order for each key; of equal ones always the same, by a hash of the whole row."""
     hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in rows.schema.fields if not isinstance(f.dataType, MapType)])
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order), hashed))
-    return rows.withColumn("place_", place).where("place_ = 1").drop("place_")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order), "hash_"))
+    # Hashed before rows are dealt out, so that columns which nobody reads afterwards are left behind.
+    return rows.withColumn("hash_", hashed).withColumn("place_", place).where("place_ = 1").drop("place_", "hash_")
 
 
 def upserted(existing: DataFrame | None, new: DataFrame, key: str = "id", order: str = "ingest_seq") -> DataFrame:
