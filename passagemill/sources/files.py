@@ -159,10 +159,15 @@ def page_documents(pages: DataFrame, config: SourceConfig | None = None) -> Data
     config = config or SourceConfig()
     pages = pages.where("error is null")
     if config.parse_diagrams:
-        at = pages.withColumn("page_key", F.concat_ws("#", "source", "page_number")).withColumn("file_name", file_name(F.col("source")))
+        # A page without boxes has no node, and so no diagram: its texts need not be dealt out.
+        drawn = pages.where(F.exists("drawings", lambda d: d["bbox"].isNotNull())).select("source", "page_number", "drawings", "blocks")
+        at = drawn.withColumn("page_key", F.concat_ws("#", "source", "page_number")).withColumn("file_name", file_name(F.col("source")))
         each = lambda c: at.select("page_key", F.explode(c).alias("x")).select("page_key", "x.*")
         found = diagram.summaries(each("drawings"), each("blocks"), at.select("page_key", "file_name", "page_number"))
-        pages = at.drop("file_name").join(found, "page_key", "left").withColumn("erd_summary", F.coalesce("erd_summary", "summary")).drop("page_key", "summary")
+        have = pages.withColumn("page_key", F.when(F.exists("drawings", lambda d: d["bbox"].isNotNull()), F.concat_ws("#", "source", "page_number")))
+        plain, have = have.where("page_key is null").drop("page_key"), have.where("page_key is not null")
+        have = have.join(found, "page_key", "left").withColumn("erd_summary", F.coalesce("erd_summary", "summary")).drop("page_key", "summary")
+        pages = plain.unionByName(have)
     return described(page_kinds(pages.drop("drawings", "blocks", "error"), config), config, "page_number")
 
 
