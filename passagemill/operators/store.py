@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from ..config import StoreConfig
+from ..workspace import batch_bytes, shuffles_deleted
 from . import cells, sparse
 
 # Names of distances.
@@ -30,6 +31,10 @@ DISTANCES = {"cos": "cosine", "cosine": "cosine", "dot": "dot", "ip": "dot", "in
 SKETCH_BITS = 14
 
 
+#: Bytes of written rows that one task sorts, about.
+RANGE_BYTES = 64 << 20
+
+
 class StoreError(RuntimeError):
     """A write or a query that the store's settings rule out."""
 
@@ -184,25 +189,54 @@ class PassageStore:
         """Postings, lengths and cells of a part's rows."""
         rows = self._table(name, {"path": path}, "rows")
         at = lambda what: str(self._path(name, path, what))
-        sparse.postings(rows).write.parquet(at("postings"))
+        with batch_bytes(self.spark):  # rows are lists of a text's words
+            sparse.postings(rows).write.parquet(at("postings"))
         sparse.lengths(rows).write.parquet(at("lengths"))
         cells.build(rows, at("cells"), dim=self.config.dim, kind=self.distance)
 
-    def _write_rows(self, rows: DataFrame, path: str) -> None:
+    def _write_rows(self, rows: DataFrame, path: str, tasks: int | None = None) -> None:
         """Rows by ranges of the columns to sort by and of id, so that one value's rows may take many files, each file
-        sorted: row groups then have narrow bounds, which filters are held against before anything is read."""
+        sorted: row groups then have narrow bounds, which filters are held against before anything is read. ``tasks``: ranges
+        at least, so that what one task sorts doesn't follow the input."""
         by = [*self.config.sort_by, "id"]
-        laid = rows.repartitionByRange(*by).sortWithinPartitions(*by) if self.config.sort_by else rows
+        laid = rows if not self.config.sort_by else (rows.repartitionByRange(*by) if tasks is None else rows.repartitionByRange(tasks, *by)).sortWithinPartitions(*by)
         out = laid.write.option("parquet.block.size", self.config.row_group_bytes)
         for column in self.config.bloom:
             out = out.option(f"parquet.bloom.filter.enabled#{column}", "true")
         out.parquet(path)
 
+    def _write_last(self, rows: DataFrame, path: str) -> None:
+        """The last row of each id. Rows are written as they come, and looked up for ids that are there several times: where
+        there are none, no text is shuffled; else only rows of those ids are put in order."""
+        given = f"{path}-given"
+        with shuffles_deleted(self.spark):
+            rows.write.parquet(given)
+        made = self.spark.read.schema(rows.schema).parquet(given)
+        at, kept = (self._jvm.org.apache.hadoop.fs.Path(x) for x in (given, path))
+        again = made.groupBy("id").agg(F.count(F.lit(1)).alias("n_")).where("n_ > 1").select("id")
+        again.write.parquet(f"{path}-again")
+        again = self.spark.read.schema(again.schema).parquet(f"{path}-again")
+        several = not again.isEmpty()
+        if not several and not (self.config.sort_by or self.config.bloom):
+            self._fs.rename(at, kept)
+        else:
+            one = made
+            if several:
+                named = made.where("id is not null")
+                one = named.join(again, "id", "left_anti").unionByName(last_of_each(named.join(again, "id", "left_semi")))
+                one = one.unionByName(last_of_each(made.where("id is null")))
+            tasks = self._fs.getContentSummary(at).getLength() // RANGE_BYTES + 1
+            default = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            with shuffles_deleted(self.spark):
+                self._write_rows(one, path, max(tasks, default) if tasks > default else None)
+            self._fs.delete(at, True)
+        self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(f"{path}-again"), True)
+
     def _write(self, name: str, rows: DataFrame, ids: DataFrame | None) -> dict:
-        """A new part of rows of distinct ids; ``ids`` are those it names besides."""
+        """A new part of rows, of each id the last one; ``ids`` are those it names besides."""
         path = f"p{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
         at = lambda what: str(self._path(name, path, what))
-        self._write_rows(rows, at("rows"))
+        self._write_last(rows, at("rows"))
         made = self.spark.read.schema(rows.schema).parquet(at("rows"))
         named = made.select("id") if ids is None else made.select("id").unionByName(ids.select(F.col("id").cast(made.schema["id"].dataType))).distinct()
         named.write.parquet(at("ids"))
@@ -247,7 +281,7 @@ class PassageStore:
         self.ensure(collection)
         name = self.resolve(collection)
         given = Observation()
-        part = self._checked(name, last_of_each(rows.observe(given, F.count(F.lit(1)).alias("n"))), None)
+        part = self._checked(name, rows.observe(given, F.count(F.lit(1)).alias("n")), None)
         if part is None:
             return 0
         self._commit(name, [*self._parts(name), part])
@@ -258,7 +292,7 @@ class PassageStore:
         stay, whether or not their ids are among those deleted. How many rows and ids were written."""
         self.ensure(collection)
         name = self.resolve(collection)
-        part = self._checked(name, last_of_each(rows), gone)
+        part = self._checked(name, rows, gone)
         if part is None:
             return {"rows": 0, "ids": 0}
         self._commit(name, [*self._parts(name), part])
