@@ -64,7 +64,8 @@ def sync(docs: DataFrame, store: PassageStore, config: ChunkConfig | None = None
     changes = saved(differences(states(before), states(docs)), "changes")
     if changes.isEmpty():
         return changes
-    fresh = docs.join(changes.where("change != 'removed'").select("source"), "source", "left_semi")
+    # All that an empty store is given is new, and need not be dealt out to be found so.
+    fresh = docs if have is None else docs.join(changes.where("change != 'removed'").select("source"), "source", "left_semi")
     made = passages(fresh, config, corpus_id=corpus_id, seq=seq)
     made = made if prepared is None else prepared(made.drop("vector"))
     stale = changes.where("change != 'added'").select("source")
