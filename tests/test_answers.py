@@ -58,3 +58,35 @@ def test_no_lines(spark, tmp_path):
     assert run(spark, tmp_path, [[]]) == [set()]
     with pytest.raises(Exception, match="attempt"):  # columns that are not there
         answers.answers(spark.readStream.schema("stream_id string, ord long, line string, at timestamp").parquet(str(tmp_path / "lines")))
+
+
+def test_answers_of_one_bucket_stay_apart(spark, tmp_path):
+    """Buckets bound the groups that go to Python; in the only one, each answer still ends, restarts and times out by itself."""
+    batches = [
+        [("quiet", 0, 0, said("q"), 10), ("quick", 0, 0, said("a"), 10), ("quick", 0, 1, "data: [DONE]", 10), ("slow", 0, 0, said("s"), 10), ("again", 0, 0, said("old"), 10)],
+        [("slow", 0, 1, said("t"), 4_000), ("again", 1, 0, said("new"), 4_000), ("tick", 0, 1, "", 5_000)],  # quiet's patience is over, slow's and again's isn't
+        [("slow", 0, 2, "data: [DONE]", 4_100), ("quick", 0, 0, said("b"), 4_100), ("again", 1, 1, "data: [DONE]", 4_100)],
+    ]
+    seen, states = [], []
+    for rows in batches:
+        made = spark.createDataFrame(rows, LINES).withColumn("at", F.timestamp_seconds("s")).drop("s")
+        made.coalesce(1).write.mode("append").parquet(f"{tmp_path}/lines")
+        stream = answers.answers(spark.readStream.schema(made.schema).parquet(f"{tmp_path}/lines"), delay="1 hour", patience=600, buckets=1)
+        query = stream.writeStream.option("checkpointLocation", f"{tmp_path}/mark").trigger(availableNow=True).format("parquet").start(f"{tmp_path}/out")
+        query.awaitTermination()
+        states.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        seen.append({tuple(r) for r in spark.read.schema(answers.ANSWERS).parquet(f"{tmp_path}/out").collect()})
+    one = {("quick", "a", 1, True)}
+    two = one | {("quiet", "q", 1, False)}
+    assert seen == [one, two, two | {("slow", "st", 2, True), ("again", "new", 1, True)}]
+    assert states == [1, 1, 1]
+
+
+def test_many_answers_are_few_groups(spark, tmp_path):
+    rows = [(f"s{i}", 0, k, "data: [DONE]" if k == 2 else said(f"{i}.{k} "), 10) for i in range(3000) for k in range(3)]
+    made = spark.createDataFrame(rows, LINES).withColumn("at", F.timestamp_seconds("s")).drop("s")
+    made.write.parquet(f"{tmp_path}/lines")
+    query = answers.answers(spark.readStream.schema(made.schema).parquet(f"{tmp_path}/lines")).writeStream.option("checkpointLocation", f"{tmp_path}/mark").trigger(availableNow=True).format("parquet").start(f"{tmp_path}/out")
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1024
+    assert {tuple(r) for r in spark.read.schema(answers.ANSWERS).parquet(f"{tmp_path}/out").collect()} == {(f"s{i}", f"{i}.0 {i}.1 ", 2, True) for i in range(3000)}
