@@ -14,6 +14,9 @@ A batch writes its own partitions, by dynamic overwrite and the ledger last, fro
 before it. So a batch that is run again, after whatever failure, gives the same files; readers see a document's new
 passages when its ledger row is there. ``current`` is the table of all documents' newest passages. Batches are numbered by
 the checkpoint, so a new checkpoint needs a new OUT.
+
+Keys and hashes of a batch are kept in the shared folder until it is done, so a cluster needs --scratch or
+spark.checkpoint.dir.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from passagemill.config import ChunkConfig
 from passagemill.functions.text import normalize_text
 from passagemill.operators.chunk import chunk
+from passagemill.workspace import Workspace, saved, shuffles_deleted
 
 from .common import command, settings
 
@@ -42,11 +46,17 @@ def _pattern(path: str) -> str:
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
-    """The rows with what tells documents and their versions apart: the id, or without one the text; and a hash of all
-    that passages are made of. Languages are partitions, and so never null or empty."""
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), normalize_text(F.col("text")).alias("text"), "source", F.coalesce(F.when(F.col("lang") != "", F.col("lang")), F.lit("und")).alias("lang"), *(c for c in rows.columns if c in ("modified", "file")))
-    content = F.sha2(F.to_json(F.struct("text", "source", "lang"), {"ignoreNullFields": "false"}), 256)
-    return rows.withColumn("content", content).withColumn("doc_key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text-"), F.sha2("text", 256))))
+    """The rows with what tells documents apart: the id, or without one the text. Languages are partitions, and so never
+    null or empty."""
+    lang = F.coalesce(F.when(F.col("lang") != "", F.col("lang")), F.lit("und")).alias("lang")
+    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("text-"), F.sha2(normalize_text(F.col("text")), 256)))
+    return rows.select(key.alias("doc_key"), F.col("doc_id").cast("long").alias("doc_id"), "text", "source", lang, *(c for c in rows.columns if c in ("modified", "file")))
+
+
+def _content(rows: DataFrame) -> DataFrame:
+    """The keyed rows with what tells a document's versions apart: a hash of all that passages are made of."""
+    said = F.struct(normalize_text(F.col("text")).alias("text"), "source", "lang")
+    return rows.withColumn("content", F.sha2(F.to_json(said, {"ignoreNullFields": "false"}), 256))
 
 
 def _newest(ledger: DataFrame) -> DataFrame:
@@ -62,25 +72,43 @@ def _write(rows: DataFrame, path: str, *partitions: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
+def _taken(rows: DataFrame, seen: DataFrame, work: Workspace, once: int, others: int, repeated: int) -> DataFrame:
+    """One row of each new or changed document: of those that came once (so many) as it is, found by the fewer of their keys
+    and all others', which are broadcast if they are few, so that texts stay where they were read. Of repeated ones all rows
+    are hashed again, for the version that counts."""
+    alone = F.col("changed") & (F.col("n") == 1)
+    fewer = work.saved(seen.where(alone if once <= others else ~alone).select("doc_key"), "fewer")
+    taken = rows.join(fewer, "doc_key", "left_semi" if once <= others else "left_anti")
+    if repeated:
+        many = work.saved(seen.where("changed AND n > 1").select("doc_key", "content"), "many")
+        mixed = _content(rows.join(many, "doc_key", "left_semi"))
+        taken = taken.unionByName(mixed.join(many, ["doc_key", "content"], "left_semi").dropDuplicates(["doc_key"]).select(taken.columns))
+    return taken
+
+
 def take_batch(rows: DataFrame, number: int, out: str, config: dict) -> None:
     """Write what a micro-batch of documents (doc_id, text, source, lang, modified, file) brings or changes. Of several
     versions of a document in it the one in the newest file counts."""
     spark = rows.sparkSession
     rows = _keyed(rows)
-    last = rows.groupBy("doc_key").agg(F.max(F.struct("modified", "file", "content")).alias("v")).select("doc_key", "v.content")
     # The folder is there and has this schema from the first batch on, if only with no rows.
     empty = spark.createDataFrame([], LEDGER)
     empty.write.mode("append").partitionBy("batch").parquet(f"{out}/ledger")
-    before = _newest(_table(spark, f"{out}/ledger", LEDGER).where(F.col("batch") < number))
-    changed = last.join(before, ["doc_key", "content"], "left_anti")
-    texts = rows.join(changed, ["doc_key", "content"], "left_semi").dropDuplicates(["doc_key"])
-    cut = chunk(texts.select("doc_key", "doc_id", "source", "lang", "text", F.lit("").alias("doc_type")), ChunkConfig(size=config["size"], overlap=config["overlap"], min_text_len=config["min_text_len"], merge_short_tail=config["merge_short_tail"], technical_types=()))
-    made = cut.select("doc_key", "doc_id", "source", F.col("hash_id").alias("id"), "chunk_index", "chunk_total", "text", F.lit(number).cast("long").alias("batch"), "lang")
-    _write(made, f"{out}/passages", "batch", "lang")
-    _write(changed.select("doc_key", "content", F.lit(number).cast("long").alias("batch")), f"{out}/ledger", "batch")
-    n = _table(spark, f"{out}/ledger", LEDGER).where(F.col("batch") == number).count()
+    before = _newest(_table(spark, f"{out}/ledger", LEDGER).where(F.col("batch") < number)).select("doc_key", F.col("content").alias("was"))
+    last = _content(rows).groupBy("doc_key").agg(F.max(F.struct("modified", "file", "content")).alias("v"), F.count(F.lit(1)).alias("n"))
+    with Workspace(spark) as work:
+        # Texts are hashed once: what was seen is written, and all that follows reads it.
+        seen = last.join(before, "doc_key", "left").select("doc_key", "v.content", "n", F.coalesce(F.col("v.content") != F.col("was"), F.lit(True)).alias("changed"))
+        seen = work.saved(seen, "seen")
+        read, new, once, others, repeated = (x or 0 for x in seen.agg(F.sum("n"), *(F.count_if(c) for c in (F.col("changed"), F.expr("changed AND n = 1"), F.expr("NOT (changed AND n = 1)"), F.expr("changed AND n > 1")))).first())
+        texts = _taken(rows, seen, work, once, others, repeated)
+        cut = chunk(texts.select("doc_key", "doc_id", "source", "lang", "text", F.lit("").alias("doc_type")), ChunkConfig(size=config["size"], overlap=config["overlap"], min_text_len=config["min_text_len"], merge_short_tail=config["merge_short_tail"], technical_types=()))
+        made = cut.select("doc_key", "doc_id", "source", F.col("hash_id").alias("id"), "chunk_index", "chunk_total", "text", F.lit(number).cast("long").alias("batch"), "lang")
+        with shuffles_deleted(spark):
+            _write(made, f"{out}/passages", "batch", "lang")
+            _write(seen.where("changed").select("doc_key", "content", F.lit(number).cast("long").alias("batch")), f"{out}/ledger", "batch")
     m = _table(spark, f"{out}/passages", PASSAGES).where(F.col("batch") == number).count()
-    log.info("batch %d: read %d rows; %d documents new or changed; wrote %d passages to %s", number, rows.count(), n, m, out)
+    log.info("batch %d: read %d rows; %d documents new or changed; wrote %d passages to %s", number, read, new, m, out)
 
 
 def run(spark: SparkSession, documents: str, out: str, checkpoint: str, config: dict | None = None) -> int:
@@ -105,9 +133,12 @@ def run(spark: SparkSession, documents: str, out: str, checkpoint: str, config:
 
 
 def current(spark: SparkSession, out: str) -> DataFrame:
-    """The passages of each document's newest version."""
+    """The passages of each document's newest version. Those to leave out are found first, by their keys alone: they are
+    few where most documents never changed, and then texts aren't shuffled."""
     newest = _newest(_table(spark, f"{out}/ledger", LEDGER)).select("doc_key", "batch")
-    return _table(spark, f"{out}/passages", PASSAGES).join(newest, ["doc_key", "batch"], "left_semi").drop("doc_key", "batch")
+    passages = _table(spark, f"{out}/passages", PASSAGES)
+    stale = saved(passages.select("doc_key", "batch").distinct().join(newest, ["doc_key", "batch"], "left_anti"), "stale")
+    return passages.join(stale, ["doc_key", "batch"], "left_anti").drop("doc_key", "batch")
 
 
 if __name__ == "__main__":

@@ -1,4 +1,5 @@
 import os
+import random
 import subprocess
 import sys
 
@@ -107,3 +108,50 @@ def test_command_line(spark, tmp_path):
     assert said.returncode == 0, said.stderr[-2000:]
     assert "read 1 rows; 1 documents new or changed; wrote" in said.stderr
     assert max(len(r[4]) for r in got(spark, out)) <= 200
+
+
+def test_texts_stay_where_they_were_read(spark, tmp_path, monkeypatch):
+    docs, out, mark = (str(tmp_path / x) for x in ("docs", "out", "mark"))
+    one = [(i, words(f"a{i}.", 10), "en", "s") for i in range(3000)]
+    plans, write = [], feed._write
+
+    def planned(rows, path, *partitions):
+        plans.append((os.path.basename(path), rows._jdf.queryExecution().executedPlan().toString()))
+        write(rows, path, *partitions)
+
+    monkeypatch.setattr(feed, "_write", planned)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")  # so 3,000 keys are many
+    try:
+        put(spark, docs, one)  # all are new
+        feed.run(spark, docs, out, mark)
+        put(spark, docs, [*one[1:], (0, words("b", 10), "en", "s")])  # one has changed
+        feed.run(spark, docs, out, mark)
+        rows = feed.current(spark, out)
+        plans.append(("current", rows._jdf.queryExecution().executedPlan().toString()))
+        assert got(spark, out) == want([(0, words("b", 10), "en", "s"), *one[1:]])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    kinds = [k for k, _ in plans if k != "ledger"]
+    assert kinds == ["passages", "passages", "current"]
+    assert not [k for k, plan in plans if k != "ledger" and "Exchange hashpartitioning" in plan]
+
+
+def test_random_batches_as_plain_python(spark, tmp_path):
+    """New, changed, unchanged, repeated and nameless documents in every mixture, against a dictionary."""
+    rng, out, known = random.Random(5), str(tmp_path / "out"), {}
+    schema = "doc_id long, text string, lang string, source string, modified timestamp, file string"
+    settings = feed.settings("passage_feed")
+    for number, changing in enumerate((1.0, 0.1, 0.6)):
+        rows, texts, newest = [], [], {}
+        for doc_id in [*range(40), *rng.choices(range(40), k=12), *[None] * 12]:
+            texts.append(words(f"t{rng.randrange(3)}.", 20) if doc_id is None else words(f"d{doc_id}.v{number if rng.random() < changing else 0}.", 20))
+            said = rng.choice(("%s", "  %s", "%s\n")) % texts[-1].replace(" ", rng.choice((" ", "\t ")))
+            rows.append((doc_id, said, "en", "s", None, f"f{rng.randrange(4)}"))
+        hashes = [r["content"] for r in feed._content(feed._keyed(spark.createDataFrame(rows, schema))).select("content").collect()]
+        for (doc_id, *_, file), text, content in zip(rows, texts, hashes):
+            key = text if doc_id is None else doc_id
+            newest[key] = max(newest.get(key, ("", "", ())), (file, content, (doc_id, text, "en", "s")))
+        known |= {k: v[2] for k, v in newest.items()}
+        feed.take_batch(spark.createDataFrame(rows, schema), number, out, settings)
+        assert got(spark, out) == want(known.values())
