@@ -1,9 +1,10 @@
 """BM25: term counts, document lengths and idf are aggregates, queries an equi-join on terms.
 
 The best documents of a query are found in blocks: the postings of each Arrow batch of documents are put together where it
-is read, all its scores for a query are summed in one array, and the k best leave it. Queries of few terms are broadcast;
-of more, blocks of queries meet blocks of documents in lanes, as in ``blocks.msearch``. No posting and no score but the k
-best is shuffled or written for few queries, and the documents' blocks once for many.
+is read, its scores for many queries are summed in one table, and the k best leave it. Queries of few terms are broadcast.
+More are answered in passes of so many that a task can hold them: they go to all lanes, each block of documents goes to one
+lane, and streams by the queries there. No posting and no score but the k best is shuffled or written for few queries, and
+the documents' blocks once a pass for many.
 
 Beyond DIRECT scores the MaxScore scheme does without scoring all that share a common word with a query, on joins.
 Terms that few documents have name some good documents, whose full scores give a threshold. The terms that count least,
@@ -13,6 +14,7 @@ and that may still pass the threshold, are looked up in their postings. Results
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +32,14 @@ BROADCAST_TERMS = 100_000
 #: So many (query, term, document) triples are scored in blocks, without looking for thresholds, whose joins move far more
 #: than they spare; the results are the same.
 DIRECT = 10**15
-#: Queries and documents in a block, at most.
+#: Queries and documents in a block, at most; documents are numbered in 16 bits.
 BLOCK_QUERIES, BLOCK_DOCS = 1024, 8192
+#: Bytes of words in a block of documents, about, where many queries are asked.
+BLOCK_BYTES = 16 << 20
+#: Query terms of a pass (some 25 bytes each in every task), where they are too many to broadcast.
+PASS_TERMS = 4_000_000
+#: Numbers in a table of scores, about; terms that have a row of their own in a block's table, and numbers there, at most.
+TABLE, OFTEN, ROWS = 1 << 18, 512, 1 << 22
 #: Scores are ties if they agree to so many digits; what is surely below a threshold is so by more than that.
 DIGITS, MARGIN = 6, 2e-6
 _SPLIT = r"[\t\n\x0B\f\r\x1C-\x1F \x85\xA0  -     　]+"
@@ -134,10 +142,14 @@ def scores(queries: DataFrame, docs: DataFrame, *, query_key: str = "query_id",
     return hits.groupBy(query_key, key).agg(F.sum(F.col("times") * F.col("idf") * _weight(F.col("avglen"))).alias("score"))
 
 
-def _postings_of(words: pa.ListArray, tfs: np.ndarray | None, lens: np.ndarray, avglen: float, known: pa.Array | None) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """(terms, starts, docs, parts) of some documents: the postings of each term lie together, and a part is what one of a
-    query's terms gives the document. ``tfs``: how often each word counts, if not as often as it is there. ``known``: the
-    terms, if no others matter."""
+def _parts(tf: np.ndarray, docs: np.ndarray, lens: np.ndarray, avglen: float) -> np.ndarray:
+    """What one of a query's terms gives each posting's document."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[docs] / avglen))
+
+
+def _postings_of(words: pa.ListArray, tfs: np.ndarray | None, known: pa.Array | None) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, starts, docs, tf) of some documents: the postings of each term lie together. ``tfs``: how often each word
+    counts, if not as often as it is there. ``known``: the terms, if no others matter."""
     n = len(words)
     flat, doc = words.flatten(), np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
     if known is None:
@@ -154,37 +166,115 @@ def _postings_of(words: pa.ListArray, tfs: np.ndarray | None, lens: np.ndarray,
         order = np.argsort(place)
         place, tf = place[order], tfs[order]
     code, doc = np.divmod(place, n)
-    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[doc] / avglen))
-    return terms, np.searchsorted(code, np.arange(len(terms) + 1)), doc, part
+    return terms, np.searchsorted(code, np.arange(len(terms) + 1)), doc, tf
+
+
+def _spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as it counts, one after the other."""
+    return np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+
+
+def _slices(costs: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Neighbours whose costs come to some TABLE, or to one that is larger."""
+    upto = np.cumsum(costs)
+    edges = np.flatnonzero(np.diff((upto - costs) // TABLE)) + 1
+    return zip([0, *edges.tolist()], [*edges.tolist(), len(costs)])
+
+
+def _in_turn(postings: tuple, codes: np.ndarray, weights: np.ndarray, n: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, scores) of a block that may be one query's k best: each term's postings are added in turn."""
+    starts, docs, parts = postings
+    total, seen, plain = np.zeros(n), None, True
+    if len(weights) and weights.min() <= 0:  # then a score of 0 or less may be one of the best
+        seen, plain = np.zeros(n, bool), False
+    for c, w in zip(codes.tolist(), weights.tolist()):
+        if c >= 0:
+            at = docs[starts[c] : starts[c + 1]]
+            total[at] += w * parts[starts[c] : starts[c + 1]]
+            if not plain:
+                seen[at] = True
+    at = np.flatnonzero(total > max(least - MARGIN, 0.0)) if plain else np.flatnonzero(seen & (total >= least - MARGIN))
+    if len(at) > k:
+        at = at[total[at] >= np.partition(total[at], len(at) - k)[len(at) - k] - MARGIN]
+    return at, total[at]
+
+
+def _indexed(starts: np.ndarray, docs: np.ndarray, parts: np.ndarray, n: int) -> tuple:
+    """Postings of n documents for ``_best_of``: (starts, docs, parts), terms' numbers of documents, their rows in a table of
+    the frequent ones, which follows, and the postings' places in the order of term and document."""
+    df = np.diff(starts)
+    often = np.flatnonzero(df > n // 8)
+    often = often[np.argsort(-df[often], kind="stable")[: min(OFTEN, ROWS // max(n, 1))]]
+    row_of = np.full(len(df), -1)
+    row_of[often] = np.arange(len(often))
+    table, of = np.zeros((len(often), n)), _spans(starts[often], df[often])
+    table[np.repeat(np.arange(len(often)), df[often]), docs[of]] = parts[of]
+    return (starts, docs, parts), df, row_of, table, np.repeat(np.arange(len(df)), df) * n + docs
 
 
 def _best_of(postings: tuple, asked: tuple[np.ndarray, np.ndarray, np.ndarray], places: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, document, score) of the k best documents of a block for each query, without those that k better ones are
-    known for already: ``least`` has the k-th best score so far. ``asked``: (starts, terms, weights), a negative term is in
-    no document; ``places``: the order of the documents' keys."""
-    _, starts, docs, parts = postings
+    known for already: ``least`` has the k-th best score so far. ``postings``: as ``_indexed``; ``asked``: (starts,
+    terms, weights), a negative term is in no document; ``places``: the order of the documents' keys.
+
+    Scores of many queries are summed in a table, frequent terms by a product of matrices. Who may be one of the best there
+    is then scored again with its terms in their order, so that a score never depends on which others are asked for."""
+    plainly, df, row_of, table, place = postings
+    starts, docs, parts = plainly
     first, codes, weights = asked
+    codes = codes.astype(np.int64)  # places pass 32 bits
+    n, lengths = len(places), np.diff(first)
+    if len(docs) == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    query = np.repeat(np.arange(len(lengths)), lengths)
+    plain = np.bincount(query[weights <= 0], minlength=len(lengths)) == 0
+    rare = (codes >= 0) & (row_of[codes] < 0)
+    costs = n + np.bincount(query[rare], df[codes[rare]], minlength=len(lengths)).astype(np.int64)
     found = []
-    for q in range(len(first) - 1):
-        total, seen, plain = np.zeros(len(places)), None, True
-        some = slice(first[q], first[q + 1])
-        if len(weights[some]) and weights[some].min() <= 0:  # then a score of 0 or less may be one of the best
-            seen, plain = np.zeros(len(places), bool), False
-        for c, w in zip(codes[some].tolist(), weights[some].tolist()):
-            if c >= 0:
-                at = docs[starts[c] : starts[c + 1]]
-                total[at] += w * parts[starts[c] : starts[c + 1]]
-                if not plain:
-                    seen[at] = True
-        at = np.flatnonzero(total > max(least[q] - MARGIN, 0.0)) if plain else np.flatnonzero(seen & (total >= least[q] - MARGIN))
-        if len(at) > k:
-            at = at[total[at] >= np.partition(total[at], len(at) - k)[len(at) - k] - MARGIN]
-        score = np.round(total[at], DIGITS)
-        order = np.lexsort((places[at], -score))[:k]
-        if len(order) == k:
-            least[q] = max(least[q], score[order[-1]])
-        found.append((np.full(len(order), q), at[order], score[order]))
-    return tuple(np.concatenate(x) for x in zip(*found))
+    for lo, hi in _slices(costs):
+        some = np.arange(first[lo], first[hi])[codes[first[lo] : first[hi]] >= 0]
+        q, c, w = query[some] - lo, codes[some], weights[some]
+        dense = row_of[c] >= 0
+        wanted = np.zeros((hi - lo, len(table)))
+        wanted[q[dense], row_of[c[dense]]] = w[dense]
+        q, c, w = q[~dense], c[~dense], w[~dense]
+        of = _spans(starts[c], df[c])
+        sums = wanted @ table
+        sums += np.bincount(np.repeat(q * n, df[c]) + docs[of], np.repeat(w, df[c]) * parts[of], minlength=sums.size).reshape(sums.shape)
+        bars = np.where(plain[lo:hi], np.maximum(least[lo:hi] - MARGIN, 0.0), np.inf)
+        above = sums > bars[:, None]
+        many = np.flatnonzero(above.sum(1) > k)
+        if len(many):
+            kth = np.partition(sums[many], n - k, axis=1)[:, n - k]
+            above[many] &= sums[many] >= kth[:, None] - MARGIN
+        # Many copies of a document are ties, which are sooner scored all at once.
+        alone = ~plain[lo:hi] | (above.sum(1) > 4 * k + 64)
+        above[alone] = False
+        i, j = np.nonzero(above)
+        score = np.zeros(len(i))
+        for a, b in _slices(lengths[lo + i]) if len(i) else ():
+            terms = lengths[lo + i[a:b]]
+            of, pair = _spans(first[lo + i[a:b]], terms), np.repeat(np.arange(b - a), terms)
+            wanted_at = codes[of] * n + j[a:b][pair]
+            at = np.minimum(np.searchsorted(place, wanted_at), len(place) - 1)
+            score[a:b] = np.bincount(pair, np.where(place[at] == wanted_at, weights[of] * parts[at], 0.0), minlength=b - a)
+        found.append((lo + i, j, score))
+        for x in (lo + np.flatnonzero(alone)).tolist():
+            at, score = _in_turn(plainly, codes[first[x] : first[x + 1]], weights[first[x] : first[x + 1]], n, k, least[x])
+            found.append((np.full(len(at), x), at, score))
+    i, j, score = (np.concatenate(x) for x in zip(*found))
+    score = np.round(score, DIGITS)
+    kept = _firsts(i, score, places[j], k, least)
+    return i[kept], j[kept], score[kept]
+
+
+def _firsts(query: np.ndarray, score: np.ndarray, places: np.ndarray, k: int, least: np.ndarray) -> np.ndarray:
+    """Which are the k best of each query, in order; the bar of a query that has as many is raised."""
+    order = np.lexsort((places, -score, query))
+    place = np.arange(len(order)) - np.searchsorted(query[order], np.arange(len(least)))[query[order]]
+    last = order[place == k - 1]
+    least[query[last]] = np.maximum(least[query[last]], score[last])
+    return order[place < k]
 
 
 def _in_blocks(questions: DataFrame, n_terms: int, rows: DataFrame, avglen: float, k: int, q: str, key: str) -> DataFrame:
@@ -195,12 +285,12 @@ def _in_blocks(questions: DataFrame, n_terms: int, rows: DataFrame, avglen: floa
     key_type, q_type = rows.schema[key].dataType.simpleString(), questions.schema[q].dataType.simpleString()
     schema = f"`{q}` {q_type}, `{key}` {key_type}, score double"
 
-    def slices(batches: Iterator[pa.RecordBatch], known: pa.Array | None) -> Iterator[tuple[pa.Array, tuple]]:
+    def slices(batches: Iterator[pa.RecordBatch], known: pa.Array | None) -> Iterator[tuple[pa.Array, np.ndarray, tuple]]:
         for big in batches:
             for lo in range(0, big.num_rows, size_d):
                 batch = big.slice(lo, size_d)
                 tfs = batch["tfs"].flatten().to_numpy() if counted else None
-                yield batch[key], _postings_of(batch["words"], tfs, batch["len"].to_numpy(), avglen, known)
+                yield batch[key], batch["len"].to_numpy(), _postings_of(batch["words"], tfs, known)
 
     def starts_of(lists: pa.ListArray) -> np.ndarray:
         return np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
@@ -220,7 +310,8 @@ def _in_blocks(questions: DataFrame, n_terms: int, rows: DataFrame, avglen: floa
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, known, asked = shared.value
             least = np.full(len(names), -np.inf)
-            for keys, postings in slices(batches, known):
+            for keys, lens, (_, starts, docs, tf) in slices(batches, known):
+                postings = _indexed(starts, docs, _parts(tf, docs, lens, avglen), len(keys))
                 yield said(_best_of(postings, asked, blocks.ranks(keys), k, least), names, keys)
 
         return rows.mapInArrow(run, schema)
@@ -228,36 +319,68 @@ def _in_blocks(questions: DataFrame, n_terms: int, rows: DataFrame, avglen: floa
     one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
     raw = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
     numbers = lambda batch, c, row, kind: np.frombuffer(batch[c][row].as_buffer(), kind)
+    sent = ["terms", "ends", "starts", "at", "numbers"]
+
+    def as_bytes(terms: pa.StringArray) -> tuple[pa.Array, pa.Array]:
+        ends, data = pa.concat_arrays([terms]).cast(pa.string()).buffers()[1:]
+        ends = np.frombuffer(ends, np.int32)[: len(terms) + 1] if len(terms) else np.zeros(1, np.int32)
+        return pa.array([b"" if data is None else data.to_pybytes()[: ends[-1]]], pa.binary()), raw(ends, np.int32)
 
     def doc_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, (terms, starts, docs, parts) in slices(batches, None):
-            yield pa.RecordBatch.from_arrays([one(keys), one(terms), raw(starts, np.int64), raw(docs, np.int32), raw(parts, np.float64)], ["ids", "terms", "starts", "docs", "parts"])
+        for keys, lens, (terms, starts, docs, tf) in slices(batches, None):
+            yield pa.RecordBatch.from_arrays([one(keys), *as_bytes(terms), raw(starts, np.int32), raw(docs, np.uint16), raw(tf, np.int32), raw(lens, np.int64)], ["ids", *sent, "lens"])
 
     def query_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for lo in range(0, big.num_rows, size_q):
                 batch = big.slice(lo, size_q)
                 coded = batch["terms"].flatten().dictionary_encode()
-                yield pa.RecordBatch.from_arrays([one(batch[q]), one(coded.dictionary), raw(starts_of(batch["terms"]), np.int64), raw(coded.indices.to_numpy(), np.int32), raw(batch["weights"].flatten().to_numpy(), np.float64)], ["asked", "q_terms", "q_starts", "q_codes", "q_weights"])
+                yield pa.RecordBatch.from_arrays([one(batch[q]), *as_bytes(coded.dictionary), raw(starts_of(batch["terms"]), np.int32), raw(coded.indices.to_numpy(), np.int32), raw(batch["weights"].flatten().to_numpy(), np.float64)], ["asked", *sent])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}  # the k-th best scores so far, by the block of queries
+        """The queries come first and are held; of each the k best so far are, too."""
+        words, held, best = [], [], []
         for batch in batches:
             for row in range(batch.num_rows):
-                asked, keys, terms = (batch[c][row].values for c in ("asked", "ids", "terms"))
-                postings = terms, numbers(batch, "starts", row, np.int64), numbers(batch, "docs", row, np.int32).astype(np.int64), numbers(batch, "parts", row, np.float64)
-                codes = pc.fill_null(pc.index_in(batch["q_terms"][row].values, value_set=terms), -1).to_numpy(zero_copy_only=False)
-                least = known.setdefault(asked[0].as_py(), np.full(len(asked), -np.inf))
-                wanted = numbers(batch, "q_starts", row, np.int64), codes[numbers(batch, "q_codes", row, np.int32)], numbers(batch, "q_weights", row, np.float64)
-                yield said(_best_of(postings, wanted, blocks.ranks(keys), k, least), asked, keys)
+                ends = numbers(batch, "ends", row, np.int32)
+                terms = pa.StringArray.from_buffers(len(ends) - 1, batch["ends"][row].as_buffer(), batch["terms"][row].as_buffer())
+                starts, at = numbers(batch, "starts", row, np.int32), batch["at"][row].as_buffer()
+                if not batch["ids"][row].is_valid:
+                    words.append(terms)
+                    asked = pa.concat_arrays([batch["asked"][row].values])
+                    held.append((asked, starts.copy(), np.frombuffer(at, np.int32), numbers(batch, "numbers", row, np.float64).copy()))  # not the whole batch
+                    continue
+                if not held:
+                    return
+                if not best:
+                    coded = pa.concat_arrays(words).dictionary_encode()
+                    known, upto = coded.dictionary, np.cumsum([0, *map(len, words)])
+                    held = [(asked, first, coded.indices[lo:hi].to_numpy().take(codes), weights) for (asked, first, codes, weights), lo, hi in zip(held, upto, upto[1:])]
+                    best = [(np.full(len(asked), -np.inf), np.zeros(0, np.int64), None, np.zeros(0)) for asked, *_ in held]
+                    words = coded = None
+                keys, lens, docs = batch["ids"][row].values, numbers(batch, "lens", row, np.int64), np.frombuffer(at, np.uint16).astype(np.int64)
+                postings = _indexed(starts.astype(np.int64), docs, _parts(numbers(batch, "numbers", row, np.int32), docs, lens, avglen), len(keys))
+                places, code = blocks.ranks(keys), pc.fill_null(pc.index_in(known, value_set=terms), -1).to_numpy(zero_copy_only=False)
+                for b, (_, first, codes, weights) in enumerate(held):
+                    least, i, names, score = best[b]
+                    query, doc, more = _best_of(postings, (first, code[codes], weights), places, k, least)
+                    if len(query):
+                        i, score, new = np.concatenate([i, query]), np.concatenate([score, more]), keys.take(pa.array(doc))
+                        names = new if names is None else pa.concat_arrays([names, new])
+                        kept = _firsts(i, score, blocks.ranks(names), k, least)
+                        best[b] = least, i[kept], names.take(pa.array(kept)), score[kept]
+        for (asked, *_), (_, i, names, score) in zip(held, best):
+            if names is not None:
+                yield said((i, np.arange(len(i)), score), asked, names)
 
     # Queries go to all lanes, so that these are as many as can be at work, and no more with more input.
     lanes = 2 * spark.sparkContext.defaultParallelism
-    docs = rows.mapInArrow(doc_blocks, f"ids array<{key_type}>, terms array<string>, starts binary, docs binary, parts binary")
+    docs = rows.mapInArrow(doc_blocks, f"ids array<{key_type}>, {', '.join(f'{c} binary' for c in sent)}, lens binary")
     docs = docs.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int"))
-    asked = questions.mapInArrow(query_blocks, f"asked array<{q_type}>, q_terms array<string>, q_starts binary, q_codes binary, q_weights binary")
+    asked = questions.mapInArrow(query_blocks, f"asked array<{q_type}>, {', '.join(f'{c} binary' for c in sent)}")
     asked = asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    return docs.join(asked, "lane").mapInArrow(meet, schema)
+    both = asked.unionByName(docs, allowMissingColumns=True).repartitionById(lanes, "lane")
+    return both.sortWithinPartitions(F.col("ids").isNotNull()).mapInArrow(meet, schema)
 
 
 def search(queries: DataFrame, docs: DataFrame, k: int, *, query_key: str = "query_id", query_text: str = "text", key: str = "id", text: str = "text", index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -289,8 +412,13 @@ def search(queries: DataFrame, docs: DataFrame, k: int, *, query_key: str = "que
             rows = mine.join(index[1], key).select(key, F.col("p.term").alias("words"), F.col("p.tf").alias("tfs"), "len")
         first = totals.first()
         avglen = first["avglen"] if first is not None else None
-        with batch_bytes(queries.sparkSession):
-            return saved(top(_in_blocks(questions, n_terms, rows, avglen or 1.0, k, q, key), k, q, key), "bm25")
+        passes = 1 if n_terms <= BROADCAST_TERMS else -(-n_terms // PASS_TERMS)
+        found = []
+        with batch_bytes(queries.sparkSession, *([] if n_terms <= BROADCAST_TERMS else [BLOCK_BYTES])):
+            for x in range(passes):
+                some = questions if passes == 1 else questions.where(F.pmod(F.xxhash64(q), F.lit(passes)) == x)
+                found.append(saved(top(_in_blocks(some, n_terms, rows, avglen or 1.0, k, q, key), k, q, key), "bm25"))
+        return functools.reduce(DataFrame.unionByName, found)
 
 
 def _pruned(work: Workspace, asked: DataFrame, n_terms: int, docs: DataFrame, k: int, q: str, key: str, text: str, index: tuple[DataFrame, DataFrame] | None) -> DataFrame:
